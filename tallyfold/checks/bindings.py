@@ -118,3 +118,145 @@ def landed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("lang_"), F.col("lang")).alias("strategy"),
         F.concat(F.lit("lang:"), F.col("lang")).alias("stratum"),
     )
+
+
+# --- events as observations ---------------------------------------------------
+
+EVENT_CATEGORIES = {
+    "click": "engage",
+    "view": "engage",
+    "purchase": "commerce",
+    "signup": "commerce",
+    "error": "fault",
+}
+
+
+def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as observations: the day is the run date, the user the
+    repository, the event type the technology seen; errors are failed parses."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.to_date("ts").alias("run_date"),
+        F.lit(None).cast("string").alias("collection_type"),
+        F.concat(F.lit("user/"), F.col("user_id")).alias("repo_full_name"),
+        F.concat(F.lit("hour:"), F.hour("ts")).alias("stratum"),
+        F.col("event_type"),
+        (F.col("event_type") != "error").alias("parse_ok"),
+        F.col("value"),
+        F.round(F.col("value") / 500, 4).alias("score"),
+        k.alias("k"),
+    )
+    rows = rows.withColumns(
+        {
+            "nbformat": F.when(F.col("k") < 90, 3 + F.col("k") % 2),
+            "python_major_minor": F.when(F.col("k") < 80, F.concat(F.lit("3."), F.col("k") % 14)),
+        }
+    )
+    return rows.withColumns({f"lib_{e}": F.col("event_type") == e for e in EVENT_CATEGORIES})
+
+
+EVENTS_SQL = """obs AS (
+  SELECT event_id, CAST(ts AS DATE) AS run_date, 'user/' || user_id AS repo_full_name,
+    'hour:' || hour(ts) AS stratum, event_type, event_type <> 'error' AS parse_ok, value,
+    round(value / 500, 4) AS score, k,
+    CASE WHEN k < 90 THEN 3 + k % 2 END AS nbformat,
+    CASE WHEN k < 80 THEN '3.' || (k % 14) END AS python_major_minor
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)),
+event_library(library, category) AS (VALUES ('click','engage'),('view','engage'),('purchase','commerce'),
+  ('signup','commerce'),('error','fault')),
+event_days AS (SELECT run_date, count(*) AS collected, count(*) FILTER (parse_ok) AS parsed FROM obs GROUP BY 1),
+event_adoption AS (
+  SELECT d.run_date, 'daily' AS collection_type, l.library, l.category, coalesce(n, 0)::BIGINT AS notebook_count,
+    CASE WHEN parsed > 0 THEN round(coalesce(n, 0) * 100000 / parsed::DOUBLE) / 1000e0 ELSE 0e0 END AS adoption_pct
+  FROM event_days d CROSS JOIN event_library l
+  LEFT JOIN (SELECT run_date, event_type AS library, count(*) FILTER (parse_ok) AS n FROM obs GROUP BY ALL) c
+    ON c.run_date = d.run_date AND c.library = l.library)"""
+
+
+# --- history: daily rows from events, cohort rows from orders -------------------
+
+PRIORITY_LIBRARIES = {
+    "1-URGENT": ("numpy", "array"),
+    "2-HIGH": ("pandas", "array"),
+    "3-MEDIUM": ("scipy", "scientific"),
+    "4-NOT SPECIFIED": ("keras", "deep_learning"),
+    "5-LOW": ("plotly", "plotting"),
+}
+
+
+def cohort_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` as cohort observations: the order year is the creation year,
+    the priority the technology seen, the price the score."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.make_date(F.year("o_orderdate"), F.lit(1), F.lit(1)).alias("run_date"),
+        F.lit("cohort").alias("collection_type"),
+        (F.col("o_orderstatus") != "P").alias("parse_ok"),
+        (F.floor(F.col("o_totalprice") / 100) / 10000).alias("score"),
+        (F.col("o_custkey") % 40 + 1).alias("total_cells"),
+        F.col("o_orderpriority").alias("priority"),
+    )
+    return orders.withColumns({f"lib_{lib}": F.col("priority") == p for p, (lib, _) in PRIORITY_LIBRARIES.items()})
+
+
+COHORT_SQL = """cohort_obs AS (
+  SELECT make_date(year(o_orderdate), 1, 1) AS run_date, o_orderstatus <> 'P' AS parse_ok,
+    floor(o_totalprice / 100) / 10000 AS score, o_custkey % 40 + 1 AS total_cells, l.library, l.category
+  FROM orders JOIN (VALUES ('1-URGENT','numpy','array'),('2-HIGH','pandas','array'),('3-MEDIUM','scipy','scientific'),
+    ('4-NOT SPECIFIED','keras','deep_learning'),('5-LOW','plotly','plotting')) l(priority, library, category)
+    ON l.priority = o_orderpriority),
+cohort_days AS (SELECT run_date, count(*) FILTER (parse_ok) AS parsed FROM cohort_obs GROUP BY 1),
+cohort_adoption AS (
+  SELECT d.run_date, 'cohort' AS collection_type, l.library, l.category, coalesce(n, 0)::BIGINT AS notebook_count,
+    CASE WHEN parsed > 0 THEN round(coalesce(n, 0) * 100000 / parsed::DOUBLE) / 1000e0 ELSE 0e0 END AS adoption_pct
+  FROM cohort_days d CROSS JOIN (SELECT DISTINCT library, category FROM cohort_obs) l
+  LEFT JOIN (SELECT run_date, library, count(*) FILTER (parse_ok) AS n FROM cohort_obs GROUP BY ALL) c
+    ON c.run_date = d.run_date AND c.library = l.library)"""
+
+
+def _history_rows(rows: DataFrame) -> DataFrame:
+    from tallyfold.functions.rounding import mean_of, median_of
+    from tallyfold.operators import aggregate as A
+
+    score, cells = A.of_parsed(F.col("score")), A.of_parsed(F.col("total_cells"))
+    return rows.groupBy("run_date").agg(
+        A.mode_label().alias("collection_type"),
+        *A.volume(),
+        mean_of(score, 4, 4).alias("reproducibility_score_mean"),
+        median_of(score, 4, 4).alias("reproducibility_score_median"),
+        mean_of(score, 4, 4).alias("documentation_density_mean"),
+        mean_of(cells, 0, 3).alias("mean_total_cells"),
+    )
+
+
+def history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Snapshot and adoption history: daily rows and cohort rows together."""
+    from tallyfold.operators.aggregate import library_adoption
+
+    daily = event_observations(spark, sf_dir).withColumn("total_cells", F.col("k"))
+    cohorts = cohort_observations(spark, sf_dir)
+    snapshots = _history_rows(daily).unionByName(_history_rows(cohorts))
+    adoption = library_adoption(daily, EVENT_CATEGORIES).unionByName(
+        library_adoption(cohorts, dict(PRIORITY_LIBRARIES.values()))
+    )
+    return snapshots, adoption
+
+
+def _history_sql(source: str, mode: str) -> str:
+    return f"""SELECT run_date, '{mode}' AS collection_type, count(*) AS notebooks_collected,
+    count(*) FILTER (parse_ok) AS notebooks_parsed,
+    round(count(*) FILTER (parse_ok) * 10000 / count(*)::DOUBLE) / 10000e0 AS parse_success_rate,
+    round(sum(CASE WHEN parse_ok THEN round(score * 10000)::BIGINT END)::DOUBLE
+          / nullif(count(*) FILTER (parse_ok), 0)) / 10000e0 AS reproducibility_score_mean,
+    round(median(CASE WHEN parse_ok THEN round(score * 10000)::BIGINT END)) / 10000e0 AS reproducibility_score_median,
+    round(sum(CASE WHEN parse_ok THEN round(score * 10000)::BIGINT END)::DOUBLE
+          / nullif(count(*) FILTER (parse_ok), 0)) / 10000e0 AS documentation_density_mean,
+    round((sum(CASE WHEN parse_ok THEN total_cells END) * 1000)::DOUBLE
+          / nullif(count(*) FILTER (parse_ok), 0)) / 1000e0 AS mean_total_cells
+  FROM {source} GROUP BY 1"""
+
+
+HISTORY_SQL = f"""{EVENTS_SQL}, {COHORT_SQL},
+snapshots AS ({_history_sql("(SELECT *, k AS total_cells FROM obs)", "daily")}
+  UNION ALL BY NAME {_history_sql("cohort_obs", "cohort")}),
+adoption AS (SELECT * FROM event_adoption UNION ALL BY NAME SELECT * FROM cohort_adoption)"""

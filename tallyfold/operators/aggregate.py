@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tallyfold.fixed_values import CATEGORY_OF, SCORE_COLUMNS
 from tallyfold.functions.rounding import mean_of, median_of, ratio
 
-PARSED = F.col("parse_ok")
 _MEANS = {
     "mean_total_cells": "total_cells",
     "mean_code_cells": "code_cells",
@@ -29,8 +28,12 @@ _SHARES = {
 }
 
 
+def parsed() -> Column:
+    return F.col("parse_ok")
+
+
 def of_parsed(col: Column) -> Column:
-    return F.when(PARSED, col)
+    return F.when(parsed(), col)
 
 
 def mode_label() -> Column:
@@ -39,11 +42,11 @@ def mode_label() -> Column:
 
 
 def volume() -> list[Column]:
-    collected, parsed = F.count(F.lit(1)), F.count_if(PARSED)
+    collected, ok = F.count(F.lit(1)), F.count_if(parsed())
     return [
         collected.alias("notebooks_collected"),
-        parsed.alias("notebooks_parsed"),
-        F.coalesce(ratio(parsed, collected, 4), F.lit(0.0)).alias("parse_success_rate"),
+        ok.alias("notebooks_parsed"),
+        F.coalesce(ratio(ok, collected, 4), F.lit(0.0)).alias("parse_success_rate"),
     ]
 
 
@@ -67,15 +70,15 @@ def share_of(condition: Column, among: Column, places: int = 4) -> Column:
 
 
 def boolean_shares() -> list[Column]:
-    return [share_of(F.col(c), PARSED).alias(name) for name, c in _SHARES.items()]
+    return [share_of(F.col(c), parsed()).alias(name) for name, c in _SHARES.items()]
 
 
 def declares_version() -> Column:
-    return PARSED & F.col("python_major_minor").isNotNull() & (F.col("python_major_minor") != "")
+    return parsed() & F.col("python_major_minor").isNotNull() & (F.col("python_major_minor") != "")
 
 
 def format_mix() -> list[Column]:
-    stated = PARSED & F.col("nbformat").isNotNull()
+    stated = parsed() & F.col("nbformat").isNotNull()
     return [
         mean_of(F.when(stated, F.col("nbformat")), 0, 3).alias("mean_nbformat"),
         share_of(F.col("nbformat") == 4, stated).alias("pct_nbformat_4"),
@@ -96,7 +99,7 @@ def contributors(observations: DataFrame) -> DataFrame:
 
 def daily_snapshot(observations: DataFrame, run_dates: DataFrame | None = None) -> DataFrame:
     """One row per run date; a frame of ``run_dates`` adds dates without rows."""
-    declared = ratio(F.count_if(declares_version()), F.count_if(PARSED), 4)
+    declared = ratio(F.count_if(declares_version()), F.count_if(parsed()), 4)
     measured = observations.groupBy("run_date").agg(
         mode_label().alias("collection_type"),
         *volume(),
@@ -126,7 +129,7 @@ def value_share(observations: DataFrame, value: str, keys: tuple[str, ...] = ("r
 
 
 def version_share(observations: DataFrame) -> DataFrame:
-    return value_share(observations.where(PARSED), "python_major_minor")
+    return value_share(observations.where(parsed()), "python_major_minor")
 
 
 def version_columns(shares: DataFrame, versions: list[str]) -> DataFrame:
@@ -146,8 +149,8 @@ def library_adoption(
     known = sorted(categories)
     counts = observations.groupBy("run_date").agg(
         mode_label().alias("collection_type"),
-        F.count_if(PARSED).alias("parsed"),
-        *[F.count_if(PARSED & F.col(f"lib_{name}")).alias(name) for name in known],
+        F.count_if(parsed()).alias("parsed"),
+        *[F.count_if(parsed() & F.col(f"lib_{name}")).alias(name) for name in known],
     )
     if run_dates is not None:
         counts = run_dates.join(counts, "run_date", "left")
