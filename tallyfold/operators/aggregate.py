@@ -117,19 +117,23 @@ def daily_snapshot(observations: DataFrame, run_dates: DataFrame | None = None)
     return snapshot
 
 
-def value_share(observations: DataFrame, value: str, keys: tuple[str, ...] = ("run_date",)) -> DataFrame:
+def value_share(observations: DataFrame, value: str, among: Column | None = None, keys: tuple[str, ...] = ("run_date",)) -> DataFrame:
     """Percentage of each value per date among rows that state one, long form.
 
-    The window runs over already counted values, a handful per date.
+    Rows are counted under a condition rather than filtered first: a filter
+    would be pushed below the projections that compute ``value`` and repeat
+    them.  The window runs over already counted values, a handful per date.
     """
-    stated = observations.where(F.col(value).isNotNull() & (F.col(value) != ""))
-    counted = stated.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    stated = F.col(value).isNotNull() & (F.col(value) != "")
+    if among is not None:
+        stated = stated & among
+    counted = observations.groupBy(*keys, value).agg(F.count_if(stated).alias("n")).where(F.col("n") > 0)
     whole = F.sum("n").over(Window.partitionBy(*keys))
     return counted.select(*keys, F.col(value).alias("value"), "n", ratio(F.col("n"), whole, 2, 100).alias("pct"))
 
 
 def version_share(observations: DataFrame) -> DataFrame:
-    return value_share(observations.where(parsed()), "python_major_minor")
+    return value_share(observations, "python_major_minor", parsed())
 
 
 def version_columns(shares: DataFrame, versions: list[str]) -> DataFrame:

@@ -126,6 +126,11 @@ def daily_strata(run_date: Column) -> list[Column]:
     ]
 
 
+def cohort_topic(year: Column, k: int) -> Column:
+    """First or second topic of a creation year."""
+    return _picked(V.TOPICS, F.pmod(year * 2 + k, F.lit(len(V.TOPICS))))
+
+
 def cohort_strata() -> list[Column]:
     """The strata of the creation-year cohort a repository belongs to."""
     stars, year = F.col("stars"), F.col("cohort_year")
@@ -135,7 +140,7 @@ def cohort_strata() -> list[Column]:
     ]
     topics = []
     for k in range(2):
-        topic = _picked(V.TOPICS, F.pmod(year * 2 + k, F.lit(len(V.TOPICS))))
+        topic = cohort_topic(year, k)
         topics.append(_stratum(F.array_contains("topics", topic), f"cohort_topic_{k}", F.concat(F.lit("topic:"), topic)))
     return [*bands, *topics]
 
@@ -145,24 +150,42 @@ def assign(repos: DataFrame, strata: list[Column]) -> DataFrame:
     return repos.select(*repos.columns, F.inline(F.array_compact(F.array(*strata))))
 
 
-def sample_plan(spark, run_date: date, seed_offset: int = 0) -> DataFrame:
-    """What a daily run will draw: seven rows in the order they are served."""
-    day = F.lit(run_date)
+def plan_rows(dates: DataFrame, seed_offset: int = 0) -> DataFrame:
+    """What a daily run will draw, for every ``run_date``: seven rows, and the
+    seeded key they are served by."""
+    day = F.col("run_date")
+
+    def entry(name: str, stratum: Column, sort: str) -> Column:
+        return F.struct(F.lit(name).alias("name"), stratum.alias("stratum"), F.lit(sort).alias("sort"))
+
+    half = len(V.STAR_BUCKETS) // 2
     stars = [
-        F.when(star_block(day) == i // 3, F.struct(F.lit(f"star_bucket_{n}").alias("name"), F.lit(f"stars:{n}").alias("stratum"), F.lit("stars").alias("sort")))
+        F.when(star_block(day) == i // half, entry(f"star_bucket_{n}", F.lit(f"stars:{n}"), "stars"))
         for i, (n, _, _) in enumerate(V.STAR_BUCKETS)
     ]
     size = _picked(tuple(b[0] for b in V.SIZE_BUCKETS), rotation_index(day, len(V.SIZE_BUCKETS)))
-    rest = [
-        ("recent_push", F.lit("activity:recent_push"), "updated"),
-        ("created_window", F.concat(F.lit("age:created_"), rotating_year(day).cast("string")), "best_match"),
-        ("topic", F.concat(F.lit("topic:"), rotating_topic(day)), "best_match"),
-        ("size_bucket", F.concat(F.lit("repo_size:"), size), "best_match"),
+    others = [
+        entry("recent_push", F.lit("activity:recent_push"), "updated"),
+        entry("created_window", F.concat(F.lit("age:created_"), rotating_year(day).cast("string")), "best_match"),
+        entry("topic", F.concat(F.lit("topic:"), rotating_topic(day)), "best_match"),
+        entry("size_bucket", F.concat(F.lit("repo_size:"), size), "best_match"),
     ]
-    others = [F.struct(F.lit(n).alias("name"), s.alias("stratum"), F.lit(o).alias("sort")) for n, s, o in rest]
-    rows = spark.range(1).select(F.inline(F.array_compact(F.array(*stars, *others))))
     seed = date_seed(day, seed_offset)
-    return rows.select(day.alias("run_date"), seed.alias("seed"), "*").orderBy(seeded_order(seed, F.col("name")), "name")
+    rows = dates.select(day, seed.alias("seed"), F.inline(F.array_compact(F.array(*stars, *others))))
+    return rows.withColumn("served_by", seeded_order(F.col("seed"), F.col("name")))
+
+
+def cohort_plan_rows(years: DataFrame, seed_offset: int = 0) -> DataFrame:
+    """What a cohort run will draw, for every ``cohort_year``: five rows."""
+    year = F.col("cohort_year")
+    bands = [F.struct(F.lit(f"cohort_star_{n}").alias("name"), F.lit(f"stars:{n}").alias("stratum")) for n, _, _ in V.COHORT_STAR_BANDS]
+    topics = [
+        F.struct(F.lit(f"cohort_topic_{k}").alias("name"), F.concat(F.lit("topic:"), cohort_topic(year, k)).alias("stratum"))
+        for k in range(2)
+    ]
+    run_date = F.make_date(year, F.lit(1), F.lit(1))
+    rows = years.select(run_date.alias("run_date"), date_seed(run_date, seed_offset).alias("seed"), F.inline(F.array(*bands, *topics)))
+    return rows.withColumn("served_by", seeded_order(F.col("seed"), F.col("name")))
 
 
 # --- windows, pool, caps -----------------------------------------------------

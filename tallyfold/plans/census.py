@@ -74,7 +74,7 @@ def run_day(
         readers.stored(spark, f"{root}/daily_snapshots").where(F.col("date") == F.lit(run_date)),
         readers.stored(spark, f"{root}/library_adoption").where(F.col("date") == F.lit(run_date)),
         sampling.accounting(pool, landed),
-        sampling.sample_plan(spark, run_date, seed_offset),
+        sampling.plan_rows(dates, seed_offset),
     )
     sinks.write_json(report, f"{root}/last_run_report")
     return report
