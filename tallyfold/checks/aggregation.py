@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyfold.checks import bindings as B
@@ -160,6 +161,11 @@ def adoption_dense(spark, sf):
     return A.library_adoption(B.event_observations(spark, sf), B.EVENT_CATEGORIES)
 
 
+def daily_adoption(spark, sf):
+    """The stored adoption rows of the daily mode."""
+    return B.history(spark, sf)[1].where(trends.mode() == "daily")
+
+
 _DAY_SQL = f"""SELECT {DAY}, 'daily' AS collection_type, count(*) AS notebooks_collected,
   count(*) FILTER (parse_ok) AS notebooks_parsed,
   round(count(*) FILTER (parse_ok) * 10000 / count(*)::DOUBLE) / 10000e0 AS parse_success_rate,
@@ -199,8 +205,7 @@ def reaggregate_one_day(spark, sf):
   WHERE run_date = (SELECT max(run_date) FROM event_adoption) GROUP BY 1 HAVING sum(notebook_count) > 0""",
 )
 def category_rollup(spark, sf):
-    adoption = A.library_adoption(B.event_observations(spark, sf), B.EVENT_CATEGORIES)
-    return A.category_rollup(trends.latest_rows(adoption))
+    return A.category_rollup(trends.latest_rows(daily_adoption(spark, sf)))
 
 
 @query(
@@ -225,7 +230,7 @@ def split_modes(spark, sf):
     f"{EV} SELECT {DAY}, library, adoption_pct FROM event_adoption",
 )
 def mode_fallback(spark, sf):
-    adoption = A.library_adoption(B.event_observations(spark, sf), B.EVENT_CATEGORIES)
+    adoption = daily_adoption(spark, sf)
     return trends.prefer_mode(adoption, "cohort", "daily").select("run_date", "library", "adoption_pct")
 
 
@@ -234,7 +239,10 @@ def mode_fallback(spark, sf):
     f"""{EV} SELECT {DAY}, event_id, event_type, value FROM obs WHERE run_date = (SELECT max(run_date) FROM obs)""",
 )
 def latest_day(spark, sf):
-    return trends.latest_rows(B.event_observations(spark, sf)).select("run_date", "event_id", "event_type", "value")
+    from tallyfold.checks.storage import stored_events
+
+    rows = spark.read.parquet(stored_events(spark, sf))
+    return trends.latest_rows(rows, "date").select("run_date", "event_id", "event_type", "value")
 
 
 @query(
@@ -254,7 +262,7 @@ def latest_delta(spark, sf):
     f"{EV} SELECT {DAY}, library, adoption_pct FROM event_adoption WHERE library IN ('click', 'view', 'purchase')",
 )
 def adoption_series(spark, sf):
-    adoption = A.library_adoption(B.event_observations(spark, sf), B.EVENT_CATEGORIES)
+    adoption = daily_adoption(spark, sf)
     return trends.adoption_series(adoption, ("click", "view", "purchase"))
 
 
@@ -366,8 +374,7 @@ _LATEST = f"SELECT {_TOP} FROM event_adoption WHERE run_date = (SELECT max(run_d
 
 @query("top10_run", f"{EV} {_LATEST} ORDER BY adoption_pct DESC, library LIMIT 10")
 def top10_run(spark, sf):
-    adoption = A.library_adoption(B.event_observations(spark, sf), B.EVENT_CATEGORIES)
-    return ranking.top_libraries(trends.latest_rows(adoption), 10)
+    return ranking.top_libraries(trends.latest_rows(daily_adoption(spark, sf)), 10)
 
 
 # Parts as technologies of a larger registry: 16 words x 25 brands by line year.
@@ -378,17 +385,17 @@ part_adoption AS (SELECT *, round(notebook_count * 100000 / (sum(notebook_count)
 newest AS (SELECT * FROM part_adoption WHERE run_date = (SELECT max(run_date) FROM part_adoption))"""
 
 
-def part_adoption(spark, sf):
-    """Line items per ship year and brand.  Lines are counted per part before
-    the join, so a part that holds a third of all lines is one row there."""
-    from pyspark.sql import Window
-
+def newest_part_adoption(spark, sf):
+    """Line items of the latest ship year by brand.  Lines are counted per part
+    before the join, so a part that holds a third of all lines is one row there."""
     lines = B.table(spark, sf, "lineitem").select(
         F.make_date(F.year("l_shipdate"), F.lit(1), F.lit(1)).alias("run_date"), F.col("l_partkey").alias("p_partkey")
     )
+    lines = trends.latest_rows(lines)
     counted = lines.groupBy("run_date", "p_partkey").agg(F.count(F.lit(1)).alias("n"))
     parts = B.table(spark, sf, "part").select("p_partkey", "p_brand", "p_type")
-    days = counted.join(parts, "p_partkey").groupBy("run_date", F.col("p_brand").alias("library")).agg(
+    typed = counted.join(parts, "p_partkey").groupBy("run_date", "p_brand", "p_type").agg(F.sum("n").alias("n"))
+    days = typed.groupBy("run_date", F.col("p_brand").alias("library")).agg(
         F.min("p_type").alias("category"), F.sum("n").alias("notebook_count")
     )
     whole = F.sum("notebook_count").over(Window.partitionBy("run_date"))
@@ -397,12 +404,12 @@ def part_adoption(spark, sf):
 
 @query("top15_latest", f"WITH {_PART_SQL} SELECT {_TOP} FROM newest ORDER BY adoption_pct DESC, library LIMIT 15")
 def top15_latest(spark, sf):
-    return ranking.latest_ranking(part_adoption(spark, sf), 15)
+    return ranking.as_bars(ranking.top_libraries(newest_part_adoption(spark, sf), 15))
 
 
 @query("top20_latest", f"WITH {_PART_SQL} SELECT {_TOP} FROM newest ORDER BY adoption_pct DESC, library LIMIT 20")
 def top20_latest(spark, sf):
-    return ranking.top_libraries(trends.latest_rows(part_adoption(spark, sf)), 20)
+    return ranking.top_libraries(newest_part_adoption(spark, sf), 20)
 
 
 @query(
@@ -411,9 +418,7 @@ def top20_latest(spark, sf):
   row_number() OVER (ORDER BY adoption_pct DESC, library)::INT AS rank FROM newest ORDER BY rank LIMIT 20""",
 )
 def top20_context(spark, sf):
-    from pyspark.sql import Window
-
-    top = ranking.top_libraries(trends.latest_rows(part_adoption(spark, sf)), 20)
+    top = ranking.top_libraries(newest_part_adoption(spark, sf), 20)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("adoption_pct"), "library")))
 
 

@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.fixed_values import EXTENSION_LABELS, MODULE_TO_LIBRARY, WIDGET_MIME
-from tallyfold.session import configure
+from tallyfold.functions.rounding import mean_of, median_of
+from tallyfold.operators import aggregate as A
+from tallyfold.session import configure, scratch_folder
+from tallyfold.sources import readers, sinks
 
 MODULES = tuple(MODULE_TO_LIBRARY)
 # Import names per line: the registry modules and three unknown ones.
@@ -94,7 +97,7 @@ _RAW = """CASE k
 
 def landed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as landed JSON documents with their provenance."""
-    docs = table(spark, sf_dir, "documents").withColumns(
+    docs = readers.spread(table(spark, sf_dir, "documents")).withColumns(
         {
             "k": F.expr("cast(substr(source, 4) AS int)"),
             "module_names": F.expr(_names_array()),
@@ -215,9 +218,6 @@ cohort_adoption AS (
 
 
 def _history_rows(rows: DataFrame) -> DataFrame:
-    from tallyfold.functions.rounding import mean_of, median_of
-    from tallyfold.operators import aggregate as A
-
     score, cells = A.of_parsed(F.col("score")), A.of_parsed(F.col("total_cells"))
     return rows.groupBy("run_date").agg(
         A.mode_label().alias("collection_type"),
@@ -229,19 +229,45 @@ def _history_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def history_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Snapshot and adoption history: daily rows and cohort rows together."""
-    from tallyfold.operators.aggregate import library_adoption
-
     daily = event_observations(spark, sf_dir).withColumn("total_cells", F.col("k"))
     cohorts = cohort_observations(spark, sf_dir)
     snapshots = _history_rows(daily).unionByName(_history_rows(cohorts))
-    adoption = library_adoption(daily, EVENT_CATEGORIES).unionByName(
-        library_adoption(cohorts, dict(PRIORITY_LIBRARIES.values()))
+    adoption = A.library_adoption(daily, EVENT_CATEGORIES).unionByName(
+        A.library_adoption(cohorts, dict(PRIORITY_LIBRARIES.values()))
     )
     return snapshots, adoption
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_once(spark: SparkSession, sf_dir: str, label: str, write) -> str:
+    """A shared folder that is written once per application and table folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, label)
+    if key not in _STORED:
+        path = scratch_folder(spark, label)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The history as history queries meet it: two stored tables of one row per
+    date and per date and library, so the facts are aggregated once."""
+    configure(spark)
+
+    def write(root: str) -> None:
+        snapshots, adoption = history_tables(spark, sf_dir)
+        sinks.write_dates(snapshots, f"{root}/daily_snapshots")
+        sinks.write_dates(adoption, f"{root}/library_adoption")
+
+    root = stored_once(spark, sf_dir, "history", write)
+    snapshots, adoption = (readers.stored(spark, f"{root}/{t}") for t in ("daily_snapshots", "library_adoption"))
+    return snapshots.drop("date"), adoption.drop("date")
+
+
 def _history_sql(source: str, mode: str) -> str:
     return f"""SELECT run_date, '{mode}' AS collection_type, count(*) AS notebooks_collected,
     count(*) FILTER (parse_ok) AS notebooks_parsed,

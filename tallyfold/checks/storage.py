@@ -19,19 +19,6 @@ from tallyfold.operators import detect
 from tallyfold.session import scratch_folder
 from tallyfold.sources import readers, sinks, views
 
-_STORED: dict[tuple[str, str, str], str] = {}
-
-
-def _once(spark, sf: str, label: str, write) -> str:
-    """A folder written once per application and table folder."""
-    key = (spark.sparkContext.applicationId, sf, label)
-    if key not in _STORED:
-        path = scratch_folder(spark, label)
-        write(path)
-        _STORED[key] = path
-    return _STORED[key]
-
-
 def stored_events(spark, sf: str) -> str:
     """All event observations as date partitions; the last ten days are written
     by a later run with one more column."""
@@ -42,19 +29,19 @@ def stored_events(spark, sf: str) -> str:
         sinks.write_dates(rows.where(~late), path)
         sinks.write_dates(rows.where(late).withColumn("note", F.concat(F.lit("late "), F.col("event_type"))), path)
 
-    return _once(spark, sf, "events", write)
+    return B.stored_once(spark, sf, "events", write)
 
 
 def stored_census(spark, sf: str) -> str:
     """A census root: observations, snapshot history and adoption history."""
 
     def write(root: str) -> None:
-        snapshots, adoption = B.history(spark, sf)
+        snapshots, adoption = B.history_tables(spark, sf)
         sinks.write_dates(B.event_observations(spark, sf), f"{root}/observations")
         sinks.write_dates(snapshots, f"{root}/daily_snapshots")
         sinks.write_dates(adoption, f"{root}/library_adoption")
 
-    return _once(spark, sf, "census", write)
+    return B.stored_once(spark, sf, "census", write)
 
 
 # --- sources --------------------------------------------------------------------
@@ -280,7 +267,7 @@ def union_by_name(spark, sf):
 @query("csv_mirror", f"{HI} SELECT {_ADOPTION.replace('run_date', DAY, 1)} FROM adoption")
 def csv_mirror(spark, sf):
     root = scratch_folder(spark, "csv")
-    sinks.write_csv(B.history(spark, sf)[1], root)
+    sinks.write_csv(B.history_tables(spark, sf)[1], root)
     schema = "run_date date, collection_type string, library string, category string, notebook_count bigint, adoption_pct double"
     return spark.read.schema(schema).option("header", "true").csv(root)
 

@@ -37,8 +37,12 @@ def of_parsed(col: Column) -> Column:
 
 
 def mode_label() -> Column:
-    """Collection mode of a date; rows that predate the column are daily."""
-    return F.coalesce(F.min("collection_type"), F.lit("daily"))
+    """Collection mode of a date; rows that predate the column are daily.
+
+    There are two modes and a date has one, so counting decides it.  A minimum
+    over text would make Spark sort all rows instead of hashing them.
+    """
+    return F.when(F.count_if(F.col("collection_type") == "cohort") > 0, F.lit("cohort")).otherwise(F.lit("daily"))
 
 
 def volume() -> list[Column]:

@@ -29,11 +29,10 @@ def _sum(col: Column, among: Column | None = None) -> Column:
     return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
 
 
-def cell_tallies(typed: DataFrame, key: str) -> DataFrame:
-    """Cell, line and character tallies per document."""
+def _tallies() -> list[Column]:
     is_object, kind = F.col("is_object"), F.col("kind")
     named = F.coalesce(kind.isin("code", "markdown", "raw"), F.lit(False))
-    return typed.groupBy(key).agg(
+    return [
         F.count_if(is_object).cast("int").alias("total_cells"),
         F.count_if(kind == "code").cast("int").alias("code_cells"),
         F.count_if(kind == "markdown").cast("int").alias("markdown_cells"),
@@ -44,16 +43,27 @@ def cell_tallies(typed: DataFrame, key: str) -> DataFrame:
         _sum(F.col("lines"), kind == "code").alias("code_lines"),
         _sum(F.col("lines"), kind == "markdown").alias("markdown_lines"),
         _sum(F.col("chars"), is_object).alias("total_source_chars"),
-    )
+    ]
+
+
+def cell_tallies(typed: DataFrame, key: str) -> DataFrame:
+    """Cell, line and character tallies per document."""
+    return typed.groupBy(key).agg(*_tallies())
 
 
 def with_ratios(tallies: DataFrame) -> DataFrame:
     return tallies.withColumns(text_ratios())
 
 
-def executed(typed: DataFrame, key: str, position: str) -> DataFrame:
+def run_count() -> Column:
+    """Execution count of a code cell that ran, else null."""
     ran = (F.col("kind") == "code") & (F.col("execution_count") > 0)
-    return typed.where(ran).select(key, position, F.col("execution_count").alias("count"))
+    return F.when(ran, F.col("execution_count"))
+
+
+def executed(typed: DataFrame, key: str, position: str) -> DataFrame:
+    runs = typed.select(key, position, run_count().alias("count"))
+    return runs.where(F.col("count").isNotNull())
 
 
 def order_anomalies(runs: DataFrame, key: str, position: str, block: int = BLOCK) -> DataFrame:
@@ -78,31 +88,49 @@ def order_anomalies(runs: DataFrame, key: str, position: str, block: int = BLOCK
     return across.groupBy(key).agg(F.sum(F.col("inside") + F.col("across")).cast("int").alias("execution_order_anomalies"))
 
 
-def execution_profile(typed: DataFrame, key: str, position: str) -> DataFrame:
-    """Executed cells, largest count, anomalies, gaps and clean runs.
+def _spread() -> list[Column]:
+    return [
+        F.count("run").alias("n"),
+        F.countDistinct("run").alias("different"),
+        F.min("run").alias("low"),
+        F.max("run").alias("high"),
+    ]
+
+
+def _execution_columns(rows: DataFrame) -> DataFrame:
+    """Columns on the run from its spread and its anomalies (null: nothing ran).
 
     The counts are 1..n exactly when they are n different numbers with
     smallest 1 and largest n; a clean run also has no anomaly.
     """
+    anomalies = F.coalesce("execution_order_anomalies", F.lit(0))
+    ran = F.col("n") > 0
+    whole = ran & (F.col("n") == F.col("different")) & (F.col("low") == 1) & (F.col("high") == F.col("n"))
+    return rows.withColumns(
+        {
+            "executed_code_cells": F.col("n").cast("int"),
+            "max_execution_count": F.coalesce("high", F.lit(0).cast("bigint")),
+            "execution_order_anomalies": anomalies,
+            "has_execution_gaps": ran & ~F.coalesce(whole, F.lit(False)),
+            "fully_executed_in_order": F.coalesce(whole & (anomalies == 0), F.lit(False)),
+        }
+    ).drop("n", "different", "low", "high")
+
+
+def execution_profile(typed: DataFrame, key: str, position: str) -> DataFrame:
+    """Executed cells, largest count, anomalies, gaps and clean runs of every
+    document in which something ran."""
     runs = executed(typed, key, position)
-    seen = runs.groupBy(key, "count").agg(F.count(F.lit(1)).alias("times"))
-    spread = seen.groupBy(key).agg(
-        F.sum("times").alias("n"), F.count(F.lit(1)).alias("different"), F.min("count").alias("low"), F.max("count").alias("high")
-    )
-    whole = (F.col("n") == F.col("different")) & (F.col("low") == 1) & (F.col("high") == F.col("n"))
-    profile = spread.join(order_anomalies(runs, key, position), key)
-    return profile.select(
-        key,
-        F.col("n").cast("int").alias("executed_code_cells"),
-        F.col("high").alias("max_execution_count"),
-        "execution_order_anomalies",
-        (~whole).alias("has_execution_gaps"),
-        (whole & (F.col("execution_order_anomalies") == 0)).alias("fully_executed_in_order"),
-    )
+    spread = runs.withColumnRenamed("count", "run").groupBy(key).agg(*_spread())
+    return _execution_columns(spread.join(order_anomalies(runs, key, position), key, "left"))
 
 
 def cell_table_features(typed: DataFrame, key: str, position: str) -> DataFrame:
-    """Tallies, ratios and execution columns of every document in the table."""
-    features = with_ratios(cell_tallies(typed, key)).join(execution_profile(typed, key, position), key, "left")
-    zero = {"executed_code_cells": 0, "max_execution_count": 0, "execution_order_anomalies": 0}
-    return features.fillna({**zero, "has_execution_gaps": False, "fully_executed_in_order": False})
+    """Tallies, ratios and execution columns of every document in the table.
+
+    ``typed`` is read twice, for the sums and for the order of the run; store
+    it first when reading its cells is the larger part of the work.
+    """
+    tallies = typed.withColumn("run", run_count()).groupBy(key).agg(*_tallies(), *_spread())
+    anomalies = order_anomalies(executed(typed, key, position), key, position)
+    return with_ratios(_execution_columns(tallies.join(anomalies, key, "left")))

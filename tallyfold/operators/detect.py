@@ -64,13 +64,20 @@ def summary_columns() -> dict[str, Column]:
 def detect_by_join(modules: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     """Detection against a registry table of any size.
 
-    ``modules`` has (``key``, ``module``).  Repeats are removed before the join,
-    the join side is left to the planner's size check, and each result list is
-    bounded by the registry entries one document can name.
+    ``modules`` has (``key``, ``module``).  The join side is left to the
+    planner's size check; with a small registry the hits are joined and combined
+    in place and only the lists are shuffled.  Repeats fall away in the sets,
+    whose size is bounded by the registry entries one document can name.
     """
-    seen = modules.select(key, "module").distinct()
-    hits = seen.join(registry.select("module", "library", "category").distinct(), "module")
+    entries = registry.select("module", "library", "category").distinct()
+    hits = modules.select(key, "module").join(entries, "module")
     return hits.groupBy(key).agg(
         F.array_sort(F.collect_set("library")).alias("libraries"),
         F.array_sort(F.collect_set("category")).alias("categories"),
     )
+
+
+def module_list(modules: Column) -> Column:
+    """A row per distinct module of a list.  The outer form keeps Spark from
+    inferring a filter that would compute the list a second time."""
+    return F.explode_outer(F.array_distinct(modules))

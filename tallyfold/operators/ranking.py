@@ -15,9 +15,14 @@ def top_libraries(adoption: DataFrame, k: int) -> DataFrame:
     return adoption.orderBy(F.desc("adoption_pct"), "library").limit(k).select(*REPORT_COLUMNS)
 
 
-def latest_ranking(adoption: DataFrame, k: int) -> DataFrame:
-    """Top k on the latest date, smallest first, as a bar chart reads it."""
-    return top_libraries(latest_rows(adoption), k).orderBy("adoption_pct", F.desc("library"))
+def as_bars(top: DataFrame) -> DataFrame:
+    """A ranking smallest first, as a bar chart reads it."""
+    return top.orderBy("adoption_pct", F.desc("library"))
+
+
+def latest_ranking(adoption: DataFrame, k: int = 15) -> DataFrame:
+    """Top k on the latest date, in chart order."""
+    return as_bars(top_libraries(latest_rows(adoption), k))
 
 
 def stat_cards(snapshots: DataFrame, adoption: DataFrame, all_snapshots: DataFrame) -> DataFrame:

@@ -65,14 +65,17 @@ def run_day(
     spark: SparkSession, repos: DataFrame, files: DataFrame, contents: DataFrame, root: str, run_date: date, seed_offset: int = 0
 ) -> DataFrame:
     """One daily census; returns its report row."""
+    day = F.lit(run_date)
     pool, drawn = sampling.sample_day(repos, files, run_date, seed_offset)
-    landed = land(drawn, contents)
-    sinks.write_dates(observe(provenance(landed, F.lit(run_date), "daily")), f"{root}/observations")
-    dates = spark.range(1).select(F.lit(run_date).alias("run_date"))
+    sinks.write_dates(pool.withColumn("run_date", day), f"{root}/pool")
+    sinks.write_dates(land(drawn, contents).withColumn("run_date", day), f"{root}/landed")
+    pool, landed = (readers.stored(spark, f"{root}/{t}").where(F.col("date") == day) for t in ("pool", "landed"))
+    sinks.write_dates(observe(provenance(landed, day, "daily")), f"{root}/observations")
+    dates = spark.range(1).select(day.alias("run_date"))
     store_aggregates(spark, root, dates)
     report = run_report(
-        readers.stored(spark, f"{root}/daily_snapshots").where(F.col("date") == F.lit(run_date)),
-        readers.stored(spark, f"{root}/library_adoption").where(F.col("date") == F.lit(run_date)),
+        readers.stored(spark, f"{root}/daily_snapshots").where(F.col("date") == day),
+        readers.stored(spark, f"{root}/library_adoption").where(F.col("date") == day),
         sampling.accounting(pool, landed),
         sampling.plan_rows(dates, seed_offset),
     )
@@ -92,10 +95,12 @@ def run_backfill(
 ) -> DataFrame:
     """All creation-year cohorts of a range in one job; one report row per
     year, newest first."""
+    last = F.year(F.current_date()) if end_year is None else F.lit(end_year)
     _, drawn = sampling.sample_cohorts(repos, files, start_year, end_year, seed_offset)
     cohort_date = F.make_date("cohort_year", F.lit(1), F.lit(1))
-    sinks.write_dates(observe(provenance(land(drawn, contents), cohort_date, "cohort")), f"{root}/observations")
-    last = F.year(F.current_date()) if end_year is None else F.lit(end_year)
+    sinks.write_dates(land(drawn, contents).withColumn("run_date", cohort_date), f"{root}/landed")
+    landed = readers.stored(spark, f"{root}/landed").where(F.col("cohort_year").between(F.lit(start_year), last))
+    sinks.write_dates(observe(provenance(landed, F.col("run_date"), "cohort")), f"{root}/observations")
     years = spark.range(1).select(F.explode(F.sequence(F.lit(start_year), last)).alias("year"))
     dates = years.select(F.make_date("year", F.lit(1), F.lit(1)).alias("run_date"))
     store_aggregates(spark, root, dates)
@@ -120,13 +125,14 @@ def run_report(snapshot: DataFrame, adoption: DataFrame, counts: DataFrame, plan
         F.sort_array(F.collect_list(F.struct(F.col("adoption_pct"), "library", "category", "notebook_count")), asc=False)
     )
     strata = plan.agg(F.array_sort(F.collect_list("stratum")))
-    return snapshot.select(
+    row = snapshot.withColumn("run", counts.select(F.struct("*")).scalar())
+    return row.select(
         "run_date",
         "notebooks_collected",
         "notebooks_parsed",
-        counts.select("repos_considered").scalar().alias("repos_sampled"),
+        F.col("run.repos_considered").alias("repos_sampled"),
         strata.scalar().alias("strata"),
         top.scalar().alias("top_libraries"),
-        F.create_map(F.lit("notebooks_read"), counts.select("notebooks_collected").scalar()).alias("client_stats"),
-        counts.select("errors").scalar().alias("errors"),
+        F.create_map(F.lit("notebooks_read"), F.col("run.notebooks_collected")).alias("client_stats"),
+        F.col("run.errors").alias("errors"),
     )

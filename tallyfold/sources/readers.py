@@ -93,6 +93,16 @@ def enrich(registry: DataFrame, metadata: DataFrame) -> DataFrame:
     return registry.join(metadata.withColumnRenamed("name", "pypi"), "pypi", "left")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan over all cores when it has fewer splits than there are.
+
+    Reading documents costs far more than moving them, so one small file must
+    not be one task.  An input with enough splits is left where it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def stored(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
     """A stored Parquet table with columns of all its files, or, when it does not
     exist, an empty one of the given schema (None without a schema)."""
