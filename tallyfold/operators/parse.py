@@ -28,9 +28,10 @@ _JSON_OPTIONS = {"columnNameOfCorruptRecord": "unreadable", "allowSingleQuotes":
 def read_json(docs: DataFrame) -> DataFrame:
     """Add ``doc`` (VARIANT fields), ``parse_ok`` and ``parse_error``."""
     parsed = docs.withColumn("doc", F.from_json("raw", DOCUMENT_FIELDS, _JSON_OPTIONS))
-    framed = F.col("raw").rlike(r"^[ \t\r\n]*\{") & F.col("raw").rlike(r"\}[ \t\r\n]*$")
+    opened = F.col("raw").rlike(r"^[ \t\r\n]*\{")
+    framed = opened & F.col("raw").rlike(r"\}[ \t\r\n]*$")
     ok = F.coalesce(framed & F.col("doc").isNotNull() & F.col("doc.unreadable").isNull(), F.lit(False))
-    error = F.when(F.try_parse_json("raw").isNotNull() & ~framed, F.lit("top-level value is not an object")).otherwise(
+    error = F.when(~opened & F.try_parse_json("raw").isNotNull(), F.lit("top-level value is not an object")).otherwise(
         F.lit("json: invalid document")
     )
     return parsed.withColumn("parse_ok", ok).withColumn("parse_error", F.when(~F.col("parse_ok"), error))

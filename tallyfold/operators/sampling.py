@@ -188,6 +188,11 @@ def cohort_plan_rows(years: DataFrame, seed_offset: int = 0) -> DataFrame:
     return rows.withColumn("served_by", seeded_order(F.col("seed"), F.col("name")))
 
 
+def plan_strata(plan: DataFrame) -> DataFrame:
+    """The strata of each run date as a list; a plan has at most seven."""
+    return plan.groupBy("run_date").agg(F.array_sort(F.collect_list("stratum")).alias("strata"))
+
+
 # --- windows, pool, caps -----------------------------------------------------
 
 @dataclass(frozen=True)
@@ -196,6 +201,7 @@ class Quota:
 
     strata: int
     sample_size: int = V.REPO_SAMPLE_SIZE
+    result_cap: int = V.RESULT_CAP
 
     @property
     def per_stratum(self) -> int:
@@ -211,7 +217,7 @@ class Quota:
 
     @property
     def max_page(self) -> int:
-        return max(1, V.RESULT_CAP // self.per_page)
+        return max(1, self.result_cap // self.per_page)
 
 
 def start_page(seed: Column, strategy: Column, quota: Quota) -> Column:
@@ -223,10 +229,11 @@ def start_page(seed: Column, strategy: Column, quota: Quota) -> Column:
 
 
 def stratum_window(assigned: DataFrame, seed: Column, quota: Quota, by: tuple[str, ...] = ()) -> DataFrame:
-    """The seeded slice of each ranked stratum, within the first 1000 ranks."""
+    """The seeded slice of each ranked stratum, within its first ``result_cap``
+    ranks.  A stratum with fewer rows than the slice starts at gives none."""
     order = [F.desc_nulls_last("sort_value"), seeded_order(seed, F.col("full_name")), F.col("full_name")]
     ranked = assigned.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "strategy", "stratum").orderBy(*order)))
-    ranked = ranked.where(F.col("rank") <= V.RESULT_CAP)
+    ranked = ranked.where(F.col("rank") <= quota.result_cap)
     first = (start_page(seed, F.col("strategy"), quota) - 1) * quota.per_page
     return ranked.where((F.col("rank") > first) & (F.col("rank") <= first + quota.pages * quota.per_page))
 
@@ -269,10 +276,16 @@ def draw_files(pool: DataFrame, files: DataFrame, seed: Column, by: tuple[str, .
     return cap_per_group(joined, [*by, "full_name"], [seeded_order(seed, F.col("full_name"), F.col("path")), F.col("path")])
 
 
-def sample_day(repos: DataFrame, files: DataFrame, run_date: date, seed_offset: int = 0) -> tuple[DataFrame, DataFrame]:
+DAILY_QUOTA = Quota(strata=7)
+COHORT_QUOTA = Quota(strata=5)
+
+
+def sample_day(
+    repos: DataFrame, files: DataFrame, run_date: date, seed_offset: int = 0, quota: Quota = DAILY_QUOTA
+) -> tuple[DataFrame, DataFrame]:
     """Pool and drawn files of a daily run."""
     day = F.lit(run_date)
-    seed, quota = date_seed(day, seed_offset), Quota(strata=7)
+    seed = date_seed(day, seed_offset)
     pool = dedup_pool(stratum_window(assign(repos, daily_strata(day)), seed, quota), seed)
     drawn = draw_files(pool, files, seed)
     order = [seeded_order(seed, F.col("full_name")), F.col("full_name"), F.col("pick")]
@@ -280,13 +293,18 @@ def sample_day(repos: DataFrame, files: DataFrame, run_date: date, seed_offset:
 
 
 def sample_cohorts(
-    repos: DataFrame, files: DataFrame, start_year: int = V.FIRST_COHORT_YEAR, end_year: int | None = None, seed_offset: int = 0
+    repos: DataFrame,
+    files: DataFrame,
+    start_year: int = V.FIRST_COHORT_YEAR,
+    end_year: int | None = None,
+    seed_offset: int = 0,
+    quota: Quota = COHORT_QUOTA,
 ) -> tuple[DataFrame, DataFrame]:
     """Pool and drawn files of every creation year in a range, in one job."""
     repos = repos.withColumn("cohort_year", F.year(F.to_date("created_at")))
     last = F.year(F.current_date()) if end_year is None else F.lit(end_year)
     repos = repos.where(F.col("cohort_year").between(F.lit(start_year), last))
-    seed, quota = date_seed(F.make_date("cohort_year", F.lit(1), F.lit(1)), seed_offset), Quota(strata=5)
+    seed = date_seed(F.make_date("cohort_year", F.lit(1), F.lit(1)), seed_offset)
     by = ("cohort_year",)
     pool = dedup_pool(stratum_window(assign(repos, cohort_strata()), seed, quota, by), seed, by)
     drawn = draw_files(pool, files, seed, by)

@@ -49,12 +49,23 @@ def provenance(landed: DataFrame, run_date: Column, collection_type: str) -> Dat
     )
 
 
-def store_aggregates(spark: SparkSession, root: str, dates: DataFrame) -> None:
-    """Recompute snapshot, version shares and adoption of the given dates from
-    the stored observations and replace those dates; dates without rows get an
-    empty snapshot and all-zero adoption."""
-    rows = readers.stored(spark, f"{root}/observations")
-    rows = rows.join(F.broadcast(dates.select(F.col("run_date").alias("date"))), "date", "left_semi")
+def stored_rows(spark: SparkSession, rows: DataFrame, path: str, dates: DataFrame) -> DataFrame:
+    """Write date partitions and return the stored rows of the given dates, so
+    that whatever reads them next starts from files.  No rows is a valid result."""
+    sinks.write_dates(rows, path)
+    return of_dates(readers.stored(spark, path, rows.schema), dates)
+
+
+def of_dates(stored: DataFrame, dates: DataFrame) -> DataFrame:
+    """The partitions of some dates; the join prunes the folders that are read."""
+    if "date" not in stored.columns:
+        stored = stored.withColumn("date", F.col("run_date"))
+    return stored.join(dates.select(F.col("run_date").alias("date")), "date", "left_semi")
+
+
+def store_aggregates(root: str, rows: DataFrame, dates: DataFrame) -> None:
+    """Snapshot, version shares and adoption of the given dates from their stored
+    observations.  Dates without rows get an empty snapshot and zero adoption."""
     snapshot, adoption = aggregate.aggregate_days(rows, dates)
     sinks.write_dates(snapshot, f"{root}/daily_snapshots")
     sinks.write_dates(adoption, f"{root}/library_adoption")
@@ -62,20 +73,26 @@ def store_aggregates(spark: SparkSession, root: str, dates: DataFrame) -> None:
 
 
 def run_day(
-    spark: SparkSession, repos: DataFrame, files: DataFrame, contents: DataFrame, root: str, run_date: date, seed_offset: int = 0
+    spark: SparkSession,
+    repos: DataFrame,
+    files: DataFrame,
+    contents: DataFrame,
+    root: str,
+    run_date: date,
+    seed_offset: int = 0,
+    quota: sampling.Quota = sampling.DAILY_QUOTA,
 ) -> DataFrame:
     """One daily census; returns its report row."""
     day = F.lit(run_date)
-    pool, drawn = sampling.sample_day(repos, files, run_date, seed_offset)
-    sinks.write_dates(pool.withColumn("run_date", day), f"{root}/pool")
-    sinks.write_dates(land(drawn, contents).withColumn("run_date", day), f"{root}/landed")
-    pool, landed = (readers.stored(spark, f"{root}/{t}").where(F.col("date") == day) for t in ("pool", "landed"))
-    sinks.write_dates(observe(provenance(landed, day, "daily")), f"{root}/observations")
     dates = spark.range(1).select(day.alias("run_date"))
-    store_aggregates(spark, root, dates)
+    pool, drawn = sampling.sample_day(repos, files, run_date, seed_offset, quota)
+    pool = stored_rows(spark, pool.withColumn("run_date", day), f"{root}/pool", dates)
+    landed = stored_rows(spark, land(drawn, contents).withColumn("run_date", day), f"{root}/landed", dates)
+    observed = stored_rows(spark, observe(provenance(landed, day, "daily")), f"{root}/observations", dates)
+    store_aggregates(root, observed, dates)
     report = run_report(
-        readers.stored(spark, f"{root}/daily_snapshots").where(F.col("date") == day),
-        readers.stored(spark, f"{root}/library_adoption").where(F.col("date") == day),
+        of_dates(readers.stored(spark, f"{root}/daily_snapshots"), dates),
+        of_dates(readers.stored(spark, f"{root}/library_adoption"), dates),
         sampling.accounting(pool, landed),
         sampling.plan_rows(dates, seed_offset),
     )
@@ -92,20 +109,22 @@ def run_backfill(
     start_year: int = FIRST_COHORT_YEAR,
     end_year: int | None = None,
     seed_offset: int = 0,
+    quota: sampling.Quota = sampling.COHORT_QUOTA,
 ) -> DataFrame:
     """All creation-year cohorts of a range in one job; one report row per
     year, newest first."""
     last = F.year(F.current_date()) if end_year is None else F.lit(end_year)
-    _, drawn = sampling.sample_cohorts(repos, files, start_year, end_year, seed_offset)
-    cohort_date = F.make_date("cohort_year", F.lit(1), F.lit(1))
-    sinks.write_dates(land(drawn, contents).withColumn("run_date", cohort_date), f"{root}/landed")
-    landed = readers.stored(spark, f"{root}/landed").where(F.col("cohort_year").between(F.lit(start_year), last))
-    sinks.write_dates(observe(provenance(landed, F.col("run_date"), "cohort")), f"{root}/observations")
-    years = spark.range(1).select(F.explode(F.sequence(F.lit(start_year), last)).alias("year"))
-    dates = years.select(F.make_date("year", F.lit(1), F.lit(1)).alias("run_date"))
-    store_aggregates(spark, root, dates)
-    snapshots = readers.stored(spark, f"{root}/daily_snapshots").join(F.broadcast(dates), "run_date", "left_semi")
-    return snapshots.select("run_date", "notebooks_collected", "notebooks_parsed", "repos_contributing").orderBy(F.desc("run_date"))
+    years = spark.range(1).select(F.explode(F.sequence(F.lit(start_year), last)).alias("cohort_year"))
+    dates = years.select(F.make_date("cohort_year", F.lit(1), F.lit(1)).alias("run_date"))
+    _, drawn = sampling.sample_cohorts(repos, files, start_year, end_year, seed_offset, quota)
+    dated = land(drawn, contents).withColumn("run_date", F.make_date("cohort_year", F.lit(1), F.lit(1)))
+    landed = stored_rows(spark, dated, f"{root}/landed", dates)
+    observed = stored_rows(spark, observe(provenance(landed, F.col("run_date"), "cohort")), f"{root}/observations", dates)
+    store_aggregates(root, observed, dates)
+    strata = sampling.plan_strata(sampling.cohort_plan_rows(years, seed_offset))
+    snapshots = of_dates(readers.stored(spark, f"{root}/daily_snapshots"), dates)
+    report = snapshots.select("run_date", "notebooks_collected", "notebooks_parsed", "repos_contributing")
+    return report.join(strata, "run_date").orderBy(F.desc("run_date"))
 
 
 def reaggregate(spark: SparkSession, root: str, run_date: date) -> None:
@@ -113,7 +132,7 @@ def reaggregate(spark: SparkSession, root: str, run_date: date) -> None:
     rows = readers.observations(spark, f"{root}/observations", run_date)
     if rows is None or rows.isEmpty():
         raise ValueError(f"no observations stored for {run_date.isoformat()}")
-    store_aggregates(spark, root, spark.range(1).select(F.lit(run_date).alias("run_date")))
+    store_aggregates(root, rows, spark.range(1).select(F.lit(run_date).alias("run_date")))
 
 
 def run_report(snapshot: DataFrame, adoption: DataFrame, counts: DataFrame, plan: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyfold.fixed_values import MAX_FILE_BYTES
 
@@ -103,7 +104,7 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def stored(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+def stored(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame | None:
     """A stored Parquet table with columns of all its files, or, when it does not
     exist, an empty one of the given schema (None without a schema)."""
     try:
@@ -114,7 +115,7 @@ def stored(spark: SparkSession, path: str, schema: str | None = None) -> DataFra
         return None if schema is None else spark.createDataFrame([], schema)
 
 
-def observations(spark: SparkSession, root: str, run_date: date | None = None, schema: str | None = None) -> DataFrame | None:
+def observations(spark: SparkSession, root: str, run_date: date | None = None, schema: StructType | str | None = None) -> DataFrame | None:
     """Stored observations of one date (only its folder is read) or of all."""
     rows = stored(spark, root, schema)
     if rows is None or run_date is None:

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyfold.operators.observe import observe
-from tallyfold.plans.census import store_aggregates
-from tallyfold.sources import sinks
+from tallyfold.plans.census import of_dates, store_aggregates, stored_rows
 
 LANDED = (
     "run_date date, collection_type string, repo_full_name string, path string, ref string, size_bytes bigint, "
@@ -24,11 +23,11 @@ LANDED = (
 
 
 def refresh_dates(spark: SparkSession, root: str, dates: DataFrame) -> None:
-    """Rebuild observations and aggregates of the given dates from the landed table."""
-    landed = spark.read.parquet(f"{root}/landed").drop("batch", "date")
-    touched = landed.join(F.broadcast(dates), "run_date", "left_semi")
-    sinks.write_dates(observe(touched), f"{root}/observations")
-    store_aggregates(spark, root, dates)
+    """Rebuild observations and aggregates of the given dates from all that has
+    landed for them."""
+    landed = of_dates(spark.read.parquet(f"{root}/landed"), dates).drop("batch", "date")
+    observed = stored_rows(spark, observe(landed), f"{root}/observations", dates)
+    store_aggregates(root, observed, dates)
 
 
 def take_batch(root: str):
