@@ -269,10 +269,11 @@ def cap_total(rows: DataFrame, order: list[Column], cap: int = V.TARGET_DOCUMENT
 def draw_files(pool: DataFrame, files: DataFrame, seed: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """Files of the pooled repositories, capped per repository.
 
-    The pool holds at most the plan's quota of repositories per run, so the
-    planner's own size check sends it to the files, whose scan stays in place.
+    The pool is broadcast: its size is set by the quota (strata x pages x page
+    size repositories per run date), whatever the size of the population.  The
+    file listing stays in place and only capped rows are shuffled.
     """
-    joined = eligible_files(files).join(pool, "full_name")
+    joined = eligible_files(files).join(F.broadcast(pool), "full_name")
     return cap_per_group(joined, [*by, "full_name"], [seeded_order(seed, F.col("full_name"), F.col("path")), F.col("path")])
 
 

@@ -49,18 +49,19 @@ def provenance(landed: DataFrame, run_date: Column, collection_type: str) -> Dat
     )
 
 
-def stored_rows(spark: SparkSession, rows: DataFrame, path: str, dates: DataFrame) -> DataFrame:
-    """Write date partitions and return the stored rows of the given dates, so
+def stored_rows(spark: SparkSession, rows: DataFrame, path: str, span: Column) -> DataFrame:
+    """Write date partitions and return the stored rows of a span of dates, so
     that whatever reads them next starts from files.  No rows is a valid result."""
     sinks.write_dates(rows, path)
-    return of_dates(readers.stored(spark, path, rows.schema), dates)
+    return in_span(readers.stored(spark, path, rows.schema), span)
 
 
-def of_dates(stored: DataFrame, dates: DataFrame) -> DataFrame:
-    """The partitions of some dates; the join prunes the folders that are read."""
+def in_span(stored: DataFrame, span: Column) -> DataFrame:
+    """The rows of a span of dates; ``span`` tests the partition column ``date``,
+    so only those folders are read."""
     if "date" not in stored.columns:
         stored = stored.withColumn("date", F.col("run_date"))
-    return stored.join(dates.select(F.col("run_date").alias("date")), "date", "left_semi")
+    return stored.where(span)
 
 
 def store_aggregates(root: str, rows: DataFrame, dates: DataFrame) -> None:
@@ -84,15 +85,15 @@ def run_day(
 ) -> DataFrame:
     """One daily census; returns its report row."""
     day = F.lit(run_date)
-    dates = spark.range(1).select(day.alias("run_date"))
+    dates, span = spark.range(1).select(day.alias("run_date")), F.col("date") == day
     pool, drawn = sampling.sample_day(repos, files, run_date, seed_offset, quota)
-    pool = stored_rows(spark, pool.withColumn("run_date", day), f"{root}/pool", dates)
-    landed = stored_rows(spark, land(drawn, contents).withColumn("run_date", day), f"{root}/landed", dates)
-    observed = stored_rows(spark, observe(provenance(landed, day, "daily")), f"{root}/observations", dates)
+    pool = stored_rows(spark, pool.withColumn("run_date", day), f"{root}/pool", span)
+    landed = stored_rows(spark, land(drawn, contents).withColumn("run_date", day), f"{root}/landed", span)
+    observed = stored_rows(spark, observe(provenance(landed, day, "daily")), f"{root}/observations", span)
     store_aggregates(root, observed, dates)
     report = run_report(
-        of_dates(readers.stored(spark, f"{root}/daily_snapshots"), dates),
-        of_dates(readers.stored(spark, f"{root}/library_adoption"), dates),
+        in_span(readers.stored(spark, f"{root}/daily_snapshots"), span),
+        in_span(readers.stored(spark, f"{root}/library_adoption"), span),
         sampling.accounting(pool, landed),
         sampling.plan_rows(dates, seed_offset),
     )
@@ -116,13 +117,15 @@ def run_backfill(
     last = F.year(F.current_date()) if end_year is None else F.lit(end_year)
     years = spark.range(1).select(F.explode(F.sequence(F.lit(start_year), last)).alias("cohort_year"))
     dates = years.select(F.make_date("cohort_year", F.lit(1), F.lit(1)).alias("run_date"))
+    key = F.col("date")
+    span = (F.dayofyear(key) == 1) & key.between(F.make_date(F.lit(start_year), F.lit(1), F.lit(1)), F.make_date(last, F.lit(1), F.lit(1)))
     _, drawn = sampling.sample_cohorts(repos, files, start_year, end_year, seed_offset, quota)
     dated = land(drawn, contents).withColumn("run_date", F.make_date("cohort_year", F.lit(1), F.lit(1)))
-    landed = stored_rows(spark, dated, f"{root}/landed", dates)
-    observed = stored_rows(spark, observe(provenance(landed, F.col("run_date"), "cohort")), f"{root}/observations", dates)
+    landed = stored_rows(spark, dated, f"{root}/landed", span)
+    observed = stored_rows(spark, observe(provenance(landed, F.col("run_date"), "cohort")), f"{root}/observations", span)
     store_aggregates(root, observed, dates)
     strata = sampling.plan_strata(sampling.cohort_plan_rows(years, seed_offset))
-    snapshots = of_dates(readers.stored(spark, f"{root}/daily_snapshots"), dates)
+    snapshots = in_span(readers.stored(spark, f"{root}/daily_snapshots"), span)
     report = snapshots.select("run_date", "notebooks_collected", "notebooks_parsed", "repos_contributing")
     return report.join(strata, "run_date").orderBy(F.desc("run_date"))
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyfold.operators.observe import observe
-from tallyfold.plans.census import of_dates, store_aggregates, stored_rows
+from tallyfold.plans.census import store_aggregates
+from tallyfold.sources import readers, sinks
 
 LANDED = (
     "run_date date, collection_type string, repo_full_name string, path string, ref string, size_bytes bigint, "
@@ -24,9 +25,11 @@ LANDED = (
 
 def refresh_dates(spark: SparkSession, root: str, dates: DataFrame) -> None:
     """Rebuild observations and aggregates of the given dates from all that has
-    landed for them."""
-    landed = of_dates(spark.read.parquet(f"{root}/landed"), dates).drop("batch", "date")
-    observed = stored_rows(spark, observe(landed), f"{root}/observations", dates)
+    landed for them.  The joins on the partition column prune what is read."""
+    touched = dates.select(F.col("run_date").alias("date"))
+    landed = spark.read.parquet(f"{root}/landed").join(touched, "date", "left_semi").drop("batch", "date")
+    sinks.write_dates(observe(landed), f"{root}/observations")
+    observed = readers.stored(spark, f"{root}/observations").join(touched, "date", "left_semi")
     store_aggregates(root, observed, dates)
 
 

@@ -60,3 +60,8 @@ def test_run_target_is_a_top_k(spark, sf_dir):
 def test_facts_are_hashed_and_combined_not_sorted(spark, sf_dir, name):
     plan = physical_plan(QUERIES[name](spark, sf_dir))
     assert "SortAggregate" not in plan and "SortMergeJoin" not in plan
+
+
+def test_pool_is_broadcast_and_files_stay_in_place(spark, sf_dir):
+    plan = physical_plan(QUERIES["sample_day"](spark, sf_dir))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
