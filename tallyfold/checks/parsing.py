@@ -34,6 +34,10 @@ def described(spark, sf, *columns):
     return P.with_metadata(read(spark, sf)).select("path", *columns)
 
 
+def with_text(spark, sf):
+    return P.with_typed_cells(read(spark, sf).drop("raw"))
+
+
 def celled(spark, sf):
     return P.with_cells(P.with_metadata(read(spark, sf)).drop("raw"))
 
@@ -42,10 +46,10 @@ def tallied(spark, sf, *columns):
     return P.with_tallies(celled(spark, sf)).select("path", *columns)
 
 
-def cell_rows(spark, sf, *fields):
+def cell_rows(cells, *fields):
     """One row per cell.  The outer form keeps Spark from inferring a filter on
     ``cells`` below the parse, which would read every document twice."""
-    rows = celled(spark, sf).select("path", F.posexplode_outer("cells").alias("pos", "cell"))
+    rows = cells.select("path", F.posexplode_outer("cells").alias("pos", "cell"))
     return rows.where(F.col("pos").isNotNull()).select("path", "pos", *[F.col(f"cell.{f}").alias(f) for f in fields])
 
 
@@ -142,17 +146,17 @@ def _cells(columns: str, where: str = "true") -> str:
 
 @query("resolve_cells", _cells("kind <> 'scalar' AS is_object, nullif(kind, 'scalar') AS kind"))
 def resolve_cells(spark, sf):
-    return cell_rows(spark, sf, "is_object", "kind")
+    return cell_rows(with_text(spark, sf), "is_object", "kind")
 
 
 @query("cell_text", _cells("text"))
 def cell_text(spark, sf):
-    return cell_rows(spark, sf, "text")
+    return cell_rows(with_text(spark, sf), "text")
 
 
 @query("cell_line_counts", _cells("lines, length(text) AS chars"))
 def cell_line_counts(spark, sf):
-    return cell_rows(spark, sf, "lines", "chars")
+    return cell_rows(celled(spark, sf), "lines", "chars")
 
 
 @query("distinct_tags", _features("distinct_cell_tags, cell_tag_count, has_any_output"))
@@ -206,7 +210,7 @@ def document_features(spark, sf):
 # --- imports ----------------------------------------------------------------------
 
 def _code(spark, sf):
-    rows = cell_rows(spark, sf, "kind", "text")
+    rows = cell_rows(with_text(spark, sf), "kind", "text")
     return rows.where(F.col("kind") == "code").select("path", "pos", "text")
 
 

@@ -169,7 +169,8 @@ _NOTE = "CASE WHEN run_date >= DATE '2024-01-21' THEN 'late ' || event_type END
     f"{EV} SELECT {DAY}, event_id, event_type, value, {_NOTE} FROM obs WHERE run_date = DATE '2024-01-15'",
 )
 def read_one_day(spark, sf):
-    rows = readers.observations(spark, stored_events(spark, sf), date(2024, 1, 15))
+    schema = B.event_observations(spark, sf).withColumn("note", F.lit("")).schema
+    rows = readers.observations(spark, stored_events(spark, sf), date(2024, 1, 15), schema)
     return rows.select("run_date", "event_id", "event_type", "value", "note")
 
 

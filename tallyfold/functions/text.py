@@ -16,6 +16,12 @@ IMPORT_LINE = (
     rf"|from{SPACE}+([a-zA-Z_][\w.]*){SPACE}+import)"
 )
 IMPORT_NAME = rf"(?dU)^{SPACE}*(?:import|from){SPACE}+([a-zA-Z_][\w.]*)"
+# A line that holds one import statement and nothing a syntax tree would read
+# differently, or a magic line.
+PLAIN_LINE = (
+    r"(?md)^[ \t]*(?:import[ \t]+[A-Za-z_][A-Za-z0-9_.]*(?:[ \t]+as[ \t]+[A-Za-z_][A-Za-z0-9_]*)?[ \t]*(?:#.*)?"
+    r"|from[ \t]+[A-Za-z_][A-Za-z0-9_.]*[ \t]+import[ \t][^;\n]*|[%!].*)$"
+)
 IDENTIFIER = r"(?U)^[^\W\d]\w*$"
 VERSION = r"(\d+\.\d+(?:\.\d+)?)"
 
@@ -56,13 +62,25 @@ def regex_imports(source: Column) -> Column:
     return F.array_distinct(F.transform(named, top_level))
 
 
+def needs_tree(source: Column) -> Column:
+    """Whether a syntax tree may name a module that the line patterns do not.
+
+    It cannot when, apart from plain lines, the source has no ``import`` and no
+    line that begins with ``from``, and no character that joins or ends lines
+    in another way than a newline.
+    """
+    rest = F.regexp_replace(source, PLAIN_LINE, "")
+    other_ends = source.contains("\\") | source.contains("\r") | source.contains("\f")
+    return other_ends | rest.contains("import") | rest.rlike(r"(?md)^\s*from\s")
+
+
 def identifiers(names: Column) -> Column:
     return F.filter(names, lambda m: m.rlike(IDENTIFIER))
 
 
 def joined(values: Column) -> Column:
     """A list as sorted text with ``;`` between the items."""
-    return F.array_join(F.array_sort(values), ";")
+    return F.array_join(F.sort_array(values), ";")
 
 
 def dumped_length(compact: Column) -> Column:

@@ -136,8 +136,10 @@ def value_share(observations: DataFrame, value: str, among: Column | None = None
     return counted.select(*keys, F.col(value).alias("value"), "n", ratio(F.col("n"), whole, 2, 100).alias("pct"))
 
 
-def version_share(observations: DataFrame) -> DataFrame:
-    return value_share(observations, "python_major_minor", parsed())
+def version_share(observations: DataFrame, language: str | None = None) -> DataFrame:
+    """Stated versions of parsed rows, of any language unless one is named."""
+    among = parsed() if language is None else parsed() & (F.col("language") == language)
+    return value_share(observations, "python_major_minor", among)
 
 
 def version_columns(shares: DataFrame, versions: list[str]) -> DataFrame:

@@ -11,14 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.functions import text as T
 from tallyfold.operators.parse import cell_parts, measured_cell, text_ratios, typed_cell
 
 BLOCK = 4096
 
 
 def typed_cells(cells: DataFrame, key: str, position: str, cell: str = "cell") -> DataFrame:
-    """Cell rows with ``kind``, ``text``, ``lines``, ``chars``, ``tags`` and counts."""
+    """Cell rows with ``kind``, ``lines``, ``chars``, ``blank``, ``tags`` and counts."""
     read = cells.select(key, position, cell_parts(F.parse_json(cell)).alias("parts"))
     read = read.select(key, position, typed_cell(F.col("parts")).alias("typed"))
     return read.select(key, position, measured_cell(F.col("typed")).alias("typed")).select(key, position, "typed.*")
@@ -38,7 +37,7 @@ def _tallies() -> list[Column]:
         F.count_if(kind == "markdown").cast("int").alias("markdown_cells"),
         F.count_if(kind == "raw").cast("int").alias("raw_cells"),
         F.count_if(~named).cast("int").alias("other_cells"),
-        F.count_if((kind == "code") & T.is_blank(F.col("text"))).cast("int").alias("empty_code_cells"),
+        F.count_if((kind == "code") & F.col("blank")).cast("int").alias("empty_code_cells"),
         _sum(F.col("lines"), is_object).alias("total_lines"),
         _sum(F.col("lines"), kind == "code").alias("code_lines"),
         _sum(F.col("lines"), kind == "markdown").alias("markdown_lines"),

@@ -30,7 +30,7 @@ def module_rows(registry: DataFrame) -> DataFrame:
 def _lookup(values: Column, table: dict[str, str]) -> Column:
     known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     found = F.array_compact(F.transform(values, lambda v: F.try_element_at(known, v)))
-    return F.array_sort(F.array_distinct(found))
+    return F.sort_array(F.array_distinct(found))
 
 
 def libraries_of(modules: Column) -> Column:

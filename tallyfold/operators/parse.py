@@ -28,8 +28,9 @@ _JSON_OPTIONS = {"columnNameOfCorruptRecord": "unreadable", "allowSingleQuotes":
 def read_json(docs: DataFrame) -> DataFrame:
     """Add ``doc`` (VARIANT fields), ``parse_ok`` and ``parse_error``."""
     parsed = docs.withColumn("doc", F.from_json("raw", DOCUMENT_FIELDS, _JSON_OPTIONS))
-    opened = F.col("raw").rlike(r"^[ \t\r\n]*\{")
-    framed = opened & F.col("raw").rlike(r"\}[ \t\r\n]*$")
+    blanks = F.lit(" \t\r\n")
+    opened = F.ltrim(F.col("raw"), blanks).startswith("{")
+    framed = opened & F.rtrim(F.col("raw"), blanks).endswith("}")
     ok = F.coalesce(framed & F.col("doc").isNotNull() & F.col("doc.unreadable").isNull(), F.lit(False))
     error = F.when(~opened & F.try_parse_json("raw").isNotNull(), F.lit("top-level value is not an object")).otherwise(
         F.lit("json: invalid document")
@@ -63,7 +64,7 @@ def with_metadata(docs: DataFrame) -> DataFrame:
             "language": F.coalesce("kernel_language", "info_language"),
             "python_version": T.version_in(F.col("language_version")),
             "has_custom_metadata": F.size(other) > 0,
-            "extension_hints": F.array_sort(F.array_distinct(labels)),
+            "extension_hints": F.sort_array(F.array_distinct(labels)),
         }
     )
     return staged.withColumn("python_major_minor", T.major_minor(F.col("python_version"))).drop(
@@ -82,26 +83,28 @@ def resolve_cells(doc: Column) -> Column:
     return F.when(absent, F.coalesce(F.flatten(of_sheet), nothing)).otherwise(F.coalesce(V.items(cells), nothing))
 
 
-def _string(value: Column) -> Column:
-    return F.when(F.schema_of_variant(value) == "STRING", V.get(value, "$", "string"))
-
-
 def text_of(value: Column) -> Column:
     """A list joined, text as it is, anything else empty."""
     parts = F.array_join(F.transform(V.items(value), V.spelled), "")
-    return F.coalesce(parts, _string(value), F.lit(""))
+    as_text = F.when(F.schema_of_variant(value) == "STRING", V.get(value, "$", "string"))
+    return F.coalesce(parts, as_text, F.lit(""))
 
 
 def _typed_output(output: Column) -> Column:
     shape = V.get(output, "$", "struct<output_type:variant,data:variant>")
     return F.struct(
         shape.isNotNull().alias("is_object"),
-        _string(shape["output_type"]).alias("kind"),
+        V.get(shape["output_type"], "$", "string").alias("kind"),
         F.map_keys(V.fields(shape["data"])).alias("mimes"),
         F.to_json(output).alias("json"),
     )
 
 
+def _measured_output(output: Column) -> Column:
+    kept = [output[c].alias(c) for c in ("is_object", "kind", "mimes")]
+    return F.struct(*kept, T.dumped_length(output["json"]).alias("length"))
+
+
 def cell_parts(cell: Column) -> Column:
     """The known members of a JSON cell, null for scalars and lists."""
     return V.get(
@@ -114,7 +117,7 @@ def cell_parts(cell: Column) -> Column:
 def typed_cell(parts: Column) -> Column:
     """The members of a JSON cell as typed values.  Text is under ``source``
     when that key is there, else under ``input``."""
-    kind = _string(parts["cell_type"])
+    kind = V.get(parts["cell_type"], "$", "string")  # other JSON types never spell a known kind
     is_code = F.coalesce(kind == "code", F.lit(False))
     return F.struct(
         parts.isNotNull().alias("is_object"),
@@ -122,23 +125,42 @@ def typed_cell(parts: Column) -> Column:
         F.when(parts["source"].isNotNull(), text_of(parts["source"])).otherwise(text_of(parts["input"])).alias("text"),
         F.transform(V.items(parts["metadata"], "$.tags"), V.spelled).alias("tags"),
         F.when(is_code, V.lenient_int(parts["execution_count"])).alias("execution_count"),
-        F.when(is_code, F.transform(V.items(parts["outputs"]), _typed_output)).alias("outputs"),
+        F.when(is_code, F.transform(F.transform(V.items(parts["outputs"]), _typed_output), _measured_output)).alias("outputs"),
     )
 
 
+CELL_MEMBERS = ("is_object", "kind", "tags", "execution_count", "outputs")
+
+
 def measured_cell(cell: Column) -> Column:
-    """A typed cell with its line and character counts."""
-    return cell.withField("lines", T.line_count(cell["text"]).cast("bigint")).withField(
-        "chars", F.length(cell["text"]).cast("bigint")
+    """A typed cell with its line and character counts in place of its text."""
+    text = cell["text"]
+    return F.struct(
+        *[cell[c].alias(c) for c in CELL_MEMBERS],
+        T.line_count(text).cast("bigint").alias("lines"),
+        F.length(text).cast("bigint").alias("chars"),
+        T.is_blank(text).alias("blank"),
     )
 
 
-def with_cells(docs: DataFrame) -> DataFrame:
-    """Add ``cells``: ARRAY of typed, measured cells; empty for failed parses."""
+def with_typed_cells(docs: DataFrame) -> DataFrame:
+    """Add ``cells``: ARRAY of typed cells with text; empty for failed parses."""
     staged = docs.withColumn("cells", F.when(F.col("parse_ok"), resolve_cells(F.col("doc"))).otherwise(F.array().cast("array<variant>")))
     staged = staged.withColumn("cells", F.transform("cells", cell_parts)).drop("doc")
-    staged = staged.withColumn("cells", F.transform("cells", typed_cell))
-    return staged.withColumn("cells", F.transform("cells", measured_cell))
+    return staged.withColumn("cells", F.transform("cells", typed_cell))
+
+
+def with_cells(docs: DataFrame) -> DataFrame:
+    """Add ``cells`` (measured, without text) and ``import_sources``.
+
+    Text is dropped here but for the code cells that hold the word ``import``,
+    since every later projection copies what it carries.
+    """
+    typed = with_typed_cells(docs)
+    naming = F.filter("cells", lambda c: (c["kind"] == "code") & c["text"].contains("import"))
+    return typed.withColumns(
+        {"cells": F.transform("cells", measured_cell), "import_sources": F.transform(naming, lambda c: c["text"])}
+    )
 
 
 # --- step 4: tallies ---------------------------------------------------------
@@ -153,34 +175,37 @@ def _count(values: Column, test) -> Column:
 
 def with_tallies(docs: DataFrame) -> DataFrame:
     """Cell, line, character, tag and output tallies from ``cells``."""
+
+    def count(kind: str) -> Column:
+        return _count(F.col("cells"), lambda c: c["kind"] == kind)
+
+    def lines(kind: str) -> Column:
+        return total(F.transform(F.filter("cells", lambda c: c["kind"] == kind), lambda c: c["lines"]))
+
+    tags = F.filter("cells.tags", lambda t: t.isNotNull())
+    outputs = F.filter("cells.outputs", lambda o: o.isNotNull())
     staged = docs.withColumns(
         {
-            "object_cells": F.filter("cells", lambda c: c["is_object"]),
-            "code": F.filter("cells", lambda c: c["kind"] == "code"),
-            "prose": F.filter("cells", lambda c: c["kind"] == "markdown"),
+            "total_cells": _count(F.col("cells"), lambda c: c["is_object"]),
+            "code_cells": count("code"),
+            "markdown_cells": count("markdown"),
+            "raw_cells": count("raw"),
+            "empty_code_cells": _count(F.col("cells"), lambda c: (c["kind"] == "code") & c["blank"]),
+            "total_lines": total(F.col("cells.lines")),
+            "code_lines": lines("code"),
+            "markdown_lines": lines("markdown"),
+            "total_source_chars": total(F.col("cells.chars")),
+            "distinct_cell_tags": F.sort_array(F.array_distinct(F.flatten(tags))),
+            "execution_counts": F.filter("cells.execution_count", lambda n: n > 0),
+            "cells_with_output": _count(F.col("cells.outputs"), lambda o: F.size(o) > 0),
+            "outputs": F.filter(F.flatten(outputs), lambda o: o["is_object"]),
+            "cell_items": F.size("cells"),
         }
-    )
-    staged = staged.withColumns(
-        {
-            "total_cells": F.size("object_cells"),
-            "code_cells": F.size("code"),
-            "markdown_cells": F.size("prose"),
-            "raw_cells": _count(F.col("cells"), lambda c: c["kind"] == "raw"),
-            "empty_code_cells": _count(F.col("code"), lambda c: T.is_blank(c["text"])),
-            "total_lines": total(F.col("object_cells.lines")),
-            "code_lines": total(F.col("code.lines")),
-            "markdown_lines": total(F.col("prose.lines")),
-            "total_source_chars": total(F.col("object_cells.chars")),
-            "distinct_cell_tags": F.array_sort(F.array_distinct(F.flatten(F.filter("object_cells.tags", lambda t: t.isNotNull())))),
-            "execution_counts": F.filter("code.execution_count", lambda n: n > 0),
-            "cells_with_output": _count(F.col("code.outputs"), lambda o: F.size(o) > 0),
-            "outputs": F.filter(F.flatten(F.filter("code.outputs", lambda o: o.isNotNull())), lambda o: o["is_object"]),
-        }
-    )
+    ).drop("cells")
     staged = staged.withColumn("mimes", F.flatten(F.filter("outputs.mimes", lambda keys: keys.isNotNull())))
     return staged.withColumns(
         {
-            "other_cells": F.size("cells") - F.col("code_cells") - F.col("markdown_cells") - F.col("raw_cells"),
+            "other_cells": F.col("cell_items") - F.col("code_cells") - F.col("markdown_cells") - F.col("raw_cells"),
             "cell_tag_count": F.size("distinct_cell_tags"),
             "has_any_output": F.col("cells_with_output") > 0,
             "total_outputs": F.size("outputs"),
@@ -189,11 +214,11 @@ def with_tallies(docs: DataFrame) -> DataFrame:
             "widget_output_count": _count(F.col("mimes"), lambda m: m == WIDGET_MIME),
             "stream_outputs": _count(F.col("outputs"), lambda o: o["kind"] == "stream"),
             "error_outputs": _count(F.col("outputs"), lambda o: o["kind"] == "error"),
-            "largest_output_bytes": F.coalesce(F.array_max(F.transform("outputs.json", T.dumped_length)), F.lit(0).cast("bigint")),
+            "largest_output_bytes": F.coalesce(F.array_max("outputs.length"), F.lit(0).cast("bigint")),
             **text_ratios(),
             **execution_columns(F.col("execution_counts")),
         }
-    ).drop("object_cells", "prose", "outputs", "mimes")
+    ).drop("outputs", "mimes", "cell_items", "execution_counts")
 
 
 def text_ratios() -> dict[str, Column]:
@@ -217,7 +242,7 @@ def execution_columns(counts: Column) -> dict[str, Column]:
         "executed_code_cells": n,
         "max_execution_count": F.coalesce(F.array_max(counts), F.lit(0).cast("bigint")),
         "execution_order_anomalies": F.size(F.filter(steps, lambda back: back)),
-        "has_execution_gaps": (n > 0) & (F.array_sort(counts) != clean),
+        "has_execution_gaps": (n > 0) & (F.sort_array(counts) != clean),
         "fully_executed_in_order": (n > 0) & (counts == clean),
     }
 
@@ -227,15 +252,15 @@ def execution_columns(counts: Column) -> dict[str, Column]:
 def with_imports(docs: DataFrame) -> DataFrame:
     """Add ``imports`` (sorted distinct top-level names) and ``import_count``.
 
-    A cell without the word ``import`` cannot name one, so only the others are
-    handed to the syntax-tree helper.
+    ``import_sources`` holds the code cells that can name a module.  Those whose
+    import statements all fill a plain line are read by line; only the others
+    are handed to the syntax-tree helper, whose names are added.
     """
-    sources = F.transform(F.filter("code", lambda c: c["text"].contains("import")), lambda c: c["text"])
-    staged = docs.withColumn("import_sources", sources)
-    staged = staged.withColumn("exact", ast_imports(F.transform("import_sources", T.strip_magics)))
+    unclear = F.filter("import_sources", T.needs_tree)
+    staged = docs.withColumns({"exact": ast_imports(F.transform(unclear, T.strip_magics))})
     by_line = F.flatten(F.transform("import_sources", T.regex_imports))
     by_tree = F.flatten(F.filter("exact", lambda names: names.isNotNull()))
-    named = F.array_sort(F.array_distinct(T.identifiers(F.concat(by_line, by_tree))))
+    named = F.sort_array(F.array_distinct(T.identifiers(F.concat(by_line, by_tree))))
     return staged.withColumn("imports", named).withColumn("import_count", F.size("imports")).drop("import_sources", "exact")
 
 

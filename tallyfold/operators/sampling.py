@@ -146,8 +146,10 @@ def cohort_strata() -> list[Column]:
 
 
 def assign(repos: DataFrame, strata: list[Column]) -> DataFrame:
-    """A row per repository and stratum it meets."""
-    return repos.select(*repos.columns, F.inline(F.array_compact(F.array(*strata))))
+    """A row per repository and stratum it meets.  The outer form keeps Spark
+    from testing all strata once more in a filter of its own."""
+    met = repos.select(*repos.columns, F.inline_outer(F.array_compact(F.array(*strata))))
+    return met.where(F.col("strategy").isNotNull())
 
 
 def plan_rows(dates: DataFrame, seed_offset: int = 0) -> DataFrame:

@@ -53,14 +53,12 @@ def stored_rows(spark: SparkSession, rows: DataFrame, path: str, span: Column) -
     """Write date partitions and return the stored rows of a span of dates, so
     that whatever reads them next starts from files.  No rows is a valid result."""
     sinks.write_dates(rows, path)
-    return in_span(readers.stored(spark, path, rows.schema), span)
+    return in_span(readers.stored(spark, path, readers.with_date(rows.schema)), span)
 
 
 def in_span(stored: DataFrame, span: Column) -> DataFrame:
     """The rows of a span of dates; ``span`` tests the partition column ``date``,
     so only those folders are read."""
-    if "date" not in stored.columns:
-        stored = stored.withColumn("date", F.col("run_date"))
     return stored.where(span)
 
 

@@ -6,11 +6,12 @@ from which :func:`trend_document` makes one JSON document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.fixed_values import KEY_LIBRARIES
 from tallyfold.operators import ranking, trends
+from tallyfold.sources import readers, sinks
 
 COLUMNS = ("section", "subject", "period", "value", "text")
 
@@ -78,3 +79,11 @@ def trend_document(facts: DataFrame) -> DataFrame:
     )
     whole = F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", F.to_json(F.struct("facts", "series")).alias("body")))))
     return sections.agg(F.to_json(whole).alias("context"))
+
+
+def store_context(spark: SparkSession, root: str) -> DataFrame:
+    """Build the trend document of a stored census and write it beside it."""
+    snapshots, adoption = (readers.stored(spark, f"{root}/{t}").drop("date") for t in ("daily_snapshots", "library_adoption"))
+    document = trend_document(trend_facts(snapshots, adoption, readers.stored(spark, f"{root}/version_shares")))
+    sinks.write_document(document, f"{root}/trend_context")
+    return document

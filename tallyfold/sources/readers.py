@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, StructField, StructType
 
 from tallyfold.fixed_values import MAX_FILE_BYTES
 
@@ -68,8 +68,9 @@ def repos(spark: SparkSession, path: str) -> DataFrame:
 
 def flat_listing(listings: DataFrame) -> DataFrame:
     """One row per file of a repository listing; missing text is empty, size 0."""
-    entries = listings.select("full_name", F.inline("tree"))
-    return entries.select(
+    # the outer form: no inferred filter that would read the listing twice
+    entries = listings.select("full_name", F.posexplode_outer("tree").alias("pos", "entry"))
+    return entries.where(F.col("pos").isNotNull()).select("full_name", "entry.*").select(
         "full_name",
         F.coalesce("type", F.lit("")).alias("type"),
         F.coalesce("path", F.lit("")).alias("path"),
@@ -104,20 +105,36 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def stored(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame | None:
-    """A stored Parquet table with columns of all its files, or, when it does not
-    exist, an empty one of the given schema (None without a schema)."""
+def stored(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, base: str | None = None
+) -> DataFrame | None:
+    """A stored Parquet table, or, when there is none, an empty one of the given
+    schema (None without a schema).
+
+    With a schema no footers are read to plan the scan and columns that a file
+    lacks are null; without one the columns of all files are merged.
+    """
+    reader = spark.read.option("basePath", base or path)
+    reader = reader.option("mergeSchema", "true") if schema is None else reader.schema(schema)
     try:
-        return spark.read.option("mergeSchema", "true").parquet(path)
+        return reader.parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None if schema is None else spark.createDataFrame([], schema)
 
 
-def observations(spark: SparkSession, root: str, run_date: date | None = None, schema: StructType | str | None = None) -> DataFrame | None:
-    """Stored observations of one date (only its folder is read) or of all."""
-    rows = stored(spark, root, schema)
-    if rows is None or run_date is None:
-        return rows
-    return rows.where(F.col("date") == F.lit(run_date))
+def with_date(schema: StructType) -> StructType:
+    """A schema with the partition column."""
+    return schema if "date" in schema.names else StructType([*schema.fields, StructField("date", DateType())])
+
+
+def observations(
+    spark: SparkSession, root: str, run_date: date | None = None, schema: StructType | None = None
+) -> DataFrame | None:
+    """Stored observations of all dates, or of one, whose folder alone is listed."""
+    schema = None if schema is None else with_date(schema)
+    if run_date is None:
+        return stored(spark, root, schema)
+    rows = stored(spark, f"{root}/date={run_date.isoformat()}", schema, root)
+    return None if rows is None else rows.where(F.col("date") == F.lit(run_date))

@@ -35,6 +35,6 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def write_document(rows: DataFrame, path: str) -> None:
-    """One row as one JSON document."""
-    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(path)
+def write_document(document: DataFrame, path: str) -> None:
+    """One row holding one JSON text as a text file."""
+    document.write.mode("overwrite").text(path)

@@ -12,7 +12,7 @@ from test_parse import DOCUMENTS
 from tallyfold.operators import trends
 from tallyfold.operators.sampling import Quota
 from tallyfold.plans import census
-from tallyfold.plans.context import trend_document, trend_facts
+from tallyfold.plans.context import store_context, trend_facts
 from tallyfold.sources import readers
 from tallyfold.streaming import landing
 
@@ -118,7 +118,11 @@ def test_context_of_the_stored_history(spark, root):
     assert found["cohorts", "span", None].text == "2014-2016"
     assert ("library_trend_summaries", "numpy", None) in found
     assert any(section == "python_version_share_pct" for section, _, _ in found)
-    assert json.loads(trend_document(facts).first().context)
+    store_context(spark, root)
+    (line,) = spark.read.text(f"{root}/trend_context").collect()
+    context = json.loads(line.value)
+    census_facts = json.loads(context["daily_census"])["facts"]
+    assert census_facts["latest_date"] == "2026-07-08" and census_facts["n_daily_snapshots"]
 
 
 def test_trend_sentence(spark):

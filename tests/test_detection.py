@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,8 +35,7 @@ SOURCES = {
 @pytest.fixture(scope="module")
 def found(spark):
     rows = spark.createDataFrame([(k, [v[0]]) for k, v in SOURCES.items()], "id string, sources array<string>")
-    cells = rows.select("id", F.transform("sources", lambda s: F.struct(s.alias("text"))).alias("code"))
-    return {r.id: set(r.imports) for r in with_imports(cells).collect()}
+    return {r.id: set(r.imports) for r in with_imports(rows.withColumnRenamed("sources", "import_sources")).collect()}
 
 
 @pytest.mark.parametrize("name", sorted(SOURCES))
@@ -42,9 +44,32 @@ def test_imports_of_a_cell(found, name):
 
 
 def test_one_bad_cell_does_not_hide_the_others(spark):
-    rows = spark.createDataFrame([(["def (:", "import numpy, scipy", "import pandas\n"],)], "s array<string>")
-    cells = rows.select(F.transform("s", lambda s: F.struct(s.alias("text"))).alias("code"))
-    assert with_imports(cells).first().imports == ["numpy", "pandas", "scipy"]
+    rows = spark.createDataFrame([(["def (:", "import numpy, scipy", "import pandas\n"],)], "import_sources array<string>")
+    assert with_imports(rows).first().imports == ["numpy", "pandas", "scipy"]
+
+
+PIECES = [
+    "import a", "import a.b as c  # import z", "  import q", "import a, b", "import os . path", "from x import y", "from x.y import (p,",
+    "  q)", "from . import r", "from x import y; import w", "if 1: import late", "x = 1", "%run import k", "!import j", '"""', "import (",
+    "from x \\", "import été", "import ﬁle", "import b\rimport c", "try:", "    from deep import d", "from foo", "import bar",
+    "import tail#x", "\x0cimport f", "raise E from None", "importlib.reload(a)", "import", "from  a.b  import  c as import_d",
+]
+
+
+def test_plain_cells_lose_nothing_without_a_tree(spark):
+    """All pairs and many longer runs of lines: where no tree is asked for, the
+    tree has no name that the line patterns lack."""
+    rng, names_in = random.Random(3), tree_reader()
+    texts = ["\n".join(p) for p in itertools.product(PIECES, repeat=2)]
+    texts += ["\n".join(rng.choices(PIECES, k=rng.randint(1, 5))) for _ in range(4000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string")
+    seen = rows.select("s", T.needs_tree(F.col("s")).alias("tree"), T.regex_imports(F.col("s")).alias("lines"), T.strip_magics(F.col("s")).alias("clean"))
+    plain = 0
+    for r in seen.collect():
+        if not r.tree:
+            plain += 1
+            assert set(names_in(r.clean) or []) <= set(r.lines), r.s
+    assert plain > 500
 
 
 def test_tree_helper_gives_null_for_invalid_source(spark):

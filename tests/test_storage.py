@@ -41,7 +41,11 @@ def test_one_date_reads_one_folder(spark, tmp_path):
     assert [r.x for r in day.collect()] == [2]
     plan = physical_plan(day)
     assert "PartitionFilters: [isnotnull(date" in plan and "PushedFilters: []" in plan
-    assert readers.observations(spark, root, D3).isEmpty()
+    assert all(f"date={D2}" in f for f in day.inputFiles())
+    assert readers.observations(spark, root, D3) is None
+    wider = readers.with_date(day.drop("date").withColumn("note", F.lit("")).schema)
+    assert readers.observations(spark, root, D3, wider).isEmpty()
+    assert readers.observations(spark, root, D2, wider).first().note is None
 
 
 def test_columns_of_all_files_are_read(spark, tmp_path):
