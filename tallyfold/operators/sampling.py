@@ -230,12 +230,29 @@ def start_page(seed: Column, strategy: Column, quota: Quota) -> Column:
     return F.pmod(_hex8(seeded_order(seed, strategy, F.lit("page"))), F.lit(spread)) + 1
 
 
+SALTS = 64
+
+
+def top_ranked(rows: DataFrame, groups: list[str], order: list[Column], k: int, rank: str) -> DataFrame:
+    """The first ``k`` rows of each group with their rank, for few, large groups.
+
+    Every task keeps at most k rows of a group; those are ranked in salted parts
+    and the parts' winners once more, so no task meets k rows of every other.
+    The salt is the input partition, which changes nothing about the result.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    part = F.row_number().over(Window.partitionBy(*groups, "salt").orderBy(*order))
+    kept = salted.withColumn(rank, part).where(F.col(rank) <= k).drop(rank, "salt")
+    whole = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    return kept.withColumn(rank, whole).where(F.col(rank) <= k)
+
+
 def stratum_window(assigned: DataFrame, seed: Column, quota: Quota, by: tuple[str, ...] = ()) -> DataFrame:
     """The seeded slice of each ranked stratum, within its first ``result_cap``
     ranks.  A stratum with fewer rows than the slice starts at gives none."""
-    order = [F.desc_nulls_last("sort_value"), seeded_order(seed, F.col("full_name")), F.col("full_name")]
-    ranked = assigned.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "strategy", "stratum").orderBy(*order)))
-    ranked = ranked.where(F.col("rank") <= quota.result_cap)
+    keyed = assigned.withColumn("order_key", seeded_order(seed, F.col("full_name")))
+    order = [F.desc_nulls_last("sort_value"), F.col("order_key"), F.col("full_name")]
+    ranked = top_ranked(keyed, [*by, "strategy", "stratum"], order, quota.result_cap, "rank").drop("order_key")
     first = (start_page(seed, F.col("strategy"), quota) - 1) * quota.per_page
     return ranked.where((F.col("rank") > first) & (F.col("rank") <= first + quota.pages * quota.per_page))
 

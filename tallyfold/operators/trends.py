@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.fixed_values import KEY_LIBRARIES, SCORE_COLUMNS, STRUCTURE_COLUMNS, TREND_INDICATORS
+from tallyfold.fixed_values import KEY_LIBRARIES, SCORE_COLUMNS, STRUCTURE_COLUMNS, TREND_INDICATORS, TREND_LIBRARIES
 
 
 def mode() -> Column:
@@ -38,7 +38,8 @@ def latest_delta(snapshots: DataFrame, value: str, date: str = "run_date") -> Da
     return ends.withColumn("delta", F.col("latest") - F.col("previous"))
 
 
-def adoption_series(adoption: DataFrame, libraries: tuple[str, ...]) -> DataFrame:
+def adoption_series(adoption: DataFrame, libraries: tuple[str, ...] = TREND_LIBRARIES) -> DataFrame:
+    """Shares by date of chosen libraries; they are independent and do not add up."""
     return adoption.where(F.col("library").isin(*libraries)).select("run_date", "library", "adoption_pct")
 
 

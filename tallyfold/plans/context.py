@@ -13,8 +13,6 @@ from tallyfold.fixed_values import KEY_LIBRARIES
 from tallyfold.operators import ranking, trends
 from tallyfold.sources import readers, sinks
 
-COLUMNS = ("section", "subject", "period", "value", "text")
-
 
 def _facts(rows: DataFrame, section, subject, period=None, value=None, text=None) -> DataFrame:
     as_col = lambda v, kind: (F.lit(None) if v is None else v).cast(kind)

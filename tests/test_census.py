@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_parse import DOCUMENTS
 
-from tallyfold.operators import trends
+from tallyfold.fixed_values import TREND_LIBRARIES
+from tallyfold.operators import aggregate, ranking, trends
 from tallyfold.operators.sampling import Quota
 from tallyfold.plans import census
 from tallyfold.plans.context import store_context, trend_facts
@@ -69,6 +70,20 @@ def test_report(spark, root):
     assert line["notebooks_collected"] == landed.where("raw IS NOT NULL").count()
 
 
+def test_charts_of_the_stored_history(spark, root):
+    adoption = trends.prefer_mode(table(spark, root, "library_adoption"), "daily")
+    bars = ranking.latest_ranking(adoption).collect()
+    assert len(bars) == 15 and [r.adoption_pct for r in bars] == sorted(r.adoption_pct for r in bars)
+    # two days, and the cohort year without rows, whose mode defaults to daily
+    assert trends.adoption_series(adoption).count() == 3 * len(TREND_LIBRARIES)
+    rollup = {r.category: r.notebook_count for r in aggregate.category_rollup(trends.latest_rows(adoption)).collect()}
+    assert rollup["array"] > 0 and min(rollup.values()) > 0
+    cohorts = trends.prefer_mode(table(spark, root, "library_adoption"), "cohort", "daily")
+    assert {r.collection_type for r in cohorts.select("collection_type").distinct().collect()} == {"cohort"}
+    assert trends.prefer_mode(adoption, "cohort", "daily").count() == adoption.count()
+    assert trends.prefer_mode(adoption.drop("collection_type"), "cohort").count() == adoption.count()
+
+
 def test_running_a_day_again_changes_nothing(spark, landed, root):
     before = sorted(map(str, table(spark, root, "daily_snapshots").drop("x").collect()))
     census.run_day(spark, *landed, root, DAY, quota=DAILY)

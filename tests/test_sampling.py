@@ -150,3 +150,14 @@ def test_hot_repository_is_cut_before_the_shuffle(repos, files):
     plan = physical_plan(S.cap_per_group(files, ["full_name"], [key]))
     assert plan.count("WindowGroupLimit") == 2
     assert plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+
+
+def test_salted_ranks_equal_a_full_sort(spark):
+    rows = [("hot" if i % 3 else f"g{i % 5}", (i * 7919) % 1009, i) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "g string, v int, id int").repartition(9)
+    got = S.top_ranked(frame, ["g"], [F.desc("v"), F.col("id")], 40, "rank").collect()
+    want = set()
+    for g in {r[0] for r in rows}:
+        best = sorted((-v, i) for h, v, i in rows if h == g)[:40]
+        want |= {(g, i, n + 1) for n, (_, i) in enumerate(best)}
+    assert {(r.g, r.id, r["rank"]) for r in got} == want
