@@ -465,6 +465,7 @@ def stat_cards(spark, sf):
   UNION ALL SELECT 'structure_and_quality_by_creation_year', 'mean_total_cells', year, round(mean_total_cells, 3), NULL FROM c
   UNION ALL SELECT 'structure_and_quality_by_creation_year', 'reproducibility_score_mean', year,
          round(reproducibility_score_mean, 3), NULL FROM c""",
+    optional=("period",),
 )
 def trend_facts(spark, sf):
     from tallyfold.plans.context import trend_facts

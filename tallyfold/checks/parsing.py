@@ -97,6 +97,7 @@ _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 @query(
     "lenient_int",
     f"SELECT event_id, {_VALUES_SQL.format(click=_K, view='trunc(value)::BIGINT', purchase=_K, signup='NULL', error='NULL')} AS n FROM events",
+    optional=("n",),
 )
 def lenient_int(spark, sf):
     return _json_values(spark, sf).select("event_id", V.lenient_int(F.col("v")).alias("n"))
@@ -110,7 +111,10 @@ def lenient_str(spark, sf):
     return _json_values(spark, sf).select("event_id", V.lenient_str(F.col("v")).alias("s"))
 
 
-@query("nb_format", _features("nbformat, nbformat_minor"))
+_FORMAT = ("nbformat", "nbformat_minor")
+
+
+@query("nb_format", _features("nbformat, nbformat_minor"), optional=_FORMAT)
 def nb_format(spark, sf):
     return described(spark, sf, "nbformat", "nbformat_minor")
 
@@ -202,7 +206,7 @@ def flatten_lists(spark, sf):
     return P.flat_row(P.parse_documents(B.landed_documents(spark, sf))).select("path", *_LISTS)
 
 
-@query("document_features", _features(", ".join(P.FEATURE_COLUMNS)))
+@query("document_features", _features(", ".join(P.FEATURE_COLUMNS)), optional=_FORMAT)
 def document_features(spark, sf):
     return P.parse_documents(B.landed_documents(spark, sf)).select("path", *P.FEATURE_COLUMNS)
 
@@ -347,6 +351,7 @@ _PROVENANCE = f"""{_DATE}, 'daily' AS collection_type, source AS repo_full_name,
     "observation_rows",
     f"""{ALL} SELECT {_PROVENANCE}, {", ".join(P.FEATURE_COLUMNS)}, {", ".join(SCORE_COLUMNS)}, {N.FLAGS_SQL},
   detected_libraries, detected_categories, detected_library_count FROM scored""",
+    optional=_FORMAT,
 )
 def observation_rows(spark, sf):
     return observe(B.landed_documents(spark, sf))

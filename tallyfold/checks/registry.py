@@ -12,12 +12,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query under ``name``, with the SQL of the same result."""
+def query(name: str, sql: str | None = None, optional: tuple[str, ...] = ()):
+    """Register a query under ``name``, with the SQL of the same result.
+
+    ``optional`` names whole-number columns that may be null.  Both sides give
+    them as DOUBLE, since clients differ in how they show an absent integer.
+    """
+    if sql is not None and optional:
+        sql = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in optional)}) FROM ({sql})"
 
     def register(build: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return at_edge(build(spark, sf_dir))
+            rows = build(spark, sf_dir)
+            return at_edge(rows.withColumns({c: F.col(c).cast("double") for c in optional}))
 
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")

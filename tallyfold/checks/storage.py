@@ -137,6 +137,7 @@ def registry_categories(spark, sf):
   CASE WHEN s_acctbal > 0 THEN s_name END AS summary, NULL::VARCHAR AS requires_python,
   CASE WHEN s_suppkey IS NOT NULL THEN CASE WHEN s_acctbal > 0 THEN 2 ELSE 1 END END AS release_count
   FROM part LEFT JOIN (SELECT * FROM supplier WHERE s_nationkey < 20) ON s_suppkey = p_size""",
+    optional=("release_count",),
 )
 def enrich_registry(spark, sf):
     s = B.table(spark, sf, "supplier").where(F.col("s_nationkey") < 20)
@@ -257,6 +258,7 @@ def upsert_by_date(spark, sf):
     "union_by_name",
     f"""{EV} SELECT {DAY}, event_id, event_type, NULL::INT AS k FROM obs WHERE run_date < DATE '2024-01-16'
   UNION ALL SELECT {DAY}, event_id, NULL, k FROM obs WHERE run_date >= DATE '2024-01-16'""",
+    optional=("k",),
 )
 def union_by_name(spark, sf):
     rows = B.event_observations(spark, sf)
