@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's \s, \w and line ends spelled for Java's regex engine: (?d) makes \n
+# --- fixed values: patterns (what counts as a magic line, import or version) ---
+# Python's \s, \w and line ends are spelled for Java's regex engine: (?d) makes \n
 # the only line end, (?U) widens \s and \w, and the four separators 1C-1F are
 # white space in Python only.
 SPACE = r"[\s\x1c-\x1f]"
@@ -24,6 +25,7 @@ PLAIN_LINE = (
 )
 IDENTIFIER = r"(?U)^[^\W\d]\w*$"
 VERSION = r"(\d+\.\d+(?:\.\d+)?)"
+# --- end of fixed values ---
 
 
 def line_count(text: Column) -> Column:
