@@ -37,6 +37,7 @@ from tallyfold.llm.words import U64, flat, mix, shingle_sets, signed
 
 CHUNK = 256  # sets of a block that one task side holds, about
 OFTEN = 400  # a shingle in one of so many documents weighs least
+STEP = 1 << 18  # shingles worked on at a time, about
 MOST_OFTEN = 1_000_000  # 8 MB; which shingles these are changes speed, never results
 _MU = 0.0085  # DivideSkip's cost of a probe against a merge step
 _PREFIX_TAG = 0x5851F42D4C957F2D
@@ -139,8 +140,11 @@ def _parts(n: int, percent: int, often) -> Callable:
             once = once[size[once] * (100 - percent) // percent > 0]  # others link with equal sets only
             if not len(once):
                 continue
-            part, owner = _given([sets[i] for i in once], percent, often.value)
-            a = identity[once][owner]
+            given = []
+            for few in np.split(once, np.flatnonzero(np.diff(np.cumsum(size[once]) // STEP)) + 1):  # bounds the memory
+                part, owner = _given([sets[i] for i in few], percent, often.value)
+                given.append((part, identity[few][owner]))
+            part, a = (np.concatenate(x) for x in zip(*given))
             order = np.lexsort((a, part))
             part, a = part[order], a[order]
             opens = np.concatenate([[True], part[1:] != part[:-1]])
