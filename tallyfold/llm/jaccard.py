@@ -209,28 +209,19 @@ def _search_blocks(rows: DataFrame, members: DataFrame, n: int, percent: int, ch
     sizes = members.groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
     buckets = max(1, members.count() // chunk)  # small blocks share tasks
     dealt = members.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-    texts = rows.join(dealt, rows.doc_id.eqNullSafe(dealt.doc_id) & (rows.crc == dealt.crc)).select("block", "node", "chunk", "chunks", "text")
-    sets = texts.mapInArrow(_to_sets(n), "block long, node long, chunk int, chunks int, shingles binary")
+    same = rows.doc_id.eqNullSafe(dealt.doc_id) & (rows.crc == dealt.crc)
+    texts = rows.join(dealt.hint("merge"), same).select("block", "node", "chunk", "chunks", "text")  # alike at every size
     small = F.col("chunks") == 1
     other = F.col("other")
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+    pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         F.when(small, F.pmod(F.xxhash64("block"), F.lit(buckets))).otherwise(F.col("block")).alias("task"),
         (~small).alias("large"), F.least("chunk", other).alias("low"), F.greatest("chunk", other).alias("high"),
-        "block", "node", "chunk", "shingles",
+        "block", "node", "chunk", "text",
     )
-    return pairs.groupBy("task", "large", "low", "high").applyInArrow(_search(percent), "a long, b long")
+    return pairs.groupBy("task", "large", "low", "high").applyInArrow(_search(n, percent), "a long, b long")
 
 
-def _to_sets(n: int) -> Callable:
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = pa.array([s.tobytes() for s in shingle_sets(*flat(batch.column("text")), n)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("block", "node", "chunk", "chunks")), packed], names=["block", "node", "chunk", "chunks", "shingles"])
-
-    return to_sets
-
-
-def _search(percent: int) -> Callable:
+def _search(n: int, percent: int) -> Callable:
     def search(key: tuple, group: pa.Table) -> pa.Table:
         low, high = key[2].as_py(), key[3].as_py()
         block, node, chunk = (group[k].to_numpy() for k in ("block", "node", "chunk"))
@@ -240,7 +231,7 @@ def _search(percent: int) -> Callable:
         for rows in np.split(order, cuts[1:]):
             rows = rows[np.concatenate([[True], node[rows][1:] != node[rows][:-1]])]  # repeated rows bring a set twice
             if len(rows) > 1:
-                sets = [np.frombuffer(group["shingles"][int(i)].as_py(), dtype=U64) for i in rows]
+                sets = list(shingle_sets(*flat(group["text"].take(pa.array(rows)).combine_chunks()), n))
                 side = chunk[rows] if low != high else None
                 links += [(int(node[rows[i]]), int(node[rows[j]])) for i, j in connections(sets, percent, side)]
         a, b = zip(*links) if links else ((), ())
