@@ -25,6 +25,7 @@ leave a task, so a group of n near copies gives about n rows and not n squared.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,6 @@ from tallyfold.llm.words import U64, flat, mix, shingle_sets, signed
 
 CHUNK = 256  # sets of a block that one task side holds, about
 OFTEN = 400  # a shingle in one of so many documents weighs least
-STEP = 1 << 18  # shingles worked on at a time, about
 MOST_OFTEN = 1_000_000  # 8 MB; which shingles these are changes speed, never results
 _MU = 0.0085  # DivideSkip's cost of a probe against a merge step
 _PREFIX_TAG = 0x5851F42D4C957F2D
@@ -99,22 +99,31 @@ def _profile(n: int) -> Callable:
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(*flat(batch.column("text")), n))
-            size, both = _identities(sets)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(sets), dtype=bool)), batch.column("doc_id"), batch.column("crc"), pa.array(size), signed(both[0]), signed(both[1])], schema=schema
-            )
-            every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, dtype=U64)
-            opens = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, dtype=np.int64)
-            count = np.diff(np.append(opens, len(every)))
-            at = np.flatnonzero(count >= max(4, len(sets) // OFTEN))
-            if len(at):
-                none = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), dtype=bool)), none, none, pa.array(count[at]), signed(every[opens[at]]), none], schema=schema)
+            at, every = 0, []
+            for sets in shingle_sets(*flat(batch.column("text")), n):
+                size, both = _identities(sets)
+                ids = [batch.column(k).slice(at, len(sets)) for k in ("doc_id", "crc")]
+                no = pa.array(np.zeros(len(sets), dtype=bool))
+                yield pa.RecordBatch.from_arrays([no, *ids, pa.array(size), signed(both[0]), signed(both[1])], schema=schema)
+                every += [s for s in sets if len(s)]
+                at += len(sets)
+            shingle, count = _repeated(every, max(4, at // OFTEN))
+            if len(shingle):
+                none = pa.nulls(len(shingle), pa.int64())
+                yes = pa.array(np.ones(len(shingle), dtype=bool))
+                yield pa.RecordBatch.from_arrays([yes, none, none, pa.array(count), signed(shingle), none], schema=schema)
 
     return profile
 
 
+def _repeated(sets: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in ``least`` of the sets or more, and in how many."""
+    every = np.concatenate([*sets, np.zeros(0, dtype=U64)])
+    every.sort()
+    shingle = np.unique(every[least - 1 :][every[least - 1 :] == every[: max(0, len(every) - least + 1)]])
+    return shingle, np.searchsorted(every, shingle, side="right") - np.searchsorted(every, shingle)
+
+
 def _identities(sets: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     size = np.array([len(s) for s in sets], dtype=np.int64)
     every = np.concatenate([*sets, np.zeros(1, dtype=U64)])  # one more, so that all starts exist
@@ -132,19 +141,18 @@ def _parts(n: int, percent: int, often) -> Callable:
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingle_sets(*flat(batch.column("text")), n))
-            if not sets:
-                continue
-            size, (identity, _) = _identities(sets)
-            _, once = np.unique(identity, return_index=True)  # equal sets give the same parts
-            once = once[size[once] * (100 - percent) // percent > 0]  # others link with equal sets only
-            if not len(once):
-                continue
             given = []
-            for few in np.split(once, np.flatnonzero(np.diff(np.cumsum(size[once]) // STEP)) + 1):  # bounds the memory
-                part, owner = _given([sets[i] for i in few], percent, often.value)
-                given.append((part, identity[few][owner]))
+            for sets in shingle_sets(*flat(batch.column("text")), n):
+                size, (identity, _) = _identities(sets)
+                _, once = np.unique(identity, return_index=True)  # equal sets give the same parts
+                once = once[size[once] * (100 - percent) // percent > 0]  # others link with equal sets only
+                if len(once):
+                    part, owner = _given([sets[i] for i in once], percent, often.value)
+                    given.append((part, identity[once][owner]))
+            if not given:
+                continue
             part, a = (np.concatenate(x) for x in zip(*given))
+            given.clear()
             order = np.lexsort((a, part))
             part, a = part[order], a[order]
             opens = np.concatenate([[True], part[1:] != part[:-1]])
@@ -231,7 +239,7 @@ def _search(n: int, percent: int) -> Callable:
         for rows in np.split(order, cuts[1:]):
             rows = rows[np.concatenate([[True], node[rows][1:] != node[rows][:-1]])]  # repeated rows bring a set twice
             if len(rows) > 1:
-                sets = list(shingle_sets(*flat(group["text"].take(pa.array(rows)).combine_chunks()), n))
+                sets = list(chain.from_iterable(shingle_sets(*flat(group["text"].take(pa.array(rows)).combine_chunks()), n)))
                 side = chunk[rows] if low != high else None
                 links += [(int(node[rows[i]]), int(node[rows[j]])) for i, j in connections(sets, percent, side)]
         a, b = zip(*links) if links else ((), ())

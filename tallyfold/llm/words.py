@@ -163,8 +163,8 @@ def sliding_min(values: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(least[: len(values) - n + 1], least[n - size : n - size + len(values) - n + 1])
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> Iterator[np.ndarray]:
-    """For each text, the sorted distinct hashes of its n-word shingles, A-Z lower-cased.
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> Iterator[list[np.ndarray]]:
+    """For each text, the sorted distinct hashes of its n-word shingles, A-Z lower-cased; in lists of neighbours.
 
     A text of fewer words has one: its whole sequence; a text of no words has none.
     """
@@ -172,16 +172,18 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> Iterator[
         words = split_words(data[offsets[start] : offsets[stop]], offsets[start : stop + 1], lower=True)
         lane = words.hashes(0)
         shingles = grams(lane, n)
+        sets = []
         for first, last in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
             if last - first >= n:
-                yield np.unique(shingles[first : last - n + 1])
+                sets.append(np.unique(shingles[first : last - n + 1]))
             elif last > first:
                 whole = lane[first : first + 1] ^ U64(last - first)
                 for k in range(first + 1, last):
                     whole = chain(whole, lane[k : k + 1])
-                yield mix(whole.copy())
+                sets.append(mix(whole.copy()))
             else:
-                yield np.zeros(0, dtype=U64)
+                sets.append(np.zeros(0, dtype=U64))
+        yield sets
 
 
 def signed(values: np.ndarray) -> pa.Array:
