@@ -21,7 +21,12 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a Jaccard similarity of 0.8 or more on five-word shingles, the one with the
     smallest id stays.  Documents without words stay; equal rows (id and text) become one."""
     groups = jaccard.jaccard_groups(docs, percent=80, n=5)
-    return matching(docs, groups.where("kept"), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = store(groups.where("kept").groupBy("doc_id", "crc").count(), "pipeline-kept")
+    repeated = kept.where("count > 1")
+    if repeated.isEmpty():
+        return matching(docs, kept, "left_semi")
+    once = matching(docs, kept.where("count = 1"), "left_semi")
+    return once.unionByName(matching(docs, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
