@@ -128,7 +128,7 @@ def _kinds(data: np.ndarray, lower: np.ndarray, words: Words, begins: np.ndarray
     changed = data != lower
     first = changed[words.starts] | ((head == 0xC3) & changed[np.minimum(words.starts + 1, len(data) - 1)])
     upper = np.concatenate([[0], np.cumsum(changed)])
-    several = upper[words.ends] - upper[words.starts] > 1  # shouting is no name
+    several = (upper[words.ends] - upper[words.starts] > 1) | (words.ends - words.starts == 1)  # shouting and a lone letter are no names
     kind[first & ~several & ~begins & (kind == _PLAIN)] = _NAME
     return kind
 

@@ -38,6 +38,7 @@ from tallyfold.llm.words import U64, flat, mix, shingle_sets, signed
 
 CHUNK = 256  # sets of a block that one task side holds, about
 OFTEN = 400  # a shingle in one of so many documents weighs least
+TOGETHER = 1 << 20  # shingles that a task looks at together, about
 MOST_OFTEN = 1_000_000  # 8 MB; which shingles these are changes speed, never results
 _MU = 0.0085  # DivideSkip's cost of a probe against a merge step
 _PREFIX_TAG = 0x5851F42D4C957F2D
@@ -69,7 +70,7 @@ def jaccard_groups(documents: DataFrame, percent: int = 80, n: int = 5, id_col:
     often = rows.sparkSession.sparkContext.broadcast(_often(profile, docs))
     parts = rows.select("text").mapInArrow(_parts(n, percent, often), "part long, a long, b long")
     least = F.min("a").over(Window.partitionBy("part"))
-    near = parts.withColumn("least", least).select("a", F.coalesce("b", "least").alias("b")).where("a <> b")
+    near = parts.withColumn("least", least).select("a", F.coalesce("b", "least").alias("b")).where("a <> b").distinct()
     blocks = components(near, "jaccard-blocks").withColumnRenamed("node", "h1").withColumnRenamed("root", "block")
     members = store(sets.join(blocks, "h1").select("node", "doc_id", "crc", "block"), "jaccard-members")
     links = _search_blocks(rows, members, n, percent, chunk)
@@ -94,24 +95,27 @@ def _often(profile: DataFrame, docs: DataFrame) -> np.ndarray:
 
 
 def _profile(n: int) -> Callable:
-    """For each text: set size and a 128-bit identity of the set; for each batch: shingles in many of its texts."""
+    """For each text: set size and a 128-bit identity of the set; and shingles in many of the texts looked at together."""
     schema = pa.schema([("often", pa.bool_()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, every = 0, []
+            at, seen, every = 0, 0, []
             for sets in shingle_sets(*flat(batch.column("text")), n):
                 size, both = _identities(sets)
                 ids = [batch.column(k).slice(at, len(sets)) for k in ("doc_id", "crc")]
                 no = pa.array(np.zeros(len(sets), dtype=bool))
                 yield pa.RecordBatch.from_arrays([no, *ids, pa.array(size), signed(both[0]), signed(both[1])], schema=schema)
-                every += [s for s in sets if len(s)]
-                at += len(sets)
-            shingle, count = _repeated(every, max(4, at // OFTEN))
-            if len(shingle):
-                none = pa.nulls(len(shingle), pa.int64())
-                yes = pa.array(np.ones(len(shingle), dtype=bool))
-                yield pa.RecordBatch.from_arrays([yes, none, none, pa.array(count), signed(shingle), none], schema=schema)
+                every.append(np.concatenate(sets))
+                at, seen = at + len(sets), seen + len(sets)
+                if at < len(batch) and sum(map(len, every)) < TOGETHER:
+                    continue
+                shingle, count = _repeated(every, max(4, seen // OFTEN))
+                seen, every = 0, []
+                if len(shingle):
+                    none = pa.nulls(len(shingle), pa.int64())
+                    yes = pa.array(np.ones(len(shingle), dtype=bool))
+                    yield pa.RecordBatch.from_arrays([yes, none, none, pa.array(count), signed(shingle), none], schema=schema)
 
     return profile
 
@@ -137,34 +141,38 @@ def _identities(sets: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def _parts(n: int, percent: int, often) -> Callable:
-    """Rows (part, set) for parts given, one a batch; sets of a batch that share one are linked at once (b)."""
+    """Rows (part, set) for parts given; of sets looked at together one row is enough, the others are linked to it at once (b)."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given = []
+            given, at = [], 0
             for sets in shingle_sets(*flat(batch.column("text")), n):
+                at += len(sets)
                 size, (identity, _) = _identities(sets)
                 _, once = np.unique(identity, return_index=True)  # equal sets give the same parts
                 once = once[size[once] * (100 - percent) // percent > 0]  # others link with equal sets only
                 if len(once):
                     part, owner = _given([sets[i] for i in once], percent, often.value)
                     given.append((part, identity[once][owner]))
-            if not given:
-                continue
-            part, a = (np.concatenate(x) for x in zip(*given))
-            given.clear()
-            order = np.lexsort((a, part))
-            part, a = part[order], a[order]
-            opens = np.concatenate([[True], part[1:] != part[:-1]])
-            b = a[np.flatnonzero(opens)[np.cumsum(opens) - 1]]
-            link = ~opens & (a != b)
-            key = np.where(link, mix(a ^ (b * U64(3))), part)  # a link needs no group: dealt evenly
-            use = opens | link
-            yield pa.RecordBatch.from_arrays([signed(key[use]), signed(a[use]), pa.array(b[use].view(np.int64), mask=~link[use])], schema=_CLAIM)
+                if given and (at == len(batch) or sum(len(part) for part, _ in given) >= TOGETHER):
+                    yield _claims(*(np.concatenate(x) for x in zip(*given)))
+                    given = []
 
     return parts
 
 
+def _claims(part: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
+    """One row for each part, by its least set, and a link for each other set that gives it."""
+    order = np.lexsort((a, part))
+    part, a = part[order], a[order]
+    opens = np.concatenate([[True], part[1:] != part[:-1]])
+    b = a[np.flatnonzero(opens)[np.cumsum(opens) - 1]]
+    link = ~opens & (a != b)
+    key = np.where(link, mix(a ^ (b * U64(3))), part)  # a link needs no group: dealt evenly
+    use = opens | link
+    return pa.RecordBatch.from_arrays([signed(key[use]), signed(a[use]), pa.array(b[use].view(np.int64), mask=~link[use])], schema=_CLAIM)
+
+
 def _given(sets: list[np.ndarray], percent: int, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the parts that each set gives, and the index of the set."""
     size = np.array([len(s) for s in sets], dtype=np.int64)

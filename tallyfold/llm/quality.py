@@ -84,14 +84,40 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
         yield buckets[keep], first
 
 
+@dataclass(frozen=True)
+class Example:
+    """Feature counts of one labelled text in few bytes: buckets of words and of bytes as uint16, counts as uint8,
+    those of 255 and more in ``large`` as uint32."""
+
+    label: int
+    words: bytes
+    runs: bytes
+    counts: bytes
+    large: bytes
+
+    @staticmethod
+    def of(text: str, label: int) -> Example:
+        sorts = [buckets for buckets, _ in _features(*flat(pa.array([text], pa.string())))]
+        buckets, counts = np.unique(np.concatenate(sorts), return_counts=True)
+        half = int(np.searchsorted(buckets, 1 << BITS))
+        large = counts[counts >= 255].astype(np.uint32)
+        parts = (buckets[:half].astype(np.uint16), (buckets[half:] - (1 << BITS)).astype(np.uint16), np.minimum(counts, 255).astype(np.uint8), large)
+        return Example(label, *(x.tobytes() for x in parts))
+
+    def shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets and the share of each among the text's features."""
+        buckets = np.concatenate([np.frombuffer(self.words, np.uint16).astype(np.int32), np.frombuffer(self.runs, np.uint16).astype(np.int32) + (1 << BITS)])
+        counts = np.frombuffer(self.counts, np.uint8).astype(np.float32)
+        counts[counts == 255] = np.frombuffer(self.large, np.uint32)
+        return buckets, counts / np.float32(max(1.0, counts.sum()))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Feature counts of labelled texts: label, buckets (uint32) and counts (uint32)."""
     for batch in batches:
         for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
-            sorts = [buckets for buckets, _ in _features(*flat(pa.array([text.as_py()], pa.string())))]
-            buckets, counts = np.unique(np.concatenate(sorts), return_counts=True)
-            packed = [pa.array([x.astype(np.uint32).tobytes()], pa.binary()) for x in (buckets, counts)]
-            yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), *packed], names=["label", "buckets", "counts"])
+            e = Example.of(text.as_py(), label)
+            packed = [pa.array([x], pa.binary()) for x in (e.words, e.runs, e.counts, e.large)]
+            yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), *packed], names=["label", "words", "runs", "counts", "large"])
 
 
 def train(documents: DataFrame, labels: DataFrame, label_col: str = "quality", settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -106,31 +132,30 @@ def train(documents: DataFrame, labels: DataFrame, label_col: str = "quality", s
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows)
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    examples = texts.join(F.broadcast(sample), "doc_id").select("text", "label").mapInArrow(_counted, "label int, buckets binary, counts binary")
-    rows = sorted((bytes(b), bytes(c), y) for y, b, c in examples.collect())  # the order of tasks must not matter
-    return fit([(np.frombuffer(b, np.uint32), np.frombuffer(c, np.uint32), y) for b, c, y in rows], settings)
+    examples = texts.join(F.broadcast(sample), "doc_id").select("text", "label").mapInArrow(_counted, "label int, words binary, runs binary, counts binary, large binary")
+    found = [Example(r.label, *(bytes(x) for x in r[1:])) for r in examples.collect()]
+    return fit(sorted(found, key=lambda e: (e.label, e.words, e.runs, e.counts)), settings)  # the order of tasks must not matter
 
 
-def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], settings: Settings) -> Model:
+def fit(examples: list[Example], settings: Settings) -> Model:
     """Stochastic gradient descent on the softmax loss, one document a step, with a falling rate."""
     draw = np.random.default_rng(settings.seed)
     vectors = draw.uniform(-1, 1, (2 << BITS, settings.dim)).astype(np.float32) / settings.dim
     layer = np.zeros((2, settings.dim), dtype=np.float32)
     bias = np.zeros(2, dtype=np.float32)
-    shares = [(c / max(1, c.sum())).astype(np.float32) for _, c, _ in examples]
     step, steps = 0, max(1, settings.epochs * len(examples))
     for _ in range(settings.epochs):
         for i in draw.permutation(len(examples)):
-            buckets, _, label = examples[i]
+            buckets, shares = examples[i].shares()
             rate = np.float32(settings.rate * (1 - step / steps))
-            hidden = shares[i] @ vectors[buckets]
+            hidden = shares @ vectors[buckets]
             odds = np.exp(layer @ hidden + bias - (layer @ hidden + bias).max())
             slope = odds / odds.sum()
-            slope[label] -= 1
+            slope[examples[i].label] -= 1
             back = layer.T @ slope
             layer -= rate * np.outer(slope, hidden)
             bias -= rate * np.float32(0.1) * slope
-            vectors[buckets] -= rate * np.outer(shares[i], back)
+            vectors[buckets] -= rate * np.outer(shares, back)
             step += 1
     return Model((vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0]))
 
