@@ -30,7 +30,7 @@ from tallyfold.llm.tables import text_key
 from tallyfold.llm.words import U64, Words, flat, grams, slices, split_words
 
 PART = 2_000_000
-LITERAL_SHARE = 0.6  # a window needs this share of plain tokens
+LITERAL_SHARE = 0.5  # a window needs this share of plain tokens
 
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs oz pound pounds ounce ounces ml cl l liter liters litre litres "
