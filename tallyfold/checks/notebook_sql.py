@@ -26,7 +26,7 @@ def lines_sql(text: str) -> str:
 
 # Length of a line as an escaped JSON string with ASCII escapes.
 _JSON_LENGTH = r"""(2 + L + length(s) - length(translate(s, chr(34) || chr(92) || chr(9), ''))
-  + 5 * length(regexp_replace(s, '[\x00-\x7F]', '', 'g')) + 6 * length(regexp_replace(s, '[^\x{10000}-\x{10FFFF}]', '', 'g')))"""
+  + 5 * length(regexp_replace(s, '[\x00-\x7E]', '', 'g')) + 6 * length(regexp_replace(s, '[^\x{10000}-\x{10FFFF}]', '', 'g')))"""
 _STREAM = len('{"output_type": "stream", "text": }')
 _IMAGE = len('{"output_type": "display_data", "data": {"image/png": "AAAA", "text/plain": }}')
 _HTML = len('{"output_type": "execute_result", "data": {"text/html": , "image/svg+xml": "x"}}')

@@ -187,7 +187,7 @@ def largest_payload(spark, sf):
     "payload_length_pages",
     r"""SELECT page_id, length('{"output_type": "display_data", "data": {"text/html": }}') + 2 + length(html)
   + length(html) - length(translate(html, chr(34) || chr(92) || chr(9) || chr(10) || chr(13), ''))
-  + 5 * length(regexp_replace(html, '[\x00-\x7F]', '', 'g')) + 6 * length(regexp_replace(html, '[^\x{10000}-\x{10FFFF}]', '', 'g'))
+  + 5 * length(regexp_replace(html, '[\x00-\x7E]', '', 'g')) + 6 * length(regexp_replace(html, '[^\x{10000}-\x{10FFFF}]', '', 'g'))
   AS output_length FROM pages""",
 )
 def payload_length_pages(spark, sf):
@@ -293,7 +293,7 @@ def wide_flags(spark, sf):
     return detected(spark, sf).select("path", *[c.alias(name) for name, c in detect.wide_flags(F.col("libraries")).items()])
 
 
-_WORDS = "regexp_extract_all(lower({0}), '[a-z]+')"
+_WORDS = "regexp_extract_all(lower({0}), '\\p{{L}}+')"
 
 
 @query(
@@ -309,7 +309,7 @@ def detect_tokens(spark, sf):
     """Words of whole documents against a registry made of the benchmark words."""
 
     def words(name, key):
-        found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+        found = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
         rows = readers.spread(B.table(spark, sf, name).select(key, "text"))
         return rows.select(key, detect.module_list(found).alias("module"))
 

@@ -91,7 +91,7 @@ def dumped_length(compact: Column) -> Column:
     no_escapes = F.when(compact.contains("\\"), F.regexp_replace(compact, r"(?s)\\.", "")).otherwise(compact)
     outside = F.regexp_replace(no_escapes, r'"[^"]*"', "")
     separators = F.length(outside) - F.length(F.translate(outside, ",:", ""))
-    beyond_ascii = F.length(F.regexp_replace(compact, r"[\x00-\x7f]+", ""))
+    beyond_ascii = F.length(F.regexp_replace(compact, r"[\x00-\x7e]+", ""))
     beyond_bmp = F.length(F.regexp_replace(compact, r"[^\x{10000}-\x{10ffff}]+", ""))
-    escapes = F.when(F.octet_length(compact) > F.length(compact), beyond_ascii * 5 + beyond_bmp * 6).otherwise(F.lit(0))
+    escapes = F.when((F.octet_length(compact) > F.length(compact)) | compact.contains("\x7f"), beyond_ascii * 5 + beyond_bmp * 6).otherwise(F.lit(0))
     return (F.length(compact) + separators + escapes).cast("bigint")

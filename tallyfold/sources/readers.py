@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
-from tallyfold.fixed_values import MAX_FILE_BYTES
-
 REPOS = (
     "full_name string, default_branch string, stargazers_count bigint, size bigint, "
     "created_at string, pushed_at string, topics array<string>"
@@ -19,22 +17,25 @@ LISTINGS = "full_name string, tree array<struct<type:string,path:string,size:big
 PACKAGES = "info struct<name:string,version:string,summary:string,requires_python:string>, releases map<string,string>"
 
 
-def raw_documents(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def raw_documents(spark: SparkSession, root: str, max_bytes: int | None = None, skip_unreadable: bool = False) -> DataFrame:
     """Landed ``.ipynb`` files under ``root/<owner>/<repository>/``.
 
-    The size filter reaches the file listing, so larger files are not opened.
-    Bytes that are not UTF-8 become replacement characters, and files that
-    cannot be read are skipped.
+    ``max_bytes`` leaves larger files out; it reaches the file listing, so they
+    are not opened.  ``skip_unreadable`` passes over files that cannot be read,
+    which otherwise are an error.  Bytes that are not UTF-8 become replacement
+    characters.
     """
+    skip = str(skip_unreadable).lower()
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.ipynb")
         .option("recursiveFileLookup", "true")
-        .option("ignoreCorruptFiles", "true")
-        .option("ignoreMissingFiles", "true")
+        .option("ignoreCorruptFiles", skip)
+        .option("ignoreMissingFiles", skip)
         .load(root)
-        .where(F.col("length") <= max_bytes)
     )
+    if max_bytes is not None:
+        files = files.where(F.col("length") <= max_bytes)
     below = F.split_part("path", F.lit(f"{root.rstrip('/')}/"), F.lit(-1))
     return files.select(
         F.array_join(F.slice(F.split(below, "/"), 1, 2), "/").alias("full_name"),
