@@ -439,12 +439,13 @@ def stat_cards(spark, sf):
 
 # --- whole context --------------------------------------------------------------
 
-@query(
-    "trend_facts",
-    f"""{HI}, {_TREND_SQL},
+_FACTS_SQL = f"""{HI}, {_TREND_SQL},
   d AS (SELECT * FROM snapshots WHERE collection_type = 'daily'),
   l AS (SELECT * FROM d WHERE run_date = (SELECT max(run_date) FROM d)),
   c AS (SELECT year(run_date) AS year, * FROM snapshots WHERE collection_type = 'cohort'),
+  version_count AS (SELECT run_date, python_major_minor AS value, count(*) AS n FROM obs
+    WHERE parse_ok AND python_major_minor IS NOT NULL AND python_major_minor <> '' GROUP BY ALL),
+  version AS (SELECT run_date, value, round(n * 10000 / (sum(n) OVER (PARTITION BY run_date))::DOUBLE) / 100e0 AS pct FROM version_count),
   top AS (SELECT * FROM adoption WHERE collection_type = 'daily' AND run_date = (SELECT max(run_date) FROM d)
           ORDER BY adoption_pct DESC, library LIMIT 20)
   SELECT 'daily_census' AS section, 'latest_date' AS subject, NULL::INT AS period, NULL::DOUBLE AS value,
@@ -457,6 +458,8 @@ def stat_cards(spark, sf):
   UNION ALL SELECT 'quality_indices_mean', 'reproducibility_score', NULL, round(reproducibility_score_mean, 3), NULL FROM l
   UNION ALL SELECT 'quality_indices_mean', 'documentation_density', NULL, round(documentation_density_mean, 3), NULL FROM l
   UNION ALL SELECT 'structure', 'mean_total_cells', NULL, round(mean_total_cells, 3), NULL FROM l
+  UNION ALL SELECT 'python_version_share_pct', value, NULL, round(pct, 3), NULL FROM version
+         WHERE run_date = (SELECT max(run_date) FROM d) AND pct <> 0
   UNION ALL SELECT 'cohorts', 'span', NULL, NULL, min(year) || '-' || max(year) FROM c
   UNION ALL SELECT 'cohorts', 'n_cohorts', NULL, count(DISTINCT run_date), NULL FROM c
   UNION ALL SELECT 'cohorts', 'notebooks_per_cohort', NULL, arg_min(notebooks_collected, run_date), NULL FROM c
@@ -464,20 +467,46 @@ def stat_cards(spark, sf):
   UNION ALL SELECT 'library_trend_summaries', library, NULL, NULL, summary FROM summaries
   UNION ALL SELECT 'structure_and_quality_by_creation_year', 'mean_total_cells', year, round(mean_total_cells, 3), NULL FROM c
   UNION ALL SELECT 'structure_and_quality_by_creation_year', 'reproducibility_score_mean', year,
-         round(reproducibility_score_mean, 3), NULL FROM c""",
-    optional=("period",),
-)
+         round(reproducibility_score_mean, 3), NULL FROM c"""
+
+
+@query("trend_facts", _FACTS_SQL, optional=("period",))
 def trend_facts(spark, sf):
     from tallyfold.plans.context import trend_facts
 
-    return trend_facts(*B.history(spark, sf))
+    return trend_facts(*B.history(spark, sf), B.versions(spark, sf))
+
 
+def _one(section: str, subject: str, kind: str = "BIGINT") -> str:
+    column = "text" if kind == "VARCHAR" else "value"
+    return f"{subject}: (SELECT {column}::{kind} FROM facts WHERE section = '{section}' AND subject = '{subject}')"
 
-@query("trend_context")
+
+def _members(section: str, entry: str = "value", source: str = "facts") -> str:
+    rows = f"FROM {source} WHERE section = '{section}'"
+    return f"{section}: (SELECT map_from_entries(list({{k: subject, v: {entry}}} ORDER BY subject)) {rows})"
+
+
+@query(
+    "trend_context",
+    f"""WITH facts AS MATERIALIZED ({_FACTS_SQL}),
+  series AS (SELECT section, subject, map_from_entries(list({{k: period, v: value}} ORDER BY period)) AS points
+    FROM facts WHERE period IS NOT NULL GROUP BY ALL),
+  ranked AS (SELECT t.subject AS library, t.text AS category, t.value AS adoption_pct, c.value::BIGINT AS notebook_count
+    FROM facts t JOIN facts c ON t.section = 'top_libraries' AND c.section = 'top_library_counts' AND t.subject = c.subject)
+  SELECT to_json({{daily_census: {{{_one("daily_census", "latest_date", "VARCHAR")},
+      {", ".join(_one("daily_census", n) for n in ("notebooks_collected", "notebooks_parsed", "n_daily_snapshots"))},
+      top_libraries: (SELECT list({{library: library, category: category, adoption_pct: adoption_pct, notebook_count: notebook_count}}
+        ORDER BY adoption_pct DESC, library) FROM ranked),
+      {", ".join(_members(n) for n in ("quality_indices_mean", "structure", "python_version_share_pct"))}}},
+    cohorts: {{{_one("cohorts", "span", "VARCHAR")}, {_one("cohorts", "n_cohorts")}, {_one("cohorts", "notebooks_per_cohort")},
+      {_members("library_adoption_pct_by_creation_year", "points", "series")}, {_members("library_trend_summaries", "text")},
+      {_members("structure_and_quality_by_creation_year", "points", "series")}}}}})::VARCHAR AS context""",
+)
 def trend_context(spark, sf):
     from tallyfold.plans.context import trend_document, trend_facts
 
-    return trend_document(trend_facts(*B.history(spark, sf)))
+    return trend_document(trend_facts(*B.history(spark, sf), B.versions(spark, sf)))
 
 
 # --- scores on rows of other tables ---------------------------------------------

@@ -95,9 +95,21 @@ _RAW = """CASE k
   ELSE concat('{"nbformat":4,"nbformat_minor":', n_chars % 6, ',"metadata":', meta, ',"cells":[', body, ']}') END"""
 
 
+def many_files(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table stored once more in as many files as there are shuffle
+    partitions: the test tables hold one file of one row group each."""
+
+    def write(path: str) -> None:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        table(spark, sf_dir, name).repartition(parts).write.parquet(path)
+
+    path = stored_once(spark, sf_dir, name, write)
+    return spark.read.schema(table(spark, sf_dir, name).schema).parquet(path)
+
+
 def landed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as landed JSON documents with their provenance."""
-    docs = readers.spread(table(spark, sf_dir, "documents")).withColumns(
+    docs = many_files(spark, sf_dir, "documents").withColumns(
         {
             "k": F.expr("cast(substr(source, 4) AS int)"),
             "module_names": F.expr(_names_array()),
@@ -253,6 +265,12 @@ def stored_once(spark: SparkSession, sf_dir: str, label: str, write) -> str:
     return _STORED[key]
 
 
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored version shares of the daily history."""
+    path = stored_once(spark, sf_dir, "versions", lambda p: sinks.write_dates(A.version_share(event_observations(spark, sf_dir)), p))
+    return readers.stored(spark, path).drop("date")
+
+
 def history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The history as history queries meet it: two stored tables of one row per
     date and per date and library, so the facts are aggregated once."""

@@ -17,7 +17,6 @@ from tallyfold.operators import detect
 from tallyfold.operators import parse as P
 from tallyfold.operators.imports import ast_imports
 from tallyfold.operators.observe import observe
-from tallyfold.sources import readers
 
 ALL = N.ALL_SQL
 
@@ -310,7 +309,7 @@ def detect_tokens(spark, sf):
 
     def words(name, key):
         found = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
-        rows = readers.spread(B.table(spark, sf, name).select(key, "text"))
+        rows = B.many_files(spark, sf, name).select(key, "text")
         return rows.select(key, detect.module_list(found).alias("module"))
 
     first = words("benchmark", "item_id").groupBy("module").agg(F.min("item_id").alias("item"))

@@ -65,7 +65,8 @@ _FILES_SQL = """files AS (SELECT 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0')
     CASE WHEN o_orderstatus = 'P' THEN 'tree' ELSE 'blob' END AS type,
     CASE WHEN o_orderpriority = '5-LOW' THEN '.ipynb_checkpoints/' ELSE 'nb/' END || o_orderkey
       || CASE WHEN o_orderpriority = '1-URGENT' THEN '.md' ELSE '.ipynb' END AS path, floor(o_totalprice * 10)::BIGINT AS size FROM orders),
-eligible AS (SELECT * FROM files WHERE type = 'blob' AND path LIKE '%.ipynb' AND path NOT LIKE '%.ipynb_checkpoints/%' AND size <= 4000000)"""
+documents_listed AS (SELECT * FROM files WHERE type = 'blob' AND path LIKE '%.ipynb' AND path NOT LIKE '%.ipynb_checkpoints/%'),
+eligible AS (SELECT * FROM documents_listed WHERE size <= 4000000)"""
 
 # Day facts worked out by hand in SQL: ordinal, parity, rotations.
 _ORDINAL = "(date_diff('day', DATE '0001-01-01', {0}) + 1)"
@@ -224,32 +225,41 @@ def cohort_strata(spark, sf):
 
 # --- window, pool, files, caps -----------------------------------------------------------
 
-def _window_sql(source: str, seed: str, strata: int, by: str = "") -> str:
-    """Ranks of each stratum, and the seeded page slice of them."""
-    quota = S.Quota(strata)
-    spread = max(1, quota.max_page - quota.pages)
-    start = f"({_hex8(f'md5({seed} || {chr(39)}:{chr(39)} || strategy || {chr(39)}:page{chr(39)})')} % {spread}) * {quota.per_page}"
-    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY {by} strategy, stratum
-    ORDER BY sort_value DESC NULLS LAST, md5({seed} || ':' || full_name), full_name) AS rank FROM {source}),
-windowed AS (SELECT * FROM ranked WHERE rank <= 1000 AND rank > {start} AND rank <= {start} + {quota.pages * quota.per_page}),
+def _window_sql(source: str, seed: str, strata: int, by: str = "", cap: int | None = None) -> str:
+    """The rows each stratum gives, and the pool: one row per repository."""
+    quota = S.Quota(strata, result_cap=cap)
+    drawn = f"md5({seed} || ':' || full_name), full_name"
+    group = f"PARTITION BY {by} strategy, stratum"
+    if cap is None:
+        window = f"""windowed AS (SELECT * FROM (SELECT *, row_number() OVER ({group} ORDER BY {drawn}) AS rank FROM {source})
+  WHERE rank <= {quota.per_stratum})"""
+    else:
+        start = _hex8(f"md5({seed} || ':' || strategy || ':page')")
+        window = f"""ranked AS (SELECT *, row_number() OVER ({group} ORDER BY sort_value DESC NULLS LAST, {drawn}) AS rank FROM {source}),
+shown AS (SELECT *, max(rank) OVER ({group}) - {quota.per_stratum} AS spare FROM ranked WHERE rank <= {cap}),
+windowed AS (SELECT * EXCLUDE (spare, first_rank) FROM
+  (SELECT *, CASE WHEN spare > 0 THEN {start} % (spare + 1) ELSE 0 END AS first_rank FROM shown)
+  WHERE rank > first_rank AND rank <= first_rank + {quota.per_stratum})"""
+    return f"""{window},
 pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} full_name
     ORDER BY md5({seed} || ':' || strategy), strategy, stratum) AS served FROM windowed) WHERE served = 1)"""
 
 
 _RUN_SEED = _SEED.format(RUN_DATE)
-_DAILY_SQL = f"""WITH {_REPOS_SQL}, assigned AS ({" UNION ALL ".join((
-    _STAR_SQL.format(parity=f"{_DAY_ORDINAL} % 2"), _RECENT_SQL, _CREATED_SQL, _TOPIC_SQL, _SIZE_SQL.format(f"AND i = {_DAY_ORDINAL} % 4")))}),
-{_window_sql("assigned", _RUN_SEED, 7)}"""
+_ASSIGNED_SQL = f"""WITH {_REPOS_SQL}, assigned AS ({" UNION ALL ".join((
+    _STAR_SQL.format(parity=f"{_DAY_ORDINAL} % 2"), _RECENT_SQL, _CREATED_SQL, _TOPIC_SQL, _SIZE_SQL.format(f"AND i = {_DAY_ORDINAL} % 4")))})"""
+_DAILY_SQL = f"{_ASSIGNED_SQL}, {_window_sql('assigned', _RUN_SEED, 7)}"
+_SHOWN_SQL = f"{_ASSIGNED_SQL}, {_window_sql('assigned', _RUN_SEED, 7, cap=V.RESULT_CAP)}"
 _DRAWN_SQL = f"""{_DAILY_SQL}, {_FILES_SQL},
 picked AS (SELECT e.*, strategy, stratum, row_number() OVER (PARTITION BY full_name
     ORDER BY md5({_RUN_SEED} || ':' || full_name || ':' || path), path) AS pick FROM eligible e JOIN pool USING (full_name)),
 drawn AS (SELECT * FROM picked WHERE pick <= 5 ORDER BY md5({_RUN_SEED} || ':' || full_name), full_name, pick LIMIT 400)"""
 
 
-def _daily_window(spark, sf):
+def _daily_window(spark, sf, quota=S.DAILY_QUOTA):
     today = F.lit(RUN_DATE)
     assigned = S.assign(repositories(spark, sf), S.daily_strata(today))
-    return S.stratum_window(assigned, S.date_seed(today), S.Quota(strata=7))
+    return S.stratum_window(assigned, S.date_seed(today), quota)
 
 
 @query("stratum_window", f"{_DAILY_SQL} SELECT full_name, strategy, stratum, rank FROM windowed")
@@ -257,6 +267,13 @@ def stratum_window(spark, sf):
     return _daily_window(spark, sf).select("full_name", "strategy", "stratum", "rank")
 
 
+@query("stratum_window_shown", f"{_SHOWN_SQL} SELECT full_name, strategy, stratum, rank FROM windowed")
+def stratum_window_shown(spark, sf):
+    """The same strata as a service shows them that ends after 1000 results."""
+    quota = S.Quota(strata=7, result_cap=V.RESULT_CAP)
+    return _daily_window(spark, sf, quota).select("full_name", "strategy", "stratum", "rank")
+
+
 @query("dedup_pool", f"{_DAILY_SQL} SELECT full_name, strategy, stratum FROM pool")
 def dedup_pool(spark, sf):
     pool = S.dedup_pool(_daily_window(spark, sf), S.date_seed(F.lit(RUN_DATE)))
@@ -303,12 +320,16 @@ _READ = "CASE WHEN size < 3500000 THEN path END"
 
 @query(
     "run_accounting",
-    f"""{_DRAWN_SQL} SELECT (SELECT count(*) FROM pool) AS repos_considered, count(DISTINCT full_name) AS repos_with_notebooks,
-  count({_READ}) AS notebooks_collected, count(*) - count({_READ}) AS errors FROM drawn""",
+    f"""{_DRAWN_SQL} SELECT '{RUN_DATE.isoformat()}' AS run_date, (SELECT count(*) FROM pool) AS repos_considered,
+  count(DISTINCT full_name) AS repos_with_notebooks, count({_READ}) AS notebooks_collected, count(*) - count({_READ}) AS errors,
+  (SELECT count(*) FROM documents_listed JOIN pool USING (full_name)) - count(*) AS documents_left_out FROM drawn""",
 )
 def run_accounting(spark, sf):
-    pool, drawn = S.sample_day(repositories(spark, sf), repository_files(spark, sf), RUN_DATE)
-    return S.accounting(pool, drawn.withColumn("raw", F.when(F.col("size") < 3500000, F.col("path"))))
+    pool = S.day_pool(repositories(spark, sf), RUN_DATE).withColumn("run_date", F.lit(RUN_DATE))
+    listed = S.pooled_files(pool, repository_files(spark, sf))
+    drawn = S.draw_files(listed, S.date_seed(F.lit(RUN_DATE)))
+    read = drawn.withColumn("raw", F.when(F.col("size") < 3500000, F.col("path")))
+    return S.accounting(spark.range(1).select(F.lit(RUN_DATE).alias("run_date")), pool, listed, read)
 
 
 @query(

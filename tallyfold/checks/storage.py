@@ -133,14 +133,14 @@ def registry_categories(spark, sf):
 
 @query(
     "enrich_registry",
-    """SELECT p_partkey, p_brand AS library, 'sup-' || p_size AS pypi, s_suppkey || '.' || s_nationkey AS version,
+    """SELECT p_partkey, p_brand AS library, 'sup-' || p_partkey AS pypi, s_suppkey || '.' || s_nationkey AS version,
   CASE WHEN s_acctbal > 0 THEN s_name END AS summary, NULL::VARCHAR AS requires_python,
   CASE WHEN s_suppkey IS NOT NULL THEN CASE WHEN s_acctbal > 0 THEN 2 ELSE 1 END END AS release_count
-  FROM part LEFT JOIN (SELECT * FROM supplier WHERE s_nationkey < 20) ON s_suppkey = p_size""",
+  FROM part LEFT JOIN supplier ON s_suppkey = p_partkey""",
     optional=("release_count",),
 )
 def enrich_registry(spark, sf):
-    s = B.table(spark, sf, "supplier").where(F.col("s_nationkey") < 20)
+    s = B.table(spark, sf, "supplier")
     version = F.concat_ws(".", "s_suppkey", "s_nationkey")
     releases = F.when(F.col("s_acctbal") > 0, F.create_map(version, F.lit("f"), F.lit("0"), F.lit("f")))
     landed = s.select(
@@ -157,7 +157,7 @@ def enrich_registry(spark, sf):
     )
     packages = readers.package_rows(landed.select(F.from_json("value", readers.PACKAGES).alias("p")).select("p.*"))
     parts = B.table(spark, sf, "part").select(
-        "p_partkey", F.col("p_brand").alias("library"), F.concat(F.lit("sup-"), F.col("p_size")).alias("pypi")
+        "p_partkey", F.col("p_brand").alias("library"), F.concat(F.lit("sup-"), F.col("p_partkey")).alias("pypi")
     )
     return readers.enrich(parts, packages)
 
@@ -283,18 +283,19 @@ def csv_mirror(spark, sf):
   SELECT {DAY}, collected AS notebooks_collected, parsed AS notebooks_parsed, (SELECT count(DISTINCT repo_full_name) FROM o) AS repos_sampled,
   (SELECT string_agg(s, ';' ORDER BY s) FROM (SELECT DISTINCT stratum AS s FROM o)) AS strata,
   (SELECT string_agg(library, ';' ORDER BY adoption_pct DESC, library DESC) FROM top) AS top_libraries,
-  collected AS notebooks_read, 0 AS errors FROM d""",
+  collected AS notebooks_read, 0::BIGINT AS errors, 0::BIGINT AS documents_left_out FROM d""",
 )
 def run_report(spark, sf):
     from tallyfold.operators.sampling import accounting
     from tallyfold.operators.trends import latest_rows
-    from tallyfold.plans.census import run_report
+    from tallyfold.plans.census import run_report, with_strata
 
     rows = latest_rows(B.event_observations(spark, sf))
     snapshot = rows.groupBy("run_date").agg(*A.volume())
     adoption = A.library_adoption(rows, B.EVENT_CATEGORIES)
-    drawn = rows.select(F.col("repo_full_name").alias("full_name"), F.col("event_type").alias("raw"))
-    report = run_report(snapshot, adoption, accounting(drawn, drawn), rows.select("stratum").distinct())
+    drawn = rows.select("run_date", F.col("repo_full_name").alias("full_name"), F.col("event_type").alias("raw"))
+    report = run_report(snapshot, adoption, accounting(snapshot, drawn, drawn, drawn))
+    report = with_strata(report, rows.select("run_date", "stratum").distinct())
     return report.withColumn("top_libraries", F.col("top_libraries.library")).select(
         *[c for c in report.columns if c != "client_stats"], F.col("client_stats.notebooks_read").alias("notebooks_read")
     )

@@ -101,8 +101,9 @@ def contributors(observations: DataFrame) -> DataFrame:
     )
 
 
-def daily_snapshot(observations: DataFrame, run_dates: DataFrame | None = None) -> DataFrame:
-    """One row per run date; a frame of ``run_dates`` adds dates without rows."""
+def daily_snapshot(observations: DataFrame, run_dates: DataFrame | None = None, mode: str = "daily") -> DataFrame:
+    """One row per run date; a frame of ``run_dates`` adds dates without rows,
+    which are of the given mode."""
     declared = ratio(F.count_if(declares_version()), F.count_if(parsed()), 4)
     measured = observations.groupBy("run_date").agg(
         mode_label().alias("collection_type"),
@@ -117,7 +118,7 @@ def daily_snapshot(observations: DataFrame, run_dates: DataFrame | None = None)
     if run_dates is not None:
         snapshot = run_dates.join(snapshot, "run_date", "left")
         empty = {c: 0 for c in ("notebooks_collected", "notebooks_parsed", "repos_contributing", "strata_sampled")}
-        snapshot = snapshot.fillna({**empty, "parse_success_rate": 0.0, "collection_type": "daily"})
+        snapshot = snapshot.fillna({**empty, "parse_success_rate": 0.0, "collection_type": mode})
     return snapshot
 
 
@@ -150,7 +151,7 @@ def version_columns(shares: DataFrame, versions: list[str]) -> DataFrame:
 
 
 def library_adoption(
-    observations: DataFrame, categories: dict[str, str] = CATEGORY_OF, run_dates: DataFrame | None = None
+    observations: DataFrame, categories: dict[str, str] = CATEGORY_OF, run_dates: DataFrame | None = None, mode: str = "daily"
 ) -> DataFrame:
     """Dense adoption: a row per date and known library, unseen ones with 0.
 
@@ -164,7 +165,7 @@ def library_adoption(
     )
     if run_dates is not None:
         counts = run_dates.join(counts, "run_date", "left")
-        counts = counts.fillna({**dict.fromkeys([*known, "parsed"], 0), "collection_type": "daily"})
+        counts = counts.fillna({**dict.fromkeys([*known, "parsed"], 0), "collection_type": mode})
     entries = F.array(
         *[
             F.struct(F.lit(name).alias("library"), F.lit(categories[name]).alias("category"), F.col(name).alias("notebook_count"))
@@ -176,9 +177,11 @@ def library_adoption(
     return rows.withColumn("adoption_pct", pct).drop("parsed")
 
 
-def aggregate_days(observations: DataFrame, run_dates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Snapshot and adoption of every date in the input."""
-    return daily_snapshot(observations, run_dates), library_adoption(observations, run_dates=run_dates)
+def aggregate_days(
+    observations: DataFrame, run_dates: DataFrame | None = None, mode: str = "daily"
+) -> tuple[DataFrame, DataFrame]:
+    """Snapshot and adoption of every date in the input, which is of one mode per date."""
+    return daily_snapshot(observations, run_dates, mode), library_adoption(observations, run_dates=run_dates, mode=mode)
 
 
 def category_rollup(latest_adoption: DataFrame) -> DataFrame:

@@ -18,20 +18,26 @@ from tallyfold.operators.imports import ast_imports
 
 DOCUMENT_FIELDS = (
     "nbformat VARIANT, nbformat_minor VARIANT, metadata VARIANT, "
-    "cells VARIANT, worksheets VARIANT, unreadable STRING"
+    "cells VARIANT, worksheets VARIANT"
 )
-_JSON_OPTIONS = {"columnNameOfCorruptRecord": "unreadable", "allowSingleQuotes": "false"}
+_JSON_OPTIONS = {"allowSingleQuotes": "false"}
 
 
 # --- step 1: JSON text to VARIANT fields -------------------------------------
 
 def read_json(docs: DataFrame) -> DataFrame:
-    """Add ``doc`` (VARIANT fields), ``parse_ok`` and ``parse_error``."""
-    parsed = docs.withColumn("doc", F.from_json("raw", DOCUMENT_FIELDS, _JSON_OPTIONS))
+    """Add ``doc`` (VARIANT fields), ``parse_ok`` and ``parse_error``.
+
+    The text is read as the only element of a list, so that anything after the
+    object makes the list unreadable or longer.
+    """
+    listed = F.concat(F.lit("["), F.col("raw"), F.lit("]"))
+    read = docs.withColumn("read", F.from_json(listed, f"ARRAY<STRUCT<{DOCUMENT_FIELDS}>>", _JSON_OPTIONS))
+    parsed = read.withColumn("doc", F.when(F.size("read") == 1, F.col("read")[0])).drop("read")
     blanks = F.lit(" \t\r\n")
     opened = F.ltrim(F.col("raw"), blanks).startswith("{")
     framed = opened & F.rtrim(F.col("raw"), blanks).endswith("}")
-    ok = F.coalesce(framed & F.col("doc").isNotNull() & F.col("doc.unreadable").isNull(), F.lit(False))
+    ok = F.coalesce(framed & F.col("doc").isNotNull(), F.lit(False))
     error = F.when(~opened & F.try_parse_json("raw").isNotNull(), F.lit("top-level value is not an object")).otherwise(
         F.lit("json: invalid document")
     )

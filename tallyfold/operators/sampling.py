@@ -199,35 +199,43 @@ def plan_strata(plan: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Quota:
-    """How many ranked rows each stratum gives: ``pages`` pages of ``per_page``."""
+    """How many rows each stratum gives: an even share of ``sample_size``, ten at least.
+
+    ``result_cap`` restricts a stratum to its first ranks, as a service that
+    shows no more results would; None (the default) draws from all its rows.
+    """
 
     strata: int
     sample_size: int = V.REPO_SAMPLE_SIZE
-    result_cap: int = V.RESULT_CAP
+    result_cap: int | None = None
+
+    def __post_init__(self) -> None:
+        if self.result_cap is not None and self.result_cap < self.per_stratum:
+            raise ValueError(f"a stratum gives {self.per_stratum} rows, more than the result cap of {self.result_cap}")
 
     @property
     def per_stratum(self) -> int:
         return max(10, self.sample_size // max(1, self.strata))
 
-    @property
-    def per_page(self) -> int:
-        return min(50, self.per_stratum)
 
-    @property
-    def pages(self) -> int:
-        return max(1, self.per_stratum // self.per_page)
+@dataclass(frozen=True)
+class Limits:
+    """What a run takes at most per file, repository and date; None lifts a limit.
 
-    @property
-    def max_page(self) -> int:
-        return max(1, self.result_cap // self.per_page)
+    The run report counts the documents that these leave out.
+    """
+
+    file_bytes: int | None = V.MAX_FILE_BYTES
+    files_per_repo: int | None = V.MAX_FILES_PER_REPO
+    documents: int | None = V.TARGET_DOCUMENTS
+
+
+DEFAULT_LIMITS = Limits()
 
 
-def start_page(seed: Column, strategy: Column, quota: Quota) -> Column:
-    """Seeded first page of a stratum inside the result cap."""
-    if quota.max_page <= quota.pages:
-        return F.lit(1).cast("bigint")
-    spread = max(1, quota.max_page - quota.pages)
-    return F.pmod(_hex8(seeded_order(seed, strategy, F.lit("page"))), F.lit(spread)) + 1
+def start_rank(seed: Column, strategy: Column, spare: Column) -> Column:
+    """Ranks to skip in a stratum that has ``spare`` rows beyond its quota."""
+    return F.when(spare > 0, F.pmod(_hex8(seeded_order(seed, strategy, F.lit("page"))), spare + 1)).otherwise(0)
 
 
 SALTS = 64
@@ -248,13 +256,23 @@ def top_ranked(rows: DataFrame, groups: list[str], order: list[Column], k: int,
 
 
 def stratum_window(assigned: DataFrame, seed: Column, quota: Quota, by: tuple[str, ...] = ()) -> DataFrame:
-    """The seeded slice of each ranked stratum, within its first ``result_cap``
-    ranks.  A stratum with fewer rows than the slice starts at gives none."""
+    """The rows each stratum gives, with their rank; a stratum with fewer rows
+    than its quota gives all of them.
+
+    Without a result cap these are the first rows in seeded order, an even draw
+    from the whole stratum.  With one, the stratum is ranked by its sort value
+    and gives consecutive rows of its first ``result_cap`` from a seeded start.
+    """
+    group = [*by, "strategy", "stratum"]
     keyed = assigned.withColumn("order_key", seeded_order(seed, F.col("full_name")))
-    order = [F.desc_nulls_last("sort_value"), F.col("order_key"), F.col("full_name")]
-    ranked = top_ranked(keyed, [*by, "strategy", "stratum"], order, quota.result_cap, "rank").drop("order_key")
-    first = (start_page(seed, F.col("strategy"), quota) - 1) * quota.per_page
-    return ranked.where((F.col("rank") > first) & (F.col("rank") <= first + quota.pages * quota.per_page))
+    drawn = [F.col("order_key"), F.col("full_name")]
+    if quota.result_cap is None:
+        return top_ranked(keyed, group, drawn, quota.per_stratum, "rank").drop("order_key")
+    ranked = top_ranked(keyed, group, [F.desc_nulls_last("sort_value"), *drawn], quota.result_cap, "rank")
+    spare = F.max("rank").over(Window.partitionBy(*group)) - quota.per_stratum  # over result_cap rows at most
+    first = start_rank(seed, F.col("strategy"), spare)
+    placed = ranked.withColumn("first", first).where((F.col("rank") > F.col("first")) & (F.col("rank") <= F.col("first") + quota.per_stratum))
+    return placed.drop("first", "order_key")
 
 
 def dedup_pool(windowed: DataFrame, seed: Column, by: tuple[str, ...] = ()) -> DataFrame:
@@ -264,15 +282,20 @@ def dedup_pool(windowed: DataFrame, seed: Column, by: tuple[str, ...] = ()) -> D
     return ranked.where(F.col("served") == 1).drop("served")
 
 
-def eligible_files(files: DataFrame, max_bytes: int = V.MAX_FILE_BYTES) -> DataFrame:
-    """Document files outside checkpoint folders, up to the size limit."""
+def document_files(files: DataFrame) -> DataFrame:
+    """Document files outside checkpoint folders."""
     path = F.col("path")
-    return files.where(
-        (F.col("type") == "blob")
-        & path.endswith(".ipynb")
-        & ~path.contains(".ipynb_checkpoints/")
-        & (F.coalesce("size", F.lit(0)) <= max_bytes)
-    )
+    return files.where((F.col("type") == "blob") & path.endswith(".ipynb") & ~path.contains(".ipynb_checkpoints/"))
+
+
+def within_bytes(files: DataFrame, max_bytes: int | None) -> DataFrame:
+    """Files up to a size; one of unknown size is taken."""
+    return files if max_bytes is None else files.where(F.coalesce("size", F.lit(0)) <= max_bytes)
+
+
+def eligible_files(files: DataFrame, max_bytes: int | None = V.MAX_FILE_BYTES) -> DataFrame:
+    """Document files outside checkpoint folders, up to the size limit if there is one."""
+    return within_bytes(document_files(files), max_bytes)
 
 
 def cap_per_group(rows: DataFrame, groups: list[str], order: list[Column], cap: int = V.MAX_FILES_PER_REPO) -> DataFrame:
@@ -285,31 +308,63 @@ def cap_total(rows: DataFrame, order: list[Column], cap: int = V.TARGET_DOCUMENT
     return rows.orderBy(*order).limit(cap)
 
 
-def draw_files(pool: DataFrame, files: DataFrame, seed: Column, by: tuple[str, ...] = ()) -> DataFrame:
-    """Files of the pooled repositories, capped per repository.
+def pooled_files(pool: DataFrame, files: DataFrame) -> DataFrame:
+    """All document files of the pooled repositories.  The join is left to the
+    planner's size check: a pool of any quota may be passed."""
+    return document_files(files).join(pool, "full_name")
 
-    The pool is broadcast: its size is set by the quota (strata x pages x page
-    size repositories per run date), whatever the size of the population.  The
-    file listing stays in place and only capped rows are shuffled.
-    """
-    joined = eligible_files(files).join(F.broadcast(pool), "full_name")
-    return cap_per_group(joined, [*by, "full_name"], [seeded_order(seed, F.col("full_name"), F.col("path")), F.col("path")])
+
+def draw_files(listed: DataFrame, seed: Column, limits: Limits = DEFAULT_LIMITS, by: tuple[str, ...] = ()) -> DataFrame:
+    """The files of ``pooled_files`` that a run reads, within its limits."""
+    order = [seeded_order(seed, F.col("full_name"), F.col("path")), F.col("path")]
+    drawn = within_bytes(listed, limits.file_bytes)
+    if limits.files_per_repo is not None:
+        drawn = cap_per_group(drawn, [*by, "full_name"], order, limits.files_per_repo)
+    if limits.documents is None:
+        return drawn
+    order = [seeded_order(seed, F.col("full_name")), F.col("full_name"), *order]
+    if not by:
+        return cap_total(drawn, order, limits.documents)
+    ranked = drawn.withColumn("draw", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return ranked.where(F.col("draw") <= limits.documents)
 
 
 DAILY_QUOTA = Quota(strata=7)
 COHORT_QUOTA = Quota(strata=5)
 
 
+def day_pool(repos: DataFrame, run_date: date, seed_offset: int = 0, quota: Quota = DAILY_QUOTA) -> DataFrame:
+    """Repositories that a daily run considers."""
+    day = F.lit(run_date)
+    seed = date_seed(day, seed_offset)
+    return dedup_pool(stratum_window(assign(repos, daily_strata(day)), seed, quota), seed)
+
+
 def sample_day(
-    repos: DataFrame, files: DataFrame, run_date: date, seed_offset: int = 0, quota: Quota = DAILY_QUOTA
+    repos: DataFrame, files: DataFrame, run_date: date, seed_offset: int = 0, quota: Quota = DAILY_QUOTA, limits: Limits = DEFAULT_LIMITS
 ) -> tuple[DataFrame, DataFrame]:
     """Pool and drawn files of a daily run."""
-    day = F.lit(run_date)
-    seed = date_seed(day, seed_offset)
-    pool = dedup_pool(stratum_window(assign(repos, daily_strata(day)), seed, quota), seed)
-    drawn = draw_files(pool, files, seed)
-    order = [seeded_order(seed, F.col("full_name")), F.col("full_name"), F.col("pick")]
-    return pool, cap_total(drawn, order)
+    pool = day_pool(repos, run_date, seed_offset, quota)
+    return pool, draw_files(pooled_files(pool, files), date_seed(F.lit(run_date), seed_offset), limits)
+
+
+def cohort_seed(seed_offset: int = 0) -> Column:
+    return date_seed(F.make_date("cohort_year", F.lit(1), F.lit(1)), seed_offset)
+
+
+def cohort_pool(
+    repos: DataFrame,
+    start_year: int = V.FIRST_COHORT_YEAR,
+    end_year: int | None = None,
+    seed_offset: int = 0,
+    quota: Quota = COHORT_QUOTA,
+) -> DataFrame:
+    """Repositories considered for every creation year in a range, in one job."""
+    repos = repos.withColumn("cohort_year", F.year(F.to_date("created_at")))
+    last = F.year(F.current_date()) if end_year is None else F.lit(end_year)
+    repos = repos.where(F.col("cohort_year").between(F.lit(start_year), last))
+    seed, by = cohort_seed(seed_offset), ("cohort_year",)
+    return dedup_pool(stratum_window(assign(repos, cohort_strata()), seed, quota, by), seed, by)
 
 
 def sample_cohorts(
@@ -319,30 +374,30 @@ def sample_cohorts(
     end_year: int | None = None,
     seed_offset: int = 0,
     quota: Quota = COHORT_QUOTA,
+    limits: Limits = DEFAULT_LIMITS,
 ) -> tuple[DataFrame, DataFrame]:
     """Pool and drawn files of every creation year in a range, in one job."""
-    repos = repos.withColumn("cohort_year", F.year(F.to_date("created_at")))
-    last = F.year(F.current_date()) if end_year is None else F.lit(end_year)
-    repos = repos.where(F.col("cohort_year").between(F.lit(start_year), last))
-    seed = date_seed(F.make_date("cohort_year", F.lit(1), F.lit(1)), seed_offset)
-    by = ("cohort_year",)
-    pool = dedup_pool(stratum_window(assign(repos, cohort_strata()), seed, quota, by), seed, by)
-    drawn = draw_files(pool, files, seed, by)
-    order = [seeded_order(seed, F.col("full_name")), F.col("full_name"), F.col("pick")]
-    ranked = drawn.withColumn("draw", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return pool, ranked.where(F.col("draw") <= V.TARGET_DOCUMENTS)
+    pool = cohort_pool(repos, start_year, end_year, seed_offset, quota)
+    return pool, draw_files(pooled_files(pool, files), cohort_seed(seed_offset), limits, ("cohort_year",))
 
 
-def accounting(pool: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Run counts: repositories considered, reached with documents, and errors
-    (drawn files whose content could not be read)."""
-    reached = drawn.agg(
+def accounting(dates: DataFrame, pool: DataFrame, listed: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Counts per ``run_date``: repositories considered and reached with
+    documents, documents read, errors (drawn files whose content could not be
+    read) and documents that the run's limits left out."""
+    considered = pool.groupBy("run_date").agg(F.countDistinct("full_name").alias("repos_considered"))
+    reached = drawn.groupBy("run_date").agg(
         F.countDistinct("full_name").alias("repos_with_notebooks"),
         F.count_if(F.col("raw").isNotNull()).alias("notebooks_collected"),
         F.count_if(F.col("raw").isNull()).alias("errors"),
     )
-    considered = pool.agg(F.countDistinct("full_name")).scalar()
-    return reached.select(considered.alias("repos_considered"), "*")
+    found = listed.groupBy("run_date").agg(F.count("*").alias("listed"))
+    counts = dates.select("run_date")
+    for part in (considered, reached, found):
+        counts = counts.join(part, "run_date", "left")
+    counts = counts.fillna(0)
+    left_out = F.col("listed") - F.col("notebooks_collected") - F.col("errors")
+    return counts.withColumn("documents_left_out", left_out).drop("listed")
 
 
 def describe(assigned: DataFrame) -> DataFrame:

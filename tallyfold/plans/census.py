@@ -9,24 +9,30 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfold.fixed_values import FIRST_COHORT_YEAR
-from tallyfold.operators import aggregate, ranking, sampling
+from tallyfold.operators import aggregate, sampling
 from tallyfold.operators.observe import observe
 from tallyfold.sources import readers, sinks
 
 
+MODES = ("daily", "cohort")
+
+
 def land(drawn: DataFrame, contents: DataFrame) -> DataFrame:
     """Drawn files with their text; ``raw`` is null where it could not be read.
 
-    ``drawn`` is at most the run target per date (400), so it is sent to the
-    contents and their table is neither shuffled nor read twice.
+    Contents stored by :func:`sinks.write_contents` are read only in the folders
+    that the drawn repositories fall in.  The join with the contents is left to
+    the planner's size check of ``drawn``, which is stored.
     """
-    found = contents.select("full_name", "path", "raw").join(
-        F.broadcast(drawn.select("full_name", "path").distinct()), ["full_name", "path"]
-    )
+    if "bucket" in contents.columns:
+        wanted = drawn.select(readers.content_bucket(F.col("full_name")).alias("bucket")).distinct().collect()
+        contents = contents.where(F.col("bucket").isin([r.bucket for r in wanted]))  # CONTENT_BUCKETS numbers at most
+    keys = drawn.select("full_name", "path").distinct()
+    found = contents.select("full_name", "path", "raw").join(keys, ["full_name", "path"])
     return drawn.join(found, ["full_name", "path"], "left")
 
 
@@ -49,26 +55,50 @@ def provenance(landed: DataFrame, run_date: Column, collection_type: str) -> Dat
     )
 
 
-def stored_rows(spark: SparkSession, rows: DataFrame, path: str, span: Column) -> DataFrame:
-    """Write date partitions and return the stored rows of a span of dates, so
-    that whatever reads them next starts from files.  No rows is a valid result."""
-    sinks.write_dates(rows, path)
-    return in_span(readers.stored(spark, path, readers.with_date(rows.schema)), span)
+def stored_rows(rows: DataFrame, path: str, mode: str, dates: list[date]) -> DataFrame:
+    """Replace the dates of a run and return what is stored of them, so that
+    whatever reads them next starts from files.  No rows is a valid result."""
+    rows = rows.withColumn("collection_type", F.lit(mode))
+    sinks.write_dates(rows, path, collection_type=mode, replaced=dates)
+    return of_run(readers.stored(rows.sparkSession, path, readers.with_date(rows.schema)), mode, dates)
+
+
+def of_run(stored: DataFrame, mode: str, dates: list[date]) -> DataFrame:
+    """The rows of a run; only the folders of its dates are read."""
+    return stored.where((F.col("collection_type") == mode) & F.col("date").isin(dates))
 
 
-def in_span(stored: DataFrame, span: Column) -> DataFrame:
-    """The rows of a span of dates; ``span`` tests the partition column ``date``,
-    so only those folders are read."""
-    return stored.where(span)
+def date_rows(spark: SparkSession, dates: list[date]) -> DataFrame:
+    return spark.createDataFrame([(d,) for d in dates], "run_date date")
 
 
-def store_aggregates(root: str, rows: DataFrame, dates: DataFrame) -> None:
+def store_aggregates(root: str, rows: DataFrame, dates: list[date], mode: str) -> tuple[DataFrame, DataFrame]:
     """Snapshot, version shares and adoption of the given dates from their stored
-    observations.  Dates without rows get an empty snapshot and zero adoption."""
-    snapshot, adoption = aggregate.aggregate_days(rows, dates)
-    sinks.write_dates(snapshot, f"{root}/daily_snapshots")
-    sinks.write_dates(adoption, f"{root}/library_adoption")
-    sinks.write_dates(aggregate.version_share(rows), f"{root}/version_shares")
+    observations of one mode; returns snapshot and adoption as stored.  Dates
+    without rows get an empty snapshot and zero adoption.  The whole snapshot and
+    adoption history is mirrored as CSV: a row per date, and per date and library."""
+    spark, stored = rows.sparkSession, []
+    for name, table in zip(("daily_snapshots", "library_adoption"), aggregate.aggregate_days(rows, date_rows(spark, dates), mode)):
+        stored.append(stored_rows(table, f"{root}/{name}", mode, dates))
+        whole = readers.stored(spark, f"{root}/{name}", readers.with_date(table.schema))
+        sinks.write_csv(whole.drop("date"), f"{root}/csv/{name}")
+    sinks.write_dates(aggregate.version_share(rows), f"{root}/version_shares", collection_type=mode, replaced=dates)
+    return stored[0], stored[1]
+
+
+def store_run(pool: DataFrame, files: DataFrame, contents: DataFrame, root: str, mode: str, dates: list[date], draw) -> DataFrame:
+    """From the pool of a run (with ``run_date``) to its report; every step is
+    stored, so the population and the listing are read once."""
+    spark = pool.sparkSession
+    pool = stored_rows(pool, f"{root}/pool", mode, dates)
+    listed = stored_rows(sampling.pooled_files(pool.drop("date"), files), f"{root}/listed", mode, dates)
+    drawn = stored_rows(draw(listed), f"{root}/drawn", mode, dates)
+    landed = stored_rows(land(drawn, contents), f"{root}/landed", mode, dates)
+    found = observe(provenance(landed, F.col("run_date"), mode))
+    observed = stored_rows(found, f"{root}/observations", mode, dates)
+    snapshot, adoption = store_aggregates(root, observed, dates, mode)
+    counts = sampling.accounting(date_rows(spark, dates), pool, listed, landed)
+    return run_report(snapshot, adoption, counts)
 
 
 def run_day(
@@ -80,21 +110,13 @@ def run_day(
     run_date: date,
     seed_offset: int = 0,
     quota: sampling.Quota = sampling.DAILY_QUOTA,
+    limits: sampling.Limits = sampling.DEFAULT_LIMITS,
 ) -> DataFrame:
     """One daily census; returns its report row."""
-    day = F.lit(run_date)
-    dates, span = spark.range(1).select(day.alias("run_date")), F.col("date") == day
-    pool, drawn = sampling.sample_day(repos, files, run_date, seed_offset, quota)
-    pool = stored_rows(spark, pool.withColumn("run_date", day), f"{root}/pool", span)
-    landed = stored_rows(spark, land(drawn, contents).withColumn("run_date", day), f"{root}/landed", span)
-    observed = stored_rows(spark, observe(provenance(landed, day, "daily")), f"{root}/observations", span)
-    store_aggregates(root, observed, dates)
-    report = run_report(
-        in_span(readers.stored(spark, f"{root}/daily_snapshots"), span),
-        in_span(readers.stored(spark, f"{root}/library_adoption"), span),
-        sampling.accounting(pool, landed),
-        sampling.plan_rows(dates, seed_offset),
-    )
+    seed = sampling.date_seed(F.lit(run_date), seed_offset)
+    pool = sampling.day_pool(repos, run_date, seed_offset, quota).withColumn("run_date", F.lit(run_date))
+    report = store_run(pool, files, contents, root, "daily", [run_date], lambda listed: sampling.draw_files(listed, seed, limits))
+    report = with_strata(report, sampling.plan_rows(date_rows(spark, [run_date]), seed_offset))
     sinks.write_json(report, f"{root}/last_run_report")
     return report
 
@@ -109,50 +131,54 @@ def run_backfill(
     end_year: int | None = None,
     seed_offset: int = 0,
     quota: sampling.Quota = sampling.COHORT_QUOTA,
+    limits: sampling.Limits = sampling.DEFAULT_LIMITS,
 ) -> DataFrame:
     """All creation-year cohorts of a range in one job; one report row per
     year, newest first."""
-    last = F.year(F.current_date()) if end_year is None else F.lit(end_year)
-    years = spark.range(1).select(F.explode(F.sequence(F.lit(start_year), last)).alias("cohort_year"))
-    dates = years.select(F.make_date("cohort_year", F.lit(1), F.lit(1)).alias("run_date"))
-    key = F.col("date")
-    span = (F.dayofyear(key) == 1) & key.between(F.make_date(F.lit(start_year), F.lit(1), F.lit(1)), F.make_date(last, F.lit(1), F.lit(1)))
-    _, drawn = sampling.sample_cohorts(repos, files, start_year, end_year, seed_offset, quota)
-    dated = land(drawn, contents).withColumn("run_date", F.make_date("cohort_year", F.lit(1), F.lit(1)))
-    landed = stored_rows(spark, dated, f"{root}/landed", span)
-    observed = stored_rows(spark, observe(provenance(landed, F.col("run_date"), "cohort")), f"{root}/observations", span)
-    store_aggregates(root, observed, dates)
-    strata = sampling.plan_strata(sampling.cohort_plan_rows(years, seed_offset))
-    snapshots = in_span(readers.stored(spark, f"{root}/daily_snapshots"), span)
-    report = snapshots.select("run_date", "notebooks_collected", "notebooks_parsed", "repos_contributing")
-    return report.join(strata, "run_date").orderBy(F.desc("run_date"))
+    last = spark.range(1).select(F.year(F.current_date())).first()[0] if end_year is None else end_year
+    dates = [date(year, 1, 1) for year in range(start_year, last + 1)]
+    first_day = F.make_date("cohort_year", F.lit(1), F.lit(1))
+    pool = sampling.cohort_pool(repos, start_year, last, seed_offset, quota).withColumn("run_date", first_day)
+    seed, by = sampling.cohort_seed(seed_offset), ("cohort_year",)
+    report = store_run(pool, files, contents, root, "cohort", dates, lambda listed: sampling.draw_files(listed, seed, limits, by))
+    years = date_rows(spark, dates).select(F.year("run_date").alias("cohort_year"))
+    return with_strata(report, sampling.cohort_plan_rows(years, seed_offset)).orderBy(F.desc("run_date"))
 
 
 def reaggregate(spark: SparkSession, root: str, run_date: date) -> None:
-    """Recompute one stored date; a date without observations is an error."""
-    rows = readers.observations(spark, f"{root}/observations", run_date)
-    if rows is None or rows.isEmpty():
+    """Recompute one stored date in every mode it has; a date without
+    observations is an error."""
+    found = False
+    for mode in MODES:
+        rows = readers.observations(spark, f"{root}/observations", run_date, collection_type=mode)
+        if rows is not None and not rows.isEmpty():
+            store_aggregates(root, rows, [run_date], mode)
+            found = True
+    if not found:
         raise ValueError(f"no observations stored for {run_date.isoformat()}")
-    store_aggregates(root, rows, spark.range(1).select(F.lit(run_date).alias("run_date")))
 
 
-def run_report(snapshot: DataFrame, adoption: DataFrame, counts: DataFrame, plan: DataFrame) -> DataFrame:
-    """The report of one run as one row: counts, strata and top ten libraries.
+def run_report(snapshot: DataFrame, adoption: DataFrame, counts: DataFrame) -> DataFrame:
+    """The report of a run, a row per date: counts and the top ten libraries.
 
-    The lists are bounded: at most seven strata and ten libraries.
+    Ranks are cut at ten per date before the lists are made.
     """
-    top = ranking.top_libraries(adoption, 10).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("adoption_pct"), "library", "category", "notebook_count")), asc=False)
-    )
-    strata = plan.agg(F.array_sort(F.collect_list("stratum")))
-    row = snapshot.withColumn("run", counts.select(F.struct("*")).scalar())
-    return row.select(
+    rank = F.row_number().over(Window.partitionBy("run_date").orderBy(F.desc("adoption_pct"), "library"))
+    best = adoption.withColumn("rank", rank).where("rank <= 10").groupBy("run_date")
+    entry = F.struct(F.col("adoption_pct"), "library", "category", "notebook_count")
+    top = best.agg(F.sort_array(F.collect_list(entry), asc=False).alias("top_libraries"))
+    return snapshot.select("run_date", "notebooks_collected", "notebooks_parsed").join(
+        counts.select(
+            "run_date",
+            F.col("repos_considered").alias("repos_sampled"),
+            F.create_map(F.lit("notebooks_read"), F.col("notebooks_collected")).alias("client_stats"),
+            "errors",
+            "documents_left_out",
+        ),
         "run_date",
-        "notebooks_collected",
-        "notebooks_parsed",
-        F.col("run.repos_considered").alias("repos_sampled"),
-        strata.scalar().alias("strata"),
-        top.scalar().alias("top_libraries"),
-        F.create_map(F.lit("notebooks_read"), F.col("run.notebooks_collected")).alias("client_stats"),
-        F.col("run.errors").alias("errors"),
-    )
+    ).join(top, "run_date", "left")
+
+
+def with_strata(report: DataFrame, plan: DataFrame) -> DataFrame:
+    """The report with the strata each date was drawn from."""
+    return report.join(sampling.plan_strata(plan), "run_date", "left")

@@ -6,13 +6,16 @@ from which :func:`trend_document` makes one JSON document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.fixed_values import KEY_LIBRARIES
 from tallyfold.operators import ranking, trends
 from tallyfold.sources import readers, sinks
 
+DAILY_COUNTS = ("notebooks_collected", "notebooks_parsed", "n_daily_snapshots")
+DAILY_MAPS = ("quality_indices_mean", "structure", "python_version_share_pct")
+
 
 def _facts(rows: DataFrame, section, subject, period=None, value=None, text=None) -> DataFrame:
     as_col = lambda v, kind: (F.lit(None) if v is None else v).cast(kind)
@@ -62,21 +65,60 @@ def trend_facts(snapshots: DataFrame, adoption: DataFrame, versions: DataFrame |
 
 
 def trend_document(facts: DataFrame) -> DataFrame:
-    """The facts as one JSON document: section -> subject -> value or series.
+    """The facts as one JSON document: ``daily_census`` with counts, ranked
+    libraries, quality, structure and version shares; ``cohorts`` with span,
+    series by year and sentences.  A part without history is left out.
 
     The fact table is bounded by years x indicators, not by the census size.
     """
-    entry = F.when(F.col("period").isNull(), F.coalesce("text", F.col("value").cast("string")))
-    series = F.map_from_entries(
-        F.array_sort(F.collect_list(F.when(F.col("period").isNotNull(), F.struct("period", "value"))))
+    period, value, text = F.col("period"), F.col("value"), F.col("text")
+    series = F.array_sort(F.collect_list(F.when(period.isNotNull(), F.struct("period", "value"))))
+    subjects = facts.groupBy("section", "subject").agg(F.max("value").alias("value"), F.max("text").alias("text"), series.alias("series"))
+
+    def of(section: str) -> Column:
+        return F.col("section") == section
+
+    def single(section: str, subject: str, column: str, kind: str) -> Column:
+        return F.max(F.when(of(section) & (F.col("subject") == subject), F.col(column))).cast(kind).alias(subject)
+
+    def members(section: str, column: str) -> Column:
+        pairs = F.array_sort(F.collect_list(F.when(of(section), F.struct("subject", column))))
+        if column == "series":
+            pairs = F.transform(pairs, lambda p: F.struct(p.subject, F.map_from_entries(p.series)))
+        return F.map_from_entries(pairs).alias(section)
+
+    listed = F.collect_list(
+        F.when(of("top_libraries"), F.struct((-value).alias("order"), F.col("subject").alias("library"), text.alias("category"), value.alias("pct")))
+    )
+    whole = subjects.agg(
+        single("daily_census", "latest_date", "text", "string"),
+        *[single("daily_census", n, "value", "bigint") for n in DAILY_COUNTS],
+        F.array_sort(listed).alias("ranked"),
+        members("top_library_counts", "value"),
+        *[members(n, "value") for n in DAILY_MAPS],
+        F.struct(
+            single("cohorts", "span", "text", "string"),
+            *[single("cohorts", n, "value", "bigint") for n in ("n_cohorts", "notebooks_per_cohort")],
+            members("library_adoption_pct_by_creation_year", "series"),
+            members("library_trend_summaries", "text"),
+            members("structure_and_quality_by_creation_year", "series"),
+        ).alias("cohorts"),
+    )
+    top = F.transform(
+        "ranked",
+        lambda r: F.struct(
+            r.library.alias("library"),
+            r.category.alias("category"),
+            r.pct.alias("adoption_pct"),
+            F.try_element_at("top_library_counts", r.library).cast("bigint").alias("notebook_count"),
+        ),
     )
-    subjects = facts.groupBy("section", "subject").agg(F.max(entry).alias("fact"), series.alias("series"))
-    sections = subjects.groupBy("section").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("subject", "fact")))).alias("facts"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("subject", F.to_json("series").alias("series"))))).alias("series"),
+    daily = F.struct("latest_date", *DAILY_COUNTS, top.alias("top_libraries"), *DAILY_MAPS)
+    parts = F.struct(
+        F.when(F.col("latest_date").isNotNull(), daily).alias("daily_census"),
+        F.when(F.col("cohorts.span").isNotNull(), F.col("cohorts")).alias("cohorts"),
     )
-    whole = F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", F.to_json(F.struct("facts", "series")).alias("body")))))
-    return sections.agg(F.to_json(whole).alias("context"))
+    return whole.select(F.to_json(parts).alias("context"))
 
 
 def store_context(spark: SparkSession, root: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
@@ -45,6 +45,20 @@ def raw_documents(spark: SparkSession, root: str, max_bytes: int | None = None,
     )
 
 
+CONTENT_BUCKETS = 1024
+
+
+def content_bucket(full_name: Column) -> Column:
+    """The folder that the contents of a repository are stored in."""
+    return F.pmod(F.crc32(full_name.cast("binary")), F.lit(CONTENT_BUCKETS)).cast("int")
+
+
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """Contents stored by ``sinks.write_contents``, with their ``bucket``."""
+    schema = "full_name string, path string, size_bytes bigint, raw string, bucket int"
+    return spark.read.schema(schema).parquet(path)
+
+
 def valid_text(content):
     """Bytes as text, with U+FFFD for whatever is not UTF-8."""
     return F.make_valid_utf8(content.cast("string"))
@@ -96,16 +110,6 @@ def enrich(registry: DataFrame, metadata: DataFrame) -> DataFrame:
     return registry.join(metadata.withColumnRenamed("name", "pypi"), "pypi", "left")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread a scan over all cores when it has fewer splits than there are.
-
-    Reading documents costs far more than moving them, so one small file must
-    not be one task.  An input with enough splits is left where it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def stored(
     spark: SparkSession, path: str, schema: StructType | str | None = None, base: str | None = None
 ) -> DataFrame | None:
@@ -127,15 +131,22 @@ def stored(
 
 def with_date(schema: StructType) -> StructType:
     """A schema with the partition column."""
-    return schema if "date" in schema.names else StructType([*schema.fields, StructField("date", DateType())])
+    if "date" in schema.names:
+        return schema
+    return StructType([*schema.fields, StructField("date", DateType())])
 
 
 def observations(
-    spark: SparkSession, root: str, run_date: date | None = None, schema: StructType | None = None
+    spark: SparkSession,
+    root: str,
+    run_date: date | None = None,
+    schema: StructType | None = None,
+    collection_type: str | None = None,
 ) -> DataFrame | None:
-    """Stored observations of all dates, or of one, whose folder alone is listed."""
+    """Stored observations of all dates, or of one, whose folders alone are listed."""
     schema = None if schema is None else with_date(schema)
     if run_date is None:
         return stored(spark, root, schema)
-    rows = stored(spark, f"{root}/date={run_date.isoformat()}", schema, root)
+    mode = "collection_type=*/" if collection_type is None else f"collection_type={collection_type}/"
+    rows = stored(spark, f"{root}/{mode}date={run_date.isoformat()}", schema, root)
     return None if rows is None else rows.where(F.col("date") == F.lit(run_date))

@@ -2,20 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.sources.readers import content_bucket, stored
+
+KEYS = ("collection_type", "date")
 
-def write_dates(rows: DataFrame, root: str, run_date=None) -> None:
-    """Write date partitions; a date that is written again is replaced.
 
-    The rebalance hint gathers each date into few files and splits a date that
-    is too large for one task.
+def write_dates(
+    rows: DataFrame, root: str, run_date: date | None = None, collection_type: str = "daily", replaced: Iterable[date] = ()
+) -> None:
+    """Write rows by collection type and date; a date that is written again is
+    replaced in its own collection type only.
+
+    ``run_date`` and ``collection_type`` are given to rows that have no such
+    column or no value in it.  ``replaced`` names the dates of a run: those it finds no rows for
+    are emptied.  It is as long as the run has dates.  ``rows`` must not read
+    the dates they replace.  The rebalance hint gathers each date into few
+    files and splits a date that is too large for one task.
     """
     if "run_date" not in rows.columns:
         rows = rows.withColumn("run_date", F.lit(run_date).cast("date"))
+    mode = F.lit(collection_type)
+    if "collection_type" in rows.columns:
+        mode = F.coalesce("collection_type", mode)
+    rows = rows.withColumn("collection_type", mode)
+    for day in replaced:
+        empty_date(rows, f"{root}/collection_type={collection_type}/date={day.isoformat()}")
     dated = rows.withColumn("date", F.to_date("run_date")).hint("rebalance", F.col("date"))
-    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(root)
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(root)
+
+
+def empty_date(rows: DataFrame, folder: str) -> None:
+    """Leave no rows in the folder of one date, if there is one."""
+    spark = rows.sparkSession
+    if stored(spark, folder) is not None:
+        none = spark.createDataFrame([], rows.drop(*KEYS).schema)
+        none.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
+
+
+def write_contents(documents: DataFrame, path: str) -> None:
+    """Store landed documents by the bucket of their repository, so that a run
+    opens only the folders it draws from."""
+    rows = documents.select("full_name", "path", "size_bytes", "raw", content_bucket(F.col("full_name")).alias("bucket"))
+    rows.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "run_date") -> DataFrame:
@@ -27,7 +61,7 @@ def upsert(existing: DataFrame, new: DataFrame, key: str = "run_date") -> DataFr
 
 def write_csv(table: DataFrame, path: str) -> None:
     """Mirror a table as CSV files with headers, in date order."""
-    ordered = table.orderBy(*[c for c in ("run_date", "library") if c in table.columns])
+    ordered = table.orderBy(*[c for c in ("run_date", "collection_type", "library") if c in table.columns])
     ordered.write.mode("overwrite").option("header", "true").csv(path)
 
 

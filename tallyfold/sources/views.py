@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.sources.readers import stored
 
-TABLES = ("observations", "daily_snapshots", "library_adoption")
+TABLES = ("observations", "daily_snapshots", "library_adoption", "version_shares")
 
 
 def register_views(spark: SparkSession, root: str) -> list[str]:

@@ -1,19 +1,20 @@
 """Land documents as they arrive and keep the touched dates' tables current.
 
-A micro-batch may hold only part of a date, so its rows are appended to the
-landed table and each touched date is then read again in full before its
+A micro-batch may hold only part of a date, so its rows are appended to a
+table of arrivals and each touched date is then read again in full before its
 observations and aggregates are replaced.  A batch that is run twice writes
-the same folders again, which keeps a restarted query exact.
+the same folders again, which keeps a restarted query exact.  Rows whose
+collection type is not ``cohort`` are daily ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyfold.operators.observe import observe
-from tallyfold.plans.census import store_aggregates
+from tallyfold.plans import census
 from tallyfold.sources import readers, sinks
 
 LANDED = (
@@ -23,14 +24,26 @@ LANDED = (
 )
 
 
-def refresh_dates(spark: SparkSession, root: str, dates: DataFrame) -> None:
-    """Rebuild observations and aggregates of the given dates from all that has
-    landed for them.  The joins on the partition column prune what is read."""
-    touched = dates.select(F.col("run_date").alias("date"))
-    landed = spark.read.parquet(f"{root}/landed").join(touched, "date", "left_semi").drop("batch", "date")
-    sinks.write_dates(observe(landed), f"{root}/observations")
-    observed = readers.stored(spark, f"{root}/observations").join(touched, "date", "left_semi")
-    store_aggregates(root, observed, dates)
+ARRIVALS = f"{LANDED}, date date, batch bigint"
+ONE_DOCUMENT = ("run_date", "collection_type", "repo_full_name", "path")
+
+
+def refresh_dates(spark: SparkSession, root: str, touched: DataFrame) -> None:
+    """Rebuild observations and aggregates of the given (``collection_type``,
+    ``run_date``) from all that has arrived for them.  The joins on the
+    partition columns prune what is read.  A document that came more than once
+    counts once, as it came last."""
+    keys = touched.select("collection_type", F.col("run_date").alias("date"))
+    arrived = spark.read.schema(ARRIVALS).parquet(f"{root}/arrivals").join(keys, ["collection_type", "date"], "left_semi")
+    newest = F.row_number().over(Window.partitionBy(*ONE_DOCUMENT).orderBy(F.desc("batch"), F.md5("raw")))
+    landed = arrived.withColumn("copy", newest).where("copy = 1").drop("copy", "batch", "date")
+    observed = observe(landed)
+    sinks.write_dates(observed, f"{root}/observations")
+    stored = readers.stored(spark, f"{root}/observations", readers.with_date(observed.schema))
+    for mode in census.MODES:
+        dates = [r.run_date for r in touched.where(F.col("collection_type") == mode).select("run_date").collect()]
+        if dates:
+            census.store_aggregates(root, census.of_run(stored, mode, dates), dates, mode)
 
 
 def take_batch(root: str):
@@ -38,11 +51,18 @@ def take_batch(root: str):
 
     def take(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumns({"date": F.col("run_date"), "batch": F.lit(batch_id)})
+        cohort = F.col("collection_type") == "cohort"
+        rows = batch.withColumns(
+            {
+                "collection_type": F.when(cohort, F.lit("cohort")).otherwise(F.lit("daily")),
+                "date": F.col("run_date"),
+                "batch": F.lit(batch_id).cast("bigint"),
+            }
+        )
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("batch", "date").parquet(f"{root}/landed")
-        mine = spark.read.parquet(f"{root}/landed").where(F.col("batch") == batch_id)
-        refresh_dates(spark, root, mine.select("run_date").distinct())
+        writer.partitionBy("collection_type", "date", "batch").parquet(f"{root}/arrivals")
+        mine = spark.read.schema(ARRIVALS).parquet(f"{root}/arrivals").where(F.col("batch") == batch_id)
+        refresh_dates(spark, root, mine.select("collection_type", "run_date").distinct())
 
     return take
 

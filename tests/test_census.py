@@ -11,7 +11,7 @@ from test_parse import DOCUMENTS
 
 from tallyfold.fixed_values import TREND_LIBRARIES
 from tallyfold.operators import aggregate, ranking, trends
-from tallyfold.operators.sampling import Quota
+from tallyfold.operators.sampling import Limits, Quota
 from tallyfold.plans import census
 from tallyfold.plans.context import store_context, trend_facts
 from tallyfold.sources import readers
@@ -20,7 +20,7 @@ from tallyfold.streaming import landing
 DAY = date(2026, 7, 7)
 REPOS = "full_name string, default_branch string, stars bigint, size_kb bigint, created_at string, pushed_at string, topics array<string>"
 NAMES = list(DOCUMENTS)
-DAILY, COHORT = Quota(7, result_cap=17), Quota(5, result_cap=24)
+DAILY, COHORT = Quota(7), Quota(5)
 
 
 @pytest.fixture(scope="module")
@@ -74,8 +74,7 @@ def test_charts_of_the_stored_history(spark, root):
     adoption = trends.prefer_mode(table(spark, root, "library_adoption"), "daily")
     bars = ranking.latest_ranking(adoption).collect()
     assert len(bars) == 15 and [r.adoption_pct for r in bars] == sorted(r.adoption_pct for r in bars)
-    # two days, and the cohort year without rows, whose mode defaults to daily
-    assert trends.adoption_series(adoption).count() == 3 * len(TREND_LIBRARIES)
+    assert trends.adoption_series(adoption).count() == 2 * len(TREND_LIBRARIES)
     rollup = {r.category: r.notebook_count for r in aggregate.category_rollup(trends.latest_rows(adoption)).collect()}
     assert rollup["array"] > 0 and min(rollup.values()) > 0
     cohorts = trends.prefer_mode(table(spark, root, "library_adoption"), "cohort", "daily")
@@ -92,7 +91,7 @@ def test_running_a_day_again_changes_nothing(spark, landed, root):
 
 def test_backfill_keys_years_and_keeps_empty_ones(spark, root):
     rows = {r.run_date.isoformat(): r for r in table(spark, root, "daily_snapshots").where("collection_type = 'cohort'").collect()}
-    assert set(rows) == {"2014-01-01", "2015-01-01", "2016-01-01"}
+    assert set(rows) == {"2013-01-01", "2014-01-01", "2015-01-01", "2016-01-01"}
     empty = table(spark, root, "daily_snapshots").where("date = '2013-01-01'").first()
     assert (empty.notebooks_collected, empty.parse_success_rate, empty.notebook_size_index_mean) == (0, 0.0, None)
     adoption = table(spark, root, "library_adoption").where("date = '2013-01-01'")
@@ -108,10 +107,43 @@ def test_a_day_without_documents_is_still_stored(spark, landed, tmp_path):
     assert (snapshot.notebooks_parsed, snapshot.parse_success_rate, snapshot.collection_type) == (0, 0.0, "daily")
 
 
+def test_a_run_that_finds_less_replaces_its_date(spark, landed, tmp_path):
+    repos, files, contents = landed
+    root = str(tmp_path)
+    first = census.run_day(spark, repos, files, contents, root, DAY, quota=DAILY).first()
+    assert first.notebooks_collected > 0 and table(spark, root, "version_shares").count() > 0
+    again = census.run_day(spark, repos.where("false"), files, contents, root, DAY, quota=DAILY).first()
+    assert (again.notebooks_collected, again.repos_sampled, again.errors, again.documents_left_out) == (0, 0, 0, 0)
+    assert all(table(spark, root, t).isEmpty() for t in ("pool", "landed", "observations", "version_shares"))
+    census.run_backfill(spark, *landed, root, 2014, 2015, quota=COHORT)
+    census.run_backfill(spark, repos.where("created_at >= '2015'"), files, contents, root, 2014, 2015, quota=COHORT)
+    counts = {r.run_date.year: r.notebooks_collected for r in table(spark, root, "daily_snapshots").where("collection_type = 'cohort'").collect()}
+    assert counts[2014] == 0 < counts[2015]
+
+
+def test_first_of_january_holds_both_modes(spark, landed, tmp_path):
+    root, day = str(tmp_path), date(2016, 1, 1)
+    census.run_day(spark, *landed, root, day, quota=DAILY)
+    census.run_backfill(spark, *landed, root, 2016, 2016, quota=COHORT)
+    for name in ("observations", "daily_snapshots", "library_adoption"):
+        assert {r[0] for r in table(spark, root, name).select("collection_type").distinct().collect()} == {"daily", "cohort"}
+    before = sorted(map(str, table(spark, root, "daily_snapshots").collect()))
+    census.reaggregate(spark, root, day)
+    assert sorted(map(str, table(spark, root, "daily_snapshots").collect())) == before
+
+
+def test_limits_reach_the_report(spark, landed, tmp_path):
+    cut = census.run_day(spark, *landed, str(tmp_path / "a"), DAY, quota=Quota(7, 1000), limits=Limits(documents=10)).first()
+    whole = census.run_day(spark, *landed, str(tmp_path / "b"), DAY, quota=Quota(7, 1000), limits=Limits(None, None, None)).first()
+    assert whole.documents_left_out == 0 and cut.documents_left_out > 0
+    read = cut.notebooks_collected + cut.errors + cut.documents_left_out
+    assert read == whole.notebooks_collected + whole.errors and cut.notebooks_collected + cut.errors == 10
+
+
 def test_backfill_reports_newest_first(spark, landed, tmp_path):
     rows = census.run_backfill(spark, *landed, str(tmp_path), 2013, 2016, quota=COHORT).collect()
     assert [r.run_date.year for r in rows] == [2016, 2015, 2014, 2013]
-    assert all(len(r.strata) == 5 for r in rows) and [r.notebooks_collected > 0 for r in rows] == [True, True, True, False]
+    assert all(len(r.strata) == 5 for r in rows) and all(len(r.top_libraries) == 10 for r in rows) and [r.notebooks_collected > 0 for r in rows] == [True, True, True, False]
 
 
 def test_recomputing_a_date_gives_the_same_rows(spark, root):
@@ -130,14 +162,17 @@ def test_context_of_the_stored_history(spark, root):
     facts = trend_facts(table(spark, root, "daily_snapshots").drop("date"), table(spark, root, "library_adoption").drop("date"), shares)
     found = {(r.section, r.subject, r.period): r for r in facts.collect()}
     assert found["daily_census", "latest_date", None].text == "2026-07-08"
-    assert found["cohorts", "span", None].text == "2014-2016"
+    assert found["cohorts", "span", None].text == "2013-2016"
     assert ("library_trend_summaries", "numpy", None) in found
     assert any(section == "python_version_share_pct" for section, _, _ in found)
     store_context(spark, root)
     (line,) = spark.read.text(f"{root}/trend_context").collect()
     context = json.loads(line.value)
-    census_facts = json.loads(context["daily_census"])["facts"]
-    assert census_facts["latest_date"] == "2026-07-08" and census_facts["n_daily_snapshots"]
+    daily = context["daily_census"]
+    assert daily["latest_date"] == "2026-07-08" and daily["n_daily_snapshots"] == 2 and len(daily["top_libraries"]) == 20
+    assert daily["python_version_share_pct"] and context["cohorts"]["library_adoption_pct_by_creation_year"]["numpy"]["2014"] is not None
+    mirror = spark.read.option("header", "true").csv(f"{root}/csv/daily_snapshots")
+    assert mirror.count() == table(spark, root, "daily_snapshots").count()
 
 
 def test_trend_sentence(spark):
@@ -185,4 +220,6 @@ def test_stream_rebuilds_each_touched_date_in_full(spark, tmp_path):
     land((DAY, "legacy"), (DAY + timedelta(days=1), "good"))
     counts = {r.run_date: r.notebooks_collected for r in table(spark, root, "daily_snapshots").collect()}
     assert counts == {DAY: 3, DAY + timedelta(days=1): 1}
+    land((DAY, "good"))  # delivered again
+    assert table(spark, root, "daily_snapshots").where(F.col("date") == DAY).first().notebooks_collected == 3
     assert table(spark, root, "observations").count() == 4

@@ -51,6 +51,9 @@ DOCUMENTS = {
     "blank": "",
     "spaces": "   ",
     "trailing": "{} x",
+    "two_objects": "{} {}",
+    "listed_objects": "{},{}",
+    "glued": '{"a":1}x',
     "single_quotes": "{'nbformat': 4}",
     "empty": "{}",
     "list": "[]",
@@ -108,7 +111,7 @@ def test_legacy_layout(parsed):
     assert parsed["null_cells"].code_cells == 1
 
 
-@pytest.mark.parametrize("name", ["malformed", "blank", "spaces", "trailing", "single_quotes", "list", "null", "number"])
+@pytest.mark.parametrize("name", ["malformed", "blank", "spaces", "trailing", "two_objects", "listed_objects", "glued", "single_quotes", "list", "null", "number"])
 def test_unreadable_documents_keep_a_default_row(parsed, name):
     r = parsed[name]
     assert not r.parse_ok and r.parse_error

@@ -95,22 +95,36 @@ def test_size_5000_lies_in_two_ranges(spark):
     assert strata(S.assign(row, every_range)) == {"repo_size:size:500..5000", "repo_size:size:5000..50000"}
 
 
-@pytest.mark.parametrize(("n", "per", "page", "pages"), [(7, 17, 17, 1), (5, 24, 24, 1), (1, 120, 50, 2), (50, 10, 10, 1)])
-def test_quota(n, per, page, pages):
-    q = S.Quota(n)
-    assert (q.per_stratum, q.per_page, q.pages) == (per, page, pages)
+@pytest.mark.parametrize(("n", "size", "per"), [(7, 120, 17), (5, 120, 24), (1, 120, 120), (50, 120, 10), (7, 10000, 1428)])
+def test_quota(n, size, per):
+    assert S.Quota(n, size).per_stratum == per
 
 
-def test_windows_stay_inside_the_cap(spark, repos):
-    seed, quota = S.date_seed(F.lit(DAY)), S.Quota(7)
-    window = S.stratum_window(S.assign(repos, S.daily_strata(F.lit(DAY))), seed, quota).collect()
-    assert window and max(r["rank"] for r in window) <= V.RESULT_CAP
+def test_quota_beyond_the_cap_is_an_error():
+    with pytest.raises(ValueError, match="result cap"):
+        S.Quota(7, sample_size=10000, result_cap=1000)
+
+
+@pytest.mark.parametrize("cap", [None, 1000, 30])
+def test_strata_give_their_quota_or_all_they_have(spark, repos, cap):
+    seed, quota = S.date_seed(F.lit(DAY)), S.Quota(7, result_cap=cap)
+    assigned = S.assign(repos, S.daily_strata(F.lit(DAY)))
+    sizes = {r.strategy: r["count"] for r in assigned.groupBy("strategy").count().collect()}
     by = {}
-    for r in window:
+    for r in S.stratum_window(assigned, seed, quota).collect():
         by.setdefault(r.strategy, []).append(r["rank"])
-    for ranks in by.values():
-        assert sorted(ranks) == list(range(min(ranks), min(ranks) + len(ranks))) and len(ranks) <= quota.pages * quota.per_page
-        assert (min(ranks) - 1) % quota.per_page == 0
+    assert by.keys() == sizes.keys()
+    for name, ranks in by.items():
+        assert len(ranks) == min(sizes[name], quota.per_stratum) and max(ranks) <= (cap or quota.per_stratum)
+        assert sorted(ranks) == list(range(min(ranks), min(ranks) + len(ranks)))
+
+
+def test_limits_can_be_lifted(repos, files):
+    none = S.Limits(None, None, None)
+    pool, drawn = S.sample_day(repos, files, DAY, quota=S.Quota(7, 100000), limits=none)
+    assert drawn.count() == S.pooled_files(pool, files).count()
+    _, some = S.sample_day(repos, files, DAY, quota=S.Quota(7, 100000), limits=S.Limits(None, 2, 30))
+    assert some.count() == 30 and max(r["count"] for r in some.groupBy("full_name").count().collect()) <= 2
 
 
 def test_file_filter(files):

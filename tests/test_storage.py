@@ -118,13 +118,34 @@ def test_scratch_folder_is_under_the_named_root(spark):
     assert a != b and a.startswith(root) and b.startswith(root)
 
 
-def test_small_scans_are_spread_and_others_left(spark, tmp_path):
-    path = str(tmp_path / "one")
-    spark.range(10).coalesce(1).write.parquet(path)
-    one = spark.read.parquet(path)
-    assert readers.spread(one).rdd.getNumPartitions() == 4
-    many = spark.range(10, numPartitions=6)
-    assert readers.spread(many) is many
+def test_modes_of_one_date_are_kept_apart(spark, tmp_path):
+    root = str(tmp_path / "t")
+    sinks.write_dates(rows(spark, (D1, 1)), root)
+    sinks.write_dates(rows(spark, (D1, 2)), root, collection_type="cohort")
+    sinks.write_dates(rows(spark, (D1, 3, None), schema="run_date date, x int, collection_type string"), root)
+    got = sorted((r.collection_type, r.x) for r in readers.stored(spark, root).collect())
+    assert got == [("cohort", 2), ("daily", 3)]
+
+
+def test_dates_of_a_run_without_rows_are_emptied(spark, tmp_path):
+    root = str(tmp_path / "t")
+    for mode in ("daily", "cohort"):
+        sinks.write_dates(rows(spark, (D1, 1), (D2, 2), (D3, 3)), root, collection_type=mode)
+    sinks.write_dates(rows(spark, (D2, 20)), root, replaced=[D1, D2, date(2030, 1, 1)])
+    got = sorted((r.collection_type, r.run_date, r.x) for r in readers.stored(spark, root).collect())
+    assert got == [("cohort", D1, 1), ("cohort", D2, 2), ("cohort", D3, 3), ("daily", D2, 20), ("daily", D3, 3)]
+
+
+def test_contents_are_read_in_the_drawn_buckets_only(spark, tmp_path):
+    from tallyfold.plans.census import land
+
+    names = [f"o/r{i}" for i in range(40)]
+    documents = spark.createDataFrame([(n, "a", 1, f"text {n}") for n in names], "full_name string, path string, size_bytes bigint, raw string")
+    sinks.write_contents(documents, str(tmp_path))
+    drawn = spark.createDataFrame([("o/r3", "a"), ("o/r3", "gone"), (None, "a")], "full_name string, path string")
+    landed = land(drawn, readers.contents(spark, str(tmp_path)))
+    assert {(r.full_name, r.path, r.raw) for r in landed.collect()} == {("o/r3", "a", "text o/r3"), ("o/r3", "gone", None), (None, "a", None)}
+    assert "PartitionFilters: [isnotnull(bucket" in physical_plan(landed) or "PartitionFilters: [bucket" in physical_plan(landed)
 
 
 @pytest.mark.parametrize("size", [1, 5000])
