@@ -16,15 +16,17 @@ prefix, which two such sets share.
 
 Search.  A block's sets are dealt into chunks, each pair of chunks is a task.
 There each set queries the inverted lists of the others by DivideSkip: its L
-longest lists are put aside, the short ones are merged, documents on T - L or more
-of them are kept, and these are looked up in the long lists by binary search.  A
+longest lists are put aside, the short ones are merged by a heap, documents on T - L or
+more of them are kept, and these are looked up in the long lists by binary search.  A
 set is not compared with those it is already connected to.  Only connections
 leave a task, so a group of n near copies gives about n rows and not n squared.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -256,6 +258,37 @@ def _search(n: int, percent: int) -> Callable:
     return search
 
 
+def occurrences(ordered: list[list[int]], need: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers on ``need`` or more of some sorted lists, none of them empty, and on how many.
+
+    A heap holds the head of each list.  When its least number is on too few lists, the ``need`` - 1 lists with
+    the least heads cannot bring an earlier one to ``need``, so they jump to the next head by binary search.
+    """
+    at = [0] * len(ordered)
+    heap = [(heads[0], k) for k, heads in enumerate(ordered)]
+    heapify(heap)
+    numbers, counts = [], []
+    while len(heap) >= need:
+        number, taken = heap[0][0], []
+        while heap and heap[0][0] == number:
+            taken.append(heappop(heap)[1])
+        if len(taken) >= need:
+            numbers.append(number)
+            counts.append(len(taken))
+            number += 1
+        else:
+            while heap and len(taken) < need - 1:
+                taken.append(heappop(heap)[1])
+            if not heap:
+                break
+            number = heap[0][0]
+        for k in taken:
+            at[k] = bisect_left(ordered[k], number, at[k])
+            if at[k] < len(ordered[k]):
+                heappush(heap, (ordered[k][at[k]], k))
+    return np.array(numbers, dtype=np.int64), np.array(counts, dtype=np.int64)
+
+
 def connections(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of similar sets that connect whatever similar pairs connect; with ``side``, pairs of unlike sides count only.
 
@@ -287,17 +320,24 @@ def connections(sets: list[np.ndarray], percent: int, side: np.ndarray | None =
         aside = min(least - 1, int(least / (_MU * np.log2(max(2, length.max())) + 1)))  # L
         own = own[np.argsort(length, kind="stable")]
         short, long = own[: len(own) - aside], own[len(own) - aside :]
-        merged = np.concatenate([lists[offset[t] : offset[t + 1]] for t in short.tolist()])
-        seen = np.bincount(merged, minlength=count)[x + 1 : last]
-        candidates = np.flatnonzero(free & (seen >= least - aside)) + x + 1
+        need = least - aside
+        first, end = (np.searchsorted(entries, short * count + at) for at in (x + 1, last))  # the partners' stretch
+        filled = np.flatnonzero(end > first)
+        if len(filled) < need:
+            continue
+        held = [lists[i:j].tolist() for i, j in zip(first[filled].tolist(), end[filled].tolist())]
+        candidates, seen = occurrences(held, need)
+        new = free[candidates - x - 1]
+        candidates, seen = candidates[new], seen[new]
         for start in range(0, len(candidates), 64):
-            part = candidates[start : start + 64]
-            part = part[group[part] != group[x]]
+            part, short_hits = candidates[start : start + 64], seen[start : start + 64]
+            new = group[part] != group[x]
+            part, short_hits = part[new], short_hits[new]
             if not len(part):
                 continue
             wanted = (long[:, None] * count + part[None, :]).ravel()
             at = np.minimum(np.searchsorted(entries, wanted), len(entries) - 1)
-            overlap = seen[part - x - 1] + (entries[at] == wanted).reshape(len(long), len(part)).sum(axis=0)
+            overlap = short_hits + (entries[at] == wanted).reshape(len(long), len(part)).sum(axis=0)
             for y in part[100 * overlap >= percent * (size[x] + size[part] - overlap)].tolist():
                 if group[y] != group[x]:
                     group[group == group[y]] = group[x]

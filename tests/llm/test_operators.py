@@ -115,6 +115,16 @@ def test_jaccard_groups_against_brute_force(spark, awkward):
     assert J.jaccard_groups(documents(spark, awkward).where("false")).count() == 0
 
 
+def test_heap_merge_counts_as_a_full_count():
+    draw = random.Random(11)
+    for _ in range(200):
+        ordered = [sorted(draw.sample(range(30), draw.randint(1, 20))) for _ in range(draw.randint(0, 12))]
+        need = draw.randint(1, 8)
+        want = {v: n for v, n in Counter(v for values in ordered for v in values).items() if n >= need}
+        numbers, counts = J.occurrences(ordered, need)
+        assert dict(zip(numbers.tolist(), counts.tolist())) == want
+
+
 def test_search_connects_what_all_pairs_connect():
     draw = random.Random(2)
     for turn in range(30):
