@@ -332,6 +332,30 @@ def run_accounting(spark, sf):
     return S.accounting(spark.range(1).select(F.lit(RUN_DATE).alias("run_date")), pool, listed, read)
 
 
+_CONTENT = "o_totalprice >= 20000"
+
+
+@query(
+    "run_day_counts",
+    f"""{_DRAWN_SQL}, read AS (SELECT {_CONTENT} AS found, year(o_orderdate) < 1999 AS whole
+    FROM drawn JOIN orders ON path = 'nb/' || o_orderkey || '.ipynb')
+  SELECT '{RUN_DATE.isoformat()}' AS run_date, count(*) FILTER (found) AS notebooks_collected,
+  count(*) FILTER (found AND whole) AS notebooks_parsed, (SELECT count(*) FROM pool) AS repos_sampled,
+  count(*) FILTER (NOT found) AS errors,
+  (SELECT count(*) FROM documents_listed JOIN pool USING (full_name)) - count(*) AS documents_left_out FROM read""",
+)
+def run_day_counts(spark, sf):
+    """A whole daily run: some contents cannot be found, some are cut off."""
+    from tallyfold.plans import census
+    from tallyfold.session import scratch_folder
+
+    cut_off = F.when(F.year("o_orderdate") < 1999, F.lit('{"nbformat":4,"cells":[]}')).otherwise(F.lit('{"cells":['))
+    files = repository_files(spark, sf)
+    contents = files.where(F.col("size") >= 200000).select("full_name", "path", cut_off.alias("raw"))
+    report = census.run_day(spark, repositories(spark, sf), files, contents, scratch_folder(spark, "run"), RUN_DATE)
+    return report.select("run_date", "notebooks_collected", "notebooks_parsed", "repos_sampled", "errors", "documents_left_out")
+
+
 @query(
     "strata_described",
     _stratum_sql(_STAR_SQL.format(parity="0"), _STAR_SQL.format(parity="1")).replace("WITH", "WITH strata AS (WITH", 1)

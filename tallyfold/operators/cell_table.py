@@ -87,31 +87,61 @@ def order_anomalies(runs: DataFrame, key: str, position: str, block: int = BLOCK
     return across.groupBy(key).agg(F.sum(F.col("inside") + F.col("across")).cast("int").alias("execution_order_anomalies"))
 
 
-def _spread() -> list[Column]:
-    return [
-        F.count("run").alias("n"),
-        F.countDistinct("run").alias("different"),
-        F.min("run").alias("low"),
-        F.max("run").alias("high"),
-    ]
+def _in_order(cells: DataFrame, key: str, position: str, tallies: list[Column], block: int = BLOCK) -> DataFrame:
+    """Tallies, and the spread and order of ``run`` (null: did not run), per document.
+
+    The cells are read once: a number's first cell is marked, then blocks of
+    positions are compared inside and summed, then the blocks of a document are
+    compared and summed.  A cell that did not run is a group of its own, so no
+    task holds all of them.
+    """
+    number = F.coalesce("run", -1 - F.col(position))
+    first_cell = F.row_number().over(Window.partitionBy(key, number).orderBy(position)) == 1
+    within = Window.partitionBy(key, "block").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last("run", ignorenulls=True).over(within)
+    ran_at = F.when(F.col("run").isNotNull(), F.col(position))
+    marked = cells.withColumn("new", first_cell).withColumn("block", F.floor(F.col(position) / block))
+    blocks = (
+        marked.withColumn("back", F.col("run") <= before)
+        .groupBy(key, "block")
+        .agg(
+            *tallies,
+            F.count("run").alias("n"),
+            F.count_if(F.col("new") & F.col("run").isNotNull()).alias("different"),
+            F.min("run").alias("low"),
+            F.max("run").alias("high"),
+            F.count_if("back").alias("inside"),
+            F.min_by("run", ran_at).alias("first"),
+            F.max_by("run", ran_at).alias("last"),
+        )
+    )
+    until = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.last("last", ignorenulls=True).over(until)
+    joined = blocks.withColumn("across", F.when(F.col("first") <= earlier, 1).otherwise(0))
+    kinds = dict(blocks.dtypes)
+    summed = [c for c in blocks.columns if c not in (key, "block", "low", "high", "inside", "first", "last")]
+    return joined.groupBy(key).agg(
+        *[F.sum(c).cast(kinds[c]).alias(c) for c in summed],
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.sum(F.col("inside") + F.col("across")).cast("int").alias("execution_order_anomalies"),
+    )
 
 
 def _execution_columns(rows: DataFrame) -> DataFrame:
-    """Columns on the run from its spread and its anomalies (null: nothing ran).
+    """Columns on the run from its spread and its anomalies.
 
     The counts are 1..n exactly when they are n different numbers with
     smallest 1 and largest n; a clean run also has no anomaly.
     """
-    anomalies = F.coalesce("execution_order_anomalies", F.lit(0))
     ran = F.col("n") > 0
     whole = ran & (F.col("n") == F.col("different")) & (F.col("low") == 1) & (F.col("high") == F.col("n"))
     return rows.withColumns(
         {
             "executed_code_cells": F.col("n").cast("int"),
             "max_execution_count": F.coalesce("high", F.lit(0).cast("bigint")),
-            "execution_order_anomalies": anomalies,
             "has_execution_gaps": ran & ~F.coalesce(whole, F.lit(False)),
-            "fully_executed_in_order": F.coalesce(whole & (anomalies == 0), F.lit(False)),
+            "fully_executed_in_order": F.coalesce(whole & (F.col("execution_order_anomalies") == 0), F.lit(False)),
         }
     ).drop("n", "different", "low", "high")
 
@@ -119,17 +149,11 @@ def _execution_columns(rows: DataFrame) -> DataFrame:
 def execution_profile(typed: DataFrame, key: str, position: str) -> DataFrame:
     """Executed cells, largest count, anomalies, gaps and clean runs of every
     document in which something ran."""
-    runs = executed(typed, key, position)
-    spread = runs.withColumnRenamed("count", "run").groupBy(key).agg(*_spread())
-    return _execution_columns(spread.join(order_anomalies(runs, key, position), key, "left"))
+    runs = executed(typed, key, position).withColumnRenamed("count", "run")
+    return _execution_columns(_in_order(runs, key, position, []))
 
 
 def cell_table_features(typed: DataFrame, key: str, position: str) -> DataFrame:
-    """Tallies, ratios and execution columns of every document in the table.
-
-    ``typed`` is read twice, for the sums and for the order of the run; store
-    it first when reading its cells is the larger part of the work.
-    """
-    tallies = typed.withColumn("run", run_count()).groupBy(key).agg(*_tallies(), *_spread())
-    anomalies = order_anomalies(executed(typed, key, position), key, position)
-    return with_ratios(_execution_columns(tallies.join(anomalies, key, "left")))
+    """Tallies, ratios and execution columns of every document in the table."""
+    cells = typed.withColumn("run", run_count())
+    return with_ratios(_execution_columns(_in_order(cells, key, position, _tallies())))

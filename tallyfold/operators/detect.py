@@ -61,16 +61,22 @@ def summary_columns() -> dict[str, Column]:
     }
 
 
+SALTS = 32
+
+
 def detect_by_join(modules: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     """Detection against a registry table of any size.
 
     ``modules`` has (``key``, ``module``).  The join side is left to the
     planner's size check; with a small registry the hits are joined and combined
-    in place and only the lists are shuffled.  Repeats fall away in the sets,
+    in place and only the lists are shuffled.  With a large one, documents are
+    dealt over salts, so a module that every document names is split.  Repeats fall away in the sets,
     whose size is bounded by the registry entries one document can name.
     """
     entries = registry.select("module", "library", "category").distinct()
-    hits = modules.select(key, "module").join(entries, "module")
+    entries = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
+    hits = modules.select(key, "module", salt.alias("salt")).join(entries, ["module", "salt"])
     return hits.groupBy(key).agg(
         F.array_sort(F.collect_set("library")).alias("libraries"),
         F.array_sort(F.collect_set("category")).alias("categories"),

@@ -107,3 +107,19 @@ def test_join_detection_matches_the_lookup(spark):
     rows = spark.createDataFrame([(i, m) for i, m in enumerate(MODULE_TO_LIBRARY)] * 3 + [(999, "nowhere")], "id int, module string")
     hits = {r.id: r.libraries for r in detect.detect_by_join(rows, detect.registry_frame(spark), "id").collect()}
     assert hits == {i: [lib] for i, lib in enumerate(MODULE_TO_LIBRARY.values())}
+
+
+def test_a_module_of_all_documents_is_split(spark):
+    from conftest import physical_plan
+
+    rows = spark.range(4000).select("id", F.explode(F.array(F.lit("numpy"), F.concat(F.lit("m"), "id"))).alias("module"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = detect.detect_by_join(rows, detect.registry_frame(spark), "id")
+        plan = physical_plan(found)
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(got) == 4000 and all(r.libraries == ["numpy"] for r in got)
+    assert "hashpartitioning(module" in plan and "salt" in plan.split("hashpartitioning(module")[1][:60]
