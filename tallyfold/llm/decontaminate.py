@@ -9,9 +9,14 @@ must be consistent: one benchmark value stands for one document value and the
 other way round.  So a question asked with other numbers is still found, while a
 table row that merely has its shape is not.
 
-The benchmark's windows are sent to every task in parts of at most ``PART``
-windows, each a pass over the documents, so that memory stays bounded for any
-benchmark.  A document's windows never leave its task: a passage that a third of
+Templates of few plain tokens fit too much: windows below ``LITERAL_SHARE`` and
+items below ``least`` tokens are not looked up as templates.  All windows are
+also looked up by their words alone, so that verbatim copies are found whatever
+their slots, line breaks or length.
+
+The benchmark's windows are sent to every task in parts of about ``PART``
+windows in each of the two lanes, each a pass over the documents, so that memory
+stays bounded for any benchmark.  A document's windows never leave its task: a passage that a third of
 all documents hold makes one row each.
 """
 
@@ -30,7 +35,7 @@ from tallyfold.llm.tables import text_key
 from tallyfold.llm.words import U64, Words, flat, grams, slices, split_words
 
 PART = 2_000_000
-LITERAL_SHARE = 0.5  # a window needs this share of plain tokens
+LITERAL_SHARE = 0.5  # a window needs this share of plain tokens to be looked up as a template
 
 UNITS = (
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs oz pound pounds ounce ounces ml cl l liter liters litre litres "
@@ -51,9 +56,10 @@ _ENDS[[ord(c) for c in ".!?:"]] = True
 
 @dataclass
 class Templates:
-    """Tokens of neighbouring texts: template hashes, types, and the words without punctuation."""
+    """Tokens of neighbouring texts: hashes of words and of templates, types, and the words without punctuation."""
 
     words: Words
+    word: np.ndarray
     lane: np.ndarray
     kind: np.ndarray
     first: np.ndarray
@@ -71,6 +77,11 @@ class Templates:
         at = np.flatnonzero(inside)
         return at, hashes[at]
 
+    def verbatim(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of all windows of n tokens, and hashes of their words."""
+        at = np.flatnonzero(self.words.windows(n))
+        return at, grams(self.word, n)[at]
+
 
 def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
     lower = _lowered(data)
@@ -89,11 +100,12 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> Templates:
     begins[1:] |= _line_between(data, words.ends[:-1], words.starts[1:])
     starts, ends, begins = starts[keep], ends[keep], begins[keep]
     stripped = Words(lower, words.offsets, starts, ends, np.searchsorted(keep, words.first))
-    lane = stripped.hashes(0)
+    word = stripped.hashes(0)
+    lane = word.copy()
     kind = _kinds(data, lower, stripped, begins)
     slots = kind != _PLAIN
     lane[slots] = _PLACEHOLDER[kind[slots]]
-    return Templates(stripped, lane, kind, stripped.first)
+    return Templates(stripped, word, lane, kind, stripped.first)
 
 
 def _lowered(data: np.ndarray) -> np.ndarray:
@@ -133,37 +145,44 @@ def _kinds(data: np.ndarray, lower: np.ndarray, words: Words, begins: np.ndarray
     return kind
 
 
+TEMPLATE, VERBATIM, SURE = "template", "verbatim", "sure"  # SURE: by words alone, as no template covers the window
+
+
 @dataclass
 class Benchmark:
-    """Windows of some items: sorted hashes with item and position, by window length, and the slots."""
+    """Windows of some items: sorted hashes with item and position, by lane and window length, and the slots."""
 
-    lengths: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    lengths: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
     slots: dict[int, dict[int, tuple[int, bytes]]]
 
 
 def benchmark_parts(items: DataFrame, window: int, id_col: str, text_col: str, least: int, part: int = PART) -> list[Benchmark]:
-    """The benchmark's windows, in parts of bounded size; an item lies in one part."""
+    """The benchmark's windows, in parts of bounded size; an item lies in one part, a small rest in the last."""
     parts, lengths, slots, held = [], {}, {}, 0
-
-    def close() -> None:
-        nonlocal lengths, slots, held
-        if lengths:
-            parts.append(Benchmark({n: _sorted(rows) for n, rows in lengths.items()}, slots))
-        lengths, slots, held = {}, {}, 0
-
     for row in items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct().toLocalIterator():
         t = templates(*flat(pa.array([row.t])))
         n = min(window, len(t.lane))
-        at, hashes = t.windows(n)
-        if n < least or not len(at):
+        if not n:
             continue
-        lengths.setdefault(n, []).append((hashes, np.full(len(at), row.i), at))
+        every, words = t.verbatim(n)
+        at, hashes = t.windows(n) if n >= least else (every[:0], words[:0])
+        covered = np.isin(every, at)
+        for lane, here, h in ((TEMPLATE, at, hashes), (VERBATIM, every[covered], words[covered]), (SURE, every[~covered], words[~covered])):
+            if len(here):
+                lengths.setdefault((lane, n), []).append((h, np.full(len(here), row.i), here))
         slots.setdefault(row.i, {}).update({int(k): (int(t.kind[k]), t.value(k)) for k in np.flatnonzero(t.kind)})
-        held += len(at)
-        if held >= part:
-            close()
-    close()
-    return parts
+        held += len(at) + len(every)
+        if held >= 2 * part:
+            parts.append((lengths, slots))
+            lengths, slots, held = {}, {}, 0
+    if parts:
+        for key, rows in lengths.items():
+            parts[-1][0].setdefault(key, []).extend(rows)
+        for item, own in slots.items():
+            parts[-1][1].setdefault(item, {}).update(own)
+    elif lengths:
+        parts.append((lengths, slots))
+    return [Benchmark({key: _sorted(rows) for key, rows in lengths.items()}, slots) for lengths, slots in parts]
 
 
 def _sorted(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,8 +197,9 @@ def find_contamination(
     """One row per document row and item found in it: doc_id, crc (of the text), item_id, n_windows, n_tokens (of the
     document under them), changed_slots (values that differ from the benchmark's).
 
-    Items shorter than ``window`` tokens are one window; those below ``least`` tokens, null texts and null
-    item ids are not looked for.  Null and empty documents hold nothing.  Items that share an id are
+    Items shorter than ``window`` tokens are one window.  Items below ``least`` tokens and windows with less than
+    ``LITERAL_SHARE`` plain tokens are found word for word only, all others with other slots too; so an item of one
+    word is found wherever this word is.  Items without words, null texts and null item ids are not looked for.  Null and empty documents hold nothing.  Items that share an id are
     judged together only where their texts are equal.  Repeated document rows give repeated rows.
     Other columns are not read.  No documents or no items, no rows.
     """
@@ -217,10 +237,11 @@ def _look_up(sent) -> Callable:
 
 def _matches(t: Templates, bench: Benchmark) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, windows, tokens, changed slots) of consistent finds."""
-    hits: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+    hits: dict[tuple[int, int, int], set[tuple[int, int]]] = {}
+    sure: dict[tuple[int, int, int], set[tuple[int, int]]] = {}
     text_of = t.words.text_of
-    for n, (hashes, items, positions) in bench.lengths.items():
-        at, own = t.windows(n)
+    for (lane, n), (hashes, items, positions) in bench.lengths.items():
+        at, own = t.windows(n) if lane == TEMPLATE else t.verbatim(n)
         low = np.searchsorted(hashes, own)
         known = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == own)
         for k in known.tolist():
@@ -228,20 +249,28 @@ def _matches(t: Templates, bench: Benchmark) -> Iterator[tuple[int, int, int, in
                 if hashes[j] != own[k]:
                     break
                 key = (int(text_of[at[k]]), int(items[j]), int(at[k] - positions[j]))
-                hits.setdefault(key, []).append((int(at[k]), n))
+                (sure if lane == SURE else hits).setdefault(key, set()).add((int(at[k]), n))
     found: dict[tuple[int, int], list] = {}
-    for (text, item, diagonal), windows in hits.items():
-        tokens = {i for at, n in windows for i in range(at, at + n)}
-        changed = _changed(t, tokens, diagonal, bench.slots[item])
-        if changed is not None:
+    for key in hits.keys() | sure.keys():
+        text, item, diagonal = key
+        windows, copied = hits.get(key, set()), sure.get(key, set())
+        changed = _changed(t, _under(windows), diagonal, bench.slots[item])
+        if changed is None:
+            windows, changed = set(), 0
+        windows = windows | copied
+        if windows:
             total = found.setdefault((text, item), [0, set(), 0])
             total[0] += len(windows)
-            total[1] |= tokens
+            total[1] |= _under(windows)
             total[2] += changed
     for (text, item), (windows, tokens, changed) in sorted(found.items()):
         yield text, item, windows, len(tokens), changed
 
 
+def _under(windows: set[tuple[int, int]]) -> set[int]:
+    return {i for at, n in windows for i in range(at, at + n)}
+
+
 def _changed(t: Templates, tokens: set[int], diagonal: int, slots: dict[int, tuple[int, bytes]]) -> int | None:
     """How many slots hold another value than the benchmark's; None if they contradict each other."""
     there: dict[tuple[int, bytes], bytes] = {}

@@ -271,6 +271,22 @@ def test_templates_find_other_numbers_and_reject_contradictions(spark):
     assert len(several) == 2
 
 
+def found_in(spark, texts, items):
+    out = decontaminate.find_contamination(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    return {(r.doc_id, r.item_id): r for r in out}
+
+
+def test_copies_are_found_whatever_their_slots_and_length(spark):
+    names = "In the list are Anna Berg Carl Dorn Emil Falk Greta Hahn Ida Jung Karl Lenz Maria Noll Otto Pohl and nobody else"
+    table = "12 4 99 3 17 56 81 40 23 77 65 31 8 90 54 26"
+    items = [(1, "What is 12 + 34 + 56 + 78 + 90 + 11"), (2, names), (3, table), (4, "What is the capital of France?"), (5, " ... "), (6, "")]
+    texts = [(i, f"Some words before it. {t}\nand some behind it") for i, t in items if i < 5]
+    texts += [(20, names.replace("Carl Dorn", "Carl\nDorn")), (21, table.replace("56", "57")), (22, "What is the capital of Spain?"), (23, "... nothing ...")]
+    found = found_in(spark, texts, items)
+    assert found.keys() == {(1, 1), (2, 2), (3, 3), (4, 4), (20, 2)} and {r.changed_slots for r in found.values()} == {0}
+    assert found[4, 4].n_tokens == 6 and found[3, 3].n_windows == 4
+
+
 def test_classifier_on_held_out_rows(spark, sf_dir):
     texts = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
     labels = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/labels.parquet")
