@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.tables import text_key
-from tallyfold.llm.words import U64, Words, flat, grams, slices, split_words
+from tallyfold.llm.words import U64, Words, chain, flat, grams, slices, split_words
 
 PART = 2_000_000
 LITERAL_SHARE = 0.5  # a window needs this share of plain tokens to be looked up as a template
@@ -68,14 +68,20 @@ class Templates:
         return self.words.data[self.words.starts[token] : self.words.ends[token]].tobytes()
 
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of windows of n tokens that may be looked up, and their hashes."""
-        hashes = grams(self.lane, n)
-        if not len(hashes):
-            return np.zeros(0, dtype=np.int64), hashes
+        """Positions of windows of n tokens that may be looked up, and their hashes.
+
+        Whether the first token is a name or a unit depends on what stands before the window, so such a
+        window has a second hash, with the word itself.
+        """
+        if len(self.lane) < n:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64)
+        rest = grams(self.lane, n - 1)[1:] if n > 1 else np.zeros(len(self.lane), dtype=U64)
         plain = np.concatenate([[0], np.cumsum(self.kind == _PLAIN)])
-        inside = self.words.windows(n) & (plain[n:] - plain[:-n] >= np.ceil(LITERAL_SHARE * n))
-        at = np.flatnonzero(inside)
-        return at, hashes[at]
+        share, least, inside = plain[n:] - plain[:-n], np.ceil(LITERAL_SHARE * n), self.words.windows(n)
+        first = self.kind[: len(rest)]
+        typed = np.flatnonzero(inside & (share >= least))
+        worded = np.flatnonzero(inside & ((first == _NAME) | (first == _UNIT)) & (share + 1 >= least))
+        return np.concatenate([typed, worded]), np.concatenate([chain(self.lane[typed], rest[typed]), chain(self.word[worded], rest[worded])])
 
     def verbatim(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of all windows of n tokens, and hashes of their words."""

@@ -287,6 +287,18 @@ def test_copies_are_found_whatever_their_slots_and_length(spark):
     assert found[4, 4].n_tokens == 6 and found[3, 3].n_windows == 4
 
 
+def test_short_items_are_found_in_the_middle_of_a_line(spark):
+    item = "What is the capital of France and which 3 rivers run through it?"
+    other = item.replace("France", "Spain").replace("3", "5")
+    before = ["3) ", 'he said." ', "first, ", "a word ", "4 ", "", "End. "]
+    texts = [(2 * i + k, f"{b}{t} and so on") for i, b in enumerate(before) for k, t in enumerate((item, other))]
+    items = [(1, item), (2, "hours after the start of the walk they had 4 apples")]
+    texts += [(100, "It was 3 hours after the start of the walk they had 5 apples")]
+    found = found_in(spark, texts, items)
+    assert found.keys() == {(i, 1) for i in range(2 * len(before))} | {(100, 2)}
+    assert all(r.changed_slots == (2 * (d % 2) if d < 100 else 1) for (d, _), r in found.items())
+
+
 def test_classifier_on_held_out_rows(spark, sf_dir):
     texts = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
     labels = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/labels.parquet")
