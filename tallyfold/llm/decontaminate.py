@@ -3,11 +3,12 @@
 A text becomes a sequence of tokens: words without the punctuation around them,
 in lower case; numbers, names and units of measure are replaced by a
 placeholder of their type and remembered as slots.  Windows of ``window`` tokens
-are hashed; those of a document are looked up among the benchmark's.  Windows of
-one document and item that lie on one diagonal belong together, and their slots
-must be consistent: one benchmark value stands for one document value and the
-other way round.  So a question asked with other numbers is still found, while a
-table row that merely has its shape is not.
+are hashed; those of a document are looked up among the benchmark's.  The
+slots of a window must be consistent: one benchmark value stands for one document
+value and the other way round.  A window that contradicts itself also takes those
+with it that share tokens with it and lie on its diagonal.  So a question asked
+with other numbers is still found, while a table row that merely has its shape is
+not, and a long passage is found though one of its numbers was changed.
 
 Templates of few plain tokens fit too much: windows below ``LITERAL_SHARE`` and
 items below ``least`` tokens are not looked up as templates.  All windows are
@@ -156,16 +157,17 @@ TEMPLATE, VERBATIM, SURE = "template", "verbatim", "sure"  # SURE: by words alon
 
 @dataclass
 class Benchmark:
-    """Windows of some items: sorted hashes with item and position, by lane and window length, and the slots."""
+    """Windows of some items: sorted hashes with item text and position, by lane and window length; id and slots of each item text."""
 
     lengths: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
-    slots: dict[int, dict[int, tuple[int, bytes]]]
+    slots: dict[int, tuple[int, dict[int, tuple[int, bytes]]]]
 
 
 def benchmark_parts(items: DataFrame, window: int, id_col: str, text_col: str, least: int, part: int = PART) -> list[Benchmark]:
     """The benchmark's windows, in parts of bounded size; an item lies in one part, a small rest in the last."""
     parts, lengths, slots, held = [], {}, {}, 0
-    for row in items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct().toLocalIterator():
+    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
+    for number, row in enumerate(rows.toLocalIterator()):
         t = templates(*flat(pa.array([row.t])))
         n = min(window, len(t.lane))
         if not n:
@@ -175,8 +177,8 @@ def benchmark_parts(items: DataFrame, window: int, id_col: str, text_col: str, l
         covered = np.isin(every, at)
         for lane, here, h in ((TEMPLATE, at, hashes), (VERBATIM, every[covered], words[covered]), (SURE, every[~covered], words[~covered])):
             if len(here):
-                lengths.setdefault((lane, n), []).append((h, np.full(len(here), row.i), here))
-        slots.setdefault(row.i, {}).update({int(k): (int(t.kind[k]), t.value(k)) for k in np.flatnonzero(t.kind)})
+                lengths.setdefault((lane, n), []).append((h, np.full(len(here), number), here))
+        slots[number] = row.i, {int(k): (int(t.kind[k]), t.value(k)) for k in np.flatnonzero(t.kind)}
         held += len(at) + len(every)
         if held >= 2 * part:
             parts.append((lengths, slots))
@@ -184,8 +186,7 @@ def benchmark_parts(items: DataFrame, window: int, id_col: str, text_col: str, l
     if parts:
         for key, rows in lengths.items():
             parts[-1][0].setdefault(key, []).extend(rows)
-        for item, own in slots.items():
-            parts[-1][1].setdefault(item, {}).update(own)
+        parts[-1][1].update(slots)
     elif lengths:
         parts.append((lengths, slots))
     return [Benchmark({key: _sorted(rows) for key, rows in lengths.items()}, slots) for lengths, slots in parts]
@@ -258,12 +259,10 @@ def _matches(t: Templates, bench: Benchmark) -> Iterator[tuple[int, int, int, in
                 (sure if lane == SURE else hits).setdefault(key, set()).add((int(at[k]), n))
     found: dict[tuple[int, int], list] = {}
     for key in hits.keys() | sure.keys():
-        text, item, diagonal = key
-        windows, copied = hits.get(key, set()), sure.get(key, set())
-        changed = _changed(t, _under(windows), diagonal, bench.slots[item])
-        if changed is None:
-            windows, changed = set(), 0
-        windows = windows | copied
+        text, number, diagonal = key
+        item, slots = bench.slots[number]
+        windows, changed = _consistent(t, hits.get(key, set()), diagonal, slots)
+        windows |= sure.get(key, set())
         if windows:
             total = found.setdefault((text, item), [0, set(), 0])
             total[0] += len(windows)
@@ -277,17 +276,18 @@ def _under(windows: set[tuple[int, int]]) -> set[int]:
     return {i for at, n in windows for i in range(at, at + n)}
 
 
-def _changed(t: Templates, tokens: set[int], diagonal: int, slots: dict[int, tuple[int, bytes]]) -> int | None:
-    """How many slots hold another value than the benchmark's; None if they contradict each other."""
+def _consistent(t: Templates, windows: set[tuple[int, int]], diagonal: int, slots: dict[int, tuple[int, bytes]]) -> tuple[set[tuple[int, int]], int]:
+    """The windows that neither contradict themselves nor share tokens with one that does, and how many slots under them
+    hold another value than the benchmark's."""
+    values = {i: (*slots[i - diagonal], t.value(i)) for i in _under(windows) if i - diagonal in slots}
+    lost = _under({(at, n) for at, n in windows if _contradict(values[i] for i in range(at, at + n) if i in values)})
+    kept = {(at, n) for at, n in windows if lost.isdisjoint(range(at, at + n))} if lost else set(windows)
+    changed = [values[i] for i in _under(kept) if i in values]
+    return kept, sum(own != value for _, value, own in changed)
+
+
+def _contradict(slots: Iterator[tuple[int, bytes, bytes]]) -> bool:
+    """Does one benchmark value stand for two document values, or the other way round?"""
     there: dict[tuple[int, bytes], bytes] = {}
     back: dict[tuple[int, bytes], bytes] = {}
-    changed = 0
-    for i in sorted(tokens):
-        slot = slots.get(i - diagonal)
-        if slot is not None:
-            kind, value = slot
-            own = t.value(i)
-            if there.setdefault((kind, value), own) != own or back.setdefault((kind, own), value) != value:
-                return None
-            changed += own != value
-    return changed
+    return any(there.setdefault((kind, value), own) != own or back.setdefault((kind, own), value) != value for kind, value, own in slots)

@@ -299,6 +299,20 @@ def test_short_items_are_found_in_the_middle_of_a_line(spark):
     assert all(r.changed_slots == (2 * (d % 2) if d < 100 else 1) for (d, _), r in found.items())
 
 
+def test_a_far_contradiction_or_a_shared_id_hides_no_copy(spark):
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)]
+    far, near = words[:50], [f"other{w}" for w in words]
+    far[2] = far[45] = near[60] = near[63] = "3"
+    one = "The first of the texts tells that 7 boats sailed to the far island"
+    two = "In all of these 9 books a tale is told about the great sea"
+    items = [(1, " ".join(far)), (2, " ".join(near)), (3, one), (3, two)]
+    texts = [(1, " ".join([*far[:45], "4", *far[46:]])), (2, " ".join([*near[:63], "4", *near[64:]])), (3, one), (4, two), (5, two.replace("9", "8"))]
+    found = found_in(spark, texts, items)
+    assert found.keys() == {(1, 1), (2, 2), (3, 3), (4, 3), (5, 3)}
+    assert found[1, 1].n_tokens == 50 and found[1, 1].changed_slots == 1 and found[5, 3].changed_slots == 1
+    assert [found[k].changed_slots for k in ((2, 2), (3, 3), (4, 3))] == [0, 0, 0]
+
+
 def test_classifier_on_held_out_rows(spark, sf_dir):
     texts = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/documents.parquet")
     labels = spark.read.parquet(sf_dir.replace("sf0.001", "sf0.01") + "/labels.parquet")
