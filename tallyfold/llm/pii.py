@@ -3,6 +3,7 @@
 Every kind of value is read as a whole number below the count of its valid
 values, permuted under the key, and written in the same format: digits stay
 digits, separators stay, check digits are right again, dates are calendar dates.
+Digits of any script are read, and written in their own script.
 A permutation has one image for each value, so equal values stay linked across
 documents and different ones stay apart; who holds the key can undo it.
 """
@@ -11,8 +12,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from datetime import date
+from functools import lru_cache
 from math import isqrt
 
 import pyarrow as pa
@@ -35,6 +38,7 @@ PATTERNS = {
     "number": r"(?<![\d.,-])\d(?:[ -]?\d){11,18}(?![\d-]|[.,]\d)",
 }
 KINDS = tuple(PATTERNS)
+_MAY = r"[\p{Nd}@]"  # what every value but a secret holds
 _ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
 
 
@@ -78,7 +82,7 @@ class Pseudonyms:
 
     def digits(self, text: str, tweak: str, keep: int = 0, valid: Callable[[str], bool] | None = None) -> str:
         """All digits of ``text`` but the first ``keep``; everything else stays in its place."""
-        plain = "".join(c for c in text if c in "0123456789")
+        plain = _plain(text)
         head, body = plain[:keep], plain[keep:]
         n = len(body)
         tweak = f"{tweak}|{head}|{n}"
@@ -93,7 +97,7 @@ class Pseudonyms:
         return getattr(self, f"_{kind}")(text)
 
     def _number(self, text: str) -> str | None:
-        plain = re.sub(r"\D", "", text)
+        plain = _plain(text)
         if len(set(plain)) == 1:
             return None
         if luhn(plain):  # a card stays one: its check digit is set again
@@ -102,18 +106,20 @@ class Pseudonyms:
         return self.digits(text, "number", valid=lambda x: not luhn(x) and len(set(x)) > 1)
 
     def _iban(self, text: str) -> str | None:
-        plain = text.replace(" ", "")
+        plain = _ascii(text.replace(" ", ""))
         if not 15 <= len(plain) <= 34 or iban_check(plain[:2], plain[4:]) != plain[2:4]:
             return None
         body = self._letters(plain[4:], "iban" + plain[:2])
         return _refill(text, plain[:2] + iban_check(plain[:2], body) + body, also_letters=True)
 
     def _ip(self, text: str) -> str | None:
-        parts = [int(p) for p in text.split(".")]
-        if max(parts) > 255 or any(str(n) != p for n, p in zip(parts, text.split("."))):
+        """Written in the script of its first digit, as octets change their length."""
+        said = _ascii(text).split(".")
+        parts = [int(p) for p in said]
+        if max(parts) > 255 or any(str(n) != p for n, p in zip(parts, said)):
             return None
         image = self.permute(int.from_bytes(bytes(parts), "big"), 1 << 32, "ip")
-        return ".".join(str(b) for b in image.to_bytes(4, "big"))
+        return ".".join(_refill(text[0] * len(str(b)), str(b)) for b in image.to_bytes(4, "big"))
 
     def _date(self, text: str) -> str | None:
         """Dates from 1900 to 2099.  With slashes the month is first where that is a date, else the day."""
@@ -133,14 +139,14 @@ class Pseudonyms:
 
         kind = "dates, day above 12" if mark == "/" and not month_first else "dates"
         new = date.fromordinal(_FIRST_DAY + self.permute_valid(day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, kind, fits))
-        form = {"-": "{y:04}-{m:02}-{d:02}", ".": "{d:02}.{m:02}.{y:04}"}.get(mark) or ("{m:02}/{d:02}/{y:04}" if month_first else "{d:02}/{m:02}/{y:04}")
-        return form.format(y=new.year, m=new.month, d=new.day)
+        form = "{y:04}{m:02}{d:02}" if mark == "-" else "{m:02}{d:02}{y:04}" if month_first else "{d:02}{m:02}{y:04}"
+        return _refill(text, form.format(y=new.year, m=new.month, d=new.day))
 
     def _ssn(self, text: str) -> str | None:
-        return self.digits(text, "ssn", valid=is_ssn) if is_ssn(text.replace("-", "")) else None
+        return self.digits(text, "ssn", valid=is_ssn) if is_ssn(_plain(text)) else None
 
     def _phone(self, text: str) -> str | None:
-        plain = re.sub(r"\D", "", text)
+        plain = _plain(text)
         if not 9 <= len(plain) <= 15:
             return None
         country = re.match(r"\+(\d{1,3})(?=[ .(-])", text)
@@ -148,6 +154,8 @@ class Pseudonyms:
 
     def _email(self, text: str) -> str | None:
         name, domain = text.rsplit("@", 1)
+        if all(len(_alike(c)) < 2 for c in name):  # marks only: nothing to permute
+            return None
         return f"{self._letters(name, 'email' + domain.lower())}@{domain}"
 
     def _secret(self, text: str) -> str | None:
@@ -158,17 +166,17 @@ class Pseudonyms:
         return head + (image.upper() if body == body.upper() else image)
 
     def _letters(self, text: str, tweak: str) -> str:
-        """ASCII letters among letters of their case, digits among digits; the rest stays."""
-        sizes = [(10, 48) if c in "0123456789" else (26, 65) if "A" <= c <= "Z" else (26, 97) if "a" <= c <= "z" else (1, ord(c)) for c in text]
+        """Letters among letters of their case and script, digits among digits; the rest stays."""
+        alike = [_alike(c) for c in text]
         value, count = 0, 1
-        for c, (size, first) in zip(text, sizes):
-            value, count = value * size + ord(c) - first, count * size
-        shape = "".join(chr(first) if size > 1 else c for c, (size, first) in zip(text, sizes))
+        for c, letters in zip(text, alike):
+            value, count = value * len(letters) + letters.index(c), count * len(letters)
+        shape = "".join(letters[0] for letters in alike)
         value = self.permute(value, count, f"{tweak}|{shape}")
         out = []
-        for size, first in reversed(sizes):
-            value, digit = divmod(value, size)
-            out.append(chr(first + digit))
+        for letters in reversed(alike):
+            value, place = divmod(value, len(letters))
+            out.append(letters[place])
         return "".join(reversed(out))
 
     def apply(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
@@ -186,10 +194,36 @@ class Pseudonyms:
         return ("".join([*out, text[at:]]) if spans else text), spans
 
 
+def _ascii(text: str) -> str:
+    """``text`` with the digits of all scripts as 0-9."""
+    return text if text.isascii() else "".join(str(int(c)) if c.isdecimal() else c for c in text)
+
+
+def _plain(text: str) -> str:
+    """The digits of ``text`` as 0-9."""
+    return "".join(c for c in _ascii(text) if c in "0123456789")
+
+
 def _refill(form: str, values: str, also_letters: bool = False) -> str:
-    """``form`` with its digits (and letters) replaced by ``values``, in order."""
+    """``form`` with its digits (and letters) replaced by ``values``, in order; digits stay in their script."""
     given = iter(values)
-    return "".join(next(given) if c in "0123456789" or (also_letters and c.isalnum()) else c for c in form)
+
+    def digit(c: str) -> str:
+        return next(given) if c.isascii() else chr(ord(c) - int(c) + int(next(given)))
+
+    return "".join(digit(c) if c.isdecimal() else next(given) if also_letters and c.isalnum() else c for c in form)
+
+
+@lru_cache(maxsize=1 << 14)
+def _alike(c: str) -> str:
+    """What may stand for a character: the digits of its script; the letters of its case, among ASCII or
+    the 128 code points around it; else itself."""
+    if c.isdecimal():
+        return "".join(chr(ord(c) - int(c) + i) for i in range(10))
+    if not c.isalnum():
+        return c
+    first = ord(c) & ~127
+    return "".join(x for x in map(chr, range(first, first + 128)) if x.isalnum() and not x.isdecimal() and unicodedata.category(x) == unicodedata.category(c))
 
 
 def luhn(digits: str) -> bool:
@@ -233,7 +267,7 @@ def _replace(key: bytes, undo: bool) -> Callable:
         permuted = Pseudonyms(key, undo)
         for batch in batches:
             texts = batch.column("text")
-            may = pc.fill_null(pc.match_substring_regex(texts, "[0-9@]"), False).to_numpy(zero_copy_only=False)
+            may = pc.fill_null(pc.match_substring_regex(texts, _MAY), False).to_numpy(zero_copy_only=False)
             found: list[list] = [[] for _ in range(len(batch))]
             new = {}
             for i in may.nonzero()[0].tolist():

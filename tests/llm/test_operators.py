@@ -183,6 +183,25 @@ def test_pseudonyms_keep_format_link_and_undo(spark):
     assert pii.pseudonymise(table.where("false"), b"k").count() == 0
 
 
+def test_digits_and_names_of_all_scripts(spark):
+    plain = {"phone": "+98 21 1234 5678", "number": "4111 1111 1111 1111", "ip": "97.51.17.173", "date": "2021-02-28", "ssn": "123-45-6789"}
+    zeros = "\u06f0\u0660\u0966\uff10"
+    other = [(k, v.translate({ord(str(i)): ord(z) + i for i in range(10)})) for k, v in plain.items() for z in zeros]
+    names = [("email", f"{n}@example.com") for n in ("иван.петров", "李小龙", "Éloïse", "\u0663\u0664")]
+    rows = [(i, f"см {v} — ok") for i, (_, v) in enumerate(other + names)] + [(100, "7 of _@example.com"), (101, "٣ من ٤")]
+    out = {r.doc_id: r for r in pii.pseudonymise(documents(spark, rows), b"k").collect()}
+    p = pii.Pseudonyms(b"k")
+    for i, (kind, value) in enumerate(other + names):
+        r = out[i]
+        image = r.text[r.spans[0].begin : r.spans[0].end]
+        assert r.kinds == kind and r.n_found == 1 and image != value and p.pseudonym(kind, value) == image
+        if kind != "email":
+            assert pii._ascii(image) == p.pseudonym(kind, plain[kind]) and not re.search("[0-9]", image)
+    assert out[100].n_found == out[101].n_found == 0
+    again = pii.pseudonymise(spark.createDataFrame(list(out.values())), b"k", undo=True)
+    assert {r.doc_id: r.text for r in again.collect()} == dict(rows)
+
+
 @pytest.mark.parametrize("count", [2, 3, 10, 97, 1000])
 def test_permutation_is_one_to_one(count):
     p, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True)
