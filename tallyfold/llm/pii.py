@@ -38,8 +38,16 @@ PATTERNS = {
     "number": r"(?<![\d.,-])\d(?:[ -]?\d){11,18}(?![\d-]|[.,]\d)",
 }
 KINDS = tuple(PATTERNS)
-_MAY = r"[\p{Nd}@]"  # what every value but a secret holds
+_MAY = r"[\p{Nd}@]|[a-fA-F]{24}"  # what every value holds
 _ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
+_EACH = {kind: re.compile(pattern) for kind, pattern in PATTERNS.items()}
+
+_IBAN_LENGTHS = (
+    "NO15 BE16 DK18 FI18 FK18 FO18 GL18 NL18 SD18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 MN20 XK20 CH21 HR21 LI21 LV21 BG22 BH22 CR22 DE22 GB22 GE22 IE22 ME22 RS22 VA22 "
+    "AE23 GI23 IL23 IQ23 OM23 SO23 TL23 AD24 CZ24 ES24 MD24 PK24 RO24 SA24 SE24 SK24 TN24 VG24 LY25 PT25 ST25 IS26 TR26 BI27 DJ27 FR27 GR27 IT27 MC27 MR27 SM27 "
+    "AL28 AZ28 BY28 CY28 DO28 GT28 HN28 HU28 LB28 NI28 PL28 SV28 BR29 EG29 PS29 QA29 UA29 JO30 KW30 MU30 YE30 MT31 SC31 LC32 RU33"
+)
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in _IBAN_LENGTHS.split()}
 
 
 class Pseudonyms:
@@ -97,13 +105,35 @@ class Pseudonyms:
         return getattr(self, f"_{kind}")(text)
 
     def _number(self, text: str) -> str | None:
+        """Any 12 to 19 digits that are not all the same.  Each length from 13 on at which the digits are a card's stays
+        one, and no other becomes one, so that the same digits are read again wherever they are grouped."""
         plain = _plain(text)
+        n, free = len(plain), 11 if len(plain) == 12 else 12
         if len(set(plain)) == 1:
             return None
-        if luhn(plain):  # a card stays one: its check digit is set again
-            body = self.digits(plain[:-1], "card")
-            return _refill(text, body + luhn_digit(body))
-        return self.digits(text, "number", valid=lambda x: not luhn(x) and len(set(x)) > 1)
+        same = len(set(plain[:free])) == 1
+        value, count, cards = (int(plain[0]), 10, "") if same else (int(plain[:free]), 10**free, "")
+        for i in range(free, n):
+            off = (int(plain[i]) - int(luhn_digit(plain[:i]))) % 10
+            cards += "-" if off else "+"
+            if off:
+                value, count = value * 9 + off - 1, count * 9
+
+        def read(x: int) -> str:
+            offs = []
+            for card in reversed(cards):
+                x, off = (x, -1) if card == "+" else divmod(x, 9)
+                offs.append(off + 1)
+            out = str(x) * free if same else str(x).zfill(free)
+            for off in reversed(offs):
+                out += str((int(luhn_digit(out)) + off) % 10)
+            return out
+
+        return _refill(text, read(self.permute_valid(value, count, f"number{n}{cards}{same}", lambda x: len(set(read(x)[: n if same else free])) > 1)))
+
+    def _card(self, text: str) -> str | None:
+        plain = _plain(text)
+        return self._number(text) if len(plain) >= 12 and luhn(plain) else None
 
     def _iban(self, text: str) -> str | None:
         plain = _ascii(text.replace(" ", ""))
@@ -181,18 +211,74 @@ class Pseudonyms:
 
     def apply(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and kind, begin and end of each in the new text (code points)."""
-        out, spans, at, length = [], [], 0, 0
-        for match in _ANY.finditer(text):
-            kind = match.lastgroup if match.lastgroup in PATTERNS else next(k for k in KINDS if match[k] is not None)
-            image = self.pseudonym(kind, match[0])
-            if image is None:
+        out, spans, at, length, begin = [], [], 0, 0, 0
+        failed: list[tuple[str, int, int]] = []
+        while match := _ANY.search(text, begin):
+            begin = match.start()
+            failed = [f for f in failed if f[2] > begin]
+            found = self._value(text, match, failed)
+            if found is None:
+                begin += 1
                 continue
-            out += [text[at : match.start()], image]
-            length += match.start() - at
+            kind, end, image = found
+            out += [text[at:begin], image]
+            length += begin - at
             spans.append((kind, length, length + len(image)))
-            length, at = length + len(image), match.end()
+            length, at, begin = length + len(image), end, end
         return ("".join([*out, text[at:]]) if spans else text), spans
 
+    def _value(self, text: str, match: re.Match, failed: list[tuple[str, int, int]]) -> tuple[str, int, str] | None:
+        """Kind, end and pseudonym of the value that begins where ``match`` does; what is no value goes to ``failed``.
+
+        Where the pseudonym would make a value of something that failed, its own pseudonym is taken, so that
+        the new text is read as the old one.
+        """
+        begin = match.start()
+        first = match.lastgroup if match.lastgroup in PATTERNS else next(k for k in KINDS if match[k] is not None)
+        for kind in KINDS[KINDS.index(first) :]:
+            form = match[0] if kind == first else (m := _EACH[kind].match(text, begin)) and m[0]
+            if not form:
+                continue
+            if kind == "number" and (accounts := [b for k, b, _ in failed if k == "iban" and b < begin]):
+                if begin < max(accounts) + 4:
+                    continue  # check digits, no number
+                kind = "card"  # other digits belong to what only looks like an IBAN
+            for end in _ends(kind, form, text[begin + len(form) : begin + len(form) + 1]):
+                image = self.pseudonym(kind, form[:end])
+                if image is None:
+                    failed.append((kind, begin, begin + end))
+                    continue
+                while any(self.pseudonym(k, (text[b:begin] + image + text[begin + end :])[: e - b]) is not None for k, b, e in failed):
+                    image = self.pseudonym(kind, image)
+                return "number" if kind == "card" else kind, begin + end, image
+        return None
+
+
+def _ends(kind: str, form: str, after: str) -> Iterator[int]:
+    """Lengths of ``form`` that may be a value, the likeliest first: patterns take what stands behind a value, too."""
+    gaps = [i for i in range(1, len(form)) if form[i] in " .-" and form[i - 1] not in " .-"]
+    if kind == "iban":
+        places = [i + 1 for i, c in enumerate(form) if c != " "]
+        own = IBAN_LENGTHS.get(form[:2], 0)
+        if 0 < own <= len(places) and not (form[places[own - 1] :] + after)[:1].isalnum():
+            yield places[own - 1]
+        yield len(form)
+        if not own:
+            yield from reversed(gaps)
+    elif kind == "number":
+        for end in gaps:
+            plain = _plain(form[:end])
+            if 13 <= len(plain) <= 19 and luhn(plain) and len(set(plain)) > 1:
+                yield end
+        yield len(form)
+    elif kind == "card":
+        yield from (i for i in gaps if len(_plain(form[:i])) >= 13)
+        yield len(form)
+    else:
+        yield len(form)
+        if kind == "phone":
+            yield from reversed(gaps)
+
 
 def _ascii(text: str) -> str:
     """``text`` with the digits of all scripts as 0-9."""
@@ -251,7 +337,10 @@ def pseudonymise(documents: DataFrame, key: bytes, undo: bool = False, id_col: s
 
     Null text stays null and empty text empty, with nothing found; whole texts are read; a text without
     a valid value comes back unchanged.  Values that only look like one (wrong check digit of an
-    IBAN, no calendar date, an octet above 255) stay.  Rows with equal or null ids are separate.
+    IBAN, no calendar date, an octet above 255) stay; values that begin inside them or end earlier are found, but in
+    what looks like an IBAN, of the long numbers, only cards.  Where a pseudonym would
+    make a value of something invalid around it, its own pseudonym stands there, so that undoing reads the same values;
+    only there has a value another pseudonym than elsewhere.  Rows with equal or null ids are separate.
     Other columns are not read.  No rows in, no rows out.
     """
     schema = "doc_id long, text string, n_found int, kinds string, spans array<struct<kind:string,begin:int,end:int>>"

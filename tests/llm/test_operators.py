@@ -183,6 +183,33 @@ def test_pseudonyms_keep_format_link_and_undo(spark):
     assert pii.pseudonymise(table.where("false"), b"k").count() == 0
 
 
+def test_values_are_found_in_and_before_what_fails(spark):
+    iban, card, other = "ES9121000418450200051332", "4111 1111 1111 1111", "5500 0000 0000 0004"
+    spaced, old = "ES91 2100 0418 4502 0005 1332", "GB29 NWBK 6016 1331 9268 19"
+    cases = {
+        f"{iban} EUR 500": [iban], f"{spaced} BIC X": [spaced], f"pay {spaced} 5000 EUR": [spaced], f"AT611904300234573201 {iban}": ["AT611904300234573201", iban],
+        f"{card} 12/25": [card], f"{card} 123": [card], f"{card} {other}": [card, other], f"AB12 CDEF {old}": [old], f"ID12 {card}": [card], f"{card}": [card],
+        "+49 30 1234 5678 9012 3456": ["+49 30 1234 5678"], "2021-02-30 1234 5678 9012": ["2021-02-30 1234 5678"], "DE88 3704 0044 0532 0130 00": [], "1111 1111 1111 1111": [],
+    }
+    rows = [(i, f"see {t}, please") for i, t in enumerate(cases)]
+    out = {r.doc_id: r for r in pii.pseudonymise(documents(spark, rows), b"k").collect()}
+    for i, values in enumerate(cases.values()):
+        assert out[i].n_found == len(values) or i in (10, 11) and out[i].n_found > 0, (rows[i], out[i].text)
+        assert all(v not in out[i].text for v in values), (rows[i], out[i].text)
+    images = {re.sub(" ", "", out[i].text[s.begin : s.end]) for i in (4, 5, 6, 8, 9) for s in out[i].spans[:1]}
+    assert len(images) == 1 and pii.luhn(images.pop()) and out[4].text.endswith(" 12/25, please")
+    again = pii.pseudonymise(spark.createDataFrame(list(out.values())), b"k", undo=True)
+    assert {r.doc_id: r.text for r in again.collect()} == dict(rows)
+
+
+def test_undo_reads_random_texts_as_they_were_written():
+    draw, p, back = random.Random(4), pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True)
+    parts = ["ES91", "DE89", "ID12", "4111", "1111", "0532", "30", "7", "EUR", "+49", "2021-02-30", "30/02/2021", "000-12-3456", "999.1.2.3", "GB29 NWBK 6016 1331 9268 19", "a@b.de", "0000"]
+    for _ in range(1500):
+        text = "".join(draw.choice(parts) + draw.choice([" ", " ", " ", "-", "", ", "]) for _ in range(draw.randrange(2, 9)))
+        assert back.apply(p.apply(text)[0])[0] == text
+
+
 def test_digits_and_names_of_all_scripts(spark):
     plain = {"phone": "+98 21 1234 5678", "number": "4111 1111 1111 1111", "ip": "97.51.17.173", "date": "2021-02-28", "ssn": "123-45-6789"}
     zeros = "\u06f0\u0660\u0966\uff10"
