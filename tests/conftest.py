@@ -1,12 +1,9 @@
 from __future__ import annotations
 
 import os
-import sys
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -41,7 +38,3 @@ def tables(sf_dir):
     from oracle import connect
 
     return connect(sf_dir)
-
-
-def physical_plan(frame) -> str:
-    return frame._jdf.queryExecution().executedPlan().toString()

@@ -110,7 +110,7 @@ def test_join_detection_matches_the_lookup(spark):
 
 
 def test_a_module_of_all_documents_is_split(spark):
-    from conftest import physical_plan
+    from plan_text import physical_plan
 
     rows = spark.range(4000).select("id", F.explode(F.array(F.lit("numpy"), F.concat(F.lit("m"), "id"))).alias("module"))
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

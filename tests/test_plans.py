@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import physical_plan
+from plan_text import physical_plan
 
 import __spark_entry__ as registered
 

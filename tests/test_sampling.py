@@ -158,7 +158,7 @@ def test_cohorts_hold_only_their_year(repos, files):
 
 
 def test_hot_repository_is_cut_before_the_shuffle(repos, files):
-    from conftest import physical_plan
+    from plan_text import physical_plan
 
     key = S.seeded_order(F.lit(1), F.col("path"))
     plan = physical_plan(S.cap_per_group(files, ["full_name"], [key]))

@@ -6,7 +6,7 @@ import json
 from datetime import date
 
 import pytest
-from conftest import physical_plan
+from plan_text import physical_plan
 from pyspark.sql import functions as F
 
 from tallyfold.session import scratch_folder
