@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -65,3 +68,43 @@ def jaccard(rows, percent=80):
 
 def order(rows):
     return sorted(rows, key=lambda r: tuple((x is None, x if x is not None else 0) for x in r))
+
+
+def periodic_runs(words, least=12):
+    """(start, length, smallest period) of all runs, by start and then period."""
+    found = {}
+    for p in range(1, len(words) // 2 + 1):
+        i = 0
+        while i + p < len(words):
+            e = i
+            while e + p < len(words) and words[e] == words[e + p]:
+                e += 1
+            if e + p - i >= max(least, 2 * p):
+                found.setdefault((i, e + p), p)
+            i = e + 1
+    return sorted((s, e - s, p) for (s, e), p in found.items())
+
+
+def collapsed(words, runs):
+    gone = {i for s, n, p in runs for i in range(s + p, s + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def resampled(rows, target, buckets=10_000, share=10, least=20, seed=2024, longest=1):
+    """[(doc_id, n_features, weight, score)], and the (score, doc_id) of the drawn rows, best first."""
+
+    def features(text):
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
+        return [zlib.crc32(" ".join(w[i : i + n]).encode()) % buckets for n in range(1, longest + 1) for i in range(len(w) - n + 1)]
+
+    s, t = (Counter(f for text in texts for f in features(text)) for texts in ([x for _, x in rows], target))
+    of_s, of_t = sum(s.values()), sum(t.values())
+    out = []
+    for d, text in rows:
+        f = features(text)
+        gain = [math.floor(1000 * math.log((t[b] + 1) * (of_s + buckets) / ((s[b] + 1) * (of_t + buckets)))) for b in f]
+        weight = sum(gain) // len(gain) if gain else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if d is None else d}".encode()).hexdigest()[:8], 16)
+        out.append((d, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    fit = sorted(((-score, d is None, d, n) for d, n, _, score in out if n >= least), key=lambda r: (r[0], r[1], r[2] if r[2] is not None else 0))
+    return out, [(-r[0], r[2]) for r in fit[: len(fit) * share // 100]]
