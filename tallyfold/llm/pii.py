@@ -16,7 +16,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from datetime import date
 from functools import lru_cache
-from math import isqrt
+from math import isqrt, prod
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _ROUNDS = 8
+_HEX = "0123456789abcdefABCDEF"
+_BLOCK = 128  # letters or digits that are permuted as one number
 _FIRST_DAY, _LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 # What values look like; the checks below decide.
@@ -70,16 +72,38 @@ class Pseudonyms:
     def _feistel(self, value: int, a: int, b: int, tweak: str) -> int:
         left, right = divmod(value, b)
         for r in reversed(range(_ROUNDS)) if self.undo else range(_ROUNDS):
-            step = self._round(r, right if r % 2 == 0 else left, tweak) * (-1 if self.undo else 1)
+            step = self._round(r, right if r % 2 == 0 else left, a if r % 2 == 0 else b, tweak) * (-1 if self.undo else 1)
             if r % 2 == 0:
                 left = (left + step) % a
             else:
                 right = (right + step) % b
         return left * b + right
 
-    def _round(self, number: int, half: int, tweak: str) -> int:
-        said = f"{number}|{tweak}|{half}".encode()
-        return int.from_bytes(hashlib.blake2b(said, digest_size=32, key=self.key).digest(), "big")
+    def _round(self, number: int, half: int, most: int, tweak: str) -> int:
+        """A number that is even below ``most``, up to a part in 2^128."""
+        said = f"{number}|{tweak}|".encode() + half.to_bytes((half.bit_length() + 7) // 8, "big")
+        return int.from_bytes(hashlib.shake_256(self.key + said).digest((most.bit_length() + 7) // 8 + 16), "big")
+
+    def sequence(self, places: list[int], sizes: list[int], tweak: str) -> list[int]:
+        """The image of a sequence, the i-th below ``sizes[i]``.  Blocks of ``_BLOCK`` places are permuted in turn,
+        each under the images of those before it, from the left and then from the right: all of the sequence
+        decides about each place, in time that grows with its length."""
+        cuts = range(0, len(places), _BLOCK)
+        counts = [prod(sizes[c : c + _BLOCK]) for c in cuts]
+        values = [_joined(places[c : c + _BLOCK], sizes[c : c + _BLOCK]) for c in cuts]
+        if len(values) == 1:
+            values = [self.permute(values[0], counts[0], tweak)]
+        elif values:
+            short = hashlib.blake2b(tweak.encode("utf-8", "surrogatepass"), digest_size=32).hexdigest()
+            turns = [(0, range(len(values))), (1, range(len(values) - 1, -1, -1))]
+            for turn, order in reversed(turns) if self.undo else turns:
+                chain = b""
+                for i in order:
+                    before = values[i]
+                    values[i] = self.permute(before, counts[i], f"{short}|{turn}|{i}|{chain.hex()}")
+                    seen = before if self.undo else values[i]
+                    chain = hashlib.blake2b(chain + seen.to_bytes((counts[i].bit_length() + 7) // 8, "big"), digest_size=32).digest()
+        return [place for c, value in zip(cuts, values) for place in _parted(value, sizes[c : c + _BLOCK])]
 
     def permute_valid(self, value: int, count: int, tweak: str, valid: Callable[[int], bool]) -> int:
         """As ``permute``, inside the valid values alone."""
@@ -189,25 +213,23 @@ class Pseudonyms:
         return f"{self._letters(name, 'email' + domain.lower())}@{domain}"
 
     def _secret(self, text: str) -> str | None:
+        """Hexadecimal digits in capitals, in small letters or in both, and the image so again."""
         head = re.match(r".*?[=:]\s*[\"']?", text, re.S)[0]
         body = text[len(head) :]
-        image = self.permute(int(body, 16), 16 ** len(body), f"secret{len(body)}")
-        image = f"{image:0{len(body)}x}"
-        return head + (image.upper() if body == body.upper() else image)
+        case = _hex_case(body)
+        digits = {"upper": _HEX[:10] + _HEX[16:], "lower": _HEX[:16], "mixed": _HEX}[case]
+        image, sizes = body, [len(digits)] * len(body)
+        while True:
+            image = "".join(digits[i] for i in self.sequence([digits.index(c) for c in image], sizes, f"secret{case}{len(body)}"))
+            if _hex_case(image) == case:
+                return head + image
 
     def _letters(self, text: str, tweak: str) -> str:
         """Letters among letters of their case and script, digits among digits; the rest stays."""
         alike = [_alike(c) for c in text]
-        value, count = 0, 1
-        for c, letters in zip(text, alike):
-            value, count = value * len(letters) + letters.index(c), count * len(letters)
         shape = "".join(letters[0] for letters in alike)
-        value = self.permute(value, count, f"{tweak}|{shape}")
-        out = []
-        for letters in reversed(alike):
-            value, place = divmod(value, len(letters))
-            out.append(letters[place])
-        return "".join(reversed(out))
+        image = self.sequence([letters.index(c) for c, letters in zip(text, alike)], [len(letters) for letters in alike], f"{tweak}|{shape}")
+        return "".join(letters[place] for letters, place in zip(alike, image))
 
     def apply(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and kind, begin and end of each in the new text (code points)."""
@@ -280,6 +302,25 @@ def _ends(kind: str, form: str, after: str) -> Iterator[int]:
             yield from reversed(gaps)
 
 
+def _hex_case(digits: str) -> str:
+    return "upper" if digits == digits.upper() else "lower" if digits == digits.lower() else "mixed"
+
+
+def _joined(places: list[int], sizes: list[int]) -> int:
+    value = 0
+    for place, size in zip(places, sizes):
+        value = value * size + place
+    return value
+
+
+def _parted(value: int, sizes: list[int]) -> list[int]:
+    out = []
+    for size in reversed(sizes):
+        value, place = divmod(value, size)
+        out.append(place)
+    return out[::-1]
+
+
 def _ascii(text: str) -> str:
     """``text`` with the digits of all scripts as 0-9."""
     return text if text.isascii() else "".join(str(int(c)) if c.isdecimal() else c for c in text)
@@ -340,7 +381,8 @@ def pseudonymise(documents: DataFrame, key: bytes, undo: bool = False, id_col: s
     IBAN, no calendar date, an octet above 255) stay; values that begin inside them or end earlier are found, but in
     what looks like an IBAN, of the long numbers, only cards.  Where a pseudonym would
     make a value of something invalid around it, its own pseudonym stands there, so that undoing reads the same values;
-    only there has a value another pseudonym than elsewhere.  Rows with equal or null ids are separate.
+    only there has a value another pseudonym than elsewhere, at the worst itself, where every other value would
+    make one of what failed.  A permutation may map a value to itself: one in as many as its format has.  Rows with equal or null ids are separate.
     Other columns are not read.  No rows in, no rows out.
     """
     schema = "doc_id long, text string, n_found int, kinds string, spans array<struct<kind:string,begin:int,end:int>>"
