@@ -106,7 +106,8 @@ def _first_bad(turns: Column, template: Template) -> Column:
 
 def read_back(formatted: DataFrame, template: Template = CHAT) -> DataFrame:
     """The input again, from the output alone: conv_id, turns (role, text) out of ``formatted``,
-    learned (the unescaped text under the loss flags) out of ``segments``."""
+    learned (the unescaped text under the loss flags) out of ``segments``; and what the state machine
+    said of the order of turns, valid and first_bad_turn."""
     controls = "|".join(re.escape(s) for s in (template.role_ends, template.closes))
 
     def turn(piece: Column) -> Column:
@@ -116,4 +117,6 @@ def read_back(formatted: DataFrame, template: Template = CHAT) -> DataFrame:
     pieces = F.split(F.col("formatted"), re.escape(template.opens))
     turns = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), turn)
     learned = F.transform(F.filter("segments", lambda s: s.loss), lambda s: template.unescaped(s.text))
-    return formatted.select("conv_id", turns.alias("turns"), F.array_join(learned, "").alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return formatted.select(
+        "conv_id", turns.alias("turns"), F.array_join(learned, "").alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"), "valid", "first_bad_turn"
+    )

@@ -39,6 +39,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("learned").cast("long").alias("loss_chars"),
         sha256(F.col("learned")).alias("loss_sha256"),
         "formatted_chars",
+        "valid",
+        F.coalesce(F.col("first_bad_turn"), F.lit(-1)).cast("long").alias("first_bad_turn"),  # -1: none
     )
 
 
@@ -152,18 +154,29 @@ _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _TEXT_WORDS = _WORDS.format("coalesce(text, '')")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+def _listed_sql(values) -> str:
+    return ", ".join(f"'{value}'" for value in values)
+
+
 _OP1 = rf"""
 WITH said AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '{INJECTION}'
+), placed AS (
+  SELECT *, row_number() OVER o - 1 AS nth, coalesce(lag(role) OVER o, 'start') || '>' || role AS move, lead(role) OVER o IS NULL AND role NOT IN ({_listed_sql(chat.CHAT.ends)}) AS open
+  FROM said WINDOW o AS (PARTITION BY conv_id ORDER BY turn)
+), judged AS (
+  SELECT conv_id, min(nth) FILTER (move NOT IN ({_listed_sql(f"{state}>{role}" for state, roles in chat.CHAT.follows.items() for role in roles)})) AS wrong, count(*) FILTER (open) * max(nth + 1) AS unended
+  FROM placed GROUP BY conv_id
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(role) + length(replace(replace(text, '\', '\\'), '<|', '<\|'))
-    + length('<|im_start|>' || '<|im_sep|>' || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
-FROM said GROUP BY conv_id
+    + length('<|im_start|>' || '<|im_sep|>' || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars,
+  any_value(wrong IS NULL AND unended = 0) AS valid, any_value(coalesce(wrong, CASE WHEN unended > 0 THEN unended END, -1))::BIGINT AS first_bad_turn
+FROM said JOIN judged USING (conv_id) GROUP BY conv_id
 """
 
 # Links to components: every node keeps the ids that reach it.
