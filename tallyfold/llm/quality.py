@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm.tables import text_key
 from tallyfold.llm.words import U64, chain, flat, slices, split_words
 
 BITS = 16  # buckets of words, and as many of bytes
@@ -123,16 +124,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(documents: DataFrame, labels: DataFrame, label_col: str = "quality", settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn ``label_col`` (0 or 1) of ``labels`` from the texts of ``documents``.
 
-    At most ``max_rows`` ids are used, the first in a hashed order.  Rows with a null id or a null
-    label, and ids with both labels, teach nothing; a repeated label counts once; repeated
-    document rows each teach.  Null text is empty.  Without examples every score is 0.5, with
+    At most ``max_rows`` ids are used, the first in a hashed order, and at most as many of their rows, again
+    the first in a hashed order of id and text; equal rows teach once.  Rows with a null id or a null
+    label, and ids with both labels, teach nothing; a repeated label counts once.  Null text is empty.  Without examples every score is 0.5, with
     examples of one class the model says that class.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_rows)
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    examples = texts.join(F.broadcast(sample), "doc_id").select("text", "label").mapInArrow(_counted, "label int, words binary, runs binary, counts binary, large binary")
+    rows = texts.join(F.broadcast(sample), "doc_id").withColumn("crc", text_key(F.col("text")))
+    keys = rows.select("doc_id", "crc").distinct().orderBy(F.xxhash64("doc_id", "crc"), "doc_id", "crc").limit(settings.max_rows)
+    taught = rows.join(F.broadcast(keys), ["doc_id", "crc"]).groupBy("doc_id", "crc").agg(F.first("text").alias("text"), F.first("label").alias("label"))
+    examples = taught.select("text", "label").mapInArrow(_counted, "label int, words binary, runs binary, counts binary, large binary")
     found = [Example(r.label, *(bytes(x) for x in r[1:])) for r in examples.collect()]
     return fit(sorted(found, key=lambda e: (e.label, e.words, e.runs, e.counts)), settings)  # the order of tasks must not matter
 
