@@ -68,7 +68,16 @@ def _numbered(placed: DataFrame, rows: int, shards: int) -> DataFrame:
     return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("begins") + F.col("nth") - 1).alias("slot"), "grown_shard")
 
 
-def write_shards(documents: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write the documents into one folder per shard, in slot order within files."""
-    placed = documents.join(shards.select(F.col("doc_id").alias(id_col), "shard", "slot").distinct(), id_col)
-    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(documents: DataFrame, weights: list[float], path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write every row of ``documents``, all columns, into one folder per shard (``shard=0``, ...), as
+    :func:`shard_records` deals them; rows stand by MD5 of the key within a file.
+
+    Rows are dealt by their own columns and joined with nothing, so null and repeated ids lose and repeat no row.
+    A shard too large for one task is split over files.  A column named ``shard`` is replaced.
+    """
+    if not weights or min(weights) <= 0:
+        raise ValueError("every shard needs a positive weight")
+    key = key_of(F.col(id_col), F.col(text_col))
+    shard = F.array_min(F.array(*(draw(key, i, w) for i, w in enumerate(weights)))).shard
+    dealt = documents.withColumn("shard", shard).hint("rebalance", F.col("shard"))
+    dealt.sortWithinPartitions("shard", F.md5(key)).write.partitionBy("shard").parquet(path)
