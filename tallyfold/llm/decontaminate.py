@@ -6,7 +6,8 @@ placeholder of their type and remembered as slots.  Windows of ``window`` tokens
 are hashed; those of a document are looked up among the benchmark's.  The
 slots of a window must be consistent: one benchmark value stands for one document
 value and the other way round.  A window that contradicts itself also takes those
-with it that share tokens with it and lie on its diagonal.  So a question asked
+with it that share tokens with it and lie on its diagonal, but for windows that hold
+the benchmark's own values.  So a question asked
 with other numbers is still found, while a table row that merely has its shape is
 not, and a long passage is found though one of its numbers was changed.
 
@@ -24,6 +25,7 @@ all documents hold makes one row each.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -164,10 +166,15 @@ class Benchmark:
 
 
 def benchmark_parts(items: DataFrame, window: int, id_col: str, text_col: str, least: int, part: int = PART) -> list[Benchmark]:
-    """The benchmark's windows, in parts of bounded size; an item lies in one part, a small rest in the last."""
+    """The benchmark's windows, in parts of bounded size; all texts of an item id lie in one part, a small rest in the last."""
     parts, lengths, slots, held = [], {}, {}, 0
     rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
-    for number, row in enumerate(rows.toLocalIterator()):
+    before = None
+    for number, row in enumerate(rows.orderBy("i", "t").toLocalIterator()):
+        if held >= 2 * part and row.i != before:
+            parts.append((lengths, slots))
+            lengths, slots, held = {}, {}, 0
+        before = row.i
         t = templates(*flat(pa.array([row.t])))
         n = min(window, len(t.lane))
         if not n:
@@ -180,9 +187,6 @@ def benchmark_parts(items: DataFrame, window: int, id_col: str, text_col: str, l
                 lengths.setdefault((lane, n), []).append((h, np.full(len(here), number), here))
         slots[number] = row.i, {int(k): (int(t.kind[k]), t.value(k)) for k in np.flatnonzero(t.kind)}
         held += len(at) + len(every)
-        if held >= 2 * part:
-            parts.append((lengths, slots))
-            lengths, slots, held = {}, {}, 0
     if parts:
         for key, rows in lengths.items():
             parts[-1][0].setdefault(key, []).extend(rows)
@@ -277,11 +281,12 @@ def _under(windows: set[tuple[int, int]]) -> set[int]:
 
 
 def _consistent(t: Templates, windows: set[tuple[int, int]], diagonal: int, slots: dict[int, tuple[int, bytes]]) -> tuple[set[tuple[int, int]], int]:
-    """The windows that neither contradict themselves nor share tokens with one that does, and how many slots under them
-    hold another value than the benchmark's."""
+    """The windows that hold the benchmark's own values, and of the others those that neither contradict themselves nor
+    share tokens with one that does; and how many slots under them hold another value than the benchmark's."""
     values = {i: (*slots[i - diagonal], t.value(i)) for i in _under(windows) if i - diagonal in slots}
     lost = _under({(at, n) for at, n in windows if _contradict(values[i] for i in range(at, at + n) if i in values)})
-    kept = {(at, n) for at, n in windows if lost.isdisjoint(range(at, at + n))} if lost else set(windows)
+    other = sorted(i for i, (_, value, own) in values.items() if own != value) if lost else []
+    kept = {(at, n) for at, n in windows if lost.isdisjoint(range(at, at + n)) or bisect_left(other, at) == bisect_left(other, at + n)} if lost else set(windows)
     changed = [values[i] for i in _under(kept) if i in values]
     return kept, sum(own != value for _, value, own in changed)
 

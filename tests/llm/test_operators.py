@@ -202,6 +202,53 @@ def test_values_are_found_in_and_before_what_fails(spark):
     assert {r.doc_id: r.text for r in again.collect()} == dict(rows)
 
 
+@pytest.mark.parametrize("length", [24, 25, 111, 128, 129, 200, 256, 257, 1000, 5000, 20_000])
+def test_long_values_leave_nothing_in_clear(length):
+    draw, p, back = random.Random(length), pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True)
+    for alphabet, form, kind in (("0123456789abcdef", "token=%s", "secret"), ("0123456789ABCDEF", "KEY: %s", "secret"), ("0123456789abcdefABCDEF", "key='%s", "secret"), ("abcdefghijklmnopqrstuvwxyz", "%s@mail.example.com", "email")):
+        value = "".join(draw.choice(alphabet) for _ in range(length))
+        text = form % value
+        (image, spans), at = p.apply(text), form.index("%s")
+        assert [s[0] for s in spans] == [kind] and len(image) == len(text) and back.apply(image)[0] == text
+        same = sum(a == b for a, b in zip(value, image[at : at + length]))
+        chance = length / len(alphabet)
+        assert same <= chance + 6 * chance**0.5 + 3 and set(image[at : at + length]) <= set(alphabet)
+        assert "".join(value[:20]) not in image and p.apply(text)[0] == image
+        other = form % (value[:-1] + alphabet[(alphabet.index(value[-1]) + 1) % len(alphabet)])
+        changed = p.apply(other)[0][at : at + length]
+        assert sum(a == b for a, b in zip(changed, image[at : at + length])) <= chance + 6 * chance**0.5 + 3  # one digit decides about all
+
+
+def test_long_values_in_documents(spark):
+    value = "0123456789abcdef" * 500
+    rows = [(1, f"token={value} and {'n' * 9000}@example.com"), (2, f"secret: {value}"), (3, "plain")]
+    out = pii.pseudonymise(documents(spark, rows), b"k")
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got[1][6 : 6 + len(value)] == got[2][8:] != value and "nnnnnnnn" not in got[1] and got[3] == "plain"
+    assert {r.doc_id: r.text for r in pii.pseudonymise(out, b"k", undo=True).collect()} == dict(rows)
+
+
+def test_sequences_are_one_to_one(monkeypatch):
+    monkeypatch.setattr(pii, "_BLOCK", 2)
+    p, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True)
+    sizes = [3, 2, 1, 4, 2]
+    every = [pii._parted(x, sizes) for x in range(48)]
+    images = [p.sequence(x, sizes, "t") for x in every]
+    assert sorted(images) == sorted(every) and [back.sequence(y, sizes, "t") for y in images] == every and p.sequence([], [], "t") == []
+
+
+def test_a_pseudonym_that_would_validate_what_failed_is_walked_on(spark):
+    """What follows an invalid IBAN or date may not make it valid; the walk ends at the value itself at the latest."""
+    p, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True)
+    draw, clear = random.Random(3), 0
+    for _ in range(3000):
+        text = "DE88 3704 0044 0532 " + "".join(draw.choice("0123456789") for _ in range(4)) + " " + draw.choice(["4111 1111 1111 1111", "5500 0000 0000 0004", "00 2021-02-28"])
+        image, spans = p.apply(text)
+        clear += sum(text[b:e] == image[b:e] for _, b, e in spans)
+        assert back.apply(image)[0] == text
+    assert clear == 0
+
+
 def test_undo_reads_random_texts_as_they_were_written():
     draw, p, back = random.Random(4), pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", undo=True)
     parts = ["ES91", "DE89", "ID12", "4111", "1111", "0532", "30", "7", "EUR", "+49", "2021-02-30", "30/02/2021", "000-12-3456", "999.1.2.3", "GB29 NWBK 6016 1331 9268 19", "a@b.de", "0000"]
@@ -304,7 +351,7 @@ def test_templates_find_other_numbers_and_reject_contradictions(spark):
     short = "A plain question of just nine words is here"
     bench = [(1, item), (2, short), (3, "too short"), (4, None), (None, item), (1, item)]
     other = item.replace("120", "95").replace("Mary Brown", "Eva Green")
-    broken = item.replace("120 km in", "95 km in")  # one value stands for two
+    broken = item.replace("120 km in", "95 km in").replace("how", "what")  # one value stands for two, and no window is the item's
     docs = [(1, "Before. " + item + " After."), (2, other), (3, broken), (4, "nothing of the kind " * 20), (5, None), (None, other), (6, "x " + short.upper() + " y"), (7, ""), (8, LONG + " . " + other), (2, other)]
     out = decontaminate.find_contamination(documents(spark, docs), spark.createDataFrame(bench, "item_id long, text string")).collect()
     found = {(r.doc_id, r.item_id): r for r in out}
@@ -317,6 +364,24 @@ def test_templates_find_other_numbers_and_reject_contradictions(spark):
     assert len(several) == 2
 
 
+def test_parts_of_the_benchmark_change_nothing(spark, monkeypatch):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    items = [(1, " ".join(words[:25])), (1, " ".join(words[20:45])), (2, " ".join(words[40:])), (3, " ".join(words[:12]))]
+    texts = [(1, " ".join(words)), (2, " ".join(words[:45])), (3, "nothing")]
+    whole = {k: tuple(r) for k, r in found_in(spark, texts, items).items()}
+    monkeypatch.setattr(decontaminate.benchmark_parts, "__defaults__", (1,))
+    out = decontaminate.find_contamination(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): tuple(r) for r in out} == whole and len(out) == len(whole) == 5
+    assert whole[2, 1][3:5] == (26, 45)
+
+
+def test_windows_with_the_items_own_values_are_always_found(spark):
+    item = "If a train that Mary Brown drives covers 120 km in 2 hours and then 120 km more , how far does it go per hour on the whole way home ?"
+    texts = [(1, item.replace("120 km in", "95 km in")), (2, item.replace("120 km in", "95 km in").replace("how", "what"))]
+    found = found_in(spark, texts, [(1, item)])
+    assert found.keys() == {(1, 1)} and found[1, 1].changed_slots == 0 and found[1, 1].n_tokens >= 20
+
+
 def found_in(spark, texts, items):
     out = decontaminate.find_contamination(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
     return {(r.doc_id, r.item_id): r for r in out}
@@ -370,6 +435,10 @@ def test_classifier_on_held_out_rows(spark, sf_dir):
     assert len(rows) > 50 and sum(r.predicted == r.quality for r in rows) / len(rows) > 0.9
     own = {r.doc_id: r.score for r in out.where("doc_id IS NULL OR doc_id < 0").collect()}
     assert own[None] == own[-1] and all(0 <= x <= 1 for x in own.values())
+    few = labels.where("quality IS NOT NULL").limit(8)
+    again = quality.train(texts.unionByName(texts), few, settings=quality.Settings(max_rows=400, epochs=2))
+    once = quality.train(texts, few, settings=quality.Settings(max_rows=400, epochs=2))
+    assert np.array_equal(again.weights, once.weights) and again.bias == once.bias  # equal rows teach once
     kept = quality.keep_good(table, model)
     assert kept.columns == table.columns and kept.count() == out.where("predicted = 1").count()
     none = quality.train(texts, labels.where("false"))
@@ -377,6 +446,24 @@ def test_classifier_on_held_out_rows(spark, sf_dir):
     assert quality.score_documents(table.where("false"), model).count() == 0
 
 
+def test_rows_bound_what_is_learned_from(spark, monkeypatch):
+    hot = [(1, f"text number {i} of one id") for i in range(3000)] + [(2, "another"), (3, None)]
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda examples, settings: seen.append(len(examples)))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    quality.train(documents(spark, hot), labels, settings=quality.Settings(max_rows=50))
+    assert seen == [50]
+
+
+def test_written_shards_hold_every_row_once(spark, awkward, tmp_path):
+    table = documents(spark, awkward)
+    sharding.write_shards(table, [1.0, 2.0, 1.0], str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert order([(r.doc_id, r.text or "") for r in back.collect()]) == order([(i, t or "") for i, t in awkward])
+    assert Counter((r.doc_id, r.shard) for r in back.collect()) == Counter((r.doc_id, r.shard) for r in sharding.shard_records(table, [1.0, 2.0, 1.0]).collect())
+    assert set(table.columns) < set(back.columns)
+
+
 def test_shards_move_only_into_the_new_one(spark, awkward):
     texts = awkward + [(1000 + i, f"t{i}") for i in range(3000)] + [(None, f"n{i}") for i in range(200)]
     table = documents(spark, texts)
