@@ -4,11 +4,13 @@ questions, mixed to target weights, dealt into shards."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyfold.llm import decontaminate, jaccard, mixing, quality, sharding
 from tallyfold.llm.queries import MIX_LEVELS, MIX_SEED, SHARDS, trained, with_domain
 from tallyfold.llm.tables import matching, read_table, store
 
+LEAST_COPIED = 8  # tokens, as in the operator's ``least`` for items with other slots
 MIX_SHARE = 0.9  # of the tokens that are left; no document is repeated
 
 
@@ -30,9 +32,10 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark passage go."""
-    found = decontaminate.find_contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    return matching(docs, found, "left_anti")
+    """Documents with ``LEAST_COPIED`` tokens or more of a benchmark item go.  Shorter finds, such as items of one
+    word, are reported beside them, in the table "pipeline-contamination" of the shared folder, and remove nothing."""
+    found = store(decontaminate.find_contamination(docs, read_table(spark, sf_dir, "benchmark")), "pipeline-contamination")
+    return matching(docs, found.where(F.col("n_tokens") >= LEAST_COPIED), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
