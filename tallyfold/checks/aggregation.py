@@ -10,6 +10,7 @@ from tallyfold.checks.registry import query
 from tallyfold.functions.rounding import mean_of, median_of, ratio, saturating
 from tallyfold.operators import aggregate as A
 from tallyfold.operators import ranking, trends
+from tallyfold.sources import readers
 
 EV = f"WITH {B.EVENTS_SQL}"
 HI = f"WITH {B.HISTORY_SQL}"
@@ -195,7 +196,7 @@ def aggregate_days(spark, sf):
 def reaggregate_one_day(spark, sf):
     from tallyfold.checks.storage import stored_events
 
-    rows = spark.read.parquet(stored_events(spark, sf))
+    rows = readers.stored(spark, stored_events(spark, sf))
     return _aggregate_days(trends.latest_rows(rows, "date"))
 
 
@@ -241,7 +242,7 @@ def mode_fallback(spark, sf):
 def latest_day(spark, sf):
     from tallyfold.checks.storage import stored_events
 
-    rows = spark.read.parquet(stored_events(spark, sf))
+    rows = readers.stored(spark, stored_events(spark, sf))
     return trends.latest_rows(rows, "date").select("run_date", "event_id", "event_type", "value")
 
 

@@ -16,7 +16,7 @@ from tallyfold.fixed_values import FIRST_COHORT_YEAR
 from tallyfold.operators import aggregate, sampling
 from tallyfold.operators.observe import observe
 from tallyfold.sources import readers, sinks
-
+from tallyfold.sources.runs import Run
 
 MODES = ("daily", "cohort")
 
@@ -55,49 +55,51 @@ def provenance(landed: DataFrame, run_date: Column, collection_type: str) -> Dat
     )
 
 
-def stored_rows(rows: DataFrame, path: str, mode: str, dates: list[date]) -> DataFrame:
-    """Replace the dates of a run and return what is stored of them, so that
+def stored_rows(run: Run, table: str, rows: DataFrame, mode: str, dates: list[date]) -> DataFrame:
+    """Write a run's rows of a table and return what is stored of them, so that
     whatever reads them next starts from files.  No rows is a valid result."""
-    rows = rows.withColumn("collection_type", F.lit(mode))
-    sinks.write_dates(rows, path, collection_type=mode, replaced=dates)
-    return of_run(readers.stored(rows.sparkSession, path, readers.with_date(rows.schema)), mode, dates)
-
-
-def of_run(stored: DataFrame, mode: str, dates: list[date]) -> DataFrame:
-    """The rows of a run; only the folders of its dates are read."""
-    return stored.where((F.col("collection_type") == mode) & F.col("date").isin(dates))
+    run.write(table, rows.withColumn("collection_type", F.lit(mode)), collection_type=mode, replaced=dates)
+    return run.read(table, mode=mode, dates=dates)
 
 
 def date_rows(spark: SparkSession, dates: list[date]) -> DataFrame:
     return spark.createDataFrame([(d,) for d in dates], "run_date date")
 
 
-def store_aggregates(root: str, rows: DataFrame, dates: list[date], mode: str) -> tuple[DataFrame, DataFrame]:
+AGGREGATES = ("daily_snapshots", "library_adoption", "version_shares")
+
+
+def store_aggregates(run: Run, rows: DataFrame, dates: list[date], mode: str) -> tuple[DataFrame, DataFrame]:
     """Snapshot, version shares and adoption of the given dates from their stored
     observations of one mode; returns snapshot and adoption as stored.  Dates
-    without rows get an empty snapshot and zero adoption.  The whole snapshot and
-    adoption history is mirrored as CSV: a row per date, and per date and library."""
-    spark, stored = rows.sparkSession, []
-    for name, table in zip(("daily_snapshots", "library_adoption"), aggregate.aggregate_days(rows, date_rows(spark, dates), mode)):
-        stored.append(stored_rows(table, f"{root}/{name}", mode, dates))
-        whole = readers.stored(spark, f"{root}/{name}", readers.with_date(table.schema))
-        sinks.write_csv(whole.drop("date"), f"{root}/csv/{name}")
-    sinks.write_dates(aggregate.version_share(rows), f"{root}/version_shares", collection_type=mode, replaced=dates)
+    without rows get an empty snapshot and zero adoption."""
+    tables = (*aggregate.aggregate_days(rows, date_rows(rows.sparkSession, dates), mode), aggregate.version_share(rows))
+    stored = [stored_rows(run, name, table, mode, dates) for name, table in zip(AGGREGATES, tables)]
     return stored[0], stored[1]
 
 
+def mirror(spark: SparkSession, root: str) -> None:
+    """The whole snapshot and adoption history as CSV, from what was committed: a row per date, and per date and
+    library.  A copy for other programs: a run that dies here leaves the old one, and the next run writes it anew."""
+    for name in AGGREGATES[:2]:
+        sinks.write_csv(readers.stored(spark, f"{root}/{name}").drop("date"), f"{root}/csv/{name}")
+
+
 def store_run(pool: DataFrame, files: DataFrame, contents: DataFrame, root: str, mode: str, dates: list[date], draw) -> DataFrame:
     """From the pool of a run (with ``run_date``) to its report; every step is
-    stored, so the population and the listing are read once."""
-    spark = pool.sparkSession
-    pool = stored_rows(pool, f"{root}/pool", mode, dates)
-    listed = stored_rows(sampling.pooled_files(pool.drop("date"), files), f"{root}/listed", mode, dates)
-    drawn = stored_rows(draw(listed), f"{root}/drawn", mode, dates)
-    landed = stored_rows(land(drawn, contents), f"{root}/landed", mode, dates)
+    stored, so the population and the listing are read once.  Nothing is visible before the last step, which
+    replaces the run's dates in all tables at once."""
+    run = Run(pool.sparkSession, root)
+    pool = stored_rows(run, "pool", pool, mode, dates)
+    listed = stored_rows(run, "listed", sampling.pooled_files(pool.drop("date"), files), mode, dates)
+    drawn = stored_rows(run, "drawn", draw(listed), mode, dates)
+    landed = stored_rows(run, "landed", land(drawn, contents), mode, dates)
     found = observe(provenance(landed, F.col("run_date"), mode))
-    observed = stored_rows(found, f"{root}/observations", mode, dates)
-    snapshot, adoption = store_aggregates(root, observed, dates, mode)
-    counts = sampling.accounting(date_rows(spark, dates), pool, listed, landed)
+    observed = stored_rows(run, "observations", found, mode, dates)
+    snapshot, adoption = store_aggregates(run, observed, dates, mode)
+    counts = sampling.accounting(date_rows(run.spark, dates), pool, listed, landed)
+    run.commit()
+    mirror(run.spark, root)
     return run_report(snapshot, adoption, counts)
 
 
@@ -152,10 +154,13 @@ def reaggregate(spark: SparkSession, root: str, run_date: date) -> None:
     for mode in MODES:
         rows = readers.observations(spark, f"{root}/observations", run_date, collection_type=mode)
         if rows is not None and not rows.isEmpty():
-            store_aggregates(root, rows, [run_date], mode)
+            run = Run(spark, root)
+            store_aggregates(run, rows, [run_date], mode)
+            run.commit()
             found = True
     if not found:
         raise ValueError(f"no observations stored for {run_date.isoformat()}")
+    mirror(spark, root)
 
 
 def run_report(snapshot: DataFrame, adoption: DataFrame, counts: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
+from tallyfold.sources import runs
+
 REPOS = (
     "full_name string, default_branch string, stargazers_count bigint, size bigint, "
     "created_at string, pushed_at string, topics array<string>"
@@ -110,17 +112,19 @@ def enrich(registry: DataFrame, metadata: DataFrame) -> DataFrame:
     return registry.join(metadata.withColumnRenamed("name", "pypi"), "pypi", "left")
 
 
-def stored(
-    spark: SparkSession, path: str, schema: StructType | str | None = None, base: str | None = None
-) -> DataFrame | None:
-    """A stored Parquet table, or, when there is none, an empty one of the given
-    schema (None without a schema).
+def stored(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame | None:
+    """A table that a run has stored, by the newest manifest beside it; else a plain Parquet folder; or, when there
+    is neither, an empty table of the given schema (None without a schema).
 
-    With a schema no footers are read to plan the scan and columns that a file
-    lacks are null; without one the columns of all files are merged.
+    A run's table has the columns of all its versions, a plain one without a schema the merged columns
+    of its files.  Columns that a file lacks are null.
     """
-    reader = spark.read.option("basePath", base or path)
-    reader = reader.option("mergeSchema", "true") if schema is None else reader.schema(schema)
+    rows = runs.read_table(spark, *runs.located(spark, path), as_schema(schema))
+    if rows is not None:
+        return rows
+    if runs.unseen(spark, path):
+        return None if schema is None else spark.createDataFrame([], schema)
+    reader = spark.read.option("mergeSchema", "true") if schema is None else spark.read.schema(schema)
     try:
         return reader.parquet(path)
     except AnalysisException as missing:
@@ -129,6 +133,10 @@ def stored(
         return None if schema is None else spark.createDataFrame([], schema)
 
 
+def as_schema(schema: StructType | str | None) -> StructType | None:
+    return StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
 def with_date(schema: StructType) -> StructType:
     """A schema with the partition column."""
     if "date" in schema.names:
@@ -144,9 +152,13 @@ def observations(
     collection_type: str | None = None,
 ) -> DataFrame | None:
     """Stored observations of all dates, or of one, whose folders alone are listed."""
-    schema = None if schema is None else with_date(schema)
     if run_date is None:
-        return stored(spark, root, schema)
-    mode = "collection_type=*/" if collection_type is None else f"collection_type={collection_type}/"
-    rows = stored(spark, f"{root}/{mode}date={run_date.isoformat()}", schema, root)
-    return None if rows is None else rows.where(F.col("date") == F.lit(run_date))
+        return stored(spark, root, None if schema is None else with_date(schema))
+    base, state, table = runs.located(spark, root)
+    days = state["tables"].get(table, {"days": {}})["days"]
+    if schema is None and not any(run_date.isoformat() in days[mode] for mode in days if collection_type in (None, mode)):
+        return None
+    rows = runs.read_table(spark, base, state, table, schema, collection_type, [run_date])
+    if rows is None:
+        return spark.createDataFrame([], with_date(schema))
+    return rows.where(F.col("date") == F.lit(run_date))

@@ -8,41 +8,23 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.sources.readers import content_bucket, stored
-
-KEYS = ("collection_type", "date")
+from tallyfold.sources.readers import content_bucket
+from tallyfold.sources.runs import SINGLE, Run
 
 
 def write_dates(
     rows: DataFrame, root: str, run_date: date | None = None, collection_type: str = "daily", replaced: Iterable[date] = ()
 ) -> None:
-    """Write rows by collection type and date; a date that is written again is
-    replaced in its own collection type only.
+    """Write rows by collection type and date as a run of one table, which has the folder ``root`` for itself; a date
+    that is written again is replaced in its own collection type only, and a write that dies changes nothing.
 
     ``run_date`` and ``collection_type`` are given to rows that have no such
     column or no value in it.  ``replaced`` names the dates of a run: those it finds no rows for
-    are emptied.  It is as long as the run has dates.  ``rows`` must not read
-    the dates they replace.  The rebalance hint gathers each date into few
-    files and splits a date that is too large for one task.
+    are emptied.  ``rows`` may read the dates they replace.
     """
-    if "run_date" not in rows.columns:
-        rows = rows.withColumn("run_date", F.lit(run_date).cast("date"))
-    mode = F.lit(collection_type)
-    if "collection_type" in rows.columns:
-        mode = F.coalesce("collection_type", mode)
-    rows = rows.withColumn("collection_type", mode)
-    for day in replaced:
-        empty_date(rows, f"{root}/collection_type={collection_type}/date={day.isoformat()}")
-    dated = rows.withColumn("date", F.to_date("run_date")).hint("rebalance", F.col("date"))
-    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(root)
-
-
-def empty_date(rows: DataFrame, folder: str) -> None:
-    """Leave no rows in the folder of one date, if there is one."""
-    spark = rows.sparkSession
-    if stored(spark, folder) is not None:
-        none = spark.createDataFrame([], rows.drop(*KEYS).schema)
-        none.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
+    run = Run(rows.sparkSession, root)
+    run.write(SINGLE, rows, run_date, collection_type, replaced)
+    run.commit()
 
 
 def write_contents(documents: DataFrame, path: str) -> None:

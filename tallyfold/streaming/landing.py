@@ -15,7 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyfold.operators.observe import observe
 from tallyfold.plans import census
-from tallyfold.sources import readers, sinks
+from tallyfold.sources import sinks
+from tallyfold.sources.runs import Run
 
 LANDED = (
     "run_date date, collection_type string, repo_full_name string, path string, ref string, size_bytes bigint, "
@@ -37,13 +38,14 @@ def refresh_dates(spark: SparkSession, root: str, touched: DataFrame) -> None:
     arrived = spark.read.schema(ARRIVALS).parquet(f"{root}/arrivals").join(keys, ["collection_type", "date"], "left_semi")
     newest = F.row_number().over(Window.partitionBy(*ONE_DOCUMENT).orderBy(F.desc("batch"), F.md5("raw")))
     landed = arrived.withColumn("copy", newest).where("copy = 1").drop("copy", "batch", "date")
-    observed = observe(landed)
-    sinks.write_dates(observed, f"{root}/observations")
-    stored = readers.stored(spark, f"{root}/observations", readers.with_date(observed.schema))
+    run = Run(spark, root)
+    run.write("observations", observe(landed))
     for mode in census.MODES:
         dates = [r.run_date for r in touched.where(F.col("collection_type") == mode).select("run_date").collect()]
         if dates:
-            census.store_aggregates(root, census.of_run(stored, mode, dates), dates, mode)
+            census.store_aggregates(run, run.read("observations", mode=mode, dates=dates), dates, mode)
+    run.commit()
+    census.mirror(spark, root)
 
 
 def take_batch(root: str):
