@@ -17,7 +17,7 @@ from tallyfold.checks.registry import query
 from tallyfold.operators import aggregate as A
 from tallyfold.operators import detect
 from tallyfold.session import scratch_folder
-from tallyfold.sources import readers, sinks, views
+from tallyfold.sources import landed, readers, sinks, views
 
 def stored_events(spark, sf: str) -> str:
     """All event observations as date partitions; the last ten days are written
@@ -58,6 +58,45 @@ def src_raw_documents(spark, sf):
     return raw.select("doc_id", F.length("raw").alias("chars"), F.md5("raw").alias("digest"))
 
 
+def landed_tree(spark, sf: str) -> str:
+    """``documents`` as files, French ones with a stray byte at the end; the file of the first document is not there."""
+
+    def write(root: str) -> None:
+        docs = B.many_files(spark, sf, "documents")
+        first = docs.agg(F.min("doc_id").alias("doc_id"))
+        stray = F.when(F.col("lang") == "fr", F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+        files = docs.select(*landed_name(), F.concat(F.encode("text", "UTF-8"), stray).alias("content"), "doc_id")
+        landed.write_files(files.join(F.broadcast(first), "doc_id", "left_anti"), root)
+
+    return B.stored_once(spark, sf, "landed-tree", write)
+
+
+def landed_name() -> list:
+    return [F.concat(F.lit("owner/"), "source").alias("full_name"), F.concat(F.col("lang"), F.lit("/"), F.col("doc_id"), F.lit(".ipynb")).alias("path")]
+
+
+@query(
+    "src_landed_files",
+    """SELECT doc_id, full_name, octet_length(encode(raw)) - 2 * (lang = 'fr')::INT AS size_bytes, length(raw) AS chars, md5(raw) AS digest, 'read' AS state FROM
+  (SELECT *, 'owner/' || source AS full_name, CASE WHEN lang = 'fr' THEN text || chr(65533) ELSE text END AS raw FROM documents WHERE doc_id > (SELECT min(doc_id) FROM documents))
+  UNION ALL SELECT doc_id, 'owner/' || source, 0, 0, '', 'FileNotFoundError' FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)""",
+)
+def src_landed_files(spark, sf):
+    root = landed_tree(spark, sf)
+    batches = scratch_folder(spark, "landed-batches")
+    listing = B.table(spark, sf, "documents").select(*landed_name(), F.col("n_chars").alias("size"))
+    landed.store_batches(listing, batches, batch_bytes=1 << 20)
+    rows = landed.documents(spark, batches, root)
+    return rows.select(
+        F.regexp_extract("path", "([0-9]+)[.]ipynb$", 1).cast("bigint").alias("doc_id"),
+        "full_name",
+        F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"),
+        F.coalesce(F.length("raw"), F.lit(0)).cast("bigint").alias("chars"),
+        F.coalesce(F.md5("raw"), F.lit("")).alias("digest"),
+        F.coalesce("error", F.lit("read")).alias("state"),
+    )
+
+
 @query(
     "src_repos",
     """SELECT c_name AS full_name, CASE WHEN c_nationkey < 5 THEN 'dev' ELSE 'main' END AS default_branch,

@@ -15,20 +15,27 @@ from pyspark.sql import functions as F
 from tallyfold.fixed_values import FIRST_COHORT_YEAR
 from tallyfold.operators import aggregate, sampling
 from tallyfold.operators.observe import observe
-from tallyfold.sources import readers, sinks
+from tallyfold.session import scratch_folder
+from tallyfold.sources import landed, readers, sinks
 from tallyfold.sources.runs import Run
 
 MODES = ("daily", "cohort")
 
 
-def land(drawn: DataFrame, contents: DataFrame) -> DataFrame:
+def land(drawn: DataFrame, contents: DataFrame | str) -> DataFrame:
     """Drawn files with their text; ``raw`` is null where it could not be read.
 
+    ``contents`` is a table, or the root folder of landed files: then the drawn files, and no others, are
+    opened by name, in batches of equal bytes.
     Contents stored by :func:`sinks.write_contents` are read only in the folders
     that the drawn repositories fall in.  The join with the contents is left to
     the planner's size check of ``drawn``, which is stored.
     """
-    if "bucket" in contents.columns:
+    if isinstance(contents, str):
+        batches = scratch_folder(drawn.sparkSession, "landed-batches")
+        landed.store_batches(drawn.dropDuplicates(["full_name", "path"]), batches)
+        contents = landed.documents(drawn.sparkSession, batches, contents)
+    elif "bucket" in contents.columns:
         wanted = drawn.select(readers.content_bucket(F.col("full_name")).alias("bucket")).distinct().collect()
         contents = contents.where(F.col("bucket").isin([r.bucket for r in wanted]))  # CONTENT_BUCKETS numbers at most
     keys = drawn.select("full_name", "path").distinct()
@@ -36,9 +43,9 @@ def land(drawn: DataFrame, contents: DataFrame) -> DataFrame:
     return drawn.join(found, ["full_name", "path"], "left")
 
 
-def provenance(landed: DataFrame, run_date: Column, collection_type: str) -> DataFrame:
+def provenance(read: DataFrame, run_date: Column, collection_type: str) -> DataFrame:
     """Landed files in the column names of the observation table."""
-    return landed.where(F.col("raw").isNotNull()).select(
+    return read.where(F.col("raw").isNotNull()).select(
         run_date.alias("run_date"),
         F.lit(collection_type).alias("collection_type"),
         F.col("full_name").alias("repo_full_name"),
@@ -85,7 +92,7 @@ def mirror(spark: SparkSession, root: str) -> None:
         sinks.write_csv(readers.stored(spark, f"{root}/{name}").drop("date"), f"{root}/csv/{name}")
 
 
-def store_run(pool: DataFrame, files: DataFrame, contents: DataFrame, root: str, mode: str, dates: list[date], draw) -> DataFrame:
+def store_run(pool: DataFrame, files: DataFrame, contents: DataFrame | str, root: str, mode: str, dates: list[date], draw) -> DataFrame:
     """From the pool of a run (with ``run_date``) to its report; every step is
     stored, so the population and the listing are read once.  Nothing is visible before the last step, which
     replaces the run's dates in all tables at once."""
@@ -93,11 +100,11 @@ def store_run(pool: DataFrame, files: DataFrame, contents: DataFrame, root: str,
     pool = stored_rows(run, "pool", pool, mode, dates)
     listed = stored_rows(run, "listed", sampling.pooled_files(pool.drop("date"), files), mode, dates)
     drawn = stored_rows(run, "drawn", draw(listed), mode, dates)
-    landed = stored_rows(run, "landed", land(drawn, contents), mode, dates)
-    found = observe(provenance(landed, F.col("run_date"), mode))
+    read = stored_rows(run, "landed", land(drawn, contents), mode, dates)
+    found = observe(provenance(read, F.col("run_date"), mode))
     observed = stored_rows(run, "observations", found, mode, dates)
     snapshot, adoption = store_aggregates(run, observed, dates, mode)
-    counts = sampling.accounting(date_rows(run.spark, dates), pool, listed, landed)
+    counts = sampling.accounting(date_rows(run.spark, dates), pool, listed, read)
     run.commit()
     mirror(run.spark, root)
     return run_report(snapshot, adoption, counts)
@@ -107,7 +114,7 @@ def run_day(
     spark: SparkSession,
     repos: DataFrame,
     files: DataFrame,
-    contents: DataFrame,
+    contents: DataFrame | str,
     root: str,
     run_date: date,
     seed_offset: int = 0,
@@ -127,7 +134,7 @@ def run_backfill(
     spark: SparkSession,
     repos: DataFrame,
     files: DataFrame,
-    contents: DataFrame,
+    contents: DataFrame | str,
     root: str,
     start_year: int = FIRST_COHORT_YEAR,
     end_year: int | None = None,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from tallyfold.sources import runs
+from tallyfold.sources.landed import valid_text
 
 REPOS = (
     "full_name string, default_branch string, stargazers_count bigint, size bigint, "
@@ -20,7 +21,8 @@ PACKAGES = "info struct<name:string,version:string,summary:string,requires_pytho
 
 
 def raw_documents(spark: SparkSession, root: str, max_bytes: int | None = None, skip_unreadable: bool = False) -> DataFrame:
-    """Landed ``.ipynb`` files under ``root/<owner>/<repository>/``.
+    """Landed ``.ipynb`` files under ``root/<owner>/<repository>/``, found by listing the tree; where a listing is
+    stored, :mod:`tallyfold.sources.landed` opens the same files by name.
 
     ``max_bytes`` leaves larger files out; it reaches the file listing, so they
     are not opened.  ``skip_unreadable`` passes over files that cannot be read,
@@ -61,11 +63,6 @@ def contents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def valid_text(content):
-    """Bytes as text, with U+FFFD for whatever is not UTF-8."""
-    return F.make_valid_utf8(content.cast("string"))
-
-
 def with_repo_defaults(rows: DataFrame) -> DataFrame:
     """Repository metadata with main, 0, '' and [] for absent members."""
     return rows.select(
