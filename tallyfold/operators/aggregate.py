@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyfold.fixed_values import CATEGORY_OF, SCORE_COLUMNS
 from tallyfold.functions.rounding import mean_of, median_of, ratio
 
-_MEANS = {
+MEANS = {
     "mean_total_cells": "total_cells",
     "mean_code_cells": "code_cells",
     "mean_markdown_cells": "markdown_cells",
@@ -21,7 +21,7 @@ _MEANS = {
     "mean_imports": "import_count",
     "mean_outputs": "total_outputs",
 }
-_SHARES = {
+SHARES = {
     "pct_with_output": "has_any_output",
     "pct_executed_in_order": "fully_executed_in_order",
     "pct_with_widgets": "has_widget_state",
@@ -64,7 +64,7 @@ def score_summary(scores: tuple[str, ...] = SCORE_COLUMNS) -> list[Column]:
 
 
 def structure_means() -> list[Column]:
-    means = [mean_of(of_parsed(F.col(c)), 0, 3).alias(name) for name, c in _MEANS.items()]
+    means = [mean_of(of_parsed(F.col(c)), 0, 3).alias(name) for name, c in MEANS.items()]
     return [*means, F.median(of_parsed(F.col("total_cells"))).alias("median_total_cells")]
 
 
@@ -74,7 +74,7 @@ def share_of(condition: Column, among: Column, places: int = 4) -> Column:
 
 
 def boolean_shares() -> list[Column]:
-    return [share_of(F.col(c), parsed()).alias(name) for name, c in _SHARES.items()]
+    return [share_of(F.col(c), parsed()).alias(name) for name, c in SHARES.items()]
 
 
 def declares_version() -> Column:
@@ -114,12 +114,15 @@ def daily_snapshot(observations: DataFrame, run_dates: DataFrame | None = None,
         declared.alias("pct_with_python_version"),
         *format_mix(),
     )
-    snapshot = measured.join(contributors(observations), "run_date")
-    if run_dates is not None:
-        snapshot = run_dates.join(snapshot, "run_date", "left")
-        empty = {c: 0 for c in ("notebooks_collected", "notebooks_parsed", "repos_contributing", "strata_sampled")}
-        snapshot = snapshot.fillna({**empty, "parse_success_rate": 0.0, "collection_type": mode})
-    return snapshot
+    return filled(measured.join(contributors(observations), "run_date"), run_dates, mode)
+
+
+def filled(snapshot: DataFrame, run_dates: DataFrame | None, mode: str) -> DataFrame:
+    """The snapshot with a row for each of ``run_dates``; dates without rows have counts of 0."""
+    if run_dates is None:
+        return snapshot
+    empty = {c: 0 for c in ("notebooks_collected", "notebooks_parsed", "repos_contributing", "strata_sampled")}
+    return run_dates.join(snapshot, "run_date", "left").fillna({**empty, "parse_success_rate": 0.0, "collection_type": mode})
 
 
 def value_share(observations: DataFrame, value: str, among: Column | None = None, keys: tuple[str, ...] = ("run_date",)) -> DataFrame:
@@ -166,13 +169,18 @@ def library_adoption(
     if run_dates is not None:
         counts = run_dates.join(counts, "run_date", "left")
         counts = counts.fillna({**dict.fromkeys([*known, "parsed"], 0), "collection_type": mode})
+    return value_rows(counts, categories)
+
+
+def value_rows(counts: DataFrame, categories: dict[str, str], keys: tuple[str, ...] = ("run_date",)) -> DataFrame:
+    """A row for each library, from one column of counts each."""
     entries = F.array(
         *[
             F.struct(F.lit(name).alias("library"), F.lit(categories[name]).alias("category"), F.col(name).alias("notebook_count"))
-            for name in known
+            for name in sorted(categories)
         ]
     )
-    rows = counts.select("run_date", "collection_type", "parsed", F.inline(entries))
+    rows = counts.select(*keys, "collection_type", "parsed", F.inline(entries))
     pct = F.coalesce(ratio(F.col("notebook_count"), F.col("parsed"), 3, 100), F.lit(0.0))
     return rows.withColumn("adoption_pct", pct).drop("parsed")
 

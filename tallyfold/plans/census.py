@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfold.fixed_values import FIRST_COHORT_YEAR
-from tallyfold.operators import aggregate, sampling
+from tallyfold.operators import aggregate, sampling, states
 from tallyfold.operators.observe import observe
 from tallyfold.session import scratch_folder
 from tallyfold.sources import landed, readers, sinks
@@ -76,11 +76,23 @@ def date_rows(spark: SparkSession, dates: list[date]) -> DataFrame:
 AGGREGATES = ("daily_snapshots", "library_adoption", "version_shares")
 
 
-def store_aggregates(run: Run, rows: DataFrame, dates: list[date], mode: str) -> tuple[DataFrame, DataFrame]:
-    """Snapshot, version shares and adoption of the given dates from their stored
+def store_aggregates(run: Run, rows: DataFrame, dates: list[date], mode: str, measures: states.Measures = states.CENSUS) -> tuple[DataFrame, DataFrame]:
+    """States, snapshot, version shares and adoption of the given dates from their stored
     observations of one mode; returns snapshot and adoption as stored.  Dates
     without rows get an empty snapshot and zero adoption."""
-    tables = (*aggregate.aggregate_days(rows, date_rows(rows.sparkSession, dates), mode), aggregate.version_share(rows))
+    stored_rows(run, "day_states", states.day_states(rows, measures=measures), mode, dates)
+    return store_figures(run, rows, dates, mode, measures)
+
+
+def store_figures(run: Run, rows: DataFrame, dates: list[date], mode: str, measures: states.Measures = states.CENSUS) -> tuple[DataFrame, DataFrame]:
+    """Snapshot, version shares and adoption of dates from their states.  Of their observations only repositories
+    and strata are read, whose exact counts do not merge."""
+    days, held = date_rows(run.spark, dates), run.read("day_states", mode=mode, dates=dates)
+    tables = (
+        states.snapshot(held, aggregate.contributors(rows), days, mode, measures),
+        states.adoption(held, run_dates=days, mode=mode, measures=measures),
+        states.version_shares(held),
+    )
     stored = [stored_rows(run, name, table, mode, dates) for name, table in zip(AGGREGATES, tables)]
     return stored[0], stored[1]
 

@@ -14,6 +14,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",  # tasks that list date folders, not one for each
 }
 
 
