@@ -7,16 +7,23 @@ from pyspark.sql import functions as F
 
 from tallyfold.checks import bindings as B
 from tallyfold.checks.registry import query
+from tallyfold.fixed_values import SCORE_COLUMNS, STRUCTURE_COLUMNS, TREND_INDICATORS
 from tallyfold.functions.rounding import mean_of, median_of, ratio, saturating
 from tallyfold.operators import aggregate as A
 from tallyfold.operators import ranking, trends
 from tallyfold.sources import readers
 
+_QUALITY = [("quality_indices_mean", s, f"{s}_mean") for s in SCORE_COLUMNS] + [("structure", c, c) for c in STRUCTURE_COLUMNS]
 EV = f"WITH {B.EVENTS_SQL}"
 HI = f"WITH {B.HISTORY_SQL}"
 DAY = "strftime(run_date, '%Y-%m-%d') AS run_date"
 
 
+def _three(column: str) -> str:
+    """Half-up at three places by the decimal digits, of which figures have four at most."""
+    return f"round({column}::DECIMAL(18, 4), 3)::DOUBLE"
+
+
 def share_sql(num: str, den: str, places: int, factor: int = 1) -> str:
     unit = 10**places
     return f"CASE WHEN {den} > 0 THEN round({num} * {factor * unit} / ({den})::DOUBLE) / {unit}e0 END"
@@ -286,8 +293,7 @@ def volume_series_cohort(spark, sf):
 
 @query(
     "metric_series",
-    f"""{HI} SELECT {DAY}, 'reproducibility_score' AS metric, reproducibility_score_mean AS mean FROM snapshots
-  UNION ALL SELECT {DAY}, 'documentation_density', documentation_density_mean FROM snapshots""",
+    f"{HI} " + " UNION ALL ".join(f"SELECT {DAY}, '{s}' AS metric, {s}_mean AS mean FROM snapshots" for s in SCORE_COLUMNS),
 )
 def metric_series(spark, sf):
     return trends.metric_series(B.history(spark, sf)[0])
@@ -325,8 +331,7 @@ def pivot_year_library(spark, sf):
 @query(
     "indicators_by_year",
     f"""{HI}, c AS (SELECT year(run_date) AS year, * FROM snapshots WHERE collection_type = 'cohort')
-  SELECT year, 'mean_total_cells' AS indicator, round(mean_total_cells, 3) AS value FROM c
-  UNION ALL SELECT year, 'reproducibility_score_mean', round(reproducibility_score_mean, 3) FROM c""",
+  {" UNION ALL ".join(f"SELECT year, '{i}' AS indicator, {_three(i)} AS value FROM c WHERE {i} IS NOT NULL" for i in TREND_INDICATORS)}""",
 )
 def indicators_by_year(spark, sf):
     snapshots = B.history(spark, sf)[0]
@@ -359,9 +364,7 @@ def trend_summary(spark, sf):
     "latest_quality",
     f"""{HI}, d AS (SELECT * FROM snapshots WHERE collection_type = 'daily'),
   l AS (SELECT * FROM d WHERE run_date = (SELECT max(run_date) FROM d))
-  SELECT {DAY}, 'quality_indices_mean' AS section, 'reproducibility_score' AS name, round(reproducibility_score_mean, 3) AS value FROM l
-  UNION ALL SELECT {DAY}, 'quality_indices_mean', 'documentation_density', round(documentation_density_mean, 3) FROM l
-  UNION ALL SELECT {DAY}, 'structure', 'mean_total_cells', round(mean_total_cells, 3) FROM l""",
+  {" UNION ALL ".join(f"SELECT {DAY}, '{section}' AS section, '{name}' AS name, {_three(column)} AS value FROM l" for section, name, column in _QUALITY)}""",
 )
 def latest_quality(spark, sf):
     return trends.latest_quality(trends.prefer_mode(B.history(spark, sf)[0], "daily"))
@@ -456,9 +459,7 @@ _FACTS_SQL = f"""{HI}, {_TREND_SQL},
   UNION ALL SELECT 'daily_census', 'n_daily_snapshots', NULL, count(DISTINCT run_date), NULL FROM d
   UNION ALL SELECT 'top_libraries', library, NULL, adoption_pct, category FROM top
   UNION ALL SELECT 'top_library_counts', library, NULL, notebook_count, NULL FROM top
-  UNION ALL SELECT 'quality_indices_mean', 'reproducibility_score', NULL, round(reproducibility_score_mean, 3), NULL FROM l
-  UNION ALL SELECT 'quality_indices_mean', 'documentation_density', NULL, round(documentation_density_mean, 3), NULL FROM l
-  UNION ALL SELECT 'structure', 'mean_total_cells', NULL, round(mean_total_cells, 3), NULL FROM l
+  {" ".join(f"UNION ALL SELECT '{section}', '{name}', NULL, {_three(column)}, NULL FROM l" for section, name, column in _QUALITY)}
   UNION ALL SELECT 'python_version_share_pct', value, NULL, round(pct, 3), NULL FROM version
          WHERE run_date = (SELECT max(run_date) FROM d) AND pct <> 0
   UNION ALL SELECT 'cohorts', 'span', NULL, NULL, min(year) || '-' || max(year) FROM c
@@ -466,9 +467,7 @@ _FACTS_SQL = f"""{HI}, {_TREND_SQL},
   UNION ALL SELECT 'cohorts', 'notebooks_per_cohort', NULL, arg_min(notebooks_collected, run_date), NULL FROM c
   UNION ALL SELECT 'library_adoption_pct_by_creation_year', library, year, pct, NULL FROM points
   UNION ALL SELECT 'library_trend_summaries', library, NULL, NULL, summary FROM summaries
-  UNION ALL SELECT 'structure_and_quality_by_creation_year', 'mean_total_cells', year, round(mean_total_cells, 3), NULL FROM c
-  UNION ALL SELECT 'structure_and_quality_by_creation_year', 'reproducibility_score_mean', year,
-         round(reproducibility_score_mean, 3), NULL FROM c"""
+  {" ".join(f"UNION ALL SELECT 'structure_and_quality_by_creation_year', '{i}', year, {_three(i)}, NULL FROM c WHERE {i} IS NOT NULL" for i in TREND_INDICATORS)}"""
 
 
 @query("trend_facts", _FACTS_SQL, optional=("period",))

@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.fixed_values import EXTENSION_LABELS, MODULE_TO_LIBRARY, WIDGET_MIME
-from tallyfold.functions.rounding import mean_of, median_of
+from tallyfold.fixed_values import EXTENSION_LABELS, MODULE_TO_LIBRARY, SCORE_COLUMNS, WIDGET_MIME
 from tallyfold.operators import aggregate as A
 from tallyfold.session import configure, scratch_folder
 from tallyfold.sources import readers, sinks
@@ -209,6 +208,8 @@ def cohort_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderstatus") != "P").alias("parse_ok"),
         (F.floor(F.col("o_totalprice") / 100) / 10000).alias("score"),
         (F.col("o_custkey") % 40 + 1).alias("total_cells"),
+        F.when(F.col("o_custkey") % 5 > 0, F.concat(F.lit("3."), F.col("o_custkey") % 14)).alias("python_major_minor"),
+        F.when(F.col("o_custkey") % 9 > 0, 3 + F.col("o_custkey") % 2).alias("nbformat"),
         F.col("o_orderpriority").alias("priority"),
     )
     return orders.withColumns({f"lib_{lib}": F.col("priority") == p for p, (lib, _) in PRIORITY_LIBRARIES.items()})
@@ -216,7 +217,8 @@ def cohort_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 COHORT_SQL = """cohort_obs AS (
   SELECT make_date(year(o_orderdate), 1, 1) AS run_date, o_orderstatus <> 'P' AS parse_ok,
-    floor(o_totalprice / 100) / 10000 AS score, o_custkey % 40 + 1 AS total_cells, l.library, l.category
+    floor(o_totalprice / 100) / 10000 AS score, o_custkey % 40 + 1 AS total_cells, l.library, l.category,
+    CASE WHEN o_custkey % 5 > 0 THEN '3.' || o_custkey % 14 END AS python_major_minor, CASE WHEN o_custkey % 9 > 0 THEN 3 + o_custkey % 2 END AS nbformat
   FROM orders JOIN (VALUES ('1-URGENT','numpy','array'),('2-HIGH','pandas','array'),('3-MEDIUM','scipy','scientific'),
     ('4-NOT SPECIFIED','keras','deep_learning'),('5-LOW','plotly','plotting')) l(priority, library, category)
     ON l.priority = o_orderpriority),
@@ -229,16 +231,17 @@ cohort_adoption AS (
     ON c.run_date = d.run_date AND c.library = l.library)"""
 
 
+# Whole-number and boolean columns of a history row, by its number of cells.
+_CELL_COLUMNS = {"code_cells": 7, "markdown_cells": 5, "import_count": 4, "total_outputs": 6}
+_CELL_FLAGS = {"has_any_output": 2, "fully_executed_in_order": 3, "has_widget_state": 11}
+
+
 def _history_rows(rows: DataFrame) -> DataFrame:
-    score, cells = A.of_parsed(F.col("score")), A.of_parsed(F.col("total_cells"))
-    return rows.groupBy("run_date").agg(
-        A.mode_label().alias("collection_type"),
-        *A.volume(),
-        mean_of(score, 4, 4).alias("reproducibility_score_mean"),
-        median_of(score, 4, 4).alias("reproducibility_score_median"),
-        mean_of(score, 4, 4).alias("documentation_density_mean"),
-        mean_of(cells, 0, 3).alias("mean_total_cells"),
-    )
+    """Snapshots with all score, structure, share, version and format columns; the i-th score is i times the row's, modulo 1.0001."""
+    cells, units = F.col("total_cells"), F.round(F.col("score") * 10000).cast("bigint")
+    derived = {s: (units * (i + 1)) % 10001 / 10000 for i, s in enumerate(SCORE_COLUMNS)}
+    derived |= {"total_lines": cells * 3} | {c: cells % m for c, m in _CELL_COLUMNS.items()} | {c: cells % m == 0 for c, m in _CELL_FLAGS.items()}
+    return A.measured_days(rows.withColumns(derived))
 
 
 def history_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -286,17 +289,28 @@ def history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return snapshots.drop("date"), adoption.drop("date")
 
 
+def _mean_sql(value: str, units: int, name: str, factor: int) -> str:
+    return f"round(sum({factor} * ({value})) FILTER (parse_ok)::DOUBLE / nullif(count({value}) FILTER (parse_ok), 0)) / {units}e0 AS {name}"
+
+
+def _share_sql(condition: str, among: str, name: str) -> str:
+    return f"round(count(*) FILTER ({among} AND {condition}) * 10000 / nullif(count(*) FILTER ({among}), 0)::DOUBLE) / 10000e0 AS {name}"
+
+
 def _history_sql(source: str, mode: str) -> str:
+    scores = {s: f"round(score * 10000)::BIGINT * {i + 1} % 10001" for i, s in enumerate(SCORE_COLUMNS)}
+    whole = {"total_cells": "total_cells", "total_lines": "total_cells * 3"} | {c: f"total_cells % {m}" for c, m in _CELL_COLUMNS.items()}
+    columns = [_mean_sql(x, 10000, f"{s}_mean", 1) for s, x in scores.items()]
+    columns += [f"round(median({x}) FILTER (parse_ok)) / 10000e0 AS {s}_median" for s, x in scores.items()]
+    columns += [_mean_sql(whole[c], 1000, name, 1000) for name, c in A.MEANS.items()]
+    columns += ["median(total_cells) FILTER (parse_ok) AS median_total_cells"]
+    columns += [_share_sql(f"total_cells % {_CELL_FLAGS[c]} = 0", "parse_ok", name) for name, c in A.SHARES.items()]
+    columns += [_share_sql("python_major_minor <> ''", "parse_ok", "pct_with_python_version")]
+    columns += [_mean_sql("nbformat", 1000, "mean_nbformat", 1000), _share_sql("nbformat = 4", "parse_ok AND nbformat IS NOT NULL", "pct_nbformat_4")]
     return f"""SELECT run_date, '{mode}' AS collection_type, count(*) AS notebooks_collected,
     count(*) FILTER (parse_ok) AS notebooks_parsed,
     round(count(*) FILTER (parse_ok) * 10000 / count(*)::DOUBLE) / 10000e0 AS parse_success_rate,
-    round(sum(CASE WHEN parse_ok THEN round(score * 10000)::BIGINT END)::DOUBLE
-          / nullif(count(*) FILTER (parse_ok), 0)) / 10000e0 AS reproducibility_score_mean,
-    round(median(CASE WHEN parse_ok THEN round(score * 10000)::BIGINT END)) / 10000e0 AS reproducibility_score_median,
-    round(sum(CASE WHEN parse_ok THEN round(score * 10000)::BIGINT END)::DOUBLE
-          / nullif(count(*) FILTER (parse_ok), 0)) / 10000e0 AS documentation_density_mean,
-    round((sum(CASE WHEN parse_ok THEN total_cells END) * 1000)::DOUBLE
-          / nullif(count(*) FILTER (parse_ok), 0)) / 1000e0 AS mean_total_cells
+    {", ".join(columns)}
   FROM {source} GROUP BY 1"""
 
 

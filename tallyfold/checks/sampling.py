@@ -356,6 +356,37 @@ def run_day_counts(spark, sf):
     return report.select("run_date", "notebooks_collected", "notebooks_parsed", "repos_sampled", "errors", "documents_left_out")
 
 
+_BACKFILL = (2012, 2026)
+
+
+@query(
+    "run_backfill_counts",
+    f"""WITH {_REPOS_SQL}, {_COHORTS_SQL}, seeded AS (SELECT *, {_hex8("sha256(cohort_year || '-01-01:0')")} AS seed FROM cohort_assigned
+    WHERE cohort_year BETWEEN {_BACKFILL[0]} AND {_BACKFILL[1]}), {_window_sql("seeded", "seed", 5, "cohort_year,")}, {_FILES_SQL},
+  picked AS (SELECT e.full_name, path, cohort_year, seed, row_number() OVER (PARTITION BY cohort_year, full_name
+      ORDER BY md5(seed || ':' || full_name || ':' || path), path) AS pick FROM eligible e JOIN pool USING (full_name)),
+  ordered AS (SELECT *, row_number() OVER (PARTITION BY cohort_year ORDER BY md5(seed || ':' || full_name), full_name, pick) AS draw FROM picked WHERE pick <= 5),
+  read AS (SELECT cohort_year, {_CONTENT} AS found, year(o_orderdate) < 1999 AS whole FROM ordered JOIN orders ON path = 'nb/' || o_orderkey || '.ipynb' WHERE draw <= 400),
+  counts AS (SELECT cohort_year, count(*) FILTER (found) AS collected, count(*) FILTER (found AND whole) AS parsed, count(*) FILTER (NOT found) AS errors, count(*) AS drawn FROM read GROUP BY 1),
+  considered AS (SELECT cohort_year, count(*) AS repos FROM pool GROUP BY 1),
+  listed AS (SELECT cohort_year, count(*) AS files FROM documents_listed JOIN pool USING (full_name) GROUP BY 1)
+  SELECT y || '-01-01' AS run_date, coalesce(collected, 0) AS notebooks_collected, coalesce(parsed, 0) AS notebooks_parsed, coalesce(repos, 0) AS repos_sampled,
+    coalesce(errors, 0) AS errors, coalesce(files, 0) - coalesce(drawn, 0) AS documents_left_out, 5::BIGINT AS strata, 10::BIGINT AS top_libraries
+  FROM range({_BACKFILL[0]}, {_BACKFILL[1] + 1}) t(y) LEFT JOIN counts c ON c.cohort_year = y LEFT JOIN considered p ON p.cohort_year = y LEFT JOIN listed l ON l.cohort_year = y""",
+)
+def run_backfill_counts(spark, sf):
+    """All creation-year cohorts in one job, with its report: a row for each year, years without repositories included."""
+    from tallyfold.plans import census
+    from tallyfold.session import scratch_folder
+
+    cut_off = F.when(F.year("o_orderdate") < 1999, F.lit('{"nbformat":4,"cells":[]}')).otherwise(F.lit('{"cells":['))
+    files = repository_files(spark, sf)
+    contents = files.where(F.col("size") >= 200000).select("full_name", "path", cut_off.alias("raw"))
+    report = census.run_backfill(spark, repositories(spark, sf), files, contents, scratch_folder(spark, "backfill"), *_BACKFILL)
+    counts = ("notebooks_collected", "notebooks_parsed", "repos_sampled", "errors", "documents_left_out")
+    return report.select("run_date", *counts, *[F.size(c).cast("bigint").alias(c) for c in ("strata", "top_libraries")])
+
+
 @query(
     "strata_described",
     _stratum_sql(_STAR_SQL.format(parity="0"), _STAR_SQL.format(parity="1")).replace("WITH", "WITH strata AS (WITH", 1)

@@ -104,8 +104,13 @@ def contributors(observations: DataFrame) -> DataFrame:
 def daily_snapshot(observations: DataFrame, run_dates: DataFrame | None = None, mode: str = "daily") -> DataFrame:
     """One row per run date; a frame of ``run_dates`` adds dates without rows,
     which are of the given mode."""
+    return filled(measured_days(observations).join(contributors(observations), "run_date"), run_dates, mode)
+
+
+def measured_days(observations: DataFrame) -> DataFrame:
+    """The figures of each run date that one pass of partial aggregates gives."""
     declared = ratio(F.count_if(declares_version()), F.count_if(parsed()), 4)
-    measured = observations.groupBy("run_date").agg(
+    return observations.groupBy("run_date").agg(
         mode_label().alias("collection_type"),
         *volume(),
         *score_summary(),
@@ -114,7 +119,6 @@ def daily_snapshot(observations: DataFrame, run_dates: DataFrame | None = None,
         declared.alias("pct_with_python_version"),
         *format_mix(),
     )
-    return filled(measured.join(contributors(observations), "run_date"), run_dates, mode)
 
 
 def filled(snapshot: DataFrame, run_dates: DataFrame | None, mode: str) -> DataFrame:
