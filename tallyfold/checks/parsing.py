@@ -295,17 +295,16 @@ def wide_flags(spark, sf):
 _WORDS = "regexp_extract_all(lower({0}), '\\p{{L}}+')"
 
 
-@query(
-    "detect_tokens",
-    f"""WITH entries AS (SELECT DISTINCT word AS module, min(item_id) OVER (PARTITION BY word) AS first_item
+_TOKENS_SQL = f"""WITH entries AS (SELECT DISTINCT word AS module, min(item_id) OVER (PARTITION BY word) AS first_item
     FROM (SELECT item_id, unnest({_WORDS.format('text')}) AS word FROM benchmark)),
   registry AS (SELECT module, 'item-' || first_item AS library, 'len-' || length(module) AS category FROM entries),
   seen AS (SELECT DISTINCT doc_id, unnest({_WORDS.format('text')}) AS module FROM documents)
   SELECT doc_id, string_agg(DISTINCT library, ';' ORDER BY library) AS libraries,
-    string_agg(DISTINCT category, ';' ORDER BY category) AS categories FROM seen JOIN registry USING (module) GROUP BY 1""",
-)
-def detect_tokens(spark, sf):
-    """Words of whole documents against a registry made of the benchmark words."""
+    string_agg(DISTINCT category, ';' ORDER BY category) AS categories FROM seen JOIN registry USING (module) GROUP BY 1"""
+
+
+def _document_words(spark, sf):
+    """Words of whole documents, and a registry made of the benchmark words."""
 
     def words(name, key):
         found = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
@@ -318,7 +317,19 @@ def detect_tokens(spark, sf):
         F.concat(F.lit("item-"), F.col("item")).alias("library"),
         F.concat(F.lit("len-"), F.length("module")).alias("category"),
     )
-    return detect.detect_by_join(words("documents", "doc_id"), registry, "doc_id")
+    return words("documents", "doc_id"), registry
+
+
+@query("detect_tokens", _TOKENS_SQL)
+def detect_tokens(spark, sf):
+    return detect.detect_by_join(*_document_words(spark, sf), "doc_id")
+
+
+@query("detect_tokens_hot", _TOKENS_SQL)
+def detect_tokens_hot(spark, sf):
+    """The same with the modules of a thousandth of all rows or more dealt over salts, as for a large registry."""
+    modules, registry = _document_words(spark, sf)
+    return detect.detect_by_join(modules, registry, "doc_id", detect.hot_modules(modules, 1 / 1000))
 
 
 # --- scores on documents ------------------------------------------------------------

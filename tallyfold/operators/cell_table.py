@@ -90,24 +90,20 @@ def order_anomalies(runs: DataFrame, key: str, position: str, block: int = BLOCK
 def _in_order(cells: DataFrame, key: str, position: str, tallies: list[Column], block: int = BLOCK) -> DataFrame:
     """Tallies, and the spread and order of ``run`` (null: did not run), per document.
 
-    The cells are read once: a number's first cell is marked, then blocks of
-    positions are compared inside and summed, then the blocks of a document are
-    compared and summed.  A cell that did not run is a group of its own, so no
-    task holds all of them.
+    Blocks of positions are compared inside and summed, then the blocks of a
+    document are compared and summed.  Different numbers are counted apart, by hashes that
+    are combined before the shuffle: a million cells with one number are one row a task.
     """
-    number = F.coalesce("run", -1 - F.col(position))
-    first_cell = F.row_number().over(Window.partitionBy(key, number).orderBy(position)) == 1
     within = Window.partitionBy(key, "block").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     before = F.last("run", ignorenulls=True).over(within)
     ran_at = F.when(F.col("run").isNotNull(), F.col(position))
-    marked = cells.withColumn("new", first_cell).withColumn("block", F.floor(F.col(position) / block))
+    marked = cells.withColumn("block", F.floor(F.col(position) / block))
     blocks = (
         marked.withColumn("back", F.col("run") <= before)
         .groupBy(key, "block")
         .agg(
             *tallies,
             F.count("run").alias("n"),
-            F.count_if(F.col("new") & F.col("run").isNotNull()).alias("different"),
             F.min("run").alias("low"),
             F.max("run").alias("high"),
             F.count_if("back").alias("inside"),
@@ -120,12 +116,21 @@ def _in_order(cells: DataFrame, key: str, position: str, tallies: list[Column],
     joined = blocks.withColumn("across", F.when(F.col("first") <= earlier, 1).otherwise(0))
     kinds = dict(blocks.dtypes)
     summed = [c for c in blocks.columns if c not in (key, "block", "low", "high", "inside", "first", "last")]
-    return joined.groupBy(key).agg(
+    documents = joined.groupBy(key).agg(
         *[F.sum(c).cast(kinds[c]).alias(c) for c in summed],
         F.min("low").alias("low"),
         F.max("high").alias("high"),
         F.sum(F.col("inside") + F.col("across")).cast("int").alias("execution_order_anomalies"),
     )
+    counted = different_numbers(cells, key).withColumnRenamed(key, "counted_key")
+    with_numbers = documents.join(counted, documents[key].eqNullSafe(counted.counted_key), "left").drop("counted_key")
+    return with_numbers.withColumn("different", F.coalesce("different", F.lit(0)))
+
+
+def different_numbers(cells: DataFrame, key: str) -> DataFrame:
+    """How many different numbers the executed cells of a document carry."""
+    numbers = cells.where(F.col("run").isNotNull()).groupBy(key, "run").agg(F.lit(1).alias("one"))
+    return numbers.groupBy(key).agg(F.sum("one").alias("different"))
 
 
 def _execution_columns(rows: DataFrame) -> DataFrame:

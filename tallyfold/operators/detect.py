@@ -62,21 +62,47 @@ def summary_columns() -> dict[str, Column]:
 
 
 SALTS = 32
+TRACKED = 10_000  # modules that the summary of frequent ones follows
 
 
-def detect_by_join(modules: DataFrame, registry: DataFrame, key: str) -> DataFrame:
+def hot_modules(modules: DataFrame, share: float = 1 / SALTS) -> list[str]:
+    """Modules on more than ``share`` of all rows, ``1 / share`` at most, from one pass with a mergeable summary of
+    frequent items.  Its counts may fall short by a ten-thousandth part of all rows or so."""
+    found = modules.agg(F.count("module").alias("rows"), F.expr(f"approx_top_k(module, {max(1, round(1 / share))}, {TRACKED})").alias("top")).first()
+    return sorted(entry["item"] for entry in found.top if entry["item"] is not None and entry["count"] > share * found.rows)
+
+
+def is_small(rows: DataFrame) -> bool:
+    """Would the planner send ``rows`` to every task, by their estimated size?"""
+    estimate = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    limit = rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(estimate)) <= limit
+
+
+def salted_entries(entries: DataFrame, hot: list[str]) -> DataFrame:
+    """Registry rows with ``salt`` 0, those of hot modules once for each of the salts."""
+    salts = F.when(F.col("module").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return entries.withColumn("salt", F.explode(salts))
+
+
+def detect_by_join(modules: DataFrame, registry: DataFrame, key: str, hot: list[str] | None = None) -> DataFrame:
     """Detection against a registry table of any size.
 
     ``modules`` has (``key``, ``module``).  The join side is left to the
     planner's size check; with a small registry the hits are joined and combined
-    in place and only the lists are shuffled.  With a large one, documents are
-    dealt over salts, so a module that every document names is split.  Repeats fall away in the sets,
+    in place and only the lists are shuffled.  With a large one, the documents of hot modules (given, or found
+    in a pass of their own) are dealt over salts, so a module that every document names is split, and
+    only the few registry rows of these are copied.  Repeats fall away in the sets,
     whose size is bounded by the registry entries one document can name.
     """
     entries = registry.select("module", "library", "category").distinct()
-    entries = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
-    hits = modules.select(key, "module", salt.alias("salt")).join(entries, ["module", "salt"])
+    if hot is None:
+        hot = [] if is_small(entries) else hot_modules(modules)
+    if hot:
+        salt = F.when(F.col("module").isin(hot), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).otherwise(0)
+        hits = modules.select(key, "module", salt.alias("salt")).join(salted_entries(entries, hot), ["module", "salt"])
+    else:
+        hits = modules.select(key, "module").join(entries, "module")
     return hits.groupBy(key).agg(
         F.array_sort(F.collect_set("library")).alias("libraries"),
         F.array_sort(F.collect_set("category")).alias("categories"),

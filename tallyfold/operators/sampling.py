@@ -255,6 +255,26 @@ def top_ranked(rows: DataFrame, groups: list[str], order: list[Column], k: int,
     return kept.withColumn(rank, whole).where(F.col(rank) <= k)
 
 
+LARGE = 10_000  # rows of a group that one task may rank
+PREFIX = 4  # leading digits of a hash: 65,536 buckets a group
+
+
+def first_hashed(rows: DataFrame, groups: list[str], order: list[Column], k: int, rank: str) -> DataFrame:
+    """The first ``k`` rows of each group with their rank, for any ``k``, where ``order`` begins with a hash in hexadecimal.
+
+    A histogram of the hashes' leading digits says in which bucket a group's k-th row lies and how many
+    rows come before each bucket.  Rows beyond that bucket are cut in the scan, and rows are ranked inside their
+    bucket, so a task holds buckets and never a group.  The rows are read twice.
+    """
+    bucketed = rows.withColumn("bucket", F.substring(order[0], 1, PREFIX))
+    counts = bucketed.groupBy(*groups, "bucket").agg(F.count("*").alias("n"))
+    begins = F.sum("n").over(Window.partitionBy(*groups).orderBy("bucket")) - F.col("n")
+    needed = counts.withColumn("begins", begins).where(F.col("begins") < k).drop("n")
+    place = F.row_number().over(Window.partitionBy(*groups, "bucket").orderBy(*order))
+    placed = bucketed.join(needed, [*groups, "bucket"]).withColumn(rank, (F.col("begins") + place).cast("int"))
+    return placed.where(F.col(rank) <= k).select(*rows.columns, rank)
+
+
 def stratum_window(assigned: DataFrame, seed: Column, quota: Quota, by: tuple[str, ...] = ()) -> DataFrame:
     """The rows each stratum gives, with their rank; a stratum with fewer rows
     than its quota gives all of them.
@@ -267,7 +287,8 @@ def stratum_window(assigned: DataFrame, seed: Column, quota: Quota, by: tuple[st
     keyed = assigned.withColumn("order_key", seeded_order(seed, F.col("full_name")))
     drawn = [F.col("order_key"), F.col("full_name")]
     if quota.result_cap is None:
-        return top_ranked(keyed, group, drawn, quota.per_stratum, "rank").drop("order_key")
+        first = top_ranked if quota.per_stratum <= LARGE else first_hashed
+        return first(keyed, group, drawn, quota.per_stratum, "rank").drop("order_key")
     ranked = top_ranked(keyed, group, [F.desc_nulls_last("sort_value"), *drawn], quota.result_cap, "rank")
     spare = F.max("rank").over(Window.partitionBy(*group)) - quota.per_stratum  # over result_cap rows at most
     first = start_rank(seed, F.col("strategy"), spare)
@@ -305,6 +326,9 @@ def cap_per_group(rows: DataFrame, groups: list[str], order: list[Column], cap:
 
 
 def cap_total(rows: DataFrame, order: list[Column], cap: int = V.TARGET_DOCUMENTS) -> DataFrame:
+    """The first ``cap`` rows of all, in an order that begins with a hash."""
+    if cap > LARGE:
+        return first_hashed(rows, [], order, cap, "place").drop("place")
     return rows.orderBy(*order).limit(cap)
 
 
@@ -325,6 +349,8 @@ def draw_files(listed: DataFrame, seed: Column, limits: Limits = DEFAULT_LIMITS,
     order = [seeded_order(seed, F.col("full_name")), F.col("full_name"), *order]
     if not by:
         return cap_total(drawn, order, limits.documents)
+    if limits.documents > LARGE:
+        return first_hashed(drawn, list(by), order, limits.documents, "draw")
     ranked = drawn.withColumn("draw", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     return ranked.where(F.col("draw") <= limits.documents)
 

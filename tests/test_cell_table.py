@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import random
+import re
 from itertools import pairwise
 
 import pytest
+from plan_text import physical_plan
 
 from tallyfold.operators import cell_table as C
 from tallyfold.operators.parse import parse_documents
@@ -56,3 +58,15 @@ def test_cell_table_equals_whole_documents(spark, documents):
     names = sorted(set(features.columns) & set(whole.columns))
     assert len(names) == 19
     assert {tuple(r) for r in features.select(names).collect()} == {tuple(r) for r in whole.select(names).collect()}
+
+
+def test_one_number_on_very_many_cells(spark):
+    """A hundred thousand cells with one number are no group of a window."""
+    hot = spark.range(100_000).selectExpr("'hot' AS key", "cast(id AS int) AS pos", "1L AS count")
+    odd = spark.createDataFrame([(None, 0, 1), (None, 1, 2), ("x", 0, 2), ("x", 1, 2)], "key string, pos int, count bigint")
+    rows = hot.unionByName(odd).selectExpr("key", "pos", "'code' AS kind", "count AS execution_count")
+    profile = C.execution_profile(rows, "key", "pos")
+    got = {r.key: (r.executed_code_cells, r.max_execution_count, r.execution_order_anomalies, r.has_execution_gaps, r.fully_executed_in_order) for r in profile.collect()}
+    assert got == {"hot": (100_000, 1, 99_999, True, False), None: (2, 2, 0, False, True), "x": (2, 2, 1, True, False)}
+    windows = re.findall(r"windowspecdefinition\(([^)]*)", physical_plan(profile))
+    assert windows and all("block" in w and "run" not in w.split("ASC")[0] for w in windows)

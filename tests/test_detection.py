@@ -123,3 +123,21 @@ def test_a_module_of_all_documents_is_split(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert len(got) == 4000 and all(r.libraries == ["numpy"] for r in got)
     assert "hashpartitioning(module" in plan and "salt" in plan.split("hashpartitioning(module")[1][:60]
+
+
+def test_only_registry_rows_of_hot_modules_are_copied(spark):
+    draw = [m for i in range(3000) for m in ("numpy", f"m{i % 700}", "pandas" if i % 3 else "rare")] + [None] * 500
+    rows = spark.createDataFrame([(i, m) for i, m in enumerate(draw)], "id int, module string").repartition(4)
+    hot = detect.hot_modules(rows)
+    assert hot == ["numpy", "pandas", "rare"] and detect.hot_modules(rows, 0.3) == ["numpy"] and detect.hot_modules(rows.where("false")) == []
+    entries = detect.registry_frame(spark).select("module", "library", "category").distinct()
+    copied = {r.module: r["count"] for r in detect.salted_entries(entries, hot).groupBy("module").count().collect()}
+    assert copied == {m: detect.SALTS if m in hot else 1 for m in MODULE_TO_LIBRARY}
+    registry = detect.registry_frame(spark)
+    plain, salted = (sorted(map(str, detect.detect_by_join(rows, registry, "id", h).collect())) for h in ([], hot))
+    assert plain == salted == sorted(map(str, detect.detect_by_join(rows, registry, "id").collect())) and len(plain) == 5000
+
+
+def test_a_small_registry_is_known_by_its_size(spark):
+    small = spark.sql("SELECT 'm' AS module, 'l' AS library, 'c' AS category")
+    assert detect.is_small(small) and not detect.is_small(spark.range(10_000_000))

@@ -6,6 +6,7 @@ import hashlib
 from datetime import date, timedelta
 
 import pytest
+from plan_text import physical_plan
 from pyspark.sql import functions as F
 
 from tallyfold import fixed_values as V
@@ -158,8 +159,6 @@ def test_cohorts_hold_only_their_year(repos, files):
 
 
 def test_hot_repository_is_cut_before_the_shuffle(repos, files):
-    from plan_text import physical_plan
-
     key = S.seeded_order(F.lit(1), F.col("path"))
     plan = physical_plan(S.cap_per_group(files, ["full_name"], [key]))
     assert plan.count("WindowGroupLimit") == 2
@@ -175,3 +174,36 @@ def test_salted_ranks_equal_a_full_sort(spark):
         best = sorted((-v, i) for h, v, i in rows if h == g)[:40]
         want |= {(g, i, n + 1) for n, (_, i) in enumerate(best)}
     assert {(r.g, r.id, r["rank"]) for r in got} == want
+
+
+@pytest.mark.parametrize("sample", [840, 7 * 2000])
+def test_draws_of_any_size_are_the_same_rows(repos, files, monkeypatch, sample):
+    """120 rows a stratum, and more than half the population: by ranks of whole strata and by buckets of hashes."""
+    quota, limits = S.Quota(7, sample), S.Limits(documents=sample // 3, files_per_repo=3)
+    got = []
+    for large in (10**9, 0):
+        monkeypatch.setattr(S, "LARGE", large)
+        assigned = S.assign(repos, S.daily_strata(F.lit(DAY)))
+        window = S.stratum_window(assigned, S.date_seed(F.lit(DAY)), quota)
+        _, drawn = S.sample_day(repos, files, DAY, quota=quota, limits=limits)
+        _, cohorts = S.sample_cohorts(repos, files, 2015, 2018, quota=S.Quota(5, sample), limits=limits)
+        rows = [{(r.full_name, r.strategy, r.stratum, r["rank"]) for r in window.collect()}]
+        rows.append({(r.full_name, r.path, r.stratum, r.pick) for r in drawn.collect()})
+        rows.append({(r.cohort_year, r.full_name, r.path, r.draw) for r in cohorts.collect()})
+        got.append(rows)
+        plan = physical_plan(window)
+        assert ("begins" in plan) == (large == 0)
+    assert got[0] == got[1] and all(got[0])
+    assert max(n for *_, n in got[0][0]) <= quota.per_stratum
+
+
+def test_buckets_split_a_group_and_keep_its_order(spark):
+    rows = [("hot" if i % 3 else f"g{i % 5}", f"{(i * 7919) % 4096:04x}", i) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "g string, h string, id int").repartition(7)
+    for k in (1, 40, 900, 5000):
+        got = S.first_hashed(frame, ["g"], [F.col("h"), F.col("id")], k, "rank").collect()
+        want = {(g, i, n + 1) for g in {r[0] for r in rows} for n, (_, i) in enumerate(sorted((h, i) for x, h, i in rows if x == g)[:k])}
+        assert {(r.g, r.id, r["rank"]) for r in got} == want
+    whole = S.first_hashed(frame, [], [F.col("h"), F.col("id")], 100, "rank")
+    assert [r.id for r in sorted(whole.collect(), key=lambda r: r["rank"])] == [i for _, i in sorted((h, i) for _, h, i in rows)[:100]]
+    assert S.first_hashed(frame.where("false"), ["g"], [F.col("h")], 5, "rank").count() == 0
