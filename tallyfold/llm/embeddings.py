@@ -1,8 +1,10 @@
 """Near-duplicate vectors by int8 tile products with proven error bounds.
 
 Equal vectors of a label become one class first.  The classes of a label are
-dealt into tiles of about ``tile`` vectors; every pair of tiles of a label is one
-small task, which multiplies int8 codes.  A unit vector u is s*q + e with whole
+dealt into tiles of about ``tile`` vectors, and the tiles into groups; every pair of
+groups of a label is one task, which multiplies the int8 codes of their pairs of tiles.  With T tiles
+there are about the square root of T groups, and so often is a tile sent, as long as two
+groups fit in ``TOGETHER`` bytes each.  A unit vector u is s*q + e with whole
 q in [-127, 127], so for two of them
 
     |u.v - s_u s_v q_u.q_v|  <=  |s_u q_u| |e_v| + |e_u| |v|
@@ -26,6 +28,7 @@ from tallyfold.llm.components import components
 from tallyfold.llm.tables import store
 
 TILE = 1024
+TOGETHER = 64 << 20  # bytes of codes and vectors of one group of tiles, at most
 _SLACK = 1e-6  # above every rounding error of the float operations behind a bound
 
 _TILE_SCHEMA = "label long, dim int, tile int, tiles int, nodes binary, copies binary, codes binary, bounds binary, vectors binary"
@@ -59,6 +62,7 @@ def near_duplicates(
     linked = store(_links(classes, threshold, tile), "embedding-links")
     groups = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")), "embedding")
     least = classes.select("node", "least").join(groups, "node").groupBy("root").agg(F.min("least").alias("group_least"))
+    least = store(least, "embedding-groups")  # read again, so that Spark may split a large group's rows in the join
     of_node = groups.join(least, "root").select("node", "group_least")
     counted = linked.groupBy("node").agg(F.sum("links").alias("links"))
     known = (
@@ -78,9 +82,12 @@ def _links(classes: DataFrame, threshold: float, tile: int) -> DataFrame:
     sizes = rows.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"), F.count("*").alias("n")).where("n > 1").drop("n")
     dealt = rows.join(sizes, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
     tiles = store(dealt.groupBy("label", "dim", "tile").applyInArrow(_pack, _TILE_SCHEMA), "embedding-tiles")
+    side = F.least(F.ceil(F.sqrt("tiles")), F.greatest(F.lit(1), F.floor(F.lit(TOGETHER) / (F.col("dim") * (5 * tile)))))
+    grouped = tiles.withColumn("side", side.cast("int")).withColumn("own", F.floor(F.col("tile") / F.col("side")).cast("int"))
+    groups = F.ceil(F.col("tiles") / F.col("side")).cast("int")
     other = F.col("other")
-    pairs = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "*", F.least("tile", other).alias("low"), F.greatest("tile", other).alias("high")
+    pairs = grouped.withColumn("other", F.explode(F.sequence(F.lit(0), groups - 1))).select(
+        "*", F.least("own", other).alias("low"), F.greatest("own", other).alias("high")
     )
     match = _matcher(threshold)
     return pairs.groupBy("label", "dim", "low", "high").applyInArrow(match, _LINK_SCHEMA)
@@ -109,28 +116,29 @@ def _pack(group: pa.Table) -> pa.Table:
 def _matcher(threshold: float):
     def match(key: tuple, group: pa.Table) -> pa.Table:
         dim, low, high = (k.as_py() for k in key[1:])
-        found = {t: _unpack(group, i, dim) for i, t in enumerate(group["tile"].to_pylist())}
-        left, right = found.get(low), found.get(high)
-        if left is None or right is None:  # a tile that got no vector
-            return _rows([], [], [])
-        linked = _linked(left, right, threshold)
-        if low == high:
-            np.fill_diagonal(linked, False)
-            links = linked @ left["copies"]
-            root = _roots(linked)
-            at = np.flatnonzero(links)
-            return _rows(left["nodes"][at], left["nodes"][root[at]], links[at])
-        by_row, by_col = linked @ right["copies"], left["copies"] @ linked
-        n = len(by_row)
-        root = _roots(linked, bipartite=True)
-        nodes, links = np.concatenate([left["nodes"], right["nodes"]]), np.concatenate([by_row, by_col])
-        at = np.flatnonzero(links)
-        assert len(root) == n + len(by_col)
-        return _rows(nodes[at], nodes[root[at]], links[at])
+        order = np.argsort(group["tile"].to_numpy())  # the same pairs in the same order in every attempt
+        tiles = [(group["own"][int(i)].as_py(), _unpack(group, int(i), dim)) for i in order]
+        rows = [_of_pair(left, right, threshold) for i, (a, left) in enumerate(tiles) for b, right in tiles[i:] if (a, b) == (low, high)]
+        return pa.concat_tables([_rows([], [], []), *rows])
 
     return match
 
 
+def _of_pair(left: dict, right: dict, threshold: float) -> pa.Table:
+    """Links between two tiles, or inside one."""
+    linked = _linked(left, right, threshold)
+    if left is right:
+        np.fill_diagonal(linked, False)
+        links = linked @ left["copies"]
+        root = _roots(linked)
+        at = np.flatnonzero(links)
+        return _rows(left["nodes"][at], left["nodes"][root[at]], links[at])
+    root = _roots(linked, bipartite=True)
+    nodes, links = np.concatenate([left["nodes"], right["nodes"]]), np.concatenate([linked @ right["copies"], left["copies"] @ linked])
+    at = np.flatnonzero(links)
+    return _rows(nodes[at], nodes[root[at]], links[at])
+
+
 def _rows(nodes, roots, links) -> pa.Table:
     return pa.table({k: pa.array(np.asarray(v, dtype=np.int64)) for k, v in (("node", nodes), ("root", roots), ("links", links))})
 

@@ -79,7 +79,7 @@ def jaccard_groups(documents: DataFrame, percent: int = 80, n: int = 5, id_col:
     groups = components(links, "jaccard")
     joined = sets.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keeper = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "crc")).alias("keeper")
-    of_group = joined.groupBy("root").agg(F.min("least").alias("component_id"), keeper)
+    of_group = store(joined.groupBy("root").agg(F.min("least").alias("component_id"), keeper), "jaccard-groups")
     known = joined.join(of_group, "root").select("h1", "h2", "n", "component_id", "keeper")
     out = ["doc_id", "crc", F.col("n").alias("n_shingles"), "component_id", "kept"]
     kept = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("crc") == F.col("keeper.crc"))

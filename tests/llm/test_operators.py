@@ -89,6 +89,8 @@ def test_embeddings_against_brute_force(spark):
     links = Counter(x for p in pairs for x in p)
     root = groups(len(ids), pairs)
     assert pairs and got == {i: (links[k], ids[root[k]], root[k] == k) for k, i in enumerate(ids)}
+    many = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(table, tile=5).collect()}  # several groups of tiles
+    assert many == got
     assert embeddings.near_duplicates(table.where("false")).count() == 0
     for _ in range(50):
         assert embeddings.bound_holds(draw.normal(size=24), draw.normal(size=24) ** 3)
