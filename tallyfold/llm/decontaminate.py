@@ -16,14 +16,15 @@ items below ``least`` tokens are not looked up as templates.  All windows are
 also looked up by their words alone, so that verbatim copies are found whatever
 their slots, line breaks or length.
 
-The benchmark's windows are sent to every task in parts of about ``PART``
-windows in each of the two lanes, each a pass over the documents, so that memory
-stays bounded for any benchmark.  A document's windows never leave its task: a passage that a third of
-all documents hold makes one row each.
+The benchmark's windows are a stored table.  A bitmap of their hashes, of bounded
+size, goes to every task and lets through nearly only documents' windows that are among
+them; these are hash-joined with the table, and each document and item is judged once,
+from its joined windows.  Nothing of the benchmark but this bitmap passes through the driver.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -34,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.tables import text_key
-from tallyfold.llm.words import U64, Words, chain, flat, grams, slices, split_words
+from tallyfold.llm.tables import store, text_key
+from tallyfold.llm.words import U64, Words, chain, flat, grams, mix, slices, split_words
 
-PART = 2_000_000
+MOST_BITS = 27  # of the filter of benchmark windows: 16 MB
+_BLOCK_BITS = 20
+_ROWS = 10_000  # rows handed on together
 LITERAL_SHARE = 0.5  # a window needs this share of plain tokens to be looked up as a template
 
 UNITS = (
@@ -154,57 +157,101 @@ def _kinds(data: np.ndarray, lower: np.ndarray, words: Words, begins: np.ndarray
     return kind
 
 
-TEMPLATE, VERBATIM, SURE = "template", "verbatim", "sure"  # SURE: by words alone, as no template covers the window
+BY_TEMPLATE, BY_WORDS = 0, 1
+_WINDOW_TYPES = [
+    ("sort", pa.int32()), ("n", pa.int32()), ("hash", pa.int64()), ("item", pa.int64()), ("number", pa.int64()), ("item_at", pa.int32()), ("sure", pa.bool_()),
+    ("offsets", pa.list_(pa.int32())), ("kinds", pa.list_(pa.int32())), ("values", pa.list_(pa.binary())),
+]
+_WINDOW_DDL = "sort int, n int, hash long, item long, number long, item_at int, sure boolean, offsets array<int>, kinds array<int>, values array<binary>"
+_HIT_TYPES = [("sort", pa.int32()), ("n", pa.int32()), ("hash", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("crc", pa.int64()), ("at", pa.int32()), ("words", pa.list_(pa.binary()))]
+_HIT_DDL = "sort int, n int, hash long, row long, doc_id long, crc long, at int, words array<binary>"
+_FOUND_DDL = "doc_id long, crc long, item_id long, n_windows int, n_tokens int, changed_slots int"
 
 
-@dataclass
-class Benchmark:
-    """Windows of some items: sorted hashes with item text and position, by lane and window length; id and slots of each item text."""
-
-    lengths: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
-    slots: dict[int, tuple[int, dict[int, tuple[int, bytes]]]]
-
-
-def benchmark_parts(items: DataFrame, window: int, id_col: str, text_col: str, least: int, part: int = PART) -> list[Benchmark]:
-    """The benchmark's windows, in parts of bounded size; all texts of an item id lie in one part, a small rest in the last."""
-    parts, lengths, slots, held = [], {}, {}, 0
-    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
-    before = None
-    for number, row in enumerate(rows.orderBy("i", "t").toLocalIterator()):
-        if held >= 2 * part and row.i != before:
-            parts.append((lengths, slots))
-            lengths, slots, held = {}, {}, 0
-        before = row.i
-        t = templates(*flat(pa.array([row.t])))
-        n = min(window, len(t.lane))
-        if not n:
-            continue
-        every, words = t.verbatim(n)
-        at, hashes = t.windows(n) if n >= least else (every[:0], words[:0])
-        covered = np.isin(every, at)
-        for lane, here, h in ((TEMPLATE, at, hashes), (VERBATIM, every[covered], words[covered]), (SURE, every[~covered], words[~covered])):
-            if len(here):
-                lengths.setdefault((lane, n), []).append((h, np.full(len(here), number), here))
-        slots[number] = row.i, {int(k): (int(t.kind[k]), t.value(k)) for k in np.flatnonzero(t.kind)}
-        held += len(at) + len(every)
-    if parts:
-        for key, rows in lengths.items():
-            parts[-1][0].setdefault(key, []).extend(rows)
-        parts[-1][1].update(slots)
-    elif lengths:
-        parts.append((lengths, slots))
-    return [Benchmark({key: _sorted(rows) for key, rows in lengths.items()}, slots) for lengths, slots in parts]
-
-
-def _sorted(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    hashes, items, at = (np.concatenate(x) for x in zip(*rows))
-    order = np.argsort(hashes, kind="stable")
-    return hashes[order], items[order], at[order]
+def benchmark_windows(items: DataFrame, window: int, id_col: str, text_col: str, least: int) -> DataFrame:
+    """All windows of the benchmark's texts, stored: sort (by template or by words), length and hash, item, a number of
+    the text, position, whether the words alone decide (no template covers the window), and the slots under it."""
+    rows = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
+    numbered = rows.withColumn("number", F.xxhash64("item", "text"))
+    return store(numbered.select("item", "number", "text").mapInArrow(_windows(window, least), _WINDOW_DDL), "benchmark-windows")
+
+
+def _windows(window: int, least: int) -> Callable:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, number, text in zip(*(c.to_pylist() for c in batch.columns)):
+                rows = list(_windows_of(templates(*flat(pa.array([text]))), window, least))
+                if rows:
+                    sort, n, hashes, at, sure, slots = zip(*rows)
+                    offsets, kinds, values = ([[slot[k] for slot in s] for s in slots] for k in range(3))
+                    columns = [sort, n, hashes, [item] * len(rows), [number] * len(rows), at, sure, offsets, kinds, values]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, _WINDOW_TYPES)], names=[name for name, _ in _WINDOW_TYPES])
+
+    return windows
+
+
+def _windows_of(t: Templates, window: int, least: int) -> Iterator[tuple]:
+    n = min(window, len(t.lane))
+    if not n:
+        return
+    every, words = t.verbatim(n)
+    at, hashes = t.windows(n) if n >= least else (every[:0], words[:0])
+    covered = set(at.tolist())
+    found = [(BY_TEMPLATE, h, i, False) for i, h in zip(at.tolist(), hashes.view(np.int64).tolist())]
+    found += [(BY_WORDS, h, i, i not in covered) for i, h in zip(every.tolist(), np.ascontiguousarray(words).view(np.int64).tolist())]
+    for sort, h, i, sure in found:
+        yield sort, n, h, i, sure, [(k - i, int(t.kind[k]), t.value(k)) for k in range(i, i + n) if t.kind[k]]
+
+
+@dataclass(frozen=True)
+class Filter:
+    """A bitmap of the benchmark's hashes with two probes, of at most 2^``MOST_BITS`` bits: what does not pass is in no
+    window; what passes by accident finds no partner in the join."""
+
+    bits: int
+    cells: np.ndarray
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), dtype=bool)
+        for cell in _cells(hashes, self.bits):
+            out &= (self.cells[cell >> U64(3)] >> (cell & U64(7)).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def _cells(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [x >> U64(64 - bits) for x in (mix(hashes.copy()), mix(hashes ^ U64(0x9E3779B97F4A7C15)))]
+
+
+def window_filter(windows: DataFrame, most_bits: int = MOST_BITS) -> Filter:
+    """The filter of stored windows: tasks set bits block by block, and blocks are merged before they come to the driver."""
+    bits = min(most_bits, max(16, math.ceil(math.log2(1024 * windows.count() + 1))))
+    block = min(bits, _BLOCK_BITS)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = np.unique(np.concatenate(_cells(batch.column(0).to_numpy().view(U64), bits)))
+            blocks = (cells >> U64(block)).astype(np.int32)
+            cuts = np.flatnonzero(np.diff(blocks)) + 1
+            parts = [(int(blocks[p[0]]), cells[p].astype(np.uint32).tobytes()) for p in np.split(np.arange(len(cells)), cuts) if len(p)]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], names=["block", "cells"])
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        seen = np.zeros(1 << block, dtype=bool)
+        for cells in group["cells"]:
+            seen[np.frombuffer(cells.as_py(), dtype=np.uint32) & np.uint32((1 << block) - 1)] = True
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "packed": pa.array([np.packbits(seen, bitorder="little").tobytes()], pa.binary())})
+
+    out, step = np.zeros((1 << bits) // 8, dtype=np.uint8), (1 << block) // 8
+    merged = windows.select("hash").mapInArrow(marked, "block int, cells binary").groupBy("block").applyInArrow(merge, "block int, packed binary")
+    for number, packed in merged.collect():  # 2^MOST_BITS bits in all
+        out[number * step : (number + 1) * step] = np.frombuffer(packed, dtype=np.uint8)
+    return Filter(bits, out)
 
 
 def find_contamination(
-    documents: DataFrame, benchmark: DataFrame, window: int = 13, least: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
-) -> DataFrame:
+    documents: DataFrame, benchmark: DataFrame, window: int = 13, least: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    most_bits: int = MOST_BITS,
+) -> DataFrame:
     """One row per document row and item found in it: doc_id, crc (of the text), item_id, n_windows, n_tokens (of the
     document under them), changed_slots (values that differ from the benchmark's).
 
@@ -215,75 +262,67 @@ def find_contamination(
     Other columns are not read.  No documents or no items, no rows.
     """
     spark = documents.sparkSession
+    windows = benchmark_windows(benchmark, window, item_col, item_text_col, least)
+    lengths = sorted((r.sort, r.n) for r in windows.select("sort", "n").distinct().collect())  # two for each length up to ``window``
+    sent = spark.sparkContext.broadcast(window_filter(windows, most_bits))
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("crc"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, crc long, item_id long, n_windows int, n_tokens int, changed_slots int"
-    found = [rows.mapInArrow(_look_up(spark.sparkContext.broadcast(p)), schema) for p in benchmark_parts(benchmark, window, item_col, item_text_col, least)]
-    if not found:
-        return spark.createDataFrame([], schema)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    hits = store(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_hits(sent, lengths), _HIT_DDL), "benchmark-hits")
+    pairs = hits.join(windows, ["sort", "n", "hash"])
+    return pairs.groupBy("row", "item").applyInArrow(_judged, _FOUND_DDL)
 
 
-def _look_up(sent) -> Callable:
-    types = [("doc_id", pa.int64()), ("crc", pa.int64()), ("item_id", pa.int64()), ("n_windows", pa.int32()), ("n_tokens", pa.int32()), ("changed_slots", pa.int32())]
+def _hits(sent, lengths: list[tuple[int, int]]) -> Callable:
+    """The documents' windows that pass the filter, with their words."""
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench: Benchmark = sent.value
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column("text"))
-            rows = []
             for start, stop in slices(offsets):
                 t = templates(data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start])
-                rows += [(start + d, *found) for d, *found in _matches(t, bench)]
-            if rows:
-                at, items, windows, tokens, changed = zip(*rows)
-                at = pa.array(at, pa.int64())
-                columns = [batch.column("doc_id").take(at), batch.column("crc").take(at), items, windows, tokens, changed]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, (_, k) in zip(columns, types)], schema=pa.schema(types))
-
-    return look_up
-
-
-def _matches(t: Templates, bench: Benchmark) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, item, windows, tokens, changed slots) of consistent finds."""
-    hits: dict[tuple[int, int, int], set[tuple[int, int]]] = {}
-    sure: dict[tuple[int, int, int], set[tuple[int, int]]] = {}
-    text_of = t.words.text_of
-    for (lane, n), (hashes, items, positions) in bench.lengths.items():
-        at, own = t.windows(n) if lane == TEMPLATE else t.verbatim(n)
-        low = np.searchsorted(hashes, own)
-        known = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == own)
-        for k in known.tolist():
-            for j in range(low[k], len(hashes)):
-                if hashes[j] != own[k]:
-                    break
-                key = (int(text_of[at[k]]), int(items[j]), int(at[k] - positions[j]))
-                (sure if lane == SURE else hits).setdefault(key, set()).add((int(at[k]), n))
-    found: dict[tuple[int, int], list] = {}
-    for key in hits.keys() | sure.keys():
-        text, number, diagonal = key
-        item, slots = bench.slots[number]
-        windows, changed = _consistent(t, hits.get(key, set()), diagonal, slots)
-        windows |= sure.get(key, set())
-        if windows:
-            total = found.setdefault((text, item), [0, set(), 0])
-            total[0] += len(windows)
-            total[1] |= _under(windows)
-            total[2] += changed
-    for (text, item), (windows, tokens, changed) in sorted(found.items()):
-        yield text, item, windows, len(tokens), changed
+                text_of = t.words.text_of
+                for sort, n in lengths:
+                    at, hashes = t.windows(n) if sort == BY_TEMPLATE else t.verbatim(n)
+                    known = np.flatnonzero(sent.value.passes(hashes))
+                    for low in range(0, len(known), _ROWS):
+                        these = known[low : low + _ROWS]
+                        owner = pa.array(start + text_of[at[these]])
+                        words = [[t.value(k) for k in range(i, i + n)] for i in at[these].tolist()]
+                        columns = [np.full(len(these), sort), np.full(len(these), n), hashes[these].view(np.int64), *(batch.column(c).take(owner) for c in ("row", "doc_id", "crc")), at[these], words]
+                        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, (_, kind) in zip(columns, _HIT_TYPES)], names=[name for name, _ in _HIT_TYPES])
+
+    return hits
+
+
+def _judged(key: tuple, group: pa.Table) -> pa.Table:
+    """What is consistently found of one item in one document, as one row; no row if nothing is."""
+    hits: dict[tuple[int, int], set[tuple[int, int]]] = {}
+    sure: dict[tuple[int, int], set[tuple[int, int]]] = {}
+    values: dict[tuple[int, int], dict[int, tuple[int, bytes, bytes]]] = {}
+    columns = [group[c].to_pylist() for c in ("number", "item_at", "at", "n", "sure", "offsets", "kinds", "values", "words")]
+    for number, item_at, at, n, by_words, offsets, kinds, slots, words in zip(*columns):
+        place = number, at - item_at
+        (sure if by_words else hits).setdefault(place, set()).add((at, n))
+        if not by_words:
+            values.setdefault(place, {}).update({at + o: (kind, value, words[o]) for o, kind, value in zip(offsets, kinds, slots)})
+    total, tokens, changes = 0, set(), 0
+    for place in hits.keys() | sure.keys():
+        windows, changed = _consistent(hits.get(place, set()), values.get(place, {}))
+        windows |= sure.get(place, set())
+        total, changes = total + len(windows), changes + changed
+        tokens |= _under(windows)
+    ids = [group[c].slice(0, 1).combine_chunks() for c in ("doc_id", "crc")] if total else [pa.array([], pa.int64())] * 2
+    counts = [pa.array([x] if total else [], pa.int32()) for x in (total, len(tokens), changes)]
+    return pa.table([*ids, pa.array([key[1].as_py()] if total else [], pa.int64()), *counts], names=["doc_id", "crc", "item_id", "n_windows", "n_tokens", "changed_slots"])
 
 
 def _under(windows: set[tuple[int, int]]) -> set[int]:
     return {i for at, n in windows for i in range(at, at + n)}
 
 
-def _consistent(t: Templates, windows: set[tuple[int, int]], diagonal: int, slots: dict[int, tuple[int, bytes]]) -> tuple[set[tuple[int, int]], int]:
+def _consistent(windows: set[tuple[int, int]], values: dict[int, tuple[int, bytes, bytes]]) -> tuple[set[tuple[int, int]], int]:
     """The windows that hold the benchmark's own values, and of the others those that neither contradict themselves nor
-    share tokens with one that does; and how many slots under them hold another value than the benchmark's."""
-    values = {i: (*slots[i - diagonal], t.value(i)) for i in _under(windows) if i - diagonal in slots}
+    share tokens with one that does; and how many slots under them hold another value than the benchmark's.
+    ``values`` has kind, benchmark's and document's word of the slots under the windows, by position."""
     lost = _under({(at, n) for at, n in windows if _contradict(values[i] for i in range(at, at + n) if i in values)})
     other = sorted(i for i, (_, value, own) in values.items() if own != value) if lost else []
     kept = {(at, n) for at, n in windows if lost.isdisjoint(range(at, at + n)) or bisect_left(other, at) == bisect_left(other, at + n)} if lost else set(windows)

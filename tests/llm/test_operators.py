@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from brute import WORD, groups, jaccard, order, repeats
+from brute import WORD, contaminated, groups, jaccard, order, repeats
 from pyspark.sql import functions as F
 
 from tallyfold.llm import chat, components, decontaminate, embeddings, mixing, pii, quality, sharding, substrings, urls
@@ -362,18 +362,49 @@ def test_templates_find_other_numbers_and_reject_contradictions(spark):
     table = spark.createDataFrame(bench, "item_id long, text string")
     assert decontaminate.find_contamination(documents(spark, docs), table.where("false")).count() == 0
     assert decontaminate.find_contamination(documents(spark, docs).where("false"), table).count() == 0
-    several = decontaminate.benchmark_parts(table, 13, "item_id", "text", 8, part=1)
-    assert len(several) == 2
-
-
-def test_parts_of_the_benchmark_change_nothing(spark, monkeypatch):
+    small = decontaminate.find_contamination(documents(spark, docs), table, most_bits=4).collect()  # nearly all windows pass
+    assert sorted(map(str, small)) == sorted(map(str, out))
+
+
+def test_contamination_against_brute_force(spark):
+    draw = random.Random(12)
+    vocabulary = ["the", "train", "covers", "how", "far", "km", "hours", "Mary", "Évora", "Brown", "12", "3", "4.5", "12", "is", "it", "(and)", "go", "per", "of", "which", "way", "home", "...", "Xx", "SHOUT", "a", "Q", "dollars", "é"]
+
+    def sentence(n):
+        return "".join(draw.choice(vocabulary) + draw.choice([" ", " ", " ", " ", "\n", ". ", ", "]) for _ in range(n))
+
+    def changed(text):
+        if draw.random() < 0.6:
+            return text.replace("12", "95").replace(" Mary", " Eva").replace("4.5", draw.choice(["7", "4.5", "95"]))
+        words = text.split(" ")
+        for _ in range(draw.randrange(4)):
+            at = draw.randrange(len(words))
+            words[at] = draw.choice(vocabulary + ["7", "8", "Eva", "miles"])
+        return " ".join(words)
+
+    items = [(i % 25, sentence(draw.choice([1, 3, 8, 9, 13, 14, 20, 40]))) for i in range(30)] + [(None, "the train"), (40, None), (41, ""), (42, "...")]
+    texts = []
+    for i in range(200):
+        parts = [sentence(draw.randrange(20))]
+        for _ in range(draw.randrange(3)):
+            text = draw.choice(items)[1] or ""
+            cut = draw.randrange(1 + len(text) // 2) if draw.random() < 0.4 else 0
+            parts += [changed(text[cut:]) if draw.random() < 0.7 else text[cut:], sentence(draw.randrange(5))]
+        texts.append("".join(parts))
+    out = decontaminate.find_contamination(documents(spark, list(enumerate(texts))), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = contaminated(texts, items, set(decontaminate.UNITS))
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_tokens, r.changed_slots) for r in out}
+    assert got == want and len(want) > 100 and sum(c > 0 for *_, c in want.values()) > 10
+
+
+def test_the_filter_changes_nothing(spark):
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
     items = [(1, " ".join(words[:25])), (1, " ".join(words[20:45])), (2, " ".join(words[40:])), (3, " ".join(words[:12]))]
     texts = [(1, " ".join(words)), (2, " ".join(words[:45])), (3, "nothing")]
     whole = {k: tuple(r) for k, r in found_in(spark, texts, items).items()}
-    monkeypatch.setattr(decontaminate.benchmark_parts, "__defaults__", (1,))
-    out = decontaminate.find_contamination(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(r.doc_id, r.item_id): tuple(r) for r in out} == whole and len(out) == len(whole) == 5
+    for bits in (3, 12):
+        out = decontaminate.find_contamination(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string"), most_bits=bits).collect()
+        assert {(r.doc_id, r.item_id): tuple(r) for r in out} == whole and len(out) == len(whole) == 5
     assert whole[2, 1][3:5] == (26, 45)
 
 
