@@ -155,6 +155,10 @@ STRUCTURE_COLUMNS = (
     "pct_with_widgets",
     "pct_with_python_version",
 )
+# Trend sentences: the direction between the first and the last year, by a change beyond so many points.
+TREND_POINTS = 2
+TREND_DIRECTIONS = ("rose", "fell", "stayed roughly flat")
+TREND_SENTENCE = "{library} {direction} from {first}% in {first_year} to {last}% in {last_year} (peak {peak}% in {peak_year})."
 # --- end of fixed values ---
 
 LIBRARIES = tuple(sorted(row[0] for row in REGISTRY))

@@ -270,6 +270,7 @@ def with_imports(docs: DataFrame) -> DataFrame:
     return staged.withColumn("imports", named).withColumn("import_count", F.size("imports")).drop("import_sources", "exact")
 
 
+# --- fixed values: column names of a feature row ---
 FEATURE_COLUMNS = (
     "parse_ok", "parse_error",
     "nbformat", "nbformat_minor", "kernel_name", "kernel_display_name", "language",
@@ -285,6 +286,7 @@ FEATURE_COLUMNS = (
     "cell_tag_count", "distinct_cell_tags", "has_custom_metadata", "extension_hints",
     "imports", "import_count",
 )
+# --- end of fixed values ---
 
 
 def parse_documents(docs: DataFrame) -> DataFrame:

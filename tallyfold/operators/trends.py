@@ -6,10 +6,14 @@ fallback choices are scalar subqueries, so nothing is fetched to the driver.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.fixed_values import KEY_LIBRARIES, SCORE_COLUMNS, STRUCTURE_COLUMNS, TREND_INDICATORS, TREND_LIBRARIES
+from tallyfold.fixed_values import (
+    KEY_LIBRARIES, SCORE_COLUMNS, STRUCTURE_COLUMNS, TREND_DIRECTIONS, TREND_INDICATORS, TREND_LIBRARIES, TREND_POINTS, TREND_SENTENCE,
+)
 
 
 def mode() -> Column:
@@ -120,19 +124,17 @@ def trend_summary(series: DataFrame) -> DataFrame:
         F.max("pct").alias("peak_pct"),
         F.max_by("year", F.struct(F.col("pct"), -F.col("year"))).alias("peak_year"),
     )
-    rose = F.col("last_pct") > F.col("first_pct") + 2
-    fell = F.col("last_pct") < F.col("first_pct") - 2
-    direction = F.when(rose, "rose").when(fell, "fell").otherwise("stayed roughly flat")
+    up, down, flat = TREND_DIRECTIONS
+    rose, fell = F.col("last_pct") > F.col("first_pct") + TREND_POINTS, F.col("last_pct") < F.col("first_pct") - TREND_POINTS
+    direction = F.when(rose, up).when(fell, down).otherwise(flat)
     told = ends.where(F.col("n") >= 2).withColumn("direction", direction)
 
     def whole(c: str) -> Column:
         return F.bround(c, 0).cast("bigint").cast("string")
 
-    sentence = F.concat(
-        F.col("library"), F.lit(" "), F.col("direction"), F.lit(" from "), whole("first_pct"), F.lit("% in "),
-        F.col("first_year"), F.lit(" to "), whole("last_pct"), F.lit("% in "), F.col("last_year"),
-        F.lit(" (peak "), whole("peak_pct"), F.lit("% in "), F.col("peak_year"), F.lit(")."),
-    )
+    said = {"first": whole("first_pct"), "last": whole("last_pct"), "peak": whole("peak_pct")}
+    pieces = re.split(r"\{(\w+)\}", TREND_SENTENCE)  # text and names in turn
+    sentence = F.concat(*(said.get(piece, F.col(piece)) if i % 2 else F.lit(piece) for i, piece in enumerate(pieces) if piece))
     return told.withColumn("summary", sentence).drop("n")
 
 
