@@ -260,6 +260,7 @@ def find_contamination(
     word is found wherever this word is.  Items without words, null texts and null item ids are not looked for.  Null and empty documents hold nothing.  Items that share an id are
     judged together only where their texts are equal.  Repeated document rows give repeated rows.
     Other columns are not read.  No documents or no items, no rows.
+    Ids are whole numbers.
     """
     spark = documents.sparkSession
     windows = benchmark_windows(benchmark, window, item_col, item_text_col, least)

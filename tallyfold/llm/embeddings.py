@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tallyfold.llm.components import components
 from tallyfold.llm.tables import store
@@ -44,9 +45,12 @@ def near_duplicates(
     components, link with nothing; nor do vectors of different lengths.  Repeated vectors link with
     each other.  A null id never is a component's smallest id; a component of null ids has a null
     one and keeps none of its rows.  Other columns are not read.  No rows in, no rows out.
+    Ids and labels are whole numbers; vectors of floats or doubles.
     """
+    element = vectors.schema[vector_col].dataType.elementType
+    kind = "float" if isinstance(element, FloatType) else "double"
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<float>").alias("v")
+        F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast(f"array<{kind}>").alias("v")
     )
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
@@ -107,7 +111,7 @@ def _pack(group: pa.Table) -> pa.Table:
     row = {
         "label": group["label"][0].as_py(), "dim": dim, "tile": group["tile"][0].as_py(), "tiles": group["tiles"][0].as_py(),
         "nodes": group["node"].to_numpy().tobytes(), "copies": group["copies"].to_numpy().tobytes(),
-        "codes": codes.tobytes(), "bounds": bounds.tobytes(), "vectors": vectors.astype(np.float32).tobytes(),
+        "codes": codes.tobytes(), "bounds": bounds.tobytes(), "vectors": vectors.tobytes(),
     }
     types = {"label": pa.int64(), "dim": pa.int32(), "tile": pa.int32(), "tiles": pa.int32()}
     return pa.table({k: pa.array([v], type=types.get(k, pa.binary())) for k, v in row.items()})
@@ -144,7 +148,9 @@ def _rows(nodes, roots, links) -> pa.Table:
 
 
 def _unpack(group: pa.Table, row: int, dim: int) -> dict[str, np.ndarray]:
-    types = {"nodes": np.int64, "copies": np.int64, "codes": np.int8, "bounds": np.float64, "vectors": np.float32}
+    count = len(group["nodes"][row].as_py()) // 8
+    wide = len(group["vectors"][row].as_py()) == 8 * dim * count  # doubles, as the table holds them
+    types = {"nodes": np.int64, "copies": np.int64, "codes": np.int8, "bounds": np.float64, "vectors": np.float64 if wide else np.float32}
     out = {k: np.frombuffer(group[k][row].as_py(), dtype=t) for k, t in types.items()}
     return out | {"codes": out["codes"].reshape(-1, dim), "bounds": out["bounds"].reshape(3, -1), "vectors": out["vectors"].reshape(-1, dim)}
 

@@ -59,6 +59,7 @@ def jaccard_groups(documents: DataFrame, percent: int = 80, n: int = 5, id_col:
     Rows that share an id are separate.  ``kept`` marks the row with the smallest id (then checksum) of
     each component, and every row without shingles; equal rows are marked alike.  Other columns are
     not read.  No rows in, no rows out.
+    Ids are whole numbers.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")

@@ -57,6 +57,7 @@ def mix(
     Null level values are a node of their own, named ''.  Nodes of weight 0 or less give nothing.
     Null text has no tokens.  Rows that share an id are separate and tied by checksum; equal rows are
     interchangeable.  Other columns are not read.  No rows in, no rows out.
+    Ids are whole numbers.
     """
     names = [level.name for level in levels]
     rows = documents.select(

@@ -384,6 +384,7 @@ def pseudonymise(documents: DataFrame, key: bytes, undo: bool = False, id_col: s
     only there has a value another pseudonym than elsewhere, at the worst itself, where every other value would
     make one of what failed.  A permutation may map a value to itself: one in as many as its format has.  Rows with equal or null ids are separate.
     Other columns are not read.  No rows in, no rows out.
+    Ids are whole numbers.
     """
     schema = "doc_id long, text string, n_found int, kinds string, spans array<struct<kind:string,begin:int,end:int>>"
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

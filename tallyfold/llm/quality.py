@@ -174,6 +174,7 @@ def score_documents(documents: DataFrame, model: Model, threshold: float = 0.3,
 
     Whole texts are scored; empty and null texts get the model's bias.  Equal texts get
     equal scores.  A null id is not held out.  Other columns are not read.  No rows in, no rows out.
+    Ids are whole numbers.
     """
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sent = rows.sparkSession.sparkContext.broadcast(model)

@@ -37,6 +37,7 @@ def shard_records(documents: DataFrame, weights: list[float], grown_weight: floa
     null text counts as empty.  Rows with one id share a shard.  ``slot`` numbers a shard's rows
     from 0 without gaps, by MD5 of the key, then id, size and checksum; equal rows take slots in any
     order.  Other columns are not read.  No rows in, no rows out.
+    Ids are whole numbers.
     """
     if not weights or min(weights) <= 0 or (grown_weight is not None and grown_weight <= 0):
         raise ValueError("every shard needs a positive weight")

@@ -48,6 +48,7 @@ def remove_repeats(documents: DataFrame, window: int = 50, id_col: str = "doc_id
     judged on the input.  Null text has no words; texts shorter than a window lose nothing; rows
     with a null id neither take nor lose words.  Rows that share an id are judged each by its own
     text and take nothing from each other.  Other columns are not read.  No rows in, no rows out.
+    Ids are whole numbers.
     """
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = rows.withColumn("crc", text_key(F.col("text")))

@@ -46,6 +46,7 @@ def judge_pages(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
     allow.  Without a fitting rule the verdict is ``default``.  Null URLs, and those without ``://``,
     have empty host and path.  Rules with a null host or verdict are ignored, a null path is empty.
     Other columns are not read.  No pages in, no rows out; no rules, default verdicts.
+    Page ids are whole numbers.
     """
     keyed = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     keyed = keyed.withColumn("key", host_key(F.col("host"))).withColumn("spread", F.xxhash64("page_id", "path"))

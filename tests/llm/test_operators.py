@@ -89,6 +89,11 @@ def test_embeddings_against_brute_force(spark):
     links = Counter(x for p in pairs for x in p)
     root = groups(len(ids), pairs)
     assert pairs and got == {i: (links[k], ids[root[k]], root[k] == k) for k, i in enumerate(ids)}
+    doubles = table.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(doubles, tile=16).collect()} == got
+    near = [(i, [1.0, 1e-9 * i]) for i in range(4)]  # told apart in double precision alone
+    apart = spark.createDataFrame([(i, v, 0) for i, v in near], "vec_id long, embedding array<double>, label int")
+    assert {r.n_links for r in embeddings.near_duplicates(apart, threshold=1.0 - 1e-16).collect()} <= {3} and embeddings.near_duplicates(apart).where("n_links = 3").count() == 4
     many = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(table, tile=5).collect()}  # several groups of tiles
     assert many == got
     assert embeddings.near_duplicates(table.where("false")).count() == 0
