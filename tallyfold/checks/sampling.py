@@ -225,9 +225,9 @@ def cohort_strata(spark, sf):
 
 # --- window, pool, files, caps -----------------------------------------------------------
 
-def _window_sql(source: str, seed: str, strata: int, by: str = "", cap: int | None = None) -> str:
+def _window_sql(source: str, seed: str, strata: int, by: str = "", cap: int | None = None, quota: S.Quota | None = None) -> str:
     """The rows each stratum gives, and the pool: one row per repository."""
-    quota = S.Quota(strata, result_cap=cap)
+    quota = quota or S.Quota(strata, result_cap=cap)
     drawn = f"md5({seed} || ':' || full_name), full_name"
     group = f"PARTITION BY {by} strategy, stratum"
     if cap is None:
@@ -267,6 +267,14 @@ def stratum_window(spark, sf):
     return _daily_window(spark, sf).select("full_name", "strategy", "stratum", "rank")
 
 
+_LARGE = S.Quota(7, 7 * 12_000)  # beyond S.LARGE rows a stratum: by buckets of hashes
+
+
+@query("stratum_window_large", f"{_ASSIGNED_SQL}, {_window_sql('assigned', _RUN_SEED, 7, quota=_LARGE)} SELECT full_name, strategy, stratum, rank FROM windowed")
+def stratum_window_large(spark, sf):
+    return _daily_window(spark, sf, _LARGE).select("full_name", "strategy", "stratum", "rank")
+
+
 @query("stratum_window_shown", f"{_SHOWN_SQL} SELECT full_name, strategy, stratum, rank FROM windowed")
 def stratum_window_shown(spark, sf):
     """The same strata as a service shows them that ends after 1000 results."""
@@ -309,6 +317,17 @@ def cap_total(spark, sf):
     return S.cap_total(S.eligible_files(repository_files(spark, sf)).select("full_name", "path", "size"), order)
 
 
+@query(
+    "cap_total_large",
+    f"WITH {_FILES_SQL} SELECT full_name, path, size FROM eligible ORDER BY md5({_RUN_SEED} || ':' || full_name), full_name, {_KEY}, path LIMIT 12000",
+)
+def cap_total_large(spark, sf):
+    """A target beyond what one task may rank."""
+    seed = S.date_seed(F.lit(RUN_DATE))
+    order = [S.seeded_order(seed, F.col("full_name")), F.col("full_name"), S.seeded_order(seed, F.col("full_name"), F.col("path")), F.col("path")]
+    return S.cap_total(S.eligible_files(repository_files(spark, sf)).select("full_name", "path", "size"), order, 12_000)
+
+
 @query("sample_day", f"{_DRAWN_SQL} SELECT full_name, path, size, strategy, stratum, pick FROM drawn")
 def sample_day(spark, sf):
     _, drawn = S.sample_day(repositories(spark, sf), repository_files(spark, sf), RUN_DATE)
