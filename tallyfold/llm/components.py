@@ -3,8 +3,8 @@
 Links are first contracted inside each task (a task's links become a forest of
 stars), then neighbours are hung on the least neighbour, larger ones and smaller
 ones in turn, until nothing changes.  The rounds grow with the logarithm of the
-longest chain.  Every round is written to the shared folder, and so are the
-minima of its nodes: a join of two tables that were both read is one that
+longest chain.  Every round is written to the shared folder, and so are the minima
+that its hubs are joined with: a join of two tables that were both read is one that
 Spark splits at a hub, while behind an aggregation it would keep the hub's links in one task.
 """
 
@@ -32,7 +32,7 @@ def components(links: DataFrame, label: str) -> DataFrame:
     before = None
     while (now := _state(stars)) != before:
         before = now
-        stars = store(_small_star(store(_large_star(stars, label), f"{label}-large"), label), f"{label}-stars")
+        stars = store(_small_star(_large_star(stars, label)), f"{label}-stars")
     members = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return members.unionByName(members.select(F.col("root").alias("node"), "root").distinct())
 
@@ -50,9 +50,9 @@ def _large_star(stars: DataFrame, label: str) -> DataFrame:
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(stars: DataFrame, label: str) -> DataFrame:
+def _small_star(stars: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are hung on the least of them.  Links go from large to small."""
-    least = store(stars.groupBy("a").agg(F.min("b").alias("m")), f"{label}-least")
+    least = stars.groupBy("a").agg(F.min("b").alias("m"))
     moved = stars.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from brute import jaccard, order
+from brute import contaminated, jaccard, order
 from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 import corpus_pipeline
+from tallyfold.llm import decontaminate
 
 NAMES = [n for n in registered.queries() if re.match(r"op\d+_", n)]
 
@@ -31,6 +32,10 @@ def test_stages_keep_columns_and_take_effect(spark, sf_dir):
             least = {c for _, n, c in jaccard([(r.doc_id, r.text) for r in rows])}
             assert {r.doc_id for r in left} == least
         if k == 2:
+            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+            found = contaminated([r.text for r in rows], items, set(decontaminate.UNITS))
+            gone = {rows[k].doc_id for (k, _), (_, tokens, _) in found.items() if tokens >= corpus_pipeline.LEAST_COPIED}
+            assert gone and {r.doc_id for r in rows} - {r.doc_id for r in left} == gone
             held = lambda t: any(" ".join(b.split()) in " ".join((t or "").split()) for b in benchmark)
             assert not any(held(r.text) for r in left) and len(rows) - len(left) <= 0.1 * len(rows)
         if k == 4:
