@@ -14,6 +14,12 @@ by powers of two, and a set whose partners may reach the next class gives its
 parts there too.  Small sets with too many empty parts also give their shingle
 prefix, which two such sets share.
 
+Large blocks.  Chance parts chain small sets into blocks that grow faster than the corpus, though few of their
+sets are similar.  So the sets of a block of more than a chunk are first told apart by the parities of their
+shingles, a bit or two for each shingle: two sets differ in at least as many shingles as their parities
+differ in bits, so pairs beyond what similar sets may differ in are none.  Sets connected by what is left make the
+blocks that are searched; texts are sent for these alone.
+
 Search.  A block's sets are dealt into chunks, each pair of chunks is a task.
 There each set queries the inverted lists of the others by DivideSkip: its L
 longest lists are put aside, the short ones are merged by a heap, documents on T - L or
@@ -24,6 +30,7 @@ leave a task, so a group of n near copies gives about n rows and not n squared.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
@@ -31,10 +38,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.components import components
+from tallyfold.llm.decontaminate import window_filter
 from tallyfold.llm.tables import store, text_key
 from tallyfold.llm.words import U64, flat, mix, shingle_sets, signed
 
@@ -42,12 +50,19 @@ CHUNK = 256  # sets of a block that one task side holds, about
 OFTEN = 400  # a shingle in one of so many documents weighs least
 TOGETHER = 1 << 20  # shingles that a task looks at together, about
 MOST_OFTEN = 1_000_000  # 8 MB; which shingles these are changes speed, never results
+MEMBER_BITS = 27  # of the filter of rows whose text is needed: 16 MB
+BUCKET = 1 << 19  # shingles of the corpus for each bucket of parts
+SIGNED = 16  # chunks of sets that a task compares by parities
+PARITIES = (8, 14)  # least and most bits of a set's parities, as powers of two
 _MU = 0.0085  # DivideSkip's cost of a probe against a merge step
 _PREFIX_TAG = 0x5851F42D4C957F2D
 _SPARE_PARTS = 1.6
 
 _PROFILE = "often boolean, doc_id long, crc long, n long, h1 long, h2 long"
-_CLAIM = pa.schema([("part", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_DEALT = pa.schema([(k, t) for k, t in zip(("bucket", "batch"), (pa.int32(), pa.int64()))] + [(k, pa.binary()) for k in ("part", "low", "high", "sets", "links")])
+_DEALT_DDL = "bucket int, batch long, part binary, low binary, high binary, sets binary, links binary"
+_SIGNED = pa.schema([(k, pa.int64()) for k in ("block", "node")] + [(k, pa.int32()) for k in ("chunk", "chunks")] + [("size", pa.int64()), ("bits", pa.binary())])
+_STRIDE = 0x9E3779B97F4A7C15
 
 
 def jaccard_groups(documents: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -71,12 +86,15 @@ def jaccard_groups(documents: DataFrame, percent: int = 80, n: int = 5, id_col:
     sets = docs.where("n > 0").groupBy("h1", "h2", "n").agg(first, F.min("doc_id").alias("least"))
     sets = store(sets.select("h1", "h2", "n", "first.doc_id", "first.crc", "least", F.monotonically_increasing_id().alias("node")), "jaccard-sets")
     often = rows.sparkSession.sparkContext.broadcast(_often(profile, docs))
-    parts = rows.select("text").mapInArrow(_parts(n, percent, often), "part long, a long, b long")
-    least = F.min("a").over(Window.partitionBy("part"))
-    near = parts.withColumn("least", least).select("a", F.coalesce("b", "least").alias("b")).where("a <> b").distinct()
-    blocks = components(near, "jaccard-blocks").withColumnRenamed("node", "h1").withColumnRenamed("root", "block")
+    shingles = docs.agg(F.sum("n")).first()[0] or 0
+    bits = min(13, max(6, math.ceil(math.log2(shingles / BUCKET + 1))))
+    dealt = rows.select("text").mapInArrow(_parts(n, percent, often, bits), _DEALT_DDL)
+    near = store(dealt.groupBy("bucket").applyInArrow(_shared(bits), "a long, b long, named boolean"), "jaccard-near")
+    blocks = components(near.where("NOT named").select("a", "b"), "jaccard-blocks").withColumnRenamed("root", "block")
+    named = near.where("named").select(F.col("a").alias("node"), F.col("b").alias("h1"))
+    blocks = named.join(blocks, "node").select("h1", "block").distinct()
     members = store(sets.join(blocks, "h1").select("node", "doc_id", "crc", "block"), "jaccard-members")
-    links = _search_blocks(rows, members, n, percent, chunk)
+    links = _search_blocks(rows, _refined(rows, members, n, percent, chunk), n, percent, chunk)
     groups = components(links, "jaccard")
     joined = sets.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keeper = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "crc")).alias("keeper")
@@ -143,12 +161,12 @@ def _identities(sets: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     return size, out
 
 
-def _parts(n: int, percent: int, often) -> Callable:
-    """Rows (part, set) for parts given; of sets looked at together one row is enough, the others are linked to it at once (b)."""
+def _parts(n: int, percent: int, often, bits: int) -> Callable:
+    """Parts given, packed by bucket; of sets looked at together one gives a part, the others are linked to it at once."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given, at = [], 0
+            given, ids, count, at = [], [], 0, 0
             for sets in shingle_sets(*flat(batch.column("text")), n):
                 at += len(sets)
                 size, (identity, _) = _identities(sets)
@@ -156,24 +174,84 @@ def _parts(n: int, percent: int, often) -> Callable:
                 once = once[size[once] * (100 - percent) // percent > 0]  # others link with equal sets only
                 if len(once):
                     part, owner = _given([sets[i] for i in once], percent, often.value)
-                    given.append((part, identity[once][owner]))
+                    given.append((part, owner + count))
+                    ids.append(identity[once])
+                    count += len(once)
                 if given and (at == len(batch) or sum(len(part) for part, _ in given) >= TOGETHER):
-                    yield _claims(*(np.concatenate(x) for x in zip(*given)))
-                    given = []
+                    yield _dealt(*(np.concatenate(x) for x in zip(*given)), np.concatenate(ids), bits)
+                    given, ids, count = [], [], 0
 
     return parts
 
 
-def _claims(part: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
-    """One row for each part, by its least set, and a link for each other set that gives it."""
-    order = np.lexsort((a, part))
-    part, a = part[order], a[order]
+def _dealt(part: np.ndarray, owner: np.ndarray, ids: np.ndarray, bits: int) -> pa.RecordBatch:
+    """A row for each bucket (the first ``bits`` of a part): the next 48 bits of its parts, and the steps between the
+    numbers of the sets that give them; and one row with all sets and the links between them.  Parts that are equal
+    by accident put more sets into a block, which changes no result."""
+    order = np.lexsort((owner, part))
+    part, owner = part[order], owner[order]
     opens = np.concatenate([[True], part[1:] != part[:-1]])
-    b = a[np.flatnonzero(opens)[np.cumsum(opens) - 1]]
-    link = ~opens & (a != b)
-    key = np.where(link, mix(a ^ (b * U64(3))), part)  # a link needs no group: dealt evenly
-    use = opens | link
-    return pa.RecordBatch.from_arrays([signed(key[use]), signed(a[use]), pa.array(b[use].view(np.int64), mask=~link[use])], schema=_CLAIM)
+    first = owner[np.flatnonzero(opens)[np.cumsum(opens) - 1]]
+    pairs = np.unique((owner * len(ids) + first)[owner != first])
+    part, owner = part[opens], owner[opens]
+    bucket = (part >> U64(64 - bits)).astype(np.int32)
+    order = np.lexsort((owner, bucket))
+    part, owner, bucket = part[order], owner[order], bucket[order]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+    step = np.diff(owner, prepend=0)
+    step[cuts[:-1]] = owner[cuts[:-1]]
+    short = ((part << U64(bits)) >> U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    batch = int(mix(np.array([mix(ids.copy()).sum() + U64(len(ids))]))[0].view(np.int64))
+    packed = [_binary(x, cuts, width) for x, width in ((short, 6), ((step & 255).astype(np.uint8), 1), ((step >> 8).astype("<u2"), 2))]
+    none = pa.nulls(len(cuts) - 1, pa.binary())
+    rows = [pa.array(bucket[cuts[:-1]]), pa.array([batch] * (len(cuts) - 1), pa.int64()), *packed, none, none]
+    whole = [[batch % (1 << bits)], [batch], [None], [None], [None], [ids.astype("<u8").tobytes()], [pairs.astype("<i8").tobytes()]]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([x, pa.array(y, f.type)]) for x, y, f in zip(rows, whole, _DEALT)], schema=_DEALT)
+
+
+def _binary(values: np.ndarray, cuts: np.ndarray, width: int) -> pa.Array:
+    """The bytes of ``values`` between cuts."""
+    offsets = pa.py_buffer((cuts * width).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _names(batch: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """64-bit names of the numbered sets of batches."""
+    return mix(batch ^ (number.astype(U64) + U64(1)) * U64(_STRIDE))
+
+
+def _shared(bits: int) -> Callable:
+    """Links (a, b) of a bucket from each set to the least one with its part, and (named) the h1 of each set's name."""
+
+    def shared(key: tuple, group: pa.Table) -> pa.Table:
+        whole = group["part"].is_null().to_numpy()
+        batch = group["batch"].to_numpy().view(U64)
+        dealt = group.filter(pa.array(~whole))
+        part, low, high = (np.frombuffer(b"".join(dealt[k].to_pylist()), dtype) for k, dtype in (("part", np.uint8), ("low", np.uint8), ("high", "<u2")))
+        counts = np.array([len(x) for x in dealt["low"].to_pylist()], dtype=np.int64)
+        number = np.cumsum(low + (high.astype(np.int64) << 8))
+        begins = np.cumsum(counts) - counts
+        number -= np.repeat(np.concatenate([[0], number])[begins], counts)
+        a = _names(np.repeat(batch[~whole], counts), number)
+        padded = np.zeros((len(a), 8), dtype=np.uint8)
+        padded[:, :6] = part.reshape(-1, 6)
+        part = padded.view("<u8").ravel()
+        order = np.lexsort((a, part))
+        part, a = part[order], a[order]
+        opens = np.concatenate([[True], part[1:] != part[:-1]])[: len(part)]
+        b = a[np.flatnonzero(opens)[np.cumsum(opens) - 1]]
+        links = [np.unique(np.stack([a[a != b], b[a != b]], axis=1), axis=0)]
+        names = [np.zeros((0, 2), dtype=U64)]
+        for number, sets, pairs in zip(batch[whole], *(group[k].filter(pa.array(whole)).to_pylist() for k in ("sets", "links"))):
+            ids, both = np.frombuffer(sets, dtype="<u8"), np.frombuffer(pairs, dtype="<i8")
+            name = _names(np.full(len(ids), number), np.arange(len(ids)))
+            names.append(np.stack([name, ids], axis=1))
+            links.append(np.stack([name[both // len(ids)], name[both % len(ids)]], axis=1))
+        every = np.concatenate([*links, *names])
+        named = np.arange(len(every)) >= sum(map(len, links))
+        return pa.table({"a": signed(every[:, 0]), "b": signed(every[:, 1]), "named": pa.array(named)})
+
+    return shared
 
 
 def _given(sets: list[np.ndarray], percent: int, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,19 +301,129 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
+def _texts(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` with their texts.  Rows that no member comes from are left out before they are dealt."""
+    key = F.xxhash64("doc_id", "crc").alias("hash")
+    keys = members.select(key)
+    most = min(MEMBER_BITS, max(16, math.ceil(math.log2(32 * keys.count() + 1))))
+    sent = rows.sparkSession.sparkContext.broadcast(window_filter(keys, most))
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value.passes(batch.column("hash").to_numpy().view(U64))))
+
+    keyed = rows.select("doc_id", "crc", key, "text")
+    found = keyed.mapInArrow(passing, keyed.schema)
+    same = found.doc_id.eqNullSafe(members.doc_id) & (found.crc == members.crc)
+    return found.join(members.hint("merge"), same).drop("doc_id", "crc", "hash")  # alike at every size
+
+
+def _in_pairs(rows: DataFrame) -> DataFrame:
+    """Each row once for each chunk of its block, as ``low`` and ``high``, the lesser and the greater of both chunks."""
+    other = F.col("other")
+    every = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return every.withColumns({"low": F.least("chunk", other), "high": F.greatest("chunk", other)}).drop("other")
+
+
+def _chunked(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    return members.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+
+
+def _refined(rows: DataFrame, members: DataFrame, n: int, percent: int, chunk: int) -> DataFrame:
+    """Blocks that can hold similar sets.  Blocks of more than ``chunk`` sets become the components of their sets by
+    parities."""
+    sizes = store(members.groupBy("block").count().where("count > 1"), "jaccard-sizes")
+    large = sizes.where(F.col("count") > chunk)
+    small = members.join(sizes.where(F.col("count") <= chunk), "block", "left_semi").select("node", "doc_id", "crc", "block")
+    if large.isEmpty():
+        return store(small, "jaccard-refined")
+    chunks = large.select("block", F.ceil(F.col("count") / (SIGNED * chunk)).cast("int").alias("chunks"))
+    dealt = store(_chunked(members, chunks), "jaccard-large")
+    bits = _texts(rows, dealt).select("block", "node", "chunk", "chunks", "text").mapInArrow(_signatures(n), "block long, node long, chunk int, chunks int, size long, bits binary")
+    pairs = _in_pairs(bits).drop("chunks")
+    found = components(pairs.groupBy("block", "low", "high").applyInArrow(_resembling(percent), "a long, b long"), "jaccard-parities")
+    apart = dealt.join(found, "node").select("node", "doc_id", "crc", F.col("root").alias("block"))
+    return store(small.unionByName(apart), "jaccard-refined")
+
+
+def _signatures(n: int) -> Callable:
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = list(chain.from_iterable(shingle_sets(*flat(batch.column("text")), n)))
+            size, bits = [len(s) for s in every], [parities(s).tobytes() for s in every]
+            columns = [batch.column(k) for k in ("block", "node", "chunk", "chunks")] + [pa.array(size, pa.int64()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=_SIGNED)
+
+    return signatures
+
+
+def _places(size: int) -> int:
+    """Words of 64 bits that hold the parities of a set: equal within a class of sizes, as a power of two."""
+    return (1 << min(PARITIES[1], max(PARITIES[0], size.bit_length()))) // 64
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each place, whether it has an odd number of the set's shingles.  The first half of the places and the second
+    half, one against the other, are the parities at half as many places."""
+    bits = _places(len(shingles)) * 64
+    cell = (mix(shingles.copy()) & U64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=bits).astype(np.uint8) & 1, bitorder="little").view("<u8")
+
+
+def _resembling(percent: int) -> Callable:
+    def resembling(key: tuple, group: pa.Table) -> pa.Table:
+        low, high = key[1].as_py(), key[2].as_py()
+        node, first = np.unique(group["node"].to_numpy(), return_index=True)  # repeated rows bring a set twice
+        size, chunk = (group[k].to_numpy()[first] for k in ("size", "chunk"))
+        bits = group["bits"].take(pa.array(first)).to_pylist()
+        links = near_by_parities(size, [np.frombuffer(x, dtype="<u8") for x in bits], percent, chunk if low != high else None)
+        a, b = np.array(links, dtype=np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
+
+    return resembling
+
+
+def near_by_parities(size: np.ndarray, bits: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that connect all sets which may be similar by size and parities; with ``side``, pairs of unlike sides count
+    only.  Similar sets of x and y shingles differ in (x + y) * (100 - percent) / (100 + percent) of them at most."""
+    by_size = np.argsort(size, kind="stable")
+    size = size[by_size]
+    side = side[by_size] if side is not None else None
+    words = np.array([len(bits[i]) for i in by_size])
+    group = np.arange(len(size))
+    found: list[tuple[int, int]] = []
+    for width in np.unique(words).tolist():
+        start, end = np.searchsorted(words, [width, width + 1]).tolist()
+        stop = int(np.searchsorted(words, 2 * width, side="right"))
+        own = np.stack([bits[i] for i in by_size[start:end]])
+        wider = [bits[i][:width] ^ bits[i][width:] for i in by_size[end:stop]]
+        every = np.concatenate([own, np.stack(wider)]) if wider else own
+        for x in range(start, end):
+            last = min(stop, int(np.searchsorted(size, size[x] * 100 // percent, side="right")))
+            free = group[x + 1 : last] != group[x]
+            if side is not None:
+                free &= side[x + 1 : last] != side[x]
+            if not free.any():
+                continue
+            differ = np.bitwise_count(every[x + 1 - start : last - start] ^ every[x - start]).sum(axis=1, dtype=np.int64)
+            for y in (x + 1 + np.flatnonzero(free & (differ * (100 + percent) <= (size[x] + size[x + 1 : last]) * (100 - percent)))).tolist():
+                if group[y] != group[x]:
+                    group[group == group[y]] = group[x]
+                    found.append((int(by_size[x]), int(by_size[y])))
+    return found
+
+
 def _search_blocks(rows: DataFrame, members: DataFrame, n: int, percent: int, chunk: int) -> DataFrame:
     """Links (a, b) between nodes of a block that connect what the block's similar sets connect."""
-    sizes = members.groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    count = F.count("*")
+    each = F.least(F.greatest(F.lit(chunk), F.sqrt(count * chunk)), F.lit(4 * chunk))  # larger blocks have larger chunks
+    sizes = members.groupBy("block").agg(F.ceil(count / each).cast("int").alias("chunks"))
     buckets = max(1, members.count() // chunk)  # small blocks share tasks
-    dealt = members.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-    same = rows.doc_id.eqNullSafe(dealt.doc_id) & (rows.crc == dealt.crc)
-    texts = rows.join(dealt.hint("merge"), same).select("block", "node", "chunk", "chunks", "text")  # alike at every size
+    texts = _texts(rows, _chunked(members, sizes))
     small = F.col("chunks") == 1
-    other = F.col("other")
-    pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+    pairs = _in_pairs(texts).select(
         F.when(small, F.pmod(F.xxhash64("block"), F.lit(buckets))).otherwise(F.col("block")).alias("task"),
-        (~small).alias("large"), F.least("chunk", other).alias("low"), F.greatest("chunk", other).alias("high"),
-        "block", "node", "chunk", "text",
+        (~small).alias("large"), "low", "high", "block", "node", "chunk", "text",
     )
     return pairs.groupBy("task", "large", "low", "high").applyInArrow(_search(n, percent), "a long, b long")
 
