@@ -102,12 +102,15 @@ def _typed_output(output: Column) -> Column:
         shape.isNotNull().alias("is_object"),
         V.get(shape["output_type"], "$", "string").alias("kind"),
         F.map_keys(V.fields(shape["data"])).alias("mimes"),
-        F.to_json(output).alias("json"),
     )
 
 
+def _with_json(output: Column) -> Column:
+    return F.struct(_typed_output(output).alias("typed"), F.to_json(output).alias("json"))
+
+
 def _measured_output(output: Column) -> Column:
-    kept = [output[c].alias(c) for c in ("is_object", "kind", "mimes")]
+    kept = [output["typed"][c].alias(c) for c in ("is_object", "kind", "mimes")]
     return F.struct(*kept, T.dumped_length(output["json"]).alias("length"))
 
 
@@ -120,53 +123,96 @@ def cell_parts(cell: Column) -> Column:
     )
 
 
+def _kind(parts: Column) -> Column:
+    return V.get(parts["cell_type"], "$", "string")  # other JSON types never spell a known kind
+
+
+def _is_code(parts: Column) -> Column:
+    return F.coalesce(_kind(parts) == "code", F.lit(False))
+
+
+def _said(parts: Column) -> list[Column]:
+    """Kind and text of a cell.  Text is under ``source`` when that key is there, else under ``input``."""
+    text = F.when(parts["source"].isNotNull(), text_of(parts["source"])).otherwise(text_of(parts["input"]))
+    return [parts.isNotNull().alias("is_object"), _kind(parts).alias("kind"), text.alias("text")]
+
+
+def _tags(parts: Column) -> Column:
+    return F.transform(V.items(parts["metadata"], "$.tags"), V.spelled)
+
+
+def _execution_count(parts: Column) -> Column:
+    return F.when(_is_code(parts), V.lenient_int(parts["execution_count"]))
+
+
+def _json_outputs(parts: Column) -> Column:
+    return F.when(_is_code(parts), V.items(parts["outputs"]))
+
+
 def typed_cell(parts: Column) -> Column:
-    """The members of a JSON cell as typed values.  Text is under ``source``
-    when that key is there, else under ``input``."""
-    kind = V.get(parts["cell_type"], "$", "string")  # other JSON types never spell a known kind
-    is_code = F.coalesce(kind == "code", F.lit(False))
+    """The members of a JSON cell as typed values."""
     return F.struct(
-        parts.isNotNull().alias("is_object"),
-        kind.alias("kind"),
-        F.when(parts["source"].isNotNull(), text_of(parts["source"])).otherwise(text_of(parts["input"])).alias("text"),
-        F.transform(V.items(parts["metadata"], "$.tags"), V.spelled).alias("tags"),
-        F.when(is_code, V.lenient_int(parts["execution_count"])).alias("execution_count"),
-        F.when(is_code, F.transform(F.transform(V.items(parts["outputs"]), _typed_output), _measured_output)).alias("outputs"),
+        *_said(parts),
+        _tags(parts).alias("tags"),
+        _execution_count(parts).alias("execution_count"),
+        F.transform(F.transform(_json_outputs(parts), _with_json), _measured_output).alias("outputs"),
     )
 
 
 CELL_MEMBERS = ("is_object", "kind", "tags", "execution_count", "outputs")
 
 
-def measured_cell(cell: Column) -> Column:
-    """A typed cell with its line and character counts in place of its text."""
-    text = cell["text"]
-    return F.struct(
-        *[cell[c].alias(c) for c in CELL_MEMBERS],
+def _measures(text: Column) -> list[Column]:
+    return [
         T.line_count(text).cast("bigint").alias("lines"),
         F.length(text).cast("bigint").alias("chars"),
         T.is_blank(text).alias("blank"),
-    )
+    ]
+
+
+def measured_cell(cell: Column) -> Column:
+    """A typed cell with its line and character counts in place of its text."""
+    return F.struct(*[cell[c].alias(c) for c in CELL_MEMBERS], *_measures(cell["text"]))
+
+
+def with_cell_parts(docs: DataFrame) -> DataFrame:
+    """Add ``parts``: ARRAY of the known members of each cell; empty for failed parses."""
+    staged = docs.withColumn("parts", F.when(F.col("parse_ok"), resolve_cells(F.col("doc"))).otherwise(F.array().cast("array<variant>")))
+    return staged.withColumn("parts", F.transform("parts", cell_parts)).drop("doc")
 
 
 def with_typed_cells(docs: DataFrame) -> DataFrame:
     """Add ``cells``: ARRAY of typed cells with text; empty for failed parses."""
-    staged = docs.withColumn("cells", F.when(F.col("parse_ok"), resolve_cells(F.col("doc"))).otherwise(F.array().cast("array<variant>")))
-    staged = staged.withColumn("cells", F.transform("cells", cell_parts)).drop("doc")
-    return staged.withColumn("cells", F.transform("cells", typed_cell))
+    return with_cell_parts(docs).withColumn("cells", F.transform("parts", typed_cell)).drop("parts")
 
 
 def with_cells(docs: DataFrame) -> DataFrame:
-    """Add ``cells`` (measured, without text) and ``import_sources``.
+    """Add ``cells`` (kind and measures, without text), ``import_sources`` and, a list for each cell, ``cell_tags``,
+    ``cell_counts``, ``json_outputs``, ``typed_outputs`` and ``output_lengths`` (null for outputs that are no objects).
 
-    Text is dropped here but for the code cells that hold the word ``import``,
+    Each is a column of its own, since Spark leaves out columns that nobody reads but never members that a
+    function puts into a struct.  Text is dropped here but for the code cells that hold the word ``import``,
     since every later projection copies what it carries.
     """
-    typed = with_typed_cells(docs)
-    naming = F.filter("cells", lambda c: (c["kind"] == "code") & c["text"].contains("import"))
-    return typed.withColumns(
-        {"cells": F.transform("cells", measured_cell), "import_sources": F.transform(naming, lambda c: c["text"])}
+    staged = with_cell_parts(docs).withColumns(
+        {
+            "said": F.transform("parts", lambda p: F.struct(*_said(p))),
+            "cell_tags": F.transform("parts", _tags),
+            "cell_counts": F.transform("parts", _execution_count),
+            "json_outputs": F.transform("parts", _json_outputs),
+        }
     )
+    naming = F.filter("said", lambda c: (c["kind"] == "code") & c["text"].contains("import"))
+    staged = staged.drop("parts").withColumns(
+        {
+            "cells": F.transform("said", lambda c: F.struct(c["is_object"].alias("is_object"), c["kind"].alias("kind"), *_measures(c["text"]))),
+            "import_sources": F.transform(naming, lambda c: c["text"]),
+            "typed_outputs": F.transform("json_outputs", lambda outputs: F.transform(outputs, _typed_output)),
+        }
+    )
+    spelled = F.zip_with("json_outputs", "typed_outputs", lambda outputs, typed: F.zip_with(outputs, typed, lambda o, t: F.when(t["is_object"], F.to_json(o))))
+    lengths = F.transform(spelled, lambda outputs: F.transform(outputs, T.dumped_length))
+    return staged.drop("said").withColumn("output_lengths", lengths)
 
 
 # --- step 4: tallies ---------------------------------------------------------
@@ -180,7 +226,7 @@ def _count(values: Column, test) -> Column:
 
 
 def with_tallies(docs: DataFrame) -> DataFrame:
-    """Cell, line, character, tag and output tallies from ``cells``."""
+    """Cell, line, character, tag and output tallies from the columns of ``with_cells``."""
 
     def count(kind: str) -> Column:
         return _count(F.col("cells"), lambda c: c["kind"] == kind)
@@ -188,8 +234,9 @@ def with_tallies(docs: DataFrame) -> DataFrame:
     def lines(kind: str) -> Column:
         return total(F.transform(F.filter("cells", lambda c: c["kind"] == kind), lambda c: c["lines"]))
 
-    tags = F.filter("cells.tags", lambda t: t.isNotNull())
-    outputs = F.filter("cells.outputs", lambda o: o.isNotNull())
+    def listed(name: str) -> Column:
+        return F.flatten(F.filter(name, lambda items: items.isNotNull()))
+
     staged = docs.withColumns(
         {
             "total_cells": _count(F.col("cells"), lambda c: c["is_object"]),
@@ -201,14 +248,15 @@ def with_tallies(docs: DataFrame) -> DataFrame:
             "code_lines": lines("code"),
             "markdown_lines": lines("markdown"),
             "total_source_chars": total(F.col("cells.chars")),
-            "distinct_cell_tags": F.sort_array(F.array_distinct(F.flatten(tags))),
-            "execution_counts": F.filter("cells.execution_count", lambda n: n > 0),
-            "cells_with_output": _count(F.col("cells.outputs"), lambda o: F.size(o) > 0),
-            "outputs": F.filter(F.flatten(outputs), lambda o: o["is_object"]),
+            "distinct_cell_tags": F.sort_array(F.array_distinct(listed("cell_tags"))),
+            "execution_counts": F.filter("cell_counts", lambda n: n > 0),
+            "cells_with_output": _count(F.col("json_outputs"), lambda o: F.size(o) > 0),
+            "outputs": F.filter(listed("typed_outputs"), lambda o: o["is_object"]),
             "cell_items": F.size("cells"),
+            "largest_output_bytes": F.coalesce(F.array_max(listed("output_lengths")), F.lit(0).cast("bigint")),
         }
-    ).drop("cells")
-    staged = staged.withColumn("mimes", F.flatten(F.filter("outputs.mimes", lambda keys: keys.isNotNull())))
+    ).drop("cells", "cell_tags", "cell_counts", "json_outputs", "typed_outputs", "output_lengths")
+    staged = staged.withColumn("mimes", listed("outputs.mimes"))
     return staged.withColumns(
         {
             "other_cells": F.col("cell_items") - F.col("code_cells") - F.col("markdown_cells") - F.col("raw_cells"),
@@ -220,7 +268,6 @@ def with_tallies(docs: DataFrame) -> DataFrame:
             "widget_output_count": _count(F.col("mimes"), lambda m: m == WIDGET_MIME),
             "stream_outputs": _count(F.col("outputs"), lambda o: o["kind"] == "stream"),
             "error_outputs": _count(F.col("outputs"), lambda o: o["kind"] == "error"),
-            "largest_output_bytes": F.coalesce(F.array_max("outputs.length"), F.lit(0).cast("bigint")),
             **text_ratios(),
             **execution_columns(F.col("execution_counts")),
         }
