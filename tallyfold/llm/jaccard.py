@@ -14,11 +14,12 @@ by powers of two, and a set whose partners may reach the next class gives its
 parts there too.  Small sets with too many empty parts also give their shingle
 prefix, which two such sets share.
 
-Large blocks.  Chance parts chain small sets into blocks that grow faster than the corpus, though few of their
-sets are similar.  So the sets of a block of more than a chunk are first told apart by the parities of their
+Parities.  Chance parts put more and more sets into blocks as the corpus grows, and chain blocks that grow faster than it,
+though few of their sets are similar.  So the sets of every block are first told apart by the parities of their
 shingles, a bit or two for each shingle: two sets differ in at least as many shingles as their parities
-differ in bits, so pairs beyond what similar sets may differ in are none.  Sets connected by what is left make the
-blocks that are searched; texts are sent for these alone.
+differ in bits, so pairs beyond what similar sets may differ in are none.  Parities are made where texts are read, and
+compared inside classes of sizes.  Sets connected by what is left make the blocks that are searched; texts are
+sent for these alone.
 
 Search.  A block's sets are dealt into chunks, each pair of chunks is a task.
 There each set queries the inverted lists of the others by DivideSkip: its L
@@ -52,7 +53,9 @@ TOGETHER = 1 << 20  # shingles that a task looks at together, about
 MOST_OFTEN = 1_000_000  # 8 MB; which shingles these are changes speed, never results
 MEMBER_BITS = 27  # of the filter of rows whose text is needed: 16 MB
 BUCKET = 1 << 19  # shingles of the corpus for each bucket of parts
-SIGNED = 16  # chunks of sets that a task compares by parities
+SIGNED = 1 << 20  # bytes of parities that one task side compares
+TOLD = 2048  # sets of small blocks whose parities a task compares
+WIDTH = 4  # of a class of sizes, in steps that similar sets may differ by
 PARITIES = (8, 14)  # least and most bits of a set's parities, as powers of two
 _MU = 0.0085  # DivideSkip's cost of a probe against a merge step
 _PREFIX_TAG = 0x5851F42D4C957F2D
@@ -61,7 +64,6 @@ _SPARE_PARTS = 1.6
 _PROFILE = "often boolean, doc_id long, crc long, n long, h1 long, h2 long"
 _DEALT = pa.schema([(k, t) for k, t in zip(("bucket", "batch"), (pa.int32(), pa.int64()))] + [(k, pa.binary()) for k in ("part", "low", "high", "sets", "links")])
 _DEALT_DDL = "bucket int, batch long, part binary, low binary, high binary, sets binary, links binary"
-_SIGNED = pa.schema([(k, pa.int64()) for k in ("block", "node")] + [(k, pa.int32()) for k in ("chunk", "chunks")] + [("size", pa.int64()), ("bits", pa.binary())])
 _STRIDE = 0x9E3779B97F4A7C15
 
 
@@ -94,7 +96,7 @@ def jaccard_groups(documents: DataFrame, percent: int = 80, n: int = 5, id_col:
     named = near.where("named").select(F.col("a").alias("node"), F.col("b").alias("h1"))
     blocks = named.join(blocks, "node").select("h1", "block").distinct()
     members = store(sets.join(blocks, "h1").select("node", "doc_id", "crc", "block"), "jaccard-members")
-    links = _search_blocks(rows, _refined(rows, members, n, percent, chunk), n, percent, chunk)
+    links = _search_blocks(rows, _refined(rows, members, n, percent, 1), n, percent, chunk)
     groups = components(links, "jaccard")
     joined = sets.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keeper = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "crc")).alias("keeper")
@@ -302,20 +304,26 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def _texts(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """``members`` with their texts.  Rows that no member comes from are left out before they are dealt."""
+    """``members`` with their texts."""
+    return _sent(rows, members, "text string", lambda texts: [texts])
+
+
+def _sent(rows: DataFrame, members: DataFrame, ddl: str, made: Callable) -> DataFrame:
+    """``members`` with the columns that are made of their texts.  Rows that no member comes from are left out before they are dealt."""
     key = F.xxhash64("doc_id", "crc").alias("hash")
     keys = members.select(key)
     most = min(MEMBER_BITS, max(16, math.ceil(math.log2(32 * keys.count() + 1))))
     sent = rows.sparkSession.sparkContext.broadcast(window_filter(keys, most))
+    names = ["doc_id", "crc", *(column.split()[0] for column in ddl.split(", "))]
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(sent.value.passes(batch.column("hash").to_numpy().view(U64))))
+            batch = batch.filter(pa.array(sent.value.passes(batch.column("hash").to_numpy().view(U64))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("crc"), *made(batch.column("text"))], names=names)
 
-    keyed = rows.select("doc_id", "crc", key, "text")
-    found = keyed.mapInArrow(passing, keyed.schema)
+    found = rows.select("doc_id", "crc", key, "text").mapInArrow(passing, f"doc_id long, crc long, {ddl}")
     same = found.doc_id.eqNullSafe(members.doc_id) & (found.crc == members.crc)
-    return found.join(members.hint("merge"), same).drop("doc_id", "crc", "hash")  # alike at every size
+    return found.join(members.hint("merge"), same).drop("doc_id", "crc")  # alike at every size
 
 
 def _in_pairs(rows: DataFrame) -> DataFrame:
@@ -337,22 +345,45 @@ def _refined(rows: DataFrame, members: DataFrame, n: int, percent: int, chunk: i
     small = members.join(sizes.where(F.col("count") <= chunk), "block", "left_semi").select("node", "doc_id", "crc", "block")
     if large.isEmpty():
         return store(small, "jaccard-refined")
-    chunks = large.select("block", F.ceil(F.col("count") / (SIGNED * chunk)).cast("int").alias("chunks"))
-    dealt = store(_chunked(members, chunks), "jaccard-large")
-    bits = _texts(rows, dealt).select("block", "node", "chunk", "chunks", "text").mapInArrow(_signatures(n), "block long, node long, chunk int, chunks int, size long, bits binary")
-    pairs = _in_pairs(bits).drop("chunks")
-    found = components(pairs.groupBy("block", "low", "high").applyInArrow(_resembling(percent), "a long, b long"), "jaccard-parities")
+    dealt = store(members.join(large, "block", "left_semi"), "jaccard-large")
+    signed = store(_sent(rows, dealt, "size long, bits binary", _signatures(n)).select("block", "node", "size", "bits"), "jaccard-signed")
+    found = components(_told_apart(signed, percent), "jaccard-parities")
     apart = dealt.join(found, "node").select("node", "doc_id", "crc", F.col("root").alias("block"))
     return store(small.unionByName(apart), "jaccard-refined")
 
 
+def _told_apart(signed: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect the sets of a block which may be similar.
+
+    The greater of two similar sets is in its class of sizes, and so is the lesser, which is put into each class
+    that its partners reach.
+    """
+    ratio = 100 / percent * 1.0001  # more than similar sets differ by, so that no rounding parts them
+    step = WIDTH * math.log(ratio)
+    own, reach = (F.floor(F.log(F.col("size") * F.lit(x)) / F.lit(step)) for x in (1.0, ratio))
+    classed = signed.withColumn("class", F.explode(F.sequence(own, reach)))
+    chunks = F.ceil(F.sum(F.octet_length("bits") + 32) / SIGNED).cast("int").alias("chunks")
+    classes = store(classed.groupBy("block", "class").agg(F.count("*").alias("count"), chunks).where("count > 1").drop("count"), "jaccard-classes")
+    buckets = max(1, signed.count() // TOLD)  # small classes share tasks
+    own = F.xxhash64("block", "class")
+    small = F.col("chunks") == 1
+    chunked = classed.join(classes, ["block", "class"]).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    pairs = _in_pairs(chunked).select(
+        F.when(small, F.pmod(own, F.lit(buckets))).otherwise(own).alias("task"),
+        (~small).alias("large"), "low", "high", "block", "class", "node", "chunk", "size", "bits",
+    )
+    return pairs.groupBy("task", "large", "low", "high").applyInArrow(_resembling(percent), "a long, b long")
+
+
 def _signatures(n: int) -> Callable:
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            every = list(chain.from_iterable(shingle_sets(*flat(batch.column("text")), n)))
-            size, bits = [len(s) for s in every], [parities(s).tobytes() for s in every]
-            columns = [batch.column(k) for k in ("block", "node", "chunk", "chunks")] + [pa.array(size, pa.int64()), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, schema=_SIGNED)
+    """For each text, its set's size and parities."""
+
+    def signatures(texts: pa.Array) -> list[pa.Array]:
+        size, bits = [], []
+        for sets in shingle_sets(*flat(texts), n):
+            size += [len(s) for s in sets]
+            bits += [parities(s).tobytes() for s in sets]
+        return [pa.array(size, pa.int64()), pa.array(bits, pa.binary())]
 
     return signatures
 
@@ -372,13 +403,19 @@ def parities(shingles: np.ndarray) -> np.ndarray:
 
 def _resembling(percent: int) -> Callable:
     def resembling(key: tuple, group: pa.Table) -> pa.Table:
-        low, high = key[1].as_py(), key[2].as_py()
-        node, first = np.unique(group["node"].to_numpy(), return_index=True)  # repeated rows bring a set twice
-        size, chunk = (group[k].to_numpy()[first] for k in ("size", "chunk"))
-        bits = group["bits"].take(pa.array(first)).to_pylist()
-        links = near_by_parities(size, [np.frombuffer(x, dtype="<u8") for x in bits], percent, chunk if low != high else None)
-        a, b = np.array(links, dtype=np.int64).reshape(-1, 2).T
-        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
+        low, high = key[2].as_py(), key[3].as_py()
+        block, level, node, size, chunk = (group[k].to_numpy() for k in ("block", "class", "node", "size", "chunk"))
+        bits = group["bits"].to_pylist()
+        order = np.lexsort((node, level, block))
+        opens = (block[order][1:] != block[order][:-1]) | (level[order][1:] != level[order][:-1])
+        links: list[tuple[int, int]] = []
+        for rows in np.split(order, np.flatnonzero(opens) + 1):
+            rows = rows[np.concatenate([[True], node[rows][1:] != node[rows][:-1]])]  # repeated rows bring a set twice
+            side = chunk[rows] if low != high else None
+            found = near_by_parities(size[rows], [np.frombuffer(bits[i], dtype="<u8") for i in rows], percent, side)
+            links += [(int(node[rows[i]]), int(node[rows[j]])) for i, j in found]
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return resembling
 

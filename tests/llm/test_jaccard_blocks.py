@@ -74,3 +74,26 @@ def test_parts_are_packed():
     at = {x: i for i, x in enumerate(every)}
     got = groups(len(every), [(at[name[r["a"]]], at[name[r["b"]]]) for r in found if not r["named"]])
     assert got == groups(len(every), [(at[min(s)], at[x]) for s in shared.values() for x in s])
+
+
+def test_small_blocks_send_texts_of_similar_sets_alone(spark, monkeypatch):
+    """Pairs that share a line by chance are in one block, of which no text is sent: 86 texts before."""
+    draw = random.Random(12)
+    words = lambda n: " ".join(f"u{draw.randrange(10**6)}" for _ in range(n))
+    texts = [f"{line} {words(n)}" for line in (words(30) for _ in range(40)) for n in (25, 30)]
+    texts += [t + " tail" for t in texts[:6]]
+    searched = []
+    monkeypatch.setattr(J, "_search_blocks", lambda rows, members, *rest, search=J._search_blocks: searched.append(members.count()) or search(rows, members, *rest))
+    rows = list(enumerate(texts))
+    out = J.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert order([(r.doc_id, r.n_shingles, r.component_id) for r in out]) == order(jaccard(rows))
+    assert searched == [12]
+
+
+def test_sets_at_the_ends_of_size_classes_are_told_apart_by_no_rounding(spark):
+    """A set of 4 m shingles inside one of 5 m: a similarity of 0.8, wherever classes of sizes end."""
+    texts = [" ".join(f"m{m}x{k}" for k in range(size * m + 4)) for m in range(1, 90) for size in (4, 5)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("crc", text_key(F.col("text")))
+    members = rows.select(F.col("doc_id").alias("node"), "doc_id", "crc", F.lit(7).cast("long").alias("block")).repartition(3)
+    found = {r.node: r.block for r in J._refined(rows, members, 5, 80, 1).collect()}
+    assert all(found[x] == found[x + 1] for x in range(0, len(texts), 2))
