@@ -97,7 +97,7 @@ def jaccard_groups(documents: DataFrame, percent: int = 80, n: int = 5, id_col:
     blocks = named.join(blocks, "node").select("h1", "block").distinct()
     members = store(sets.join(blocks, "h1").select("node", "doc_id", "crc", "block"), "jaccard-members")
     links = _search_blocks(rows, _refined(rows, members, n, percent, 1), n, percent, chunk)
-    groups = components(links, "jaccard")
+    groups = components(store(links, "jaccard-similar"), "jaccard")  # stored: a task runs one Python worker, not two
     joined = sets.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keeper = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "crc")).alias("keeper")
     of_group = store(joined.groupBy("root").agg(F.min("least").alias("component_id"), keeper), "jaccard-groups")
@@ -347,7 +347,8 @@ def _refined(rows: DataFrame, members: DataFrame, n: int, percent: int, chunk: i
         return store(small, "jaccard-refined")
     dealt = store(members.join(large, "block", "left_semi"), "jaccard-large")
     signed = store(_sent(rows, dealt, "size long, bits binary", _signatures(n)).select("block", "node", "size", "bits"), "jaccard-signed")
-    found = components(_told_apart(signed, percent), "jaccard-parities")
+    links = store(_told_apart(signed, percent), "jaccard-resembling")
+    found = components(links, "jaccard-parities")
     apart = dealt.join(found, "node").select("node", "doc_id", "crc", F.col("root").alias("block"))
     return store(small.unionByName(apart), "jaccard-refined")
 

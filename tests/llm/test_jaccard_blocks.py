@@ -97,3 +97,13 @@ def test_sets_at_the_ends_of_size_classes_are_told_apart_by_no_rounding(spark):
     members = rows.select(F.col("doc_id").alias("node"), "doc_id", "crc", F.lit(7).cast("long").alias("block")).repartition(3)
     found = {r.node: r.block for r in J._refined(rows, members, 5, 80, 1).collect()}
     assert all(found[x] == found[x + 1] for x in range(0, len(texts), 2))
+
+
+def test_components_start_from_stored_links(spark, monkeypatch):
+    """Links made and contracted by one task took two Python workers, which both stay in an executor's memory."""
+    plans = []
+    monkeypatch.setattr(J, "components", lambda links, label, f=J.components: plans.append(links._jdf.queryExecution().executedPlan().toString()) or f(links, label))
+    base = [f"one two three four five six seven eight nine ten eleven twelve {x} {x}" for x in ("a", "b", "c", "d")]
+    texts = [t + tail for t in base for tail in ("", " end")]
+    J.jaccard_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(plans) == 3 and not any("InArrow" in plan for plan in plans)
